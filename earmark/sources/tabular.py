@@ -12,7 +12,7 @@ from earmark.constants import LABEL_COLUMNS
 from earmark.functions.keys import basename, blank_to_null, strip
 from earmark.functions.values import parse_relevance
 
-BOM = "﻿"
+BOM = "\ufeff"
 # <dataset>_public/<arm>_seed<n>.csv, as one file or as a folder of part files of that name
 MATRIX_PATH = r"/([^/]+)_public/([^/]+)_seed(\d+)\.csv"
 
