@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from earmark.functions.keys import seeded_hash
 from earmark.functions.values import bin_value, tag_buckets
 from earmark.operators.ordering import keep_one, with_position
+from earmark.session import pin
 
 PREFIX_DIGITS = 4
 _ALL = "g"  # sorts after every hex digest
@@ -78,10 +79,10 @@ def cap_per_tag(df: DataFrame, key: str, conditions: Mapping[str, Column], cap:
 def stratified_sample(df: DataFrame, key: str, target: int, labels: Column, seed: int = 42) -> DataFrame:
     """``target`` rows, the tags served in turn with equal quotas, then filled up from all other rows.
 
-    One row per key is kept first. Tags are served in name order, ``none`` standing for untagged rows; a row
+    One row per key is kept first and written once, for the passes below. Tags are served in name order, ``none`` standing for untagged rows; a row
     counts for the first tag that takes it. Each step is one more condition on the digest.
     """
-    unique = keep_one(df.withColumn("_buckets", tag_buckets(labels)), [key], [F.to_json(F.struct(*df.columns))])
+    unique = pin(keep_one(df.withColumn("_buckets", tag_buckets(labels)), [key], [F.to_json(F.struct(*df.columns))]))
     total = unique.count() if target > 0 else 0
     if target <= 0 or total <= target:
         return unique.drop("_buckets") if target > 0 else df.limit(0)
