@@ -30,7 +30,7 @@ def strip_music_suffix(text: Column | str) -> Column:
 
 def letters_only(text: Column | str) -> Column:
     """Keep letters of any script and white space."""
-    return F.regexp_replace(as_col(text), r"[^\p{L}\s]", "")
+    return F.regexp_replace(as_col(text), r"[^\p{L}\p{Z}\s\x0b\x1c-\x1f\x85]", "")
 
 
 def compose_caption(text: Column | str, mood: Column | str) -> Column:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,8 +68,11 @@ def class_metrics(confusion: DataFrame) -> DataFrame:
     rows = per_label.withColumns({
         "precision": ratio(F.col("tp"), F.col("predicted")), "recall": ratio(F.col("tp"), F.col("support"))})
     rows = rows.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
-    overall = rows.agg(ratio(F.sum("tp"), F.sum("support")).alias("accuracy"), F.avg("f1").alias("macro_f1"))
-    return rows.join(F.broadcast(overall)).select("label", "precision", "recall", "f1", "support", "accuracy", "macro_f1")
+    everything = Window.partitionBy()  # one row per label
+    return rows.select(
+        "label", "precision", "recall", "f1", "support",
+        ratio(F.sum("tp").over(everything), F.sum("support").over(everything)).alias("accuracy"),
+        F.avg("f1").over(everything).alias("macro_f1"))
 
 
 def zero_shot(
