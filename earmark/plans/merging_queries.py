@@ -167,7 +167,7 @@ def holdout_exclusion(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("J7", sql="""
-SELECT count(*) AS n_candidates, count(*) FILTER (WHERE trim(lower(b.text)) IS NULL) AS n_clean
+SELECT count(*) AS n_candidates, count(*) FILTER (WHERE b.text IS NULL) AS n_clean
 FROM documents d LEFT JOIN (SELECT DISTINCT text FROM benchmark) b ON trim(d.text) = trim(b.text)""")
 def benchmark_exclusion(spark: SparkSession, folder: str) -> DataFrame:
     """Documents whose whole text is a benchmark item are excluded."""
