@@ -69,7 +69,7 @@ def improve_prompt(text: Column, mood: Column, confidence: Column, source: Colum
         labelled_line("Mood hint", F.when(blank_to_null(mood).isNotNull(), mood)),
         labelled_line("Metadata confidence", confidence.cast("string")),
         labelled_line("Source track", F.nullif(source, F.lit(""))),
-        labelled_line("Current CLAP audio-text similarity", F.format_string("%.4f", sim)),
+        labelled_line("Current CLAP audio-text similarity", F.when(sim.isNotNull(), F.format_string("%.4f", sim))),
         F.lit(PROMPT_CLOSE),
     )
 

@@ -38,11 +38,14 @@ def label_counts(queries: DataFrame, positives: DataFrame, pool: DataFrame) -> D
 
 
 def cutoff_hits(ranked: DataFrame, positives: DataFrame, ks: Sequence[int]) -> DataFrame:
-    """Per query and cut-off K: hits, gain sum and whether anything was hit, from the best rows of each query."""
-    hits = ranked.join(positives.withColumn("_rel", F.lit(1.0)), ["query_id", "item_id"], "left").withColumn("_rel", F.coalesce("_rel", F.lit(0.0)))
+    """Per query and cut-off K: hits, gain sum and whether anything was hit; cut-offs without a hit have no row.
+
+    Only best rows that are positive count, so one inner join of the short ranking with the labels is enough.
+    """
+    hits = ranked.join(positives, ["query_id", "item_id"])
     per_k = hits.withColumn("top_k", F.explode(F.array(*[F.lit(k) for k in ks]))).filter(F.col("rank") <= F.col("top_k"))
     return per_k.groupBy("query_id", "top_k").agg(
-        F.sum("_rel").alias("hits"), F.sum(gain("_rel") * discount("rank")).alias("dcg"), F.max("_rel").alias("hit"))
+        F.count(F.lit(1)).cast("double").alias("hits"), F.sum(discount("rank")).alias("dcg"), F.lit(1.0).alias("hit"))
 
 
 def metric_matrix(queries: DataFrame, ranked: DataFrame, positives: DataFrame, pool: DataFrame, ks: Sequence[int]) -> DataFrame:
@@ -80,16 +83,18 @@ def graded_ndcg(ranked: DataFrame, graded: DataFrame, k: int) -> DataFrame:
     The ideal top k comes from the number of rows per relevance level: a level that fills ranks a..b adds its
     gain times the discounts of those ranks, so a query's judged rows are counted and never sorted.
     """
-    found = ranked.filter(F.col("rank") <= k).join(graded, ["query_id", "item_id"], "left")
-    dcg = found.groupBy("query_id").agg(F.sum(gain(F.coalesce("relevance", F.lit(0.0))) * discount("rank")).alias("dcg"))
-    levels = graded.groupBy("query_id", "relevance").agg(F.count(F.lit(1)).alias("n"))
+    found = ranked.filter(F.col("rank") <= k).join(graded, ["query_id", "item_id"])
+    dcg = found.groupBy("query_id").agg(F.sum(gain("relevance") * discount("rank")).alias("dcg"))
     above = Window.partitionBy("query_id").orderBy(F.col("relevance").desc())
+    # every level has a row, so the k highest levels hold the ideal top k
+    levels = graded.groupBy("query_id", "relevance").agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "_level", F.row_number().over(above)).filter(F.col("_level") <= k)
     upto = F.least(F.sum("n").over(above), F.lit(k))
     before = F.least(F.coalesce(F.sum("n").over(above.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), F.lit(k))
     parts = levels.withColumns({"_to": upto, "_from": before})
     ideal = parts.groupBy("query_id").agg(F.sum(gain("relevance") * (discount_sum("_to") - discount_sum("_from"))).alias("idcg"))
-    return dcg.join(ideal, "query_id", "left").select(
-        "query_id", F.when(F.col("idcg") > 0, F.col("dcg") / F.col("idcg")).otherwise(F.lit(0.0)).alias("ndcg_at_k"))
+    return ranked.select("query_id").distinct().join(ideal, "query_id", "left").join(dcg, "query_id", "left").select(
+        "query_id", F.when(F.col("idcg") > 0, F.coalesce("dcg", F.lit(0.0)) / F.col("idcg")).otherwise(F.lit(0.0)).alias("ndcg_at_k"))
 
 
 def random_ndcg_draws(counts: DataFrame, k: int, iterations: int = 256, seed: int = 42) -> DataFrame:

@@ -80,17 +80,19 @@ def early_stop(log: DataFrame, run: str, epoch: str, metric: str, patience: int
     ``min_epochs``, that is ``patience`` epochs past the last improvement. ``epoch`` is unique per run.
     """
     placed = place(log.select(run, epoch, metric), [run], [epoch])
-    seen = running(placed, [run], [epoch], [("_best", "max", F.col(metric))], inclusive=False)
-    seen = running(seen, [run], [epoch], [("_no", "count", F.lit(1))])
-    improved = F.col(metric).isNotNull() & (F.col("_best").isNull() | (F.col(metric) > F.col("_best")))
-    seen = seen.withColumn("_improved", improved)
+    before = running(placed, [run], [epoch], [("_best", "max", F.col(metric)), ("_before", "count", F.lit(1))], inclusive=False)
+    seen = before.withColumns({
+        "_no": F.col("_before") + 1,
+        "_improved": F.col(metric).isNotNull() & (F.col("_best").isNull() | (F.col(metric) > F.col("_best")))})
     seen = running(seen, [run], [epoch], [("_last", "max", F.when(F.col("_improved"), F.col("_no")))])
     stop = (F.col("_no") - F.coalesce("_last", F.lit(0)) >= patience) & (F.col("_no") >= min_epochs)
-    stops = seen.groupBy(run).agg(F.min(F.when(stop, F.col("_no"))).alias("stop_epoch"), F.count(F.lit(1)).alias("n_logged"))
-    upto = seen.join(stops, run).filter(F.col("stop_epoch").isNull() | (F.col("_no") <= F.col("stop_epoch")))
-    return upto.groupBy(run).agg(
-        F.max("n_logged").alias("n_logged"), F.max("stop_epoch").alias("stop_epoch"),
-        F.max(F.when(F.col("_improved"), F.col("_no"))).alias("best_epoch"), F.max(metric).alias("best_metric"))
+    # the best epoch and metric up to a row are known on that row
+    here = F.struct("_no", "_last", F.greatest("_best", metric).alias("_metric"))
+    ends = seen.groupBy(run).agg(
+        F.max("_no").alias("n_logged"), F.min(F.when(stop, here)).alias("_stop"), F.max(here).alias("_end"))
+    at = F.coalesce("_stop", "_end")
+    return ends.select(
+        run, "n_logged", F.col("_stop._no").alias("stop_epoch"), at["_last"].alias("best_epoch"), at["_metric"].alias("best_metric"))
 
 
 def plateau_stop(
@@ -104,10 +106,11 @@ def plateau_stop(
     """
     rows = log.select(run, iteration, metric, inner_ok.alias("_ok"))
     placed = place(rows, [run], [F.col(iteration)])
-    numbered = running(placed, [run], [F.col(iteration)], [("_no", "count", F.lit(1))])
-    before = numbered.select(run, (F.col("_no") + 1).alias("_no"), F.col(metric).alias("_prev"))
-    paired = numbered.join(before, [run, "_no"], "left")
-    paired = paired.withColumn("_stagnant", F.coalesce(F.col(metric) - F.col("_prev") < min_delta, F.lit(False)))
+    # the largest earlier (iteration, metric) pair is the row before
+    paired = running(placed, [run], [F.col(iteration)], [
+        ("_prev", "max", F.struct(F.col(iteration).alias("i"), F.col(metric).alias("m"))), ("_before", "count", F.lit(1))], inclusive=False)
+    paired = paired.withColumns({
+        "_no": F.col("_before") + 1, "_stagnant": F.coalesce(F.col(metric) - F.col("_prev.m") < min_delta, F.lit(False))})
     counted = running(paired, [run], [F.col(iteration)], [("_reset", "max", F.when(~F.col("_stagnant"), F.col("_no")))])
     length = F.col("_no") - F.col("_reset")
     stop = F.col("_stagnant") & (length % patience == 0) & F.col("_ok")

@@ -21,6 +21,8 @@ from earmark.session import pin
 # Bounds for sending the query side to every executor; larger sets take the partitioned route.
 MAX_BROADCAST_QUERIES = 4096
 MAX_BROADCAST_BYTES = 64 << 20
+# Largest result (queries times k) that joins may broadcast.
+MAX_BROADCAST_RESULTS = 200_000
 SCORE_DECIMALS = 9
 
 
@@ -121,7 +123,11 @@ def top_k(
     queries: DataFrame, pool: DataFrame, k: int, metric: str = "cosine", query_id: str = "query_id",
     query_vec: str = "query_vec", item_id: str = "item_id", item_vec: str = "item_vec",
 ) -> DataFrame:
-    """Best ``k`` pool items per query: query_id, item_id, score, rank (from 1). Exact for any number of queries."""
+    """Best ``k`` pool items per query: query_id, item_id, score, rank (from 1). Exact for any number of queries.
+
+    A result of proven small size is marked for broadcast, so that a join with payload or labels scans the large
+    side where it lies.
+    """
     if k <= 0:
         raise ValueError("k must be positive")
     queries = queries.select(query_id, query_vec).filter(F.col(query_vec).isNotNull())
@@ -129,9 +135,9 @@ def top_k(
     bounded = _bounded_rows(queries, query_id, query_vec)
     schema = _result_schema(queries, query_id, pool, item_id)
     if bounded is not None:
-        partial = pool.mapInArrow(_scanner(*bounded, k, metric, _arrow_types(schema)), schema)
-    else:
-        partial = _partitioned_top_k(queries.toDF("query_id", "query_vec"), pool.toDF("item_id", "item_vec"), k, metric, schema)
+        best = best_rows(pool.mapInArrow(_scanner(*bounded, k, metric, _arrow_types(schema)), schema), k)
+        return F.broadcast(best) if len(bounded[0]) * k <= MAX_BROADCAST_RESULTS else best
+    partial = _partitioned_top_k(queries.toDF("query_id", "query_vec"), pool.toDF("item_id", "item_vec"), k, metric, schema)
     return best_rows(partial, k)
 
 
@@ -146,18 +152,22 @@ def _scanner(ids: list, matrix: np.ndarray, k: int, metric: str, arrow: pa.Schem
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(ids)
+        floor = np.full(len(ids), -np.inf)  # k-th best score so far; lower scores need no look
         for batch in batches:
             if batch.num_rows == 0 or not ids:
                 continue
             item_ids = batch.column(0).to_numpy(zero_copy_only=False)
             scores = score_matrix(matrix, vector_matrix(batch.column(1)), metric)
-            for q in range(len(ids)):
-                top_ids, top_scores = best_of(scores[q], item_ids, k)
+            for q in np.flatnonzero(scores.max(axis=1) >= floor):
+                near = scores[q] >= floor[q]
+                top_ids, top_scores = best_of(scores[q][near], item_ids[near], k)
                 if best[q] is not None:
                     top_ids, top_scores = best_of(
                         np.concatenate([best[q][1], top_scores]), np.concatenate([best[q][0], top_ids]), k
                     )
                 best[q] = (top_ids, top_scores)
+                if len(top_scores) == k:
+                    floor[q] = top_scores[-1]
         for qid, found in zip(ids, best, strict=True):
             if found is not None:
                 yield pa.RecordBatch.from_arrays(
@@ -224,6 +234,7 @@ def _partitioned_top_k(queries: DataFrame, pool: DataFrame, k: int, metric: str,
     cells = items.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius")).collect()
     n_units = {r["cell"]: max(1, math.ceil(r["n"] / UNIT_ITEMS)) for r in cells}
     filled = np.array(sorted(n_units))
+    reach = float(np.linalg.norm(pivots, axis=1).max())
     radius = np.array([{r["cell"]: r["radius"] for r in cells}[c] for c in filled])
     unit_map = F.create_map(*[F.lit(x) for pair in n_units.items() for x in pair])
     items = items.withColumn("unit", F.pmod(F.xxhash64("id"), unit_map[F.col("cell")]).cast("int")).select("id", "vec", "cell", "unit")
@@ -238,7 +249,9 @@ def _partitioned_top_k(queries: DataFrame, pool: DataFrame, k: int, metric: str,
                     distance = _distances(vector_matrix(batch.column(1)), pivots)[:, filled]
                     if bounds:
                         limit = batch.column(2).to_numpy(zero_copy_only=False)
-                        query, cell = np.nonzero(distance - radius[None, :] <= limit[:, None] + 1e-6)
+                        lengths = np.array([np.linalg.norm(v) for v in vector_matrix(batch.column(1))])
+                        slack = 1e-6 * (1.0 + reach + lengths)  # floating-point error of the distances
+                        query, cell = np.nonzero(distance - radius[None, :] <= (limit + slack)[:, None])
                     else:
                         query, cell = np.arange(batch.num_rows), distance.argmin(axis=1)
                     index = pa.array(query, pa.int64())
@@ -254,7 +267,9 @@ def _partitioned_top_k(queries: DataFrame, pool: DataFrame, k: int, metric: str,
     asked = placed(queries).select("id", "vec")
     home = asked.mapInArrow(visited(False), visit_schema).withColumn("unit", F.lit(0))
     first = _search_units(home, items, k, metric, schema)
-    distance = F.sqrt(F.greatest(2.0 - 2.0 * F.col("score"), F.lit(0.0))) if unit_length else F.sqrt(-F.col("score"))
+    # Scores are rounded, so the bound allows for the rounding step.
+    squared = 2.0 - 2.0 * F.col("score") if unit_length else -F.col("score")
+    distance = F.sqrt(F.greatest(squared, F.lit(0.0)) + F.lit(10.0**-SCORE_DECIMALS * 4))
     bound = first.groupBy("query_id").agg(
         F.when(F.count(F.lit(1)) >= k, F.max(distance)).otherwise(F.lit(float("inf"))).alias("limit")
     )

@@ -49,11 +49,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/earmark/{label}-{uuid.uuid4().hex}"
 
 
-def pin(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` with a reliable checkpoint, so that later reads see the same rows.
+def pin(df: DataFrame, label: str = "pinned") -> DataFrame:
+    """Write ``df`` to a new table in the shared folder and read it from there.
 
     Used where a value depends on physical placement (a range partition number) and must not change if an
-    executor is lost and the rows are computed again.
+    executor is lost and rows are computed again, or where several passes follow. A Parquet table rather than
+    a checkpoint, because later passes then read only the columns they need.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

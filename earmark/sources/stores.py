@@ -14,7 +14,10 @@ from earmark.functions.vectors import unit
 
 
 def file_inventory(spark: SparkSession, path: str, relative_to: str | None = None) -> DataFrame:
-    """Files below ``path`` (path, length, modified); contents are never read."""
+    """Files below ``path`` (path, length, modified); contents are never read.
+
+    Empty files are not listed: Spark schedules no read for them. Every use of an inventory asks for content.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     name = F.regexp_replace("path", r"^file:/+", "/")
     if relative_to is not None:

@@ -27,36 +27,23 @@ def process_new_files(
 ) -> None:
     """Streaming form: process files that arrived since the last call, then stop.
 
-    Each micro-batch writes its own folder of the ledger, named by its number and overwritten if the batch is
-    run again, so a restart after a failure never doubles rows. Keys are processed once within a batch; a key
-    that an earlier batch finished is left out.
+    The keys seen so far are the stream's state, so a key is processed once over all calls and no call reads the
+    ledger. Each micro-batch writes its own folder of the ledger, named by its number and overwritten if the
+    batch is run again; a restart after a failure never doubles rows. Failures that the ledger does not record
+    are retried with :func:`run_pending`.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        earlier = _read_batches(session, ledger_path, below=batch_id)
-        work = batch.dropDuplicates([key])
-        if earlier is not None:
-            work = work.join(earlier.select(key).distinct(), key, "left_anti")
-        results = process(work)
+        results = process(batch)
         write_jsonl(results if record_failures else results.filter(F.col("status") == "ok"), f"{ledger_path}/batch={batch_id}", "overwrite")
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_batch).json(source)
     query = (
-        stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        stream.dropDuplicates([key]).writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
 
 
 def read_ledger(spark: SparkSession, ledger_path: str, schema: str) -> DataFrame:
     return spark.read.schema(f"{schema}, batch INT").json(ledger_path)
-
-
-def _read_batches(spark: SparkSession, ledger_path: str, below: int) -> DataFrame | None:
-    """Ledger rows of earlier batches; None for the first one."""
-    if below == 0:
-        return None
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ledger_path)
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        return None
-    return spark.read.json(ledger_path).filter(F.col("batch") < below)
