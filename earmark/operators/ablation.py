@@ -60,14 +60,14 @@ def compare_arms(matrix: DataFrame, by: Sequence[str], k: int, base: str, other:
 
 def baseline_delta(summary: DataFrame, by: Sequence[str], baseline: str) -> DataFrame:
     """Every arm minus the baseline arm of the same group."""
-    base = summary.filter(F.col("arm") == baseline).select(
-        *by, F.col("precision_mean").alias("_p0"), F.col("ndcg_delta_mean").alias("_n0"))
-    return (
-        summary.join(base, list(by), "left")
-        .withColumn("delta_precision", F.col("precision_mean") - F.col("_p0"))
-        .withColumn("delta_ndcg", F.col("ndcg_delta_mean") - F.col("_n0"))
-        .drop("_p0", "_n0")
-    )
+    group = Window.partitionBy(*by)  # a group has one row per arm
+
+    def base(column: str) -> Column:
+        return F.max(F.when(F.col("arm") == baseline, F.col(column))).over(group)
+
+    return summary.withColumns({
+        "delta_precision": F.col("precision_mean") - base("precision_mean"),
+        "delta_ndcg": F.col("ndcg_delta_mean") - base("ndcg_delta_mean")})
 
 
 def macro_over_datasets(matrix: DataFrame, k: int, tag: str = "query_id") -> DataFrame:

@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from earmark.functions.keys import seeded_hash
 from earmark.functions.values import bin_value, tag_buckets
-from earmark.operators.ordering import keep_one, with_position
+from earmark.operators.ordering import PLACEMENT, keep_one, place, running, with_position
 from earmark.session import pin
 
 PREFIX_DIGITS = 4
@@ -25,38 +25,39 @@ def hash_cutoffs(df: DataFrame, key: str, seed: int, wanted: Mapping[str, tuple[
     """Per name, the smallest digest at or below which at least n of the rows that meet the condition lie.
 
     ``wanted`` maps a name to (condition, n). A name with fewer than n rows gets a cut-off above all digests;
-    n of 0 or less gives an empty cut-off. Two passes over (key, conditions); at most one row per name returns.
+    n of 0 or less gives an empty cut-off. One job of two passes over (key, conditions); at most one row per
+    name returns.
     """
-    names = list(wanted)
+    cutoffs = {name: _ALL if n > 0 else "" for name, (_, n) in wanted.items()}
+    names = [name for name, (_, n) in wanted.items() if n > 0]
+    if not names:
+        return cutoffs
+    each = range(len(names))
     hashed = df.select(
         seeded_hash(seed, key).alias("_hash"), *[wanted[n][0].cast("int").alias(f"_m{i}") for i, n in enumerate(names)]
     ).withColumn("_prefix", F.substring("_hash", 1, PREFIX_DIGITS))
-    counts = [F.coalesce(F.sum(f"_m{i}"), F.lit(0)).alias(f"_c{i}") for i in range(len(names))]
-
-    def crossing(totals: DataFrame, position: str, window, need: dict[int, int]) -> dict[int, tuple[str, int]]:
-        upto = totals.select(position, *[f"_c{i}" for i in need], *[F.sum(f"_c{i}").over(window).alias(f"_u{i}") for i in need])
-        hits = [(F.col(f"_u{i}") >= n) & (F.col(f"_u{i}") - F.col(f"_c{i}") < n) for i, n in need.items()]
-        any_hit = hits[0]
-        for hit in hits[1:]:
-            any_hit = any_hit | hit
-        found = {}
-        for row in upto.filter(any_hit).collect():
-            for i, n in need.items():
-                if row[f"_u{i}"] >= n > row[f"_u{i}"] - row[f"_c{i}"]:
-                    found[i] = (row[position], n - (row[f"_u{i}"] - row[f"_c{i}"]))
-        return found
-
-    need = {i: wanted[n][1] for i, n in enumerate(names) if wanted[n][1] > 0}
-    cutoffs = {n: "" for n in names}
-    if not need:
-        return cutoffs
-    prefixes = crossing(hashed.groupBy("_prefix").agg(*counts), "_prefix", Window.orderBy("_prefix"), need)
-    cutoffs.update({names[i]: _ALL for i in need})
-    for prefix in sorted({p for p, _ in prefixes.values()}):
-        inside = {i: rest for i, (p, rest) in prefixes.items() if p == prefix}
-        digests = hashed.filter(F.col("_prefix") == prefix).groupBy("_hash").agg(*counts)
-        for i, (digest, _) in crossing(digests, "_hash", Window.orderBy("_hash"), inside).items():
-            cutoffs[names[i]] = digest
+    counts = [F.coalesce(F.sum(f"_m{i}"), F.lit(0)).alias(f"_c{i}") for i in each]
+
+    def upto(totals: DataFrame, window: WindowSpec) -> DataFrame:
+        return totals.withColumns({f"_u{i}": F.sum(f"_c{i}").over(window) for i in each})
+
+    def still_needed(i: int, n: Column) -> Column:
+        """What is left of n where the running count of name i passes it, else null."""
+        before = F.col(f"_u{i}") - F.col(f"_c{i}")
+        return F.when((F.col(f"_u{i}") >= n) & (before < n), n - before)
+
+    # At most 65,536 prefixes; those that hold a cut go on (at most one per name).
+    prefixes = upto(hashed.groupBy("_prefix").agg(*counts), Window.orderBy("_prefix")).select(
+        "_prefix", *[still_needed(i, F.lit(wanted[n][1])).alias(f"_n{i}") for i, n in enumerate(names)])
+    held = prefixes.filter(F.coalesce(*[f"_n{i}" for i in each]).isNotNull())
+    digests = hashed.join(F.broadcast(held), "_prefix").groupBy("_prefix", "_hash").agg(
+        *counts, *[F.max(f"_n{i}").alias(f"_n{i}") for i in each])
+    cuts = upto(digests, Window.partitionBy("_prefix").orderBy("_hash")).select(
+        "_hash", *[still_needed(i, F.col(f"_n{i}")).alias(f"_k{i}") for i in each])
+    for row in cuts.filter(F.coalesce(*[f"_k{i}" for i in each]).isNotNull()).collect():
+        for i in each:
+            if row[f"_k{i}"] is not None:
+                cutoffs[names[i]] = row["_hash"]
     return cutoffs
 
 
@@ -83,10 +84,13 @@ def stratified_sample(df: DataFrame, key: str, target: int, labels: Column, seed
     counts for the first tag that takes it. Each step is one more condition on the digest.
     """
     unique = pin(keep_one(df.withColumn("_buckets", tag_buckets(labels)), [key], [F.to_json(F.struct(*df.columns))]))
-    total = unique.count() if target > 0 else 0
-    if target <= 0 or total <= target:
-        return unique.drop("_buckets") if target > 0 else df.limit(0)
-    present = sorted(r[0] for r in unique.select(F.explode("_buckets")).distinct().collect())
+    if target <= 0:
+        return df.limit(0)
+    sizes = unique.select(F.explode("_buckets").alias("b"), F.col("_buckets")[0].alias("first")).groupBy("b").agg(
+        F.count_if(F.col("b") == F.col("first")).alias("n")).collect()  # a row counts for its first bucket
+    if sum(r["n"] for r in sizes) <= target:
+        return unique.drop("_buckets")
+    present = sorted(r["b"] for r in sizes)
     quota = max(1, target // len(present))
     digest = seeded_hash(seed, key)
     taken = F.lit(False)
@@ -121,13 +125,19 @@ def seeded_shuffle(df: DataFrame, key: str, seed: int) -> DataFrame:
 
 
 def mine_hard(df: DataFrame, sim: str, key: str, fraction: float = 0.2) -> DataFrame:
-    """The least similar ``max(1, ceil(n * fraction))`` rows, with error score and rank share. ``key`` is unique."""
+    """The least similar ``max(1, ceil(n * fraction))`` rows, with error score, rank share and the mean over all rows.
+
+    ``key`` is unique. The rows are written once in range partitions; counts and ranks come from there.
+    """
     if not 0 < fraction <= 1:
         raise ValueError("fraction must be in (0, 1]")
-    ranked = with_position(df, [], [F.col(sim), F.col(key)], "_rank", size="_n")
-    n_hard = F.greatest(F.lit(1), F.ceil(F.col("_n") * F.lit(fraction)))
+    order = [F.col(sim), F.col(key)]
+    placed = place(df, [], order)
+    totals = placed.agg(F.count(F.lit(1)).alias("n"), F.avg(sim).alias("mean"))
+    ranked = running(placed, [], order, [("_rank", "count", F.lit(1))]).drop(PLACEMENT)
+    ranked = ranked.withColumns({"_n": totals.select("n").scalar(), "mean_sim_all": totals.select("mean").scalar()})
     return (
-        ranked.filter(F.col("_rank") <= n_hard)
+        ranked.filter(F.col("_rank") <= F.greatest(F.lit(1), F.ceil(F.col("_n") * F.lit(fraction))))
         .withColumn("error_score", 1.0 - F.col(sim))
         .withColumn("rank_pct", F.col("_rank") / F.col("_n"))
         .withColumn("is_hard", F.lit(True))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from earmark.operators import ablation, filters
 from earmark.plans import standins as s
 from earmark.plans.registry import query, table
+from earmark.session import pin
 
 K = 10
 BY = ["dataset", "arm", "query_id"]
@@ -107,7 +108,7 @@ SELECT query_id, round(home_gold, 8) AS home_gold, round(mixed_gold, 8) AS mixed
 FROM d""")
 def domain_tradeoff_table(spark: SparkSession, folder: str) -> DataFrame:
     """Two training arms in the home domain and outside it, with the reading per tag."""
-    rows = s.metrics(spark, folder)
+    rows = pin(s.metrics(spark, folder))
     out = ablation.tradeoff_table(rows.filter(F.col("dataset") == "A"), rows, K, "home", "mixed")
     kept = ("home_gold", "mixed_gold", "gold_delta", "home_ood_macro", "mixed_ood_macro", "ood_delta", "pretrained_ood_macro")
     return _round(out, *kept).select("query_id", *kept, "interpretation")
@@ -135,7 +136,7 @@ per_query AS (SELECT qid AS query_id, CASE WHEN arm = 'pretrained' THEN 'pretrai
 
 def _per_query(spark: SparkSession, folder: str) -> DataFrame:
     """Data set and tag together name a query here, so that there are as many queries as such pairs."""
-    rows = s.metrics(spark, folder).withColumn("query_id", F.concat_ws("_", "dataset", "query_id"))
+    rows = pin(s.metrics(spark, folder)).withColumn("query_id", F.concat_ws("_", "dataset", "query_id"))
     return ablation.per_query_table(rows, K, "pretrained", "mixed")
 
 

@@ -202,11 +202,11 @@ def text_cleanup(spark: SparkSession, folder: str) -> DataFrame:
 @query("F9", sql="""
 SELECT event_id, round_even(least(1.0, greatest(0.0, coalesce(TRY_CAST(cell AS DOUBLE), 0.0))), 2) AS confidence
 FROM (SELECT event_id, CASE event_type WHEN 'view' THEN 'true' WHEN 'error' THEN '-0.5'
-             ELSE CAST(value / 300 AS VARCHAR) END AS cell FROM events)""")
+             ELSE CAST(value / 307 AS VARCHAR) END AS cell FROM events)""")
 def confidence_coercion(spark: SparkSession, folder: str) -> DataFrame:
     """Confidence cells as stored: limited and rounded half-even."""
     e = table(spark, folder, "events")
-    cell = F.when(F.col("event_type") == "view", "true").when(F.col("event_type") == "error", "-0.5").otherwise((F.col("value") / 300).cast("string"))
+    cell = F.when(F.col("event_type") == "view", "true").when(F.col("event_type") == "error", "-0.5").otherwise((F.col("value") / 307).cast("string"))
     return e.select("event_id", values.quantise_confidence(cell).alias("confidence"))
 
 
@@ -261,7 +261,7 @@ def legacy_record_upgrade(spark: SparkSession, folder: str) -> DataFrame:
 SELECT event_id, CASE WHEN event_type = 'click' THEN 'own key' ELSE 'key' || event_id END AS audio,
        CASE WHEN event_type IN ('click', 'view') THEN 'a "quoted" text' ELSE '' END AS text,
        CASE WHEN event_type = 'view' THEN 'calm' END AS mood,
-       CASE WHEN event_type IN ('click', 'view') THEN round_even(least(1.0, value / 300), 2) ELSE 0.0 END AS confidence
+       CASE WHEN event_type IN ('click', 'view') THEN round_even(least(1.0, value / 307), 2) ELSE 0.0 END AS confidence
 FROM events""")
 def model_response_parse(spark: SparkSession, folder: str) -> DataFrame:
     """Answers of a model: complete, without key, cut off, an array, and empty."""
@@ -269,7 +269,7 @@ def model_response_parse(spark: SparkSession, folder: str) -> DataFrame:
     kind = F.col("event_type")
     body = F.to_json(F.struct(
         F.when(kind == "click", "own key").alias("audio"), F.lit(' a "quoted" text ').alias("text"),
-        F.when(kind == "view", "calm").otherwise(" ").alias("mood"), (F.col("value") / 300).alias("confidence")))
+        F.when(kind == "view", "calm").otherwise(" ").alias("mood"), (F.col("value") / 307).alias("confidence")))
     raw = (
         F.when(kind.isin("click", "view"), body).when(kind == "signup", F.left(body, F.lit(12)))
         .when(kind == "error", F.concat(F.lit("["), body, F.lit("]"))).otherwise(F.lit("")))
@@ -309,12 +309,12 @@ def segment_plan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("F19", sql="""
-WITH o AS (SELECT o_orderkey, o_totalprice / 1000 AS d FROM orders),
+WITH o AS (SELECT o_orderkey, o_totalprice / 1009 AS d FROM orders),
 n AS (SELECT *, CAST(floor(d / 30) AS INTEGER) + CASE WHEN d - floor(d / 30) * 30 >= 10 THEN 1 ELSE 0 END AS n FROM o)
 SELECT o_orderkey, n AS n_clips, round(least(d, n * 30.0::DOUBLE), 3) AS last_end FROM n WHERE n > 0""")
 def segment_plan_custom(spark: SparkSession, folder: str) -> DataFrame:
     """Other clip length and tail limit, over all orders as durations."""
-    o = table(spark, folder, "orders").select("o_orderkey", (F.col("o_totalprice") / 1000).alias("d"))
+    o = table(spark, folder, "orders").select("o_orderkey", (F.col("o_totalprice") / 1009).alias("d"))
     planned = plan_segments(o, "d", step=30.0, min_tail=10.0)
     return planned.groupBy("o_orderkey").agg(F.count(F.lit(1)).cast("int").alias("n_clips"), F.max("end_sec").alias("last_end"))
 

@@ -115,7 +115,7 @@ def feature_cache_completion(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("S19", "P1", "P6", "V1", "X1", sql="WITH " + s.CATALOGUE + f""", t AS (SELECT audio, confidence, trim(text, E' \\t\\n\\r') || '. mood: ' || mood AS caption FROM catalogue WHERE confidence >= 0.35),
 v AS (SELECT audio, confidence, {_VEC.format('caption')} AS v FROM t)
-SELECT audio, confidence, 1.0::DOUBLE AS length, round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 5) AS first FROM v""")
+SELECT audio, confidence, 1.0::DOUBLE AS length, round(CAST(CAST(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))) AS FLOAT) AS DOUBLE), 5) AS first FROM v""")
 def embedding_table_build(spark: SparkSession, folder: str) -> DataFrame:
     """Filter, compose, encode, normalise and store, then read back."""
     path = scratch_path(spark, "index")

@@ -117,10 +117,9 @@ def hard_pair_mining(spark: SparkSession, folder: str) -> DataFrame:
     pairs = s.items(spark, folder).join(s.label_queries(spark, folder).select("label", "query_vec"), "label")
     sims = pairs.select(F.col("item_id").alias("vec_id"), F.round(cosine("item_vec", "query_vec"), 9).alias("sim"))
     hard = sampling.mine_hard(sims, "sim", "vec_id", 0.2)
-    mean_all = sims.agg(F.round(F.avg("sim"), 8).alias("m")).scalar()
     return hard.select(
         "vec_id", "sim", F.round("error_score", 9).alias("error_score"), F.round("rank_pct", 8).alias("rank_pct"),
-        mean_all.alias("mean_sim_all"))
+        F.round("mean_sim_all", 8).alias("mean_sim_all"))
 
 
 @query("W2", sql="""

@@ -13,6 +13,7 @@ from earmark.functions.vectors import cosine
 from earmark.operators import classification, evaluation, search
 from earmark.plans import standins as s
 from earmark.plans.registry import query, table
+from earmark.session import pin
 
 K = 10
 
@@ -175,9 +176,10 @@ def _prompt_sql(text: str) -> str:
 
 
 def _hashed_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Labelled documents as a stored embedding table: encoded once, then read by column."""
     rows = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id")
     flat = rows.select(F.col("doc_id").alias("item_id"), "text", "quality", "toxic", (F.col("n_chars") > 1000).cast("int").alias("long"))
-    return encode_column(flat, "text", "item_vec", hash_encoder())
+    return pin(encode_column(flat, "text", "item_vec", hash_encoder()).drop("text"))
 
 
 def _prompts(spark: SparkSession, folder: str, specs: list[tuple[str, str]]) -> DataFrame:
