@@ -41,7 +41,7 @@ def load_all() -> dict[str, Query]:
     """Import every query module, then return the registry."""
     from earmark.plans import (  # noqa: F401
         ablation_queries, column_queries, incremental_queries, merging_queries, run_queries, sampling_queries,
-        search_queries, source_queries,
+        search_queries, source_queries, workflow_queries,
     )
 
     return QUERIES
