@@ -133,9 +133,9 @@ def mine_hard(df: DataFrame, sim: str, key: str, fraction: float = 0.2) -> DataF
         raise ValueError("fraction must be in (0, 1]")
     order = [F.col(sim), F.col(key)]
     placed = place(df, [], order)
-    totals = placed.agg(F.count(F.lit(1)).alias("n"), F.avg(sim).alias("mean"))
+    totals = placed.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg(sim).alias("mean"))).scalar()
     ranked = running(placed, [], order, [("_rank", "count", F.lit(1))]).drop(PLACEMENT)
-    ranked = ranked.withColumns({"_n": totals.select("n").scalar(), "mean_sim_all": totals.select("mean").scalar()})
+    ranked = ranked.withColumns({"_n": totals["n"], "mean_sim_all": totals["mean"]})
     return (
         ranked.filter(F.col("_rank") <= F.greatest(F.lit(1), F.ceil(F.col("_n") * F.lit(fraction))))
         .withColumn("error_score", 1.0 - F.col(sim))

@@ -31,10 +31,8 @@ FROM c""")
 def confidence_routing(spark: SparkSession, folder: str) -> DataFrame:
     """Route of every record, with the route counts."""
     rows = s.catalogue(spark, folder).withColumn("confidence", F.when(F.col("mood") != "de", F.col("confidence")))
-    counts = filters.route_counts(rows)
-    return rows.select(
-        "doc_id", filters.confidence_band("confidence").alias("band"), counts.select("n_review").scalar().alias("n_review"),
-        counts.select("total").scalar().alias("total"))
+    counts = filters.route_counts(rows).select(F.struct("n_review", "total")).scalar()
+    return rows.select("doc_id", filters.confidence_band("confidence").alias("band"), counts["n_review"].alias("n_review"), counts["total"].alias("total"))
 
 
 @query("P3", "U3", sql="WITH " + s.CATALOGUE + """,

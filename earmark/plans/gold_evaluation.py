@@ -64,11 +64,10 @@ def gold_matrix(index: DataFrame, gold: DataFrame, queries: DataFrame, encode: E
         return matrix
     songs = pool.select("basename", "tempo", "tempo_predicted").dropDuplicates(["basename"])
     confusion = confusion_counts(songs, "tempo", "tempo_predicted", TEMPO_LABELS)
-    overall = class_metrics(confusion).agg(
-        F.max("accuracy").alias("accuracy"), F.max("macro_f1").alias("macro_f1"), F.sum("support").alias("n"))
+    overall = class_metrics(confusion).agg(F.struct(
+        F.max("accuracy").alias("accuracy"), F.max("macro_f1").alias("macro_f1"), F.sum("support").alias("n"))).scalar()
     return matrix.withColumns({
-        "tempo_accuracy": overall.select("accuracy").scalar(), "tempo_macro_f1": overall.select("macro_f1").scalar(),
-        "tempo_n_songs": overall.select("n").scalar()})
+        "tempo_accuracy": overall["accuracy"], "tempo_macro_f1": overall["macro_f1"], "tempo_n_songs": overall["n"]})
 
 
 def skipped_queries(queries: DataFrame, labels: Sequence[str] = LABEL_COLUMNS) -> DataFrame:

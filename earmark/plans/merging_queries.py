@@ -230,9 +230,8 @@ def file_resolution(spark: SparkSession, folder: str) -> DataFrame:
         labels.select(F.concat(F.lit("/b/"), "doc_id").alias("path"), F.col("toxic").alias("length")))
     candidates = F.array(F.concat(F.lit("/a/"), "doc_id"), F.concat(F.lit("/b/"), "doc_id"))
     resolved = merging.resolve_files(manifest, candidates, inventory, "doc_id")
-    ready = merging.readiness(resolved)
-    return resolved.select(
-        "doc_id", "audio_path", ready.select("n_audio_ready").scalar().alias("n_audio_ready"), ready.select("prep_state").scalar().alias("prep_state"))
+    ready = merging.readiness(resolved).select(F.struct("n_audio_ready", "prep_state")).scalar()
+    return resolved.select("doc_id", "audio_path", ready["n_audio_ready"].alias("n_audio_ready"), ready["prep_state"].alias("prep_state"))
 
 
 @query("A1", sql="WITH " + s.CLIPS + """

@@ -11,7 +11,7 @@ from earmark.session import build_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = build_session(
-        "earmark-tests", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
+        "earmark-tests", "local[8]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false", spark__driver__memory="6g")
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -33,8 +33,7 @@ def test_scan_is_exact(spark, vectors, metric):
     assert got == brute(*vectors, 7, metric)
 
 
-@pytest.mark.parametrize("metric", ["cosine", "l2"])
-@pytest.mark.parametrize("k", [1, 7, 250])
+@pytest.mark.parametrize(("metric", "k"), [("cosine", 7), ("cosine", 250), ("l2", 7)])
 def test_partitioned_route_is_exact(spark, vectors, metric, k, monkeypatch):
     monkeypatch.setattr(search, "MAX_BROADCAST_QUERIES", 10)
     monkeypatch.setattr(search, "UNIT_ITEMS", 40)
