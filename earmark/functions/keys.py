@@ -80,5 +80,6 @@ def file_suffix(value: Column | str) -> Column:
 
 
 def seeded_hash(seed: int, key: Column | str) -> Column:
-    """Hex digest that orders keys pseudo-randomly, the same on any partitioning."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), as_col(key).cast("string")).cast("binary"))
+    """Hex digest that orders keys pseudo-randomly, the same on any partitioning. A null key has a digest, too."""
+    text = F.coalesce(as_col(key).cast("string"), F.lit("\0"))
+    return F.md5(F.concat(F.lit(f"{seed}:"), text).cast("binary"))

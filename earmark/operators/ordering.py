@@ -16,16 +16,32 @@ from earmark.functions.keys import as_col, seeded_hash
 from earmark.session import pin
 
 PLACEMENT = "_placement"
+# Number of range placements; None lets adaptive execution size them.
+PLACEMENTS: int | None = None
 # Largest n for which ORDER BY ... LIMIT n keeps its heap in one task.
 LIMIT_IN_ONE_TASK = 10_000
 
 _AGGREGATES = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Equi-join in which null keys match each other, so that rows with a null key are kept."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & left[k].eqNullSafe(renamed[f"_r_{k}"])
+    return left.join(renamed, condition).drop(*[f"_r_{k}" for k in keys])
+
+
 def place(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], partitions: int | None = None) -> DataFrame:
-    """Range-partition by (keys, order) and record each row's placement number durably."""
-    partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(partitions, *[F.col(k) for k in keys], *order)
+    """Range-partition by (keys, order) and record each row's placement number durably.
+
+    Without a number of partitions, adaptive execution merges small neighbouring ranges; their numbers stay in
+    range order.
+    """
+    partitions = partitions or PLACEMENTS
+    by = [*[F.col(k) for k in keys], *order]
+    ranged = df.repartitionByRange(partitions, *by) if partitions else df.repartitionByRange(*by)
     return pin(ranged.withColumn(PLACEMENT, F.spark_partition_id()))
 
 
@@ -52,7 +68,7 @@ def running(
     )
     local_window = Window.partitionBy(*block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     local = placed.select("*", *[_AGGREGATES[kind](value).over(local_window).alias(f"_local_{name}") for name, kind, value in specs])
-    joined = local.join(carries, block)
+    joined = join_null_safe(local, carries, block)
     combined = []
     for name, kind, _ in specs:
         here, before = F.col(f"_local_{name}"), F.col(f"_carry_{name}")
@@ -79,7 +95,7 @@ def with_position(
     out = running(placed, keys, order, [(position, "count", F.lit(1))])
     if size is not None:
         sizes = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias(size))
-        out = out.join(sizes, list(keys)) if keys else out.withColumn(size, sizes.scalar())
+        out = join_null_safe(out, sizes, keys) if keys else out.withColumn(size, sizes.scalar())
     return out if keep_placement else out.drop(PLACEMENT)
 
 

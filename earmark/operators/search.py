@@ -24,6 +24,8 @@ MAX_BROADCAST_BYTES = 64 << 20
 # Largest result (queries times k) that joins may broadcast.
 MAX_BROADCAST_RESULTS = 200_000
 SCORE_DECIMALS = 9
+# Scores a task holds at a time (8 bytes each).
+SCORES_IN_MEMORY = 4_000_000
 
 
 def vector_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -67,6 +69,24 @@ def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np
     return ids[order], scores[order]
 
 
+def best_rows_of(
+    queries: np.ndarray, pool: np.ndarray, ids: np.ndarray, k: int, metric: str, floor: np.ndarray | None = None
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query number, ids, scores) of the best ``k`` of a batch, scored in slices of bounded memory.
+
+    Queries whose ``floor`` no row of the batch reaches are left out.
+    """
+    step = max(1, SCORES_IN_MEMORY // max(len(ids), 1))
+    for start in range(0, len(queries), step):
+        scores = score_matrix(queries[start : start + step], pool, metric)
+        for q, row in enumerate(scores, start):
+            if floor is None:
+                yield q, *best_of(row, ids, k)
+            elif row.max(initial=-np.inf) >= floor[q]:
+                near = row >= floor[q]
+                yield q, *best_of(row[near], ids[near], k)
+
+
 def _bounded_rows(queries: DataFrame, id_col: str, vec_col: str) -> tuple[list, np.ndarray] | None:
     """Query ids and vectors on the driver if the set is within both bounds, else None."""
     rows = queries.select(id_col, vec_col).limit(MAX_BROADCAST_QUERIES + 1).collect()
@@ -110,8 +130,9 @@ def score_pool(
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            scores = score_matrix(matrix, vector_matrix(batch.column(1)), metric)
-            for qid, row in zip(ids, scores, strict=True):
+            pool_matrix = vector_matrix(batch.column(1))
+            for qid, query in zip(ids, matrix, strict=True):
+                row = score_matrix(query[None, :], pool_matrix, metric)[0]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([qid] * batch.num_rows, arrow.field(0).type), batch.column(0), pa.array(row)], schema=arrow
                 )
@@ -157,10 +178,7 @@ def _scanner(ids: list, matrix: np.ndarray, k: int, metric: str, arrow: pa.Schem
             if batch.num_rows == 0 or not ids:
                 continue
             item_ids = batch.column(0).to_numpy(zero_copy_only=False)
-            scores = score_matrix(matrix, vector_matrix(batch.column(1)), metric)
-            for q in np.flatnonzero(scores.max(axis=1) >= floor):
-                near = scores[q] >= floor[q]
-                top_ids, top_scores = best_of(scores[q][near], item_ids[near], k)
+            for q, top_ids, top_scores in best_rows_of(matrix, vector_matrix(batch.column(1)), item_ids, k, metric, floor):
                 if best[q] is not None:
                     top_ids, top_scores = best_of(
                         np.concatenate([best[q][1], top_scores]), np.concatenate([best[q][0], top_ids]), k
@@ -297,12 +315,11 @@ def _search_units(visits: DataFrame, items: DataFrame, k: int, metric: str, sche
         if left.num_rows == 0 or right.num_rows == 0:
             return arrow.empty_table()
         ids = right.column("id").combine_chunks().to_numpy(zero_copy_only=False)
-        scores = score_matrix(vector_matrix(left.column("vec")), vector_matrix(right.column("vec")), metric)
-        found = [best_of(row, ids, k) for row in scores]
-        query_ids = np.repeat(left.column("id").combine_chunks().to_numpy(zero_copy_only=False), [len(f[0]) for f in found])
+        found = list(best_rows_of(vector_matrix(left.column("vec")), vector_matrix(right.column("vec")), ids, k, metric))
+        query_ids = np.repeat(left.column("id").combine_chunks().to_numpy(zero_copy_only=False), [len(f[1]) for f in found])
         return pa.table(
-            [pa.array(query_ids, arrow.field(0).type), pa.array(np.concatenate([f[0] for f in found]), arrow.field(1).type),
-             pa.array(np.concatenate([f[1] for f in found]))],
+            [pa.array(query_ids, arrow.field(0).type), pa.array(np.concatenate([f[1] for f in found]), arrow.field(1).type),
+             pa.array(np.concatenate([f[2] for f in found]))],
             schema=arrow,
         )
 

@@ -25,6 +25,14 @@ def file_inventory(spark: SparkSession, path: str, relative_to: str | None = Non
     return files.select(name.alias("path"), "length", F.col("modificationTime").alias("modified"))
 
 
+def read_logs(spark: SparkSession, path: str, prefix: str = "slurm-") -> DataFrame:
+    """Whole log files, one per row: job_id (file name without prefix and suffix), path, modified, value."""
+    name = F.substring_index("path", "/", -1)
+    logs = spark.read.text(path, wholetext=True).select(
+        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"))
+    return logs.withColumn("job_id", F.replace(F.regexp_replace(name, r"\.[^.]*$", ""), F.lit(prefix), F.lit("")))
+
+
 def _quoted(text: str) -> str:
     return "\\Q" + text + "\\E"
 

@@ -6,6 +6,20 @@ from earmark.functions.keys import seeded_hash
 from earmark.operators import ordering, sampling
 
 
+@pytest.fixture(autouse=True)
+def several_placements(monkeypatch):
+    monkeypatch.setattr(ordering, "PLACEMENTS", 8)
+
+
+def test_adaptive_placements_stay_in_order(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "PLACEMENTS", None)
+    df = spark.range(0, 400_000, 1, 16).select(F.sha2(F.col("id").cast("string"), 512).alias("h"), "id")
+    bounds = ordering.place(df, [], ["h"]).groupBy(ordering.PLACEMENT).agg(F.min("h").alias("lo"), F.max("h").alias("hi")).orderBy(ordering.PLACEMENT).collect()
+    assert all(a["hi"] < b["lo"] for a, b in zip(bounds, bounds[1:], strict=False))
+    got = ordering.with_position(df, [], ["h"], "pos").orderBy("h").select("pos").toPandas()["pos"]
+    assert got.tolist() == list(range(1, 400_001))
+
+
 @pytest.fixture(scope="module")
 def skewed(spark):
     """A third of all rows has one key; values repeat heavily."""
@@ -154,3 +168,11 @@ def test_cap_per_tag(spark):
     out = sampling.cap_per_tag(df, "id", {"a": F.col("a"), "b": F.col("b")}, 30, seed=5)
     order = [r["id"] for r in df.filter("a").orderBy(seeded_hash(5, "id")).limit(30).collect()]
     assert {r["id"] for r in out.collect()} == set(order) | {r["id"] for r in df.filter("b").collect()}
+
+
+def test_null_keys_are_kept(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "key STRING, id INT")
+    got = {(r["key"], r["id"]): (r["pos"], r["n"]) for r in ordering.with_position(df, ["key"], ["id"], "pos", size="n").collect()}
+    assert got == {(None, 1): (1, 2), (None, 2): (2, 2), ("a", 3): (1, 1)}
+    flagged = sampling.group_split(df, "key", 0.5)
+    assert flagged.filter("is_val IS NULL").count() == 0

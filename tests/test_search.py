@@ -126,3 +126,11 @@ def test_label_positives_rules(spark):
 def test_prefix_queries():
     specs = evaluation.prefix_queries([("t1", "piano"), ("t2", "vocal")])
     assert [(q, n, p) for q, n, p, _ in specs] == [("t1", 1, "piano"), ("t1;t2", 2, "piano vocal")]
+
+
+def test_memory_slices_do_not_change_results(spark, vectors, monkeypatch):
+    queries, pool = vectors
+    whole = list(search.best_rows_of(queries, pool, np.arange(len(pool)), 5, "cosine"))
+    monkeypatch.setattr(search, "SCORES_IN_MEMORY", 1300)
+    sliced = list(search.best_rows_of(queries, pool, np.arange(len(pool)), 5, "cosine"))
+    assert [(q, i.tolist()) for q, i, _ in whole] == [(q, i.tolist()) for q, i, _ in sliced]

@@ -145,3 +145,9 @@ def test_null_fields_are_written(spark, tmp_path):
     jsonl.write_jsonl(spark.range(1).select("id", F.lit(None).cast("string").alias("mood")), str(tmp_path / "n"))
     line = next(p for p in (tmp_path / "n").glob("part-*") if p.stat().st_size).read_text().strip()
     assert json.loads(line) == {"id": 0, "mood": None}
+
+
+def test_logs(spark, tmp_path):
+    write(tmp_path / "slurm-77.out", "a\nDone.\n")
+    row = stores.read_logs(spark, str(tmp_path)).first()
+    assert row["job_id"] == "77" and row["value"] == "a\nDone.\n"
