@@ -48,7 +48,7 @@ def unit_rows(matrix: np.ndarray) -> np.ndarray:
 
 
 def score_matrix(queries: np.ndarray, pool: np.ndarray, metric: str) -> np.ndarray:
-    """Scores, larger is better: inner product, cosine, or negative squared distance."""
+    """Scores, larger is better: inner product, cosine, or negative squared distance. Undefined scores rank last."""
     if metric == "l2":
         squares = (queries**2).sum(axis=1)[:, None] + (pool**2).sum(axis=1)[None, :]
         raw = -np.maximum(squares - 2.0 * (queries @ pool.T), 0.0)
@@ -56,7 +56,7 @@ def score_matrix(queries: np.ndarray, pool: np.ndarray, metric: str) -> np.ndarr
         raw = unit_rows(queries) @ unit_rows(pool).T
     else:
         raw = queries @ pool.T
-    return np.round(raw, SCORE_DECIMALS) + 0.0
+    return np.round(np.where(np.isnan(raw), -np.inf, raw), SCORE_DECIMALS) + 0.0
 
 
 def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -282,7 +282,7 @@ def _partitioned_top_k(queries: DataFrame, pool: DataFrame, k: int, metric: str,
 
     qtype = queries.schema[0].dataType.simpleString()
     visit_schema = f"id {qtype}, vec array<double>, cell int"
-    asked = placed(queries).select("id", "vec")
+    asked = pin(placed(queries).select("id", "vec"))
     home = asked.mapInArrow(visited(False), visit_schema).withColumn("unit", F.lit(0))
     first = _search_units(home, items, k, metric, schema)
     # Scores are rounded, so the bound allows for the rounding step.

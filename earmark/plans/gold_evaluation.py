@@ -57,9 +57,9 @@ def gold_matrix(index: DataFrame, gold: DataFrame, queries: DataFrame, encode: E
     """
     gold_rows = gold_by_basename(gold, labels, order)
     pool = gold_pool(index, gold_rows)
-    prompts = encode(prompt_table(queries, labels, with_tempo_queries), "query_text", "query_vec")
-    ranked = top_k(prompts, pool, max(ks))
-    matrix = metric_matrix(prompts.select("query_id", "query_text"), ranked, pool_positives(pool, labels), pool, ks)
+    prompts = prompt_table(queries, labels, with_tempo_queries)
+    ranked = top_k(encode(prompts, "query_text", "query_vec"), pool, max(ks))
+    matrix = metric_matrix(prompts, ranked, pool_positives(pool, labels), pool, ks)
     if not with_tempo_metrics:
         return matrix
     songs = pool.select("basename", "tempo", "tempo_predicted").dropDuplicates(["basename"])

@@ -182,9 +182,8 @@ def _hashed_documents(spark: SparkSession, folder: str) -> DataFrame:
     return pin(encode_column(flat, "text", "item_vec", hash_encoder()).drop("text"))
 
 
-def _prompts(spark: SparkSession, folder: str, specs: list[tuple[str, str]]) -> DataFrame:
-    rows = spark.createDataFrame(specs, "query_id STRING, query_text STRING")
-    return encode_column(rows, "query_text", "query_vec", hash_encoder())
+def _prompts(spark: SparkSession, specs: list[tuple[str, str]]) -> DataFrame:
+    return spark.createDataFrame(specs, "query_id STRING, query_text STRING")
 
 
 _METRIC_SQL = """, s AS (
@@ -199,9 +198,9 @@ i AS (SELECT *, coalesce((SELECT sum(1 / log2(j + 1)) FROM range(1, 11) t(j) WHE
 SELECT query_id, n_pool, n_positive, round(hits / k_eff, 8) AS precision_at_k, round(CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END, 8) AS ndcg_at_k FROM i"""
 
 
-def _matrix(queries: DataFrame, pool: DataFrame, positives: DataFrame) -> DataFrame:
-    ranked = search.top_k(queries, pool, K)
-    rows = evaluation.metric_matrix(queries.select("query_id"), ranked, positives, pool, [K])
+def _matrix(prompts: DataFrame, pool: DataFrame, positives: DataFrame) -> DataFrame:
+    ranked = search.top_k(encode_column(prompts, "query_text", "query_vec", hash_encoder()), pool, K)
+    rows = evaluation.metric_matrix(prompts.select("query_id"), ranked, positives, pool, [K])
     return rows.select("query_id", "n_pool", "n_positive", F.round("precision_at_k", 8).alias("precision_at_k"), F.round("ndcg_at_k", 8).alias("ndcg_at_k"))
 
 
@@ -211,7 +210,7 @@ def public_label_matrix(spark: SparkSession, folder: str) -> DataFrame:
     """Prompt queries over encoded documents, one label column each."""
     pool = _hashed_documents(spark, folder)
     positives = evaluation.label_positives(pool, "item_id", ["quality", "toxic"])
-    return _matrix(_prompts(spark, folder, [("quality", "piano"), ("toxic", "vocal")]), pool.select("item_id", "item_vec"), positives)
+    return _matrix(_prompts(spark, [("quality", "piano"), ("toxic", "vocal")]), pool.select("item_id", "item_vec"), positives)
 
 
 @query("V11", "P5", sql="WITH " + _HASHED + f""", q AS (
@@ -224,7 +223,7 @@ def composite_query_matrix(spark: SparkSession, folder: str) -> DataFrame:
     tags = spark.createDataFrame([(q, ids) for q, _, _, ids in specs], "query_id STRING, tag_ids ARRAY<STRING>")
     labels = pool.withColumn("labels", F.create_map(*[x for c in ("quality", "toxic", "long") for x in (F.lit(c), F.col(c))]))
     positives = evaluation.composite_positives(labels, "item_id", "labels", tags)
-    return _matrix(_prompts(spark, folder, [(q, phrase) for q, _, phrase, _ in specs]), pool.select("item_id", "item_vec"), positives)
+    return _matrix(_prompts(spark, [(q, phrase) for q, _, phrase, _ in specs]), pool.select("item_id", "item_vec"), positives)
 
 
 @query("V9", "S12", sql="""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from earmark.constants import DEFAULT_QUERIES
 from earmark.functions.keys import blank_to_null, resolve_path, strip
+from earmark.operators.ordering import smallest
 from earmark.schemas import QUERY_SET
 
 CORRUPT = "_corrupt_record"
@@ -47,7 +48,7 @@ def usable_manifest(
 ) -> DataFrame:
     """Manifest rows with a key: the key resolved, blank text replaced by 'None'.
 
-    ``inventory`` (path) keeps rows whose file exists. ``max_rows`` is the reference's explicit row limit, taken in
+    ``inventory`` (path) keeps rows whose file exists. ``max_rows`` is an explicit row limit for trial runs, taken in
     key order so that it always gives the same rows.
     """
     rows = rows.filter(blank_to_null(key).isNotNull())
@@ -56,7 +57,7 @@ def usable_manifest(
     rows = rows.withColumn("text", F.coalesce(blank_to_null("text"), F.lit("None")))
     if inventory is not None:
         rows = rows.join(inventory.select(F.col("path").alias(key)).distinct(), key, "left_semi")
-    return rows.orderBy(key).limit(max_rows) if max_rows is not None else rows
+    return smallest(rows, [key], max_rows) if max_rows is not None else rows
 
 
 def require_rows(df: DataFrame, what: str) -> DataFrame:

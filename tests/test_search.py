@@ -134,3 +134,9 @@ def test_memory_slices_do_not_change_results(spark, vectors, monkeypatch):
     monkeypatch.setattr(search, "SCORES_IN_MEMORY", 1300)
     sliced = list(search.best_rows_of(queries, pool, np.arange(len(pool)), 5, "cosine"))
     assert [(q, i.tolist()) for q, i, _ in whole] == [(q, i.tolist()) for q, i, _ in sliced]
+
+
+def test_undefined_scores_do_not_hide_others(spark):
+    p = spark.createDataFrame([(1, [float("nan"), 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, [-1.0, 0.0])], "item_id BIGINT, item_vec ARRAY<DOUBLE>").coalesce(1)
+    q = spark.createDataFrame([(0, [1.0, 0.0])], "query_id BIGINT, query_vec ARRAY<DOUBLE>")
+    assert [r["item_id"] for r in search.top_k(q, p, 3).orderBy("rank").collect()] == [2, 3, 4]

@@ -151,3 +151,12 @@ def test_logs(spark, tmp_path):
     write(tmp_path / "slurm-77.out", "a\nDone.\n")
     row = stores.read_logs(spark, str(tmp_path)).first()
     assert row["job_id"] == "77" and row["value"] == "a\nDone.\n"
+
+
+def test_schemas_are_valid():
+    from pyspark.sql.types import StructType
+
+    from earmark import schemas
+
+    for name in (n for n in dir(schemas) if n.isupper()):
+        assert len(StructType.fromDDL(getattr(schemas, name)).fields) > 0
