@@ -169,7 +169,7 @@ def mix(
     where = blocks.alias("b").join(per_source.alias("n"), F.col("b.source").eqNullSafe(F.col("n.source"))).join(
         quotas.alias("q"), F.col("b.source").eqNullSafe(F.col("q.source")))
     draws = F.sequence(F.lit(0).cast("bigint"), F.col("b.passes"))
-    block_shards = F.transform(draws, lambda p: F.filter("q.ends", lambda e: e["last"] > p * F.col("n.blocks") + F.col("b.place"))[0]["shard"])
+    block_shards = F.transform(draws, lambda p: F.get(F.filter("q.ends", lambda e: e["last"] > p * F.col("n.blocks") + F.col("b.place")), F.lit(0))["shard"])
     where = pin(where.select("b.source", "b.block", block_shards.alias("block_shards")), "shards")
     same = F.col("u.source").eqNullSafe(F.col("w.source")) & (F.col("u.block") == F.col("w.block"))
     total = F.col("s.source").eqNullSafe(F.col("u.source"))
