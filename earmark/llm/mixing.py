@@ -145,10 +145,15 @@ def plan_mix(
     placed = units.alias("u").join(
         blocks.alias("b"), F.col("u.source").eqNullSafe(F.col("b.source")) & (F.col("u.block") == F.col("b.block"))
     ).select("u.*", "b.passes", "b.room", "b.whole", "b.cut")
-    in_block = Window.partitionBy("source", "block").orderBy("order", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     words = F.col("size") * F.col("rows")
-    cut = placed.filter("cut").withColumn("ahead", F.coalesce(F.sum(words).over(in_block), F.lit(0)))
-    cut = cut.withColumn("extra", (F.col("ahead") + words / 2 <= F.col("room")).cast("long"))
+    block = Window.partitionBy("source", "block")
+    # In the block where the room ends: documents in order while they fit, then the one that comes nearest to what is left.
+    cut = placed.filter("cut").withColumn("through", F.sum(words).over(block.orderBy("order", "id", "size").rowsBetween(Window.unboundedPreceding, 0)))
+    cut = cut.withColumn("fits", F.col("through") <= F.col("room"))
+    cut = cut.withColumn("gap", F.col("room") - F.coalesce(F.sum(F.when(F.col("fits"), words)).over(block), F.lit(0)))
+    off = F.abs(F.col("gap") - words)
+    nearest = F.row_number().over(block.orderBy(F.col("fits"), off, "order", "id", "size")) == 1
+    cut = cut.withColumn("extra", (F.col("fits") | nearest & (off < F.col("gap"))).cast("long"))
     rest = placed.filter(~F.col("cut")).withColumn("extra", F.col("whole").cast("long"))
     columns = ["id", "source", "size", "rows", "block", "order", (F.col("passes") + F.col("extra")).alias("copies"), "passes", "extra"]
     return cut.select(*columns).unionByName(rest.select(*columns)), blocks, sources
