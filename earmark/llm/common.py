@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from earmark.session import pin, shared_dir  # noqa: F401
@@ -36,16 +36,26 @@ def remainder(key: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(modulus))
 
 
+def keyed_texts(df: DataFrame, *columns: str) -> DataFrame:
+    """:func:`keyed` for rows that go to Python. Texts can be long, so the session's Arrow batches are held to ``BATCH`` rows."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(setting)) <= BATCH:
+        df.sparkSession.conf.set(setting, str(BATCH))
+    return keyed(df, *columns)
+
+
 def keyed(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, as _c0, _c1, ...: other columns of any name can't clash with an operator's own."""
     return df.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(columns)])
 
 
-def pieces(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
+#: Rows of a batch that are Python objects at once.
+ROWS = 256
+BATCH = 1024
+
+
+def pieces(batch: pa.RecordBatch, rows: int = ROWS) -> Iterator[pa.RecordBatch]:
     """A batch in slices, so that Python objects exist for few rows at a time."""
     for start in range(0, batch.num_rows, rows):
         yield batch.slice(start, rows)
 
-
-def rows_per_batch(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earmark.llm.common import keyed, pieces, raw_texts
+from earmark.llm.common import keyed, keyed_texts, pieces, raw_texts
 
 SHINGLE = 5
 OVERLAP = 0.8
@@ -228,7 +228,7 @@ def contaminated(
         raise ValueError("overlap must be over 0 and 1 at most")
     spark, schema = docs.sparkSession, "id long, item_id long, overlap double, answer_overlap double, score double, at_word long"
     items = keyed(benchmark, item, question, *([answer] if answer else [])) if answer else keyed(benchmark, item, question).withColumn("_c2", F.lit(None).cast("string"))
-    rows = keyed(docs, key, text)
+    rows = keyed_texts(docs, key, text)
     out = None
     for block in _item_blocks(items):
         shared = spark.sparkContext.broadcast(Index.build(block, overlap))

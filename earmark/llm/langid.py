@@ -14,23 +14,23 @@ import re
 from collections import Counter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from earmark.llm.common import keyed
+from earmark.llm.common import ROWS, keyed_texts, pin
 
 UNDETERMINED = "und"
 MAX_N = 4
 #: Training texts drawn for each language, by a hash of the text (a text is in or out whatever its neighbours).
 TEXTS_PER_LANGUAGE = 3000
 #: Most frequent words, and n-grams of each length, that are kept for a language.
-WORDS_PER_LANGUAGE = 30_000
-GRAMS_PER_LANGUAGE = 15_000
+WORDS_PER_LANGUAGE = 20_000
+GRAMS_PER_LANGUAGE = 10_000
 #: log10 frequency of what a language has never had.
 FLOOR = -7.0
 _LETTERS = re.compile(r"[^\W\d_]+")
-_MEMO = 100_000
+_MEMO = 30_000
 
 
 class LanguageModel:
@@ -96,12 +96,13 @@ def fit(docs: DataFrame, text: str, lang: str, texts_per_language: int = TEXTS_P
 
     Words and n-grams are counted by Spark. What reaches the driver is bounded by the kept words and n-grams of a language.
     """
-    rows = keyed(docs, text, lang).filter(F.col("_c0").isNotNull() & F.col("_c1").isNotNull())
-    sizes = rows.groupBy("_c1").agg(F.count(F.lit(1)).alias("n"))
+    rows = keyed_texts(docs, text, lang).filter(F.col("_c0").isNotNull() & F.col("_c1").isNotNull())
+    # Written first, so that Spark knows how small the table is and needn't shuffle the texts for the join.
+    sizes = pin(rows.groupBy("_c1").agg(F.count(F.lit(1)).alias("n")), "languages")
     draw = F.pmod(F.xxhash64("_c0"), F.lit(1_000_000)) * F.col("n") < F.lit(1_000_000 * texts_per_language)
     drawn = rows.join(sizes, "_c1").filter(draw)
     found = drawn.select(F.col("_c1").alias("lang"), F.explode(F.regexp_extract_all(F.lower("_c0"), F.lit(r"(\p{L}+)"), 1)).alias("part"))
-    counted = found.groupBy("lang", "part").agg(F.count(F.lit(1)).alias("n"))
+    counted = pin(found.groupBy("lang", "part").agg(F.count(F.lit(1)).alias("n")), "words")
     padded = F.concat(F.lit(" "), "part", F.lit(" "))
     grams = [
         counted.select("lang", F.lit(n).alias("size"), "n", F.explode(F.transform(
@@ -123,7 +124,7 @@ def fit(docs: DataFrame, text: str, lang: str, texts_per_language: int = TEXTS_P
     places: dict[tuple[int, str], int] = {}
     for size, part in zip(kept["size"], kept["part"]):
         known[size][part] = places.setdefault((size, part), len(places))
-    table = np.full((len(places), len(languages)), FLOOR)
+    table = np.full((len(places), len(languages)), FLOOR, np.float32)
     for name, size, part, score in zip(kept["lang"], kept["size"], kept["part"], kept["score"]):
         table[places[size, part], at_language[name]] = max(score, FLOOR)
     return LanguageModel(languages, known[0], known[1:], table)
@@ -133,9 +134,10 @@ def prediction(model: LanguageModel, text: Column, spark) -> Column:
     """Struct (lang, score) for each text."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([shared.value.predict(x) for x in texts], columns=["lang", "score"])
+    @F.arrow_udf("struct<lang: string, score: double>")
+    def predict(texts: pa.Array) -> pa.Array:
+        told = [shared.value.predict(x) for start in range(0, len(texts), ROWS) for x in texts.slice(start, ROWS).to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([t[0] for t in told], pa.string()), pa.array([t[1] for t in told], pa.float64())], names=["lang", "score"])
 
     return predict(text)
 

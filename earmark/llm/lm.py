@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earmark.llm.common import keyed, pieces, pin, raw_texts, words
+from earmark.llm.common import keyed_texts, pieces, pin, raw_texts, words
 
 GROWTH = 1.25
 BITS = 12
@@ -231,7 +231,7 @@ class Model:
 
 def train(texts: DataFrame, text: str = "text", most_bytes: int = MOST_BYTES, frequent: int = FREQUENT) -> Model:
     """Count words and pairs of all rows and build the filters."""
-    rows = keyed(texts, text)
+    rows = keyed_texts(texts, text)
     counts = pin(rows.mapInArrow(lambda b: _count(b, None), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "words")
     level = F.lit(0)
     for edge in EDGES[EDGES <= 1 << 48].tolist():
@@ -274,7 +274,7 @@ def train(texts: DataFrame, text: str = "text", most_bytes: int = MOST_BYTES, fr
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_tokens, n_known, base_score, score of each row."""
     spark = docs.sparkSession
-    rows = keyed(docs, key, text).withColumn("tag", F.xxhash64("_c1"))
+    rows = keyed_texts(docs, key, text).withColumn("tag", F.xxhash64("_c1"))
     total, distinct, once, followers = model.total, model.distinct, model.once, model.followers
     whole = float(total + distinct + 1)
     small = spark.sparkContext.broadcast((model.unigrams, *model.frequent))

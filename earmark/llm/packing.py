@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from earmark.llm.common import keyed, pieces
+from earmark.llm.common import keyed_texts, pieces
 
 LENGTH = 2048
 BUFFER = 1 << 20
@@ -170,4 +170,4 @@ def pack(
         if packer.n:
             yield from packer.flush()
 
-    return keyed(docs, key, text).mapInArrow(run, SCHEMA)
+    return keyed_texts(docs, key, text).mapInArrow(run, SCHEMA)

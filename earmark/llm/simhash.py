@@ -18,13 +18,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from earmark.llm.common import keyed, pin, words
+from earmark.llm.common import ROWS, keyed_texts, pin, raw_texts, words
 from earmark.llm.components import components
 
 BITS = 64
@@ -57,10 +56,10 @@ def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
 def fingerprints(text: Column, shingle: int = SHINGLE) -> Column:
     """The fingerprint as a signed long."""
 
-    @F.pandas_udf("long")
-    def make(texts: pd.Series) -> pd.Series:
-        made = np.fromiter((fingerprint(x.encode() if x else b"", shingle) for x in texts), np.uint64, len(texts))
-        return pd.Series(made.view(np.int64))
+    @F.arrow_udf("long")
+    def make(texts: pa.Array) -> pa.Array:
+        made = (fingerprint(raw, shingle) for start in range(0, len(texts), ROWS) for raw in raw_texts(texts.slice(start, ROWS)))
+        return pa.array(np.fromiter(made, np.uint64, len(texts)).view(np.int64))
 
     return make(text)
 
@@ -179,13 +178,14 @@ def near_pairs(distinct: DataFrame, budget: int = BUDGET, cell: int = CELL) -> D
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", budget: int = BUDGET, shingle: int = SHINGLE) -> DataFrame:
-    """One row per row of ``docs``: id, fp (long), component_id (smallest id linked to it directly or not, its own included).
+    """One row per row of ``docs``: id, fp (long), component_id (smallest id linked to it directly or not, its own included), root
+    (smallest fingerprint of the component).
 
     Two documents are linked if their fingerprints differ in ``budget`` bits at most.
     """
-    rows = pin(keyed(docs, key, text).select(F.col("_c0").alias("id"), fingerprints(F.col("_c1"), shingle).alias("fp")), "fingerprints")
+    rows = pin(keyed_texts(docs, key, text).select(F.col("_c0").alias("id"), fingerprints(F.col("_c1"), shingle).alias("fp")), "fingerprints")
     distinct = pin(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     rooted = components(near_pairs(distinct.select("fp"), budget))
     root = distinct.join(rooted.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = root.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(root.join(least, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
+    return rows.join(root.join(least, "root"), "fp").select("id", "fp", "component_id", "root")

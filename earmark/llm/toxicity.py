@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earmark.llm.common import keyed, pieces, raw_texts, words
+from earmark.llm.common import keyed, keyed_texts, pieces, raw_texts, words
 
 SAMPLE = 4000
 FEATURES = 5000
@@ -190,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     limit = F.when(F.col("toxic") == 1, F.lit(sample / size[1])).otherwise(F.lit(sample / size[0]))
     drawn = told.filter(F.pmod(F.xxhash64("_c0"), F.lit(1_000_000)) < limit * 1_000_000).withColumnRenamed("_c0", "id")
     # About ``sample`` ids of each label: the size of what is broadcast is bounded by that parameter.
-    rows = keyed(docs, key, text).join(F.broadcast(drawn), F.col("_c0") == F.col("id")).select("_c1", "toxic")
+    rows = keyed_texts(docs, key, text).join(F.broadcast(drawn), F.col("_c0") == F.col("id")).select("_c1", "toxic")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: tuple[Counter, Counter] = (Counter(), Counter())
@@ -282,4 +282,4 @@ def toxic_spans(docs: DataFrame, model: Crf, key: str = "doc_id", text: str = "t
                 kind = pa.list_(pa.struct([("word", pa.int32()), ("marginal", pa.float64())]))
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(score, pa.float64()), pa.array(n, pa.int32()), pa.array(spans, kind)], names=["id", "score", "n_words", "spans"])
 
-    return keyed(docs, key, text).mapInArrow(run, "id long, score double, n_words int, spans array<struct<word: int, marginal: double>>")
+    return keyed_texts(docs, key, text).mapInArrow(run, "id long, score double, n_words int, spans array<struct<word: int, marginal: double>>")
