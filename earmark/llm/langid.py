@@ -50,8 +50,8 @@ class LanguageModel:
                 return None
         padded = f" {word} "
         for n in range(MAX_N, 0, -1):
-            known = self.grams[n - 1]
-            at = [known[g] for g in (padded[i : i + n] for i in range(len(padded) - n + 1)) if g in known]
+            known, whole = self.grams[n - 1], padded if n > 1 else word
+            at = [known[g] for g in (whole[i : i + n] for i in range(len(whole) - n + 1)) if g in known]
             if at:
                 return self.table[at].mean(axis=0)
         return np.full(len(self.languages), FLOOR)
@@ -103,11 +103,13 @@ def fit(docs: DataFrame, text: str, lang: str, texts_per_language: int = TEXTS_P
     drawn = rows.join(sizes, "_c1").filter(draw)
     found = drawn.select(F.col("_c1").alias("lang"), F.explode(F.regexp_extract_all(F.lower("_c0"), F.lit(r"(\p{L}+)"), 1)).alias("part"))
     counted = pin(found.groupBy("lang", "part").agg(F.count(F.lit(1)).alias("n")), "words")
-    padded = F.concat(F.lit(" "), "part", F.lit(" "))
-    grams = [
-        counted.select("lang", F.lit(n).alias("size"), "n", F.explode(F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(padded) - (n - 1), F.lit(1))), lambda i, n=n: F.substring(padded, i, F.lit(n)))).alias("part"))
-        for n in range(1, MAX_N + 1)]
+
+    def split(n: int) -> Column:
+        """All n-grams of a word, with the spaces around it but for single characters."""
+        whole = F.concat(F.lit(" "), "part", F.lit(" ")) if n > 1 else F.col("part")
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(whole) - (n - 1), F.lit(1))), lambda i: F.substring(whole, i, F.lit(n)))
+
+    grams = [counted.select("lang", F.lit(n).alias("size"), "n", F.explode(split(n)).alias("part")) for n in range(1, MAX_N + 1)]
     parts = counted.select("lang", F.lit(0).alias("size"), "n", "part")
     for g in grams:
         parts = parts.unionByName(g)
