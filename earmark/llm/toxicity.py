@@ -149,32 +149,43 @@ def _adam(gradient, parameters: list[np.ndarray], rounds: int, rate: float) -> N
             p += rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
 
 
-def _fit_field(model: Crf, chains: list[list[tuple[int, ...]]], tags: list[list[bool]], rounds: int = 120) -> None:
-    length = max(map(len, chains))
-    truth = np.zeros((len(chains), length))
-    for row, t in enumerate(tags):
-        truth[row, : len(t)] = t
-    entries = [(row, t, i) for row, chain in enumerate(chains) for t, ids in enumerate(chain) for i in ids]
-    row, place, feature = (np.array(x, np.int64) for x in zip(*entries))
-    mask = model.potentials(chains, length)[1]
-    both = mask[:, 1:]
-    tag = (1 - truth, truth)
-    seen = np.array([[(tag[i][:, :-1] * tag[j][:, 1:] * both).sum() for j in (0, 1)] for i in (0, 1)])
-    start = np.array([(1 - truth[:, 0]).sum(), truth[:, 0].sum()])
+class _Group:
+    """Chains of like length as matrices."""
+
+    def __init__(self, model: Crf, chains: list[list[tuple[int, ...]]], tags: list[list[bool]]):
+        self.length = max(map(len, chains))
+        self.size = len(chains)
+        self.truth = np.zeros((self.size, self.length))
+        self.mask = np.zeros((self.size, self.length), bool)
+        for row, t in enumerate(tags):
+            self.truth[row, : len(t)], self.mask[row, : len(t)] = t, True
+        entries = [(row, t, i) for row, chain in enumerate(chains) for t, ids in enumerate(chain) for i in ids]
+        self.row, self.place, self.feature = (np.array(x, np.int64) for x in zip(*entries))
+        tag, both = (1 - self.truth, self.truth), self.mask[:, 1:]
+        self.seen = np.array([[(tag[i][:, :-1] * tag[j][:, 1:] * both).sum() for j in (0, 1)] for i in (0, 1)] + [[tag[i][:, 0].sum() for i in (0, 1)]])
+
+    def gradient(self, model: Crf) -> list[np.ndarray]:
+        weight = np.zeros((self.size, self.length + 2))
+        for values, step in ((model.own, 1), (model.before, 2), (model.after, 0)):
+            np.add.at(weight, (self.row, self.place + step), values[self.feature])
+        toxic, change, _ = model.marginals(weight[:, 1:-1], self.mask)
+        gap = np.pad(self.truth - toxic, ((0, 0), (1, 1)))
+        sums = [np.bincount(self.feature, gap[self.row, self.place + step], len(model.own)) for step in (1, 2, 0)]
+        return [*sums, self.seen - np.vstack([change.sum(axis=(0, 1)), [self.size - toxic[:, 0].sum(), toxic[:, 0].sum()]])]
+
+
+def _fit_field(model: Crf, chains: list[list[tuple[int, ...]]], tags: list[list[bool]], rounds: int = 100) -> None:
+    order = sorted(range(len(chains)), key=lambda k: (len(chains[k]), chains[k], tags[k]))
+    groups = [_Group(model, [chains[k] for k in order[at : at + 2000]], [tags[k] for k in order[at : at + 2000]]) for at in range(0, len(order), 2000)]
+    parameters = [model.own, model.before, model.after, model.change]
 
     def gradient() -> list[np.ndarray]:
-        weight = np.zeros((len(chains), length + 2))
-        np.add.at(weight, (row, place + 1), model.own[feature])
-        np.add.at(weight, (row, place + 2), model.before[feature])
-        np.add.at(weight, (row, place), model.after[feature])
-        toxic, change, _ = model.marginals(weight[:, 1:-1], mask)
-        gap = np.pad(truth * mask - toxic, ((0, 0), (1, 1)))
-        sums = [np.bincount(feature, gap[row, place + k], len(model.own)) for k in (1, 2, 0)]
-        moved = np.vstack([seen - change.sum(axis=(0, 1)), start - np.array([len(chains) - toxic[:, 0].sum(), toxic[:, 0].sum()])])
-        scale = len(chains)
-        return [(g - 0.05 * p) / scale for g, p in zip([*sums, moved], (model.own, model.before, model.after, model.change))]
+        whole = [-0.05 * p for p in parameters]
+        for group in groups:
+            whole = [w + g for w, g in zip(whole, group.gradient(model))]
+        return [w / len(chains) for w in whole]
 
-    _adam(gradient, [model.own, model.before, model.after, model.change], rounds, 0.1)
+    _adam(gradient, parameters, rounds, 0.1)
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label_key: str = "doc_id", label: str = "toxic", sample: int = SAMPLE) -> Crf:
@@ -229,7 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                     out["chains"].append([[list(f) for f in chain[k : k + STRETCH]] for _, chain in shared.value.chains(tokens) for k in range(0, len(chain), STRETCH)])
                 yield pa.RecordBatch.from_arrays([pa.array(out["toxic"], pa.int32()), pa.array(out["n"], pa.int64()), pa.array(out["chains"], pa.list_(pa.list_(pa.list_(pa.int32()))))], names=list(out))
 
-    taught = rows.mapInArrow(gather, "toxic int, n long, chains array<array<array<int>>>").collect()
+    taught = rows.mapInArrow(gather, "toxic int, n long, chains array<array<array<int>>>").toArrow().to_pylist()
     chains, tags = [], []
     for r in taught:
         for chain in r["chains"]:
@@ -237,8 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             tags.append([bool(f) and r["toxic"] == 1 for f in chain])
     if not chains:
         return model
-    order = sorted(range(len(chains)), key=lambda k: (chains[k], tags[k]))
-    _fit_field(model, [chains[k] for k in order], [tags[k] for k in order])
+    _fit_field(model, chains, tags)
     rows_x, truth = [], []
     for r in taught:
         found = []
