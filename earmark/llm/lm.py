@@ -63,6 +63,18 @@ def level_of(counts: np.ndarray) -> np.ndarray:
     return np.searchsorted(EDGES, counts, side="right")
 
 
+_SMALL = 4096  # counts below are looked up one by one
+_SHIFT = round(np.log(EDGES[80]) / np.log(GROWTH)) - 80
+
+
+def _large_level(n):
+    """Level of counts of at least _SMALL, null for others: from the logarithm, mended by the edges on both sides."""
+    guess = F.floor(F.log(n.cast("double")) / float(np.log(GROWTH))).cast("int") - _SHIFT + 1
+    edges = F.array(*[F.lit(int(e)) for e in EDGES])
+    mended = F.when(F.get(edges, guess) <= n, guess + 1).when(F.get(edges, guess - 1) > n, guess - 1).otherwise(guess)
+    return F.when(n >= _SMALL, mended)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
@@ -106,10 +118,10 @@ class LevelFilter:
     size: np.ndarray
 
     @classmethod
-    def join(cls, segments: dict[int, bytes]) -> LevelFilter:
+    def join(cls, segments: dict[int, bytes | pa.Buffer]) -> LevelFilter:
         size = np.zeros(1 << _SEGMENT_BITS, np.uint64)
         for s, b in segments.items():
-            size[s] = len(b) // 8
+            size[s] = memoryview(b).nbytes // 8
         first = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.uint64)
         return cls(np.frombuffer(b"".join(segments[s] for s in sorted(segments)), np.uint64), first, size)
 
@@ -215,6 +227,12 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([types.tobytes()], pa.binary())], names=["segment", "data"])
 
 
+def _collected(segments: DataFrame) -> LevelFilter:
+    """The filter of these segments; their size has been checked."""
+    table = segments.select("segment", "data").toArrow()
+    return LevelFilter.join(dict(zip(table["segment"].to_pylist(), (x.as_buffer() for x in table["data"]))))
+
+
 @dataclass
 class Model:
     total: int
@@ -233,18 +251,20 @@ def train(texts: DataFrame, text: str = "text", most_bytes: int = MOST_BYTES, fr
     """Count words and pairs of all rows and build the filters."""
     rows = keyed_texts(texts, text)
     counts = pin(rows.mapInArrow(lambda b: _count(b, None), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "words")
-    level = F.lit(0)
-    for edge in EDGES[EDGES <= 1 << 48].tolist():
-        level = level + (F.col("n") >= edge).cast("int")
-    by_level = {r["level"]: (r["words"], r["tokens"]) for r in counts.select(level.alias("level"), "n").groupBy("level").agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("tokens")).collect()}
+    by_level: dict[int, tuple[int, int]] = {}
+    for n, level, n_words, tokens in counts.groupBy(F.when(F.col("n") < _SMALL, F.col("n")).alias("n"), _large_level(F.col("n")).alias("level")).agg(
+            F.count(F.lit(1)), F.sum("n")).collect():
+        q = int(level_of(np.array([n]))[0]) if n is not None else level
+        before = by_level.get(q, (0, 0))
+        by_level[q] = (before[0] + n_words, before[1] + tokens)
     total, distinct, once = sum(t for _, t in by_level.values()), sum(w for w, _ in by_level.values()), by_level.get(1, (0, 0))[0]
     least, kept = len(EDGES) + 1, 0
     for q in sorted(by_level, reverse=True):
         if kept + by_level[q][0] > frequent:
             break
         least, kept = q, kept + by_level[q][0]
-    often = counts.filter(F.col("n") >= (int(EDGES[least - 1]) if least <= len(EDGES) else 1 << 62)).toPandas()
-    keys, n = often["key"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64)
+    often = counts.filter(F.col("n") >= (int(EDGES[least - 1]) if least <= len(EDGES) else 1 << 62)).select("key", "n").toArrow()
+    keys, n = often["key"].to_numpy().astype(np.int64).view(np.uint64), often["n"].to_numpy().astype(np.int64)
     order = np.argsort(keys)
     parts = max(1, -(-total // TOKENS_PER_PART))
     segment = F.shiftrightunsigned("key", 64 - _SEGMENT_BITS).cast("int")
@@ -252,7 +272,7 @@ def train(texts: DataFrame, text: str = "text", most_bytes: int = MOST_BYTES, fr
     # Bits an event are fixed, so the size follows from the number of events by level: checked before it is collected.
     if sum(q * w for q, (w, _) in by_level.items()) * BITS // 8 > most_bytes:
         raise ValueError("the filter of single words exceeds most_bytes")
-    unigrams = LevelFilter.join({r["segment"]: bytes(r["data"]) for r in made.filter("segment >= 0").collect()})
+    unigrams = _collected(made.filter("segment >= 0"))
     shared = texts.sparkSession.sparkContext.broadcast(unigrams)
     found = rows.mapInArrow(lambda b: _count(b, shared.value), "key long, n long, segment int, level short")
     pairs = pin(found.repartition(parts, "segment").select("key", "n", "level").mapInArrow(_segments, "segment int, data binary"), "segments")
@@ -281,7 +301,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     out = None
     for number, shard in enumerate(model.shards):
         own = model.pairs.filter(F.col("segment").isin(shard) if len(model.shards) > 1 else F.col("segment") >= 0)
-        shared = spark.sparkContext.broadcast(LevelFilter.join({r["segment"]: bytes(r["data"]) for r in own.collect()}))
+        shared = spark.sparkContext.broadcast(_collected(own))
         here = np.zeros(1 << _SEGMENT_BITS, bool)
         here[shard if len(model.shards) > 1 else slice(None)] = True
 
