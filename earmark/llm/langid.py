@@ -119,7 +119,7 @@ def fit(docs: DataFrame, text: str, lang: str, texts_per_language: int = TEXTS_P
         parts.withColumn("all", F.sum("n").over(kind))
         .withColumn("place", F.row_number().over(kind.orderBy(F.desc("n"), "part")))
         .filter(F.col("place") <= F.when(F.col("size") == 0, WORDS_PER_LANGUAGE).otherwise(GRAMS_PER_LANGUAGE))
-        .select("lang", "size", "part", F.log10(F.col("n") / F.col("all")).alias("score")).toPandas())
+        .select("lang", "size", "part", F.log10(F.col("n") / F.col("all")).alias("score")).toArrow().to_pandas())
     languages = sorted(kept["lang"].unique())
     at_language = {x: i for i, x in enumerate(languages)}
     known: list[dict[str, int]] = [{} for _ in range(MAX_N + 1)]
