@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from earmark.llm.common import keyed, keyed_texts, pieces, raw_texts, words
 
-SAMPLE = 4000
+SAMPLE = 1500
 FEATURES = 5000
 LEAST_Z, LEAST_DOCS = 5.0, 3
 GAP = 8
@@ -165,16 +165,16 @@ class _Group:
         self.seen = np.array([[(tag[i][:, :-1] * tag[j][:, 1:] * both).sum() for j in (0, 1)] for i in (0, 1)] + [[tag[i][:, 0].sum() for i in (0, 1)]])
 
     def gradient(self, model: Crf) -> list[np.ndarray]:
-        weight = np.zeros((self.size, self.length + 2))
-        for values, step in ((model.own, 1), (model.before, 2), (model.after, 0)):
-            np.add.at(weight, (self.row, self.place + step), values[self.feature])
+        cell, wide = self.row * (self.length + 2) + self.place, self.size * (self.length + 2)
+        weight = sum(np.bincount(cell + step, values[self.feature], wide) for values, step in ((model.own, 1), (model.before, 2), (model.after, 0)))
+        weight = weight.reshape(self.size, -1)
         toxic, change, _ = model.marginals(weight[:, 1:-1], self.mask)
         gap = np.pad(self.truth - toxic, ((0, 0), (1, 1)))
         sums = [np.bincount(self.feature, gap[self.row, self.place + step], len(model.own)) for step in (1, 2, 0)]
         return [*sums, self.seen - np.vstack([change.sum(axis=(0, 1)), [self.size - toxic[:, 0].sum(), toxic[:, 0].sum()]])]
 
 
-def _fit_field(model: Crf, chains: list[list[tuple[int, ...]]], tags: list[list[bool]], rounds: int = 100) -> None:
+def _fit_field(model: Crf, chains: list[list[tuple[int, ...]]], tags: list[list[bool]], rounds: int = 60) -> None:
     order = sorted(range(len(chains)), key=lambda k: (len(chains[k]), chains[k], tags[k]))
     groups = [_Group(model, [chains[k] for k in order[at : at + 2000]], [tags[k] for k in order[at : at + 2000]]) for at in range(0, len(order), 2000)]
     parameters = [model.own, model.before, model.after, model.change]
