@@ -101,7 +101,7 @@ def random_ndcg_draws(counts: DataFrame, k: int, iterations: int = 256, seed: in
     """Mean nDCG of simulated random rankings (optional; the closed form is :func:`functions.ranking.random_ndcg`).
 
     Only the first k places of a ranking matter. They are drawn one after another without replacement from the
-    counts of positives and others, so a draw costs k steps whatever the size of the pool.
+    counts of positives and others, so a draw costs k steps whatever the size of the pool. A query without positives has 0.
     """
     k_eff = F.least(F.lit(k).cast("long"), F.col("n_pool"))
     steps = F.sequence(F.lit(0).cast("long"), k_eff - 1)
@@ -120,7 +120,8 @@ def random_ndcg_draws(counts: DataFrame, k: int, iterations: int = 256, seed: in
     draws = counts.filter((F.col("n_pool") > 0) & (F.col("n_positive") > 0)).withColumn("_iter", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
     ideal = discount_sum(F.least(k_eff, F.col("n_positive")))
     drawn = draws.withColumn("_ndcg", F.aggregate(steps, start, step)["dcg"] / ideal)
-    return drawn.groupBy("query_id").agg(F.avg("_ndcg").alias("ndcg_random_mean"))
+    means = drawn.groupBy("query_id").agg(F.avg("_ndcg").alias("ndcg_random_mean"))
+    return counts.select("query_id").join(means, "query_id", "left").fillna(0.0, ["ndcg_random_mean"])
 
 
 def prefix_queries(tags: Sequence[tuple[str, str]]) -> list[tuple[str, int, str, list[str]]]:

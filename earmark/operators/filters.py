@@ -40,8 +40,8 @@ def route_counts(df: DataFrame, value: str = "confidence") -> DataFrame:
 
 
 def needs_refetch(keys: DataFrame, existing: DataFrame, threshold: float, key: str = "audio") -> DataFrame:
-    """Keys without a row, without confidence, or below the threshold."""
-    known = existing.select(key, "confidence")
+    """Keys without a row, without confidence, or below the threshold; the highest counts of several records of a key."""
+    known = existing.groupBy(key).agg(F.max("confidence").alias("confidence"))
     return keys.join(known, key, "left").filter(F.col("confidence").isNull() | (F.col("confidence") < threshold)).select(key)
 
 

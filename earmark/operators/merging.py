@@ -313,10 +313,13 @@ def add_hard_duplicates(train: DataFrame, hard: DataFrame, refined: DataFrame, i
 
 
 def work_list(on_disk: DataFrame, existing: DataFrame, key: str = "audio", threshold: float | None = None, rebuild: bool = False) -> DataFrame:
-    """Keys to process among all keys on disk or on record: the new ones, those below a threshold, or all."""
+    """Keys to process among all keys on disk or on record: the new ones, those below a threshold, or all.
+
+    Each key once; of several records of a key the highest confidence counts.
+    """
     keys = on_disk.select(key).union(existing.select(key)).distinct()
     if threshold is not None:
-        known = existing.select(key, "confidence")
+        known = existing.groupBy(key).agg(F.max("confidence").alias("confidence"))
         joined = keys.join(known, key, "left")
         return joined.filter(F.col("confidence").isNull() | (F.col("confidence") < threshold)).select(key)
     return keys if rebuild else keys.join(existing.select(key).distinct(), key, "left_anti")

@@ -14,10 +14,10 @@ def best_epoch(log: DataFrame, run: str, completion: DataFrame | None = None, mo
     """Best epoch and metric per run: from its completion record if there is one, else from the log.
 
     The log's metric is ``monitor``, or else the first present of checkpoint, validation and training
-    similarity. The earliest epoch wins on equal metrics.
+    similarity. The earliest epoch wins on equal metrics; NaN is no metric.
     """
     metric = F.col(monitor) if monitor else F.coalesce("checkpoint_metric", "val_similarity", "train_similarity")
-    usable = log.withColumn("_metric", metric).filter(F.col("_metric").isNotNull())
+    usable = log.withColumn("_metric", metric).filter(F.col("_metric").isNotNull() & ~F.isnan("_metric"))
     best = F.max(F.struct(F.col("_metric").alias("metric"), (-F.col("epoch")).alias("neg_epoch")))
     logged = usable.groupBy(run).agg(best.alias("_b")).select(run, (-F.col("_b.neg_epoch")).alias("_epoch"), F.col("_b.metric").alias("_metric"))
     if completion is None:
@@ -77,22 +77,24 @@ def early_stop(log: DataFrame, run: str, epoch: str, metric: str, patience: int
     """Per run: epochs seen before the stop, stop epoch (null if none), best epoch and metric up to the stop.
 
     An epoch improves if its metric is above every earlier one. The run stops at the first epoch, not before
-    ``min_epochs``, that is ``patience`` epochs past the last improvement. ``epoch`` is unique per run.
+    ``min_epochs``, that is ``patience`` logged epochs past the last improvement. NaN never improves. Epochs are reported as
+    logged, so a log that starts late keeps its numbers. ``epoch`` is unique per run.
     """
-    placed = place(log.select(run, epoch, metric), [run], [epoch])
+    placed = place(log.select(run, epoch, F.when(~F.isnan(metric), F.col(metric)).alias(metric)), [run], [epoch])
     before = running(placed, [run], [epoch], [("_best", "max", F.col(metric)), ("_before", "count", F.lit(1))], inclusive=False)
     seen = before.withColumns({
         "_no": F.col("_before") + 1,
         "_improved": F.col(metric).isNotNull() & (F.col("_best").isNull() | (F.col(metric) > F.col("_best")))})
-    seen = running(seen, [run], [epoch], [("_last", "max", F.when(F.col("_improved"), F.col("_no")))])
-    stop = (F.col("_no") - F.coalesce("_last", F.lit(0)) >= patience) & (F.col("_no") >= min_epochs)
+    seen = running(seen, [run], [epoch], [
+        ("_last", "max", F.when(F.col("_improved"), F.col("_no"))), ("_last_epoch", "max", F.when(F.col("_improved"), F.col(epoch)))])
+    stop = (F.col("_no") - F.coalesce("_last", F.lit(0)) >= patience) & (F.col(epoch) >= min_epochs)
     # the best epoch and metric up to a row are known on that row
-    here = F.struct("_no", "_last", F.greatest("_best", metric).alias("_metric"))
+    here = F.struct("_no", F.col(epoch).alias("_epoch"), "_last_epoch", F.greatest("_best", metric).alias("_metric"))
     ends = seen.groupBy(run).agg(
         F.max("_no").alias("n_logged"), F.min(F.when(stop, here)).alias("_stop"), F.max(here).alias("_end"))
     at = F.coalesce("_stop", "_end")
     return ends.select(
-        run, "n_logged", F.col("_stop._no").alias("stop_epoch"), at["_last"].alias("best_epoch"), at["_metric"].alias("best_metric"))
+        run, "n_logged", F.col("_stop._epoch").alias("stop_epoch"), at["_last_epoch"].alias("best_epoch"), at["_metric"].alias("best_metric"))
 
 
 def plateau_stop(

@@ -95,9 +95,9 @@ e AS (SELECT run, epoch, val_similarity AS m, row_number() OVER (PARTITION BY ru
              max(val_similarity) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM training_log),
 i AS (SELECT *, best IS NULL OR m > best AS improved FROM e),
 l AS (SELECT *, max(CASE WHEN improved THEN no END) OVER (PARTITION BY run ORDER BY epoch) AS last_no FROM i),
-st AS (SELECT run, min(no) FILTER (WHERE no - last_no >= 3 AND no >= 5) AS stop_epoch, count(*) AS n_logged FROM l GROUP BY 1)
-SELECT run, any_value(n_logged) AS n_logged, any_value(stop_epoch) AS stop_epoch, max(no) FILTER (WHERE improved) AS best_epoch, max(m) AS best_metric
-FROM l JOIN st USING (run) WHERE stop_epoch IS NULL OR no <= stop_epoch GROUP BY 1""")
+st AS (SELECT run, min(epoch) FILTER (WHERE no - last_no >= 3 AND epoch >= 5) AS stop_epoch, count(*) AS n_logged FROM l GROUP BY 1)
+SELECT run, any_value(n_logged) AS n_logged, any_value(stop_epoch) AS stop_epoch, max(epoch) FILTER (WHERE improved) AS best_epoch, max(m) AS best_metric
+FROM l JOIN st USING (run) WHERE stop_epoch IS NULL OR epoch <= stop_epoch GROUP BY 1""")
 def early_stopping(spark: SparkSession, folder: str) -> DataFrame:
     """Where each run would stop, and its best epoch until then."""
     return runs.early_stop(s.training_log(spark, folder), "run", "epoch", "val_similarity", patience=3, min_epochs=5)

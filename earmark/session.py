@@ -32,7 +32,7 @@ def build_session(app_name: str = "earmark", master: str | None = None, **conf:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only if it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; if it is unset, a temporary one in local mode, else an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     jsc = spark.sparkContext._jsc.sc()
     if configured:
@@ -40,6 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(configured)
         return configured
     if jsc.getCheckpointDir().isEmpty():
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="earmark-"))
     return jsc.getCheckpointDir().get()
 

@@ -152,3 +152,12 @@ def test_tag_union_and_key_sets(spark):
     keys = spark.createDataFrame([("t2",), ("t9",)], "k STRING")
     assert [r["track_id"] for r in merging.restrict_keys(b, "track_id", keys, keys).collect()] == ["t2"]
     assert [r[0] for r in merging.keys_without_rows(keys.withColumnRenamed("k", "track_id"), b, "track_id").collect()] == ["t9"]
+
+
+def test_repeated_records_give_each_key_once(spark):
+    from earmark.operators.merging import work_list
+
+    disk = spark.createDataFrame([("a",), ("b",)], "audio STRING")
+    known = spark.createDataFrame([("a", 0.1), ("a", 0.2), ("b", 0.1), ("b", 0.9)], "audio STRING, confidence DOUBLE")
+    assert [r[0] for r in work_list(disk, known, threshold=0.35).collect()] == ["a"]
+    assert [r[0] for r in needs_refetch(disk, known, 0.35).collect()] == ["a"]

@@ -223,3 +223,13 @@ def test_batch_run_records_only_successes_when_asked(spark, tmp_path):
     for _ in range(2):
         incremental.run_pending(work, read_jsonl(spark, path, "k STRING, status STRING"), path, "k", process, record_failures=False)
     assert sorted(r["k"] for r in read_jsonl(spark, path, "k STRING, status STRING").collect()) == ["a", "z"]
+
+
+def test_late_start_and_nan_metrics(spark):
+    nan = float("nan")
+    rows = [("a", e, m) for e, m in ((4, 0.1), (5, 0.9), (6, nan), (7, 0.2), (8, 0.3), (9, 0.95))]
+    log = spark.createDataFrame(rows, "run STRING, epoch INT, val_similarity DOUBLE")
+    row = runs.early_stop(log, "run", "epoch", "val_similarity", patience=3, min_epochs=5).first()
+    assert (row["best_epoch"], row["stop_epoch"], row["best_metric"]) == (5, 8, 0.9)
+    assert tuple(runs.best_epoch(log, "run", monitor="val_similarity").first()) == ("a", 9, 0.95)
+    assert tuple(runs.best_epoch(log.filter("epoch < 9"), "run", monitor="val_similarity").first()) == ("a", 5, 0.9)
