@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earmark.llm.common import keyed, keyed_texts, pieces, raw_texts, words
+from earmark.llm.common import keyed, keyed_texts, pieces, pin, raw_texts, words
 
 SAMPLE = 1500
 FEATURES = 5000
@@ -36,6 +36,8 @@ GAP = 8
 STRETCH = 64
 #: Marginal from which an offset is reported.
 SPAN = 0.5
+#: Places of the chains that go through the field together; one longer chain goes alone.
+CELLS = 1 << 16
 _MEMO = 300_000
 _STRIP = b".,;:!?\"'()[]"
 
@@ -119,13 +121,36 @@ class Crf:
         change = np.where(mask[:, 1:, None, None], np.exp(np.minimum(pair, 0)), 0.0)
         return toxic, change, whole
 
-    def tag(self, tokens: list[bytes]) -> list[tuple[int, float]]:
-        """(word number, marginal) of the words that carry evidence."""
-        out = []
-        for low, chain in self.chains(tokens):
-            toxic, _, _ = self.marginals(*self.potentials([chain], len(chain)))
-            out += [(low + t, float(p)) for t, p in enumerate(toxic[0]) if chain[t]]
-        return out
+    def odds(self, chains: list[list[tuple[int, ...]]]) -> np.ndarray:
+        """Marginals of the toxic tag, chain by place: :meth:`marginals` as log odds of the two tags, so that a step is one number."""
+        weight, mask = self.potentials(chains, max(map(len, chains)))
+        (stay, to), (back, keep) = self.change[:2]
+        forth, since = np.empty(weight.T.shape), np.empty(weight.T.shape)
+        weight, mask = np.ascontiguousarray(weight.T), np.ascontiguousarray(mask.T)
+        forth[0] = self.change[2, 1] - self.change[2, 0] + weight[0]
+        for t in range(1, len(weight)):
+            x = forth[t - 1]
+            forth[t] = np.logaddexp(to, keep + x) - np.logaddexp(stay, back + x) + weight[t]
+        since[-1] = 0
+        for t in range(len(weight) - 2, -1, -1):
+            x = since[t + 1] + weight[t + 1]
+            since[t] = (np.logaddexp(back, keep + x) - np.logaddexp(stay, to + x)) * mask[t + 1]
+        return (1 / (1 + np.exp(-np.clip(forth + since, -700, 700)))).T
+
+    def tag(self, texts: list[list[tuple[int, list[tuple[int, ...]]]]]) -> list[list[tuple[int, float]]]:
+        """For the chains of each text, (word number, marginal) of the words that carry evidence. Chains of like length go together."""
+        out: list[list[tuple[int, float]]] = [[] for _ in texts]
+        waiting = sorted(((len(chain), k, low, chain) for k, chains in enumerate(texts) for low, chain in chains), key=lambda x: x[:3])
+        start = 0
+        while start < len(waiting):
+            stop = start + 1
+            while stop < len(waiting) and (stop - start + 1) * waiting[stop][0] <= CELLS:
+                stop += 1
+            block = waiting[start:stop]
+            for (_, k, low, chain), row in zip(block, self.odds([x[3] for x in block]).tolist()):
+                out[k] += [(low + t, p) for t, (p, ids) in enumerate(zip(row, chain)) if ids]
+            start = stop
+        return [sorted(found) for found in out]
 
     def score(self, marginals: list[float], n_words: int) -> float:
         if not len(self.doc):
@@ -201,7 +226,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     limit = F.when(F.col("toxic") == 1, F.lit(sample / size[1])).otherwise(F.lit(sample / size[0]))
     drawn = told.filter(F.pmod(F.xxhash64("_c0"), F.lit(1_000_000)) < limit * 1_000_000).withColumnRenamed("_c0", "id")
     # About ``sample`` ids of each label: the size of what is broadcast is bounded by that parameter.
-    rows = keyed_texts(docs, key, text).join(F.broadcast(drawn), F.col("_c0") == F.col("id")).select("_c1", "toxic")
+    # Written, as three passes follow that needn't read the corpus again.
+    rows = pin(keyed_texts(docs, key, text).join(F.broadcast(drawn), F.col("_c0") == F.col("id")).select("_c1", "toxic"), "taught")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: tuple[Counter, Counter] = (Counter(), Counter())
@@ -215,7 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             part = names[at : at + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([by[1][f] for f in part]), pa.array([by[0][f] for f in part])], names=["feature", "a", "b"])
 
-    counted = rows.mapInArrow(count, "feature binary, a long, b long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    counted = pin(rows.mapInArrow(count, "feature binary, a long, b long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "features")
     whole = counted.filter(F.col("feature") == F.lit(b"")).first()
     if whole is None or not whole["a"] or not whole["b"]:
         return model
@@ -250,13 +276,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return model
     _fit_field(model, chains, tags)
     rows_x, truth = [], []
-    for r in taught:
-        found = []
-        for chain in r["chains"]:
-            chain = [tuple(f) for f in chain]
-            toxic, _, _ = model.marginals(*model.potentials([chain], len(chain)))
-            found += [float(p) for p, f in zip(toxic[0], chain) if f]
-        rows_x.append(_summary(found, r["n"]))
+    for r, found in zip(taught, model.tag([[(STRETCH * k, [tuple(f) for f in chain]) for k, chain in enumerate(r["chains"])] for r in taught])):
+        rows_x.append(_summary([p for _, p in found], r["n"]))
         truth.append(r["toxic"])
     x, y = np.array(rows_x), np.array(truth, float)
     order = np.lexsort((*x.T, y))
@@ -282,12 +303,13 @@ def toxic_spans(docs: DataFrame, model: Crf, key: str = "doc_id", text: str = "t
         field = shared.value
         for batch in batches:
             for piece in pieces(batch):
-                score, n, spans = [], [], []
+                score, n, spans, chains = [], [], [], []
                 for raw in raw_texts(piece.column(1)):
                     tokens = words(raw)
-                    found = field.tag(tokens)
-                    score.append(field.score([p for _, p in found], len(tokens)))
+                    chains.append(field.chains(tokens))
                     n.append(len(tokens))
+                for found, length in zip(field.tag(chains), n):
+                    score.append(field.score([p for _, p in found], length))
                     spans.append([{"word": w, "marginal": p} for w, p in found if p >= SPAN])
                 kind = pa.list_(pa.struct([("word", pa.int32()), ("marginal", pa.float64())]))
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(score, pa.float64()), pa.array(n, pa.int32()), pa.array(spans, kind)], names=["id", "score", "n_words", "spans"])
