@@ -16,6 +16,7 @@ from earmark.operators.filters import gate
 from earmark.operators.merging import add_hard_duplicates, remaining
 from earmark.operators.ordering import keep_one
 from earmark.operators.sampling import mine_hard
+from earmark.session import pin
 
 Refine = Callable[[pd.Series], pd.Series]
 
@@ -95,7 +96,8 @@ def self_train_round(
     """One round on (audio_path, text, vector): mined hard rows, gated rows, and the mixed manifest."""
     scored = encode_column(train, "text", "_text_vec", load_encoder).withColumn("sim", cosine(item_vec, "_text_vec")).drop("_text_vec")
     hard = mine_hard(scored, "sim", "audio_path", fraction).withColumn("text_orig", F.col("text"))
-    gated = gate_refined(refine_rows(hard, "text_orig", load_refiner), item_vec, load_encoder, min_sim_gain, min_text_cos)
+    # Written, so that the refiner answers once, whichever results are used.
+    gated = pin(gate_refined(refine_rows(hard, "text_orig", load_refiner), item_vec, load_encoder, min_sim_gain, min_text_cos), "gated")
     refined = accepted_rows(gated, iteration).withColumn("_ord", F.lit(0))
     mixed = add_hard_duplicates(train, hard, refined, iteration, hard_weight)
     return hard, gated, mixed

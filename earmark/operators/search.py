@@ -118,12 +118,15 @@ def score_pool(
     queries: DataFrame, pool: DataFrame, metric: str = "cosine", query_id: str = "query_id", query_vec: str = "query_vec",
     item_id: str = "item_id", item_vec: str = "item_vec",
 ) -> DataFrame:
-    """Every (query, item) score for a bounded query set, streamed batch by batch."""
+    """Every (query, item) score, for any number of queries; undefined scores are negative infinity."""
+    queries = queries.select(query_id, query_vec).filter(F.col(query_vec).isNotNull())
+    pool = pool.select(item_id, item_vec).filter(F.col(item_vec).isNotNull())
     bounded = _bounded_rows(queries, query_id, query_vec)
+    schema = _result_schema(queries, query_id, pool, item_id)
     if bounded is None:
-        raise ValueError(f"score_pool takes at most {MAX_BROADCAST_QUERIES} queries; use top_k for larger sets")
+        asked, items = _all_units(queries.toDF("query_id", "query_vec"), pool.toDF("item_id", "item_vec"), pool.count())
+        return _search_units(asked, items, None, metric, schema)
     ids, matrix = bounded
-    schema = _result_schema(queries, query_id, pool, item_id)
     arrow = _arrow_types(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +140,7 @@ def score_pool(
                     [pa.array([qid] * batch.num_rows, arrow.field(0).type), batch.column(0), pa.array(row)], schema=arrow
                 )
 
-    return pool.select(item_id, item_vec).filter(F.col(item_vec).isNotNull()).mapInArrow(run, schema)
+    return pool.mapInArrow(run, schema)
 
 
 def top_k(
@@ -146,7 +149,7 @@ def top_k(
 ) -> DataFrame:
     """Best ``k`` pool items per query: query_id, item_id, score, rank (from 1). Exact for any number of queries.
 
-    A result of proven small size is marked for broadcast, so that a join with payload or labels scans the large
+    Null vectors take no part. A vector with NaN has no defined score: it counts as negative infinity, ties by id. A result of proven small size is marked for broadcast, so that a join with payload or labels scans the large
     side where it lies.
     """
     if k <= 0:
@@ -209,17 +212,23 @@ def _partitioned_top_k(queries: DataFrame, pool: DataFrame, k: int, metric: str,
     its k-th best distance there bounds the answer. By the triangle inequality it then visits only cells whose
     ball can hold something as near. Cells are split into units of bounded size and so are the queries of a
     unit; both sides meet in an equi-join on the unit, and a unit returns at most k rows per query.
+
+    Inner product is no metric, so there every query meets every unit. A vector with NaN is near nothing: a cell that
+    holds one is always visited, and such a query visits all cells.
     """
-    if metric == "ip":
-        raise ValueError("inner product is no metric; normalise the vectors and use cosine")
     spark = pool.sparkSession
     unit_length = metric == "cosine"
     n_pool = pool.count()
     if n_pool == 0:
         return spark.createDataFrame([], schema)
+    if metric == "ip":
+        return _search_units(*_all_units(queries, pool, n_pool), k, metric, schema)
     n_pivots = int(min(MAX_PIVOTS, max(1, math.isqrt(n_pool))))
     seeds = pool.orderBy(F.md5(F.col("item_id").cast("string").cast("binary"))).limit(n_pivots).select("item_vec").collect()
-    pivots = np.unique(np.array([r[0] for r in seeds], dtype=np.float64), axis=0)
+    drawn = np.array([r[0] for r in seeds], dtype=np.float64)
+    pivots = np.unique(drawn[np.isfinite(drawn).all(axis=1)], axis=0)
+    if not len(pivots):
+        pivots = np.zeros((1, drawn.shape[1]))
     if unit_length:
         pivots = unit_rows(pivots)
 
@@ -269,7 +278,8 @@ def _partitioned_top_k(queries: DataFrame, pool: DataFrame, k: int, metric: str,
                         limit = batch.column(2).to_numpy(zero_copy_only=False)
                         lengths = np.array([np.linalg.norm(v) for v in vector_matrix(batch.column(1))])
                         slack = 1e-6 * (1.0 + reach + lengths)  # floating-point error of the distances
-                        query, cell = np.nonzero(distance - radius[None, :] <= (limit + slack)[:, None])
+                        # Not "at most": an undefined distance or radius leaves no cell out.
+                        query, cell = np.nonzero(~(distance - radius[None, :] > (limit + slack)[:, None]))
                     else:
                         query, cell = np.arange(batch.num_rows), distance.argmin(axis=1)
                     index = pa.array(query, pa.int64())
@@ -303,9 +313,17 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None, :] - 2.0 * a @ b.T, 0.0))
 
 
-def _search_units(visits: DataFrame, items: DataFrame, k: int, metric: str, schema: T.StructType) -> DataFrame:
-    """Best ``k`` per query and unit. Queries of a busy unit are split, and the unit's items are repeated per split."""
-    load = visits.groupBy("cell", "unit").agg(F.ceil(F.count(F.lit(1)) / UNIT_QUERIES).cast("int").alias("splits"))
+def _all_units(queries: DataFrame, pool: DataFrame, n_pool: int) -> tuple[DataFrame, DataFrame]:
+    """Visits and items in which every query meets every unit of the pool."""
+    units = max(1, math.ceil(n_pool / UNIT_ITEMS))
+    asked = queries.toDF("id", "vec").select("id", "vec", F.lit(0).alias("cell"), F.explode(F.sequence(F.lit(0), F.lit(units - 1))).alias("unit"))
+    return asked, pool.toDF("id", "vec").select("id", "vec", F.lit(0).alias("cell"), F.pmod(F.xxhash64("id"), F.lit(units)).cast("int").alias("unit"))
+
+
+def _search_units(visits: DataFrame, items: DataFrame, k: int | None, metric: str, schema: T.StructType) -> DataFrame:
+    """Best ``k`` (None: all) per query and unit. Queries of a busy unit are split, and the unit's items are repeated per split."""
+    most = UNIT_QUERIES if k is not None else max(1, SCORES_IN_MEMORY // UNIT_ITEMS)
+    load = visits.groupBy("cell", "unit").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("splits"))
     unit = ["cell", "unit"]
     asked = visits.join(load, unit).withColumn("split", F.pmod(F.xxhash64("id"), F.col("splits")).cast("int"))
     offered = items.join(load, unit).withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
@@ -315,7 +333,8 @@ def _search_units(visits: DataFrame, items: DataFrame, k: int, metric: str, sche
         if left.num_rows == 0 or right.num_rows == 0:
             return arrow.empty_table()
         ids = right.column("id").combine_chunks().to_numpy(zero_copy_only=False)
-        found = list(best_rows_of(vector_matrix(left.column("vec")), vector_matrix(right.column("vec")), ids, k, metric))
+        asked, offered = vector_matrix(left.column("vec")), vector_matrix(right.column("vec"))
+        found = list(best_rows_of(asked, offered, ids, k, metric)) if k is not None else [(q, ids, row) for q, row in enumerate(score_matrix(asked, offered, metric))]
         query_ids = np.repeat(left.column("id").combine_chunks().to_numpy(zero_copy_only=False), [len(f[1]) for f in found])
         return pa.table(
             [pa.array(query_ids, arrow.field(0).type), pa.array(np.concatenate([f[1] for f in found]), arrow.field(1).type),

@@ -16,7 +16,14 @@ CORRUPT = "_corrupt_record"
 
 
 def _options() -> dict[str, str]:
-    return {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "allowNonNumericNumbers": "true"}
+    return {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "allowNonNumericNumbers": "true", "allowSingleQuotes": "false"}
+
+
+def _well_formed(text: Column) -> Column:
+    """Whether a text is one JSON value and no more. The parser stops at the end of a value, so the text is put between brackets."""
+    listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", _options())
+    named = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), "map<string,string>", _options())
+    return F.coalesce((F.size(listed) == 1) & (F.size(named) == 1), F.lit(False))
 
 
 def parse_lines(lines: DataFrame, schema: str, strict: bool = False, column: str = "value") -> DataFrame:
@@ -26,9 +33,9 @@ def parse_lines(lines: DataFrame, schema: str, strict: bool = False, column: str
     ``strict`` fail the job. All other columns of ``lines`` are kept.
     """
     text = strip(column)
-    rows = lines.filter(text != "").filter(F.startswith(text, F.lit("{")) | (F.lit(strict) & F.try_parse_json(text).isNull()))
+    malformed = ~_well_formed(text)
+    rows = lines.filter(text != "").filter(F.startswith(text, F.lit("{")) | (F.lit(strict) & malformed))
     rows = rows.withColumn("_row", F.from_json(text, f"{schema}, {CORRUPT} STRING", _options()))
-    malformed = F.col(f"_row.{CORRUPT}").isNotNull() & F.try_parse_json(text).isNull()
     if strict:
         message = F.concat(F.lit("malformed JSON line: "), F.substring(text, 1, 200))
         rows = rows.filter(F.when(malformed, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from earmark.operators.merging import remaining
-from earmark.sources.jsonl import append_ledger, write_jsonl
+from earmark.sources.jsonl import append_ledger, parse_lines, write_jsonl
 
 
 def run_pending(work: DataFrame, ledger: DataFrame, ledger_path: str, key: str, process: Callable[[DataFrame], DataFrame],
@@ -30,14 +30,15 @@ def process_new_files(
     The keys seen so far are the stream's state, so a key is processed once over all calls and no call reads the
     ledger. Each micro-batch writes its own folder of the ledger, named by its number and overwritten if the
     batch is run again; a restart after a failure never doubles rows. Failures that the ledger does not record
-    are retried with :func:`run_pending`.
+    are retried with :func:`run_pending`. Malformed lines and rows without a key are left out.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         results = process(batch)
         write_jsonl(results if record_failures else results.filter(F.col("status") == "ok"), f"{ledger_path}/batch={batch_id}", "overwrite")
 
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_batch).json(source)
+    lines = spark.readStream.option("maxFilesPerTrigger", max_files_per_batch).text(source)
+    stream = parse_lines(lines, schema).filter(F.trim(F.col(key).cast("string")) != "")
     query = (
         stream.dropDuplicates([key]).writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

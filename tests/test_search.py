@@ -33,17 +33,39 @@ def test_scan_is_exact(spark, vectors, metric):
     assert got == brute(*vectors, 7, metric)
 
 
-@pytest.mark.parametrize(("metric", "k"), [("cosine", 7), ("cosine", 250), ("l2", 7)])
-def test_partitioned_route_is_exact(spark, vectors, metric, k, monkeypatch):
-    monkeypatch.setattr(search, "MAX_BROADCAST_QUERIES", 10)
-    monkeypatch.setattr(search, "UNIT_ITEMS", 40)
-    monkeypatch.setattr(search, "UNIT_QUERIES", 9)
-    monkeypatch.setattr(search, "MAX_PIVOTS", 12)
+@pytest.fixture
+def small_units(monkeypatch):
+    for name, value in (("MAX_BROADCAST_QUERIES", 10), ("UNIT_ITEMS", 40), ("UNIT_QUERIES", 9), ("MAX_PIVOTS", 12)):
+        monkeypatch.setattr(search, name, value)
+
+
+@pytest.mark.parametrize(("metric", "k"), [("cosine", 7), ("cosine", 250), ("l2", 7), ("ip", 7)])
+def test_partitioned_route_is_exact(spark, vectors, metric, k, small_units):
     q, p = frames(spark, *vectors)
     got = {(r["query_id"], r["item_id"], r["rank"]) for r in search.top_k(q, p, k, metric).collect()}
     assert got == brute(*vectors, k, metric)
 
 
+@pytest.mark.parametrize("metric", ["cosine", "l2", "ip"])
+def test_both_routes_agree_on_undefined_vectors(spark, vectors, metric, small_units):
+    queries, pool = (v[:120].copy() for v in vectors)
+    pool[[1, 50]], pool[7], queries[[0, 30]], queries[5] = np.nan, 0, np.nan, 0
+    q, p = frames(spark, queries, pool)
+    got = {(r["query_id"], r["item_id"], r["rank"]) for r in search.top_k(q, p, 119, metric).collect()}
+    assert got == brute(queries, pool, 119, metric)
+    near = {(r["query_id"], r["item_id"], r["rank"]) for r in search.top_k(q, p, 3, metric).collect()}
+    assert near == brute(queries, pool, 3, metric)
+
+
+def test_scores_of_many_queries(spark, vectors, small_units, monkeypatch):
+    monkeypatch.setattr(search, "SCORES_IN_MEMORY", 400)
+    queries, pool = vectors
+    q, p = frames(spark, queries, pool)
+    got = {(r["query_id"], r["item_id"]): r["score"] for r in search.score_pool(q, p, "l2").collect()}
+    scores = search.score_matrix(queries, pool, "l2")
+    assert len(got) == scores.size and all(abs(got[i, j] - s) < 1e-8 for (i, j), s in np.ndenumerate(scores))
+
+
 def test_small_pools_and_empty_ones(spark, vectors, monkeypatch):
     queries, pool = vectors
     q, p = frames(spark, queries, pool[:3])

@@ -160,3 +160,9 @@ def test_schemas_are_valid():
 
     for name in (n for n in dir(schemas) if n.isupper()):
         assert len(StructType.fromDDL(getattr(schemas, name)).fields) > 0
+
+
+def test_only_whole_objects_are_rows(spark):
+    lines = ['{"a":1,"b":"x"} xyz', '{"a":2}{"a":3}', "{'a':4}", '{"a":NaN,"b":"kept"}', '{"a":5,"b":"}],"}', '{"a":6}]', '{"a":7}}', '{"a":8},null', '{"a":9},"w":2', '{"a":1,"a":10}', '{"a":11']
+    rows = spark.createDataFrame([(x,) for x in lines], "value STRING")
+    assert [(r["a"], r["b"]) for r in jsonl.parse_lines(rows, "a INT, b STRING").collect()] == [(None, "kept"), (5, "}],"), (10, None)]
