@@ -30,7 +30,68 @@ GRAMS_PER_LANGUAGE = 10_000
 #: log10 frequency of what a language has never had.
 FLOOR = -7.0
 _LETTERS = re.compile(r"[^\W\d_]+")
-_MEMO = 30_000
+#: Pieces of text between spaces whose evidence a task remembers, and their characters.
+_MEMO, _MEMO_CHARS = 100_000, 4_000_000
+_CHUNK = 1 << 14
+
+
+class _Evidence:
+    """For each piece of text between spaces, the log frequencies of its words summed by language, then the number of words.
+
+    What is remembered is bounded by ``_MEMO`` and ``_MEMO_CHARS`` besides the pieces of the text at hand.
+    """
+
+    def __init__(self, model: LanguageModel):
+        self.model = model
+        self.floor = len(model.table)
+        self.table = np.vstack([model.table, np.full(len(model.languages), FLOOR)])
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.rows = np.zeros((1024, len(self.model.languages) + 1))
+        self.chars = 0
+
+    def add(self, pieces: list[str]) -> None:
+        at: list[int] = []
+        weights: list[float] = []
+        ends, numbers = [], []
+        for piece in pieces:
+            number = 0
+            for word in _LETTERS.findall(piece):
+                rows = self.model.word_rows(word)
+                if rows is None:
+                    continue
+                number += 1
+                rows = rows or [self.floor]
+                at += rows
+                weights += [1.0 / len(rows)] * len(rows)
+            ends.append(len(at))
+            numbers.append(number)
+        used = len(self.place)
+        while used + len(pieces) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        made = self.rows[used : used + len(pieces)]
+        made[:] = 0.0
+        made[:, -1] = numbers
+        some = np.flatnonzero(made[:, -1])
+        if len(some):
+            starts = np.concatenate([[0], ends[:-1]])[some].astype(np.int64)
+            made[some, :-1] = np.add.reduceat(self.table[at] * np.array(weights)[:, None], starts, axis=0)
+        self.place.update(zip(pieces, range(used, used + len(pieces))))
+        self.chars += sum(map(len, pieces))
+
+    def total(self, parts: list[str]) -> np.ndarray:
+        if len(self.place) > _MEMO or self.chars > _MEMO_CHARS:
+            self.forget()
+        new = [piece for piece in dict.fromkeys(parts) if piece not in self.place]
+        for start in range(0, len(new), _CHUNK):
+            self.add(new[start : start + _CHUNK])
+        total = np.zeros(self.rows.shape[1])
+        for start in range(0, len(parts), _CHUNK):
+            part = parts[start : start + _CHUNK]
+            total += self.rows[np.fromiter(map(self.place.__getitem__, part), np.int64, len(part))].sum(axis=0)
+        return total
 
 
 class LanguageModel:
@@ -38,12 +99,16 @@ class LanguageModel:
 
     def __init__(self, languages: list[str], words: dict[str, int], grams: list[dict[str, int]], table: np.ndarray):
         self.languages, self.words, self.grams, self.table = languages, words, grams, table
-        self.memo: dict[str, int] = {}
+        self.evidence: _Evidence | None = None
 
     def __getstate__(self):
-        return {**self.__dict__, "memo": {}}
+        return {**self.__dict__, "evidence": None}
 
-    def _back_off(self, word: str) -> np.ndarray | None:
+    def word_rows(self, word: str) -> list[int] | None:
+        """Rows of the table that a word's score is the mean of: its own, or those of its longest known n-grams. None without a letter."""
+        row = self.words.get(word)
+        if row is not None:
+            return [row]
         if not word.isalpha():
             word = "".join(c for c in word if c.isalpha())
             if not word:
@@ -51,37 +116,17 @@ class LanguageModel:
         padded = f" {word} "
         for n in range(MAX_N, 0, -1):
             known, whole = self.grams[n - 1], padded if n > 1 else word
-            at = [known[g] for g in (whole[i : i + n] for i in range(len(whole) - n + 1)) if g in known]
+            at = [known[g] for g in [whole[i : i + n] for i in range(len(whole) - n + 1)] if g in known]
             if at:
-                return self.table[at].mean(axis=0)
-        return np.full(len(self.languages), FLOOR)
+                return at
+        return []
 
     def scores(self, text: str) -> np.ndarray | None:
-        """Mean log10 frequency by language; None without a letter."""
-        counts = Counter(_LETTERS.findall(text.lower()))
-        at, times = [], []
-        total, seen = np.zeros(len(self.languages)), 0
-        for word, count in counts.items():
-            row = self.words.get(word)
-            if row is not None:
-                at.append(row)
-                times.append(count)
-                continue
-            vector = self.memo.get(word)
-            if vector is None:
-                vector = self._back_off(word)
-                if vector is None:
-                    continue
-                if len(self.memo) >= _MEMO:
-                    self.memo.clear()
-                self.memo[word] = vector
-            total += count * vector
-            seen += count
-        if at:
-            weight = np.array(times, dtype=np.float64)
-            total += weight @ self.table[at]
-            seen += int(weight.sum())
-        return total / seen if seen else None
+        """Mean log10 frequency by language; None without a letter. No word reaches over a space, so pieces between spaces are added up."""
+        if self.evidence is None:
+            self.evidence = _Evidence(self)
+        total = self.evidence.total(text.lower().split())
+        return total[:-1] / total[-1] if total[-1] else None
 
     def predict(self, text: str | None) -> tuple[str, float]:
         mean = self.scores(text) if text and self.languages else None
