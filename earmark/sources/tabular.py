@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,19 +20,44 @@ BOM = "\ufeff"
 MATRIX_PATH = r"/([^/]+)_public/([^/]+)_seed(\d+)\.csv"
 
 
-def read_csv(spark: SparkSession, path: str | Sequence[str], sep: str = ",", required: Sequence[str] = ()) -> DataFrame:
-    """CSV with a header, all columns text. A byte-order mark is cut from the first name; required columns are checked."""
-    df = spark.read.option("header", True).option("sep", sep).option("multiLine", False).option("escape", '"').csv(path)
-    df = df.toDF(*[c.lstrip(BOM) for c in df.columns])
-    present = {c.lower() for c in df.columns}
-    missing = [c for c in required if c.lower() not in present]
-    if missing:
-        raise ValueError(f"missing columns {missing}; the file has {df.columns}")
-    return df
+def _files_by_header(spark: SparkSession, path: str | Sequence[str], **options) -> list[list[str]]:
+    """Files below ``path`` in groups that have the same first line; empty files are left out. One line a file reaches the driver."""
+    lines = spark.read.options(**options).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place"))
+    first = lines.groupBy("file").agg(F.min_by("value", "place").alias("header"))
+    groups: dict[str, list[str]] = {}
+    for file, header in first.collect():
+        plain = re.sub(r"([\\\[\]{}*?])", r"\\\1", unquote(file))
+        groups.setdefault(header.lstrip(BOM).rstrip("\r"), []).append(plain)
+    return [sorted(groups[h]) for h in sorted(groups)]
+
+
+def read_csv(
+    spark: SparkSession, path: str | Sequence[str], sep: str = ",", required: Sequence[str] = (), splittable: bool = False
+) -> DataFrame:
+    """CSV with a header, all columns text. Byte-order marks are cut from the names; required columns are checked.
+
+    Columns are matched by name, whatever the header of each file; a column that a file lacks is null there. Cells may hold line
+    breaks, so a file is read in one piece. With ``splittable`` all files have the header of the first, no cell holds a line
+    break, and large files are read by many tasks.
+    """
+
+    def read(files: str | Sequence[str]) -> DataFrame:
+        raw = spark.read.option("header", True).option("sep", sep).option("multiLine", not splittable).option("escape", '"')
+        df = raw.csv(files)
+        return df.toDF(*[c.lstrip(BOM) for c in df.columns])
+
+    groups = [] if splittable else _files_by_header(spark, path)
+    parts = [read(files) for files in groups] or [read(path)]
+    for part in parts:
+        present = {c.lower() for c in part.columns}
+        missing = [c for c in required if c.lower() not in present]
+        if missing:
+            raise ValueError(f"missing columns {missing}; the file has {part.columns}")
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
 
 
 def read_wide_tsv(spark: SparkSession, path: str | Sequence[str], required: Sequence[str]) -> DataFrame:
-    return read_csv(spark, path, sep="\t", required=required)
+    return read_csv(spark, path, sep="\t", required=required, splittable=True)
 
 
 def parse_ragged_lines(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -61,7 +89,7 @@ def long_labels(rows: DataFrame, threshold: float, key: str = "sample_key") -> D
 
 
 def read_long_labels(spark: SparkSession, path: str | Sequence[str], threshold: float = 0.5) -> DataFrame:
-    return long_labels(read_csv(spark, path, required=("sample_key", "instrument", "relevance")), threshold)
+    return long_labels(read_csv(spark, path, required=("sample_key", "instrument", "relevance"), splittable=True), threshold)
 
 
 def judged_rows(rows: DataFrame) -> DataFrame:
@@ -78,13 +106,23 @@ def read_judgements(spark: SparkSession, path: str | Sequence[str]) -> DataFrame
 
 
 def read_matrices(spark: SparkSession, path: str, schema: str, pattern: str = MATRIX_PATH) -> DataFrame:
-    """All metric matrices below ``path`` in one scan, with data set, arm and seed taken from each file's path.
+    """All metric matrices below ``path``, with data set, arm and seed taken from each file's path.
 
-    Columns are matched by the header of each file, so files may hold them in any order or lack some.
+    Columns are matched by the header of each file: files may hold them in any order, lack some (null) or have others (left out).
+    There is one scan for each distinct header. A cell that can't be read as its type is null.
     """
     typed = T.StructType.fromDDL(schema)
-    raw = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").schema(schema)
-    rows = raw.option("enforceSchema", False).csv(path).withColumn("_file", F.col("_metadata.file_path"))
+    below = {"recursiveFileLookup": True, "pathGlobFilter": "*.csv"}
+
+    def read(files: list[str]) -> DataFrame:
+        raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(files)
+        at = {c.lstrip(BOM).strip().lower(): i for i, c in enumerate(raw.columns)}
+        plain = raw.select(F.col("_metadata.file_path").alias("_file"), "*").toDF("_file", *[f"_{i}" for i in range(len(raw.columns))])
+        cells = {f.name: F.col(f"_{at[f.name.lower()]}") if f.name.lower() in at else F.lit(None) for f in typed.fields}
+        return plain.select("_file", *[cells[f.name].try_cast(f.dataType).alias(f.name) for f in typed.fields])
+
+    parts = [read(files) for files in _files_by_header(spark, path, **below)]
+    rows = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], f"_file STRING, {schema}")
     return rows.select(
         F.regexp_extract("_file", pattern, 1).alias("dataset"),
         F.regexp_extract("_file", pattern, 2).alias("arm"),

@@ -65,6 +65,25 @@ def test_csv_round_trip_of_hard_text(spark, tmp_path):
     assert rows == {"1": ('say "x", y', "0.333333"), "2": (None, None)}
 
 
+def test_sheets_are_matched_by_name_and_keep_line_breaks(spark, tmp_path):
+    write(tmp_path / "s a" / "1.csv", 'query_id,query_type,rank,relevance,notes\nq1,mood,1,2,"two\nlines"\n')
+    write(tmp_path / "s a" / "2.csv", "\ufeffrank,relevance,query_type,query_id\r\n3,1,mood,q2\r\n")
+    write(tmp_path / "s a" / "3.csv", "")
+    rows = tabular.read_csv(spark, str(tmp_path / "s a")).select("query_id", "rank", "notes")
+    assert sorted(tuple(r) for r in rows.collect()) == [("q1", "1", "two\nlines"), ("q2", "3", None)]
+    assert sorted((r["query_id"], r["rank"]) for r in tabular.read_judgements(spark, str(tmp_path / "s a")).collect()) == [("q1", 1), ("q2", 3)]
+    write(tmp_path / "s a" / "4.csv", "query_id,rank\nq3,1\n")
+    with pytest.raises(ValueError, match="missing columns"):
+        tabular.read_judgements(spark, str(tmp_path / "s a"))
+
+
+def test_matrices_by_header(spark, tmp_path):
+    write(tmp_path / "a_public" / "x_seed1.csv", "top_k,query_text,other\n5,piano,z\n")
+    write(tmp_path / "a_public" / "x_seed2.csv", 'query_text,ndcg,top_k\n"piano, soft",0.5,ten\n')
+    rows = tabular.read_matrices(spark, str(tmp_path), "query_text STRING, top_k INT, ndcg DOUBLE").orderBy("seed").collect()
+    assert [tuple(r) for r in rows] == [("a", "x", 1, "piano", 5, None), ("a", "x", 2, "piano, soft", None, 0.5)]
+
+
 def test_ragged_tsv(spark, tmp_path):
     path = write(tmp_path / "t.tsv", "TRACK_ID\tARTIST_ID\tALBUM_ID\tPATH\tDURATION\tTAGS\n"
                                      "track_1\ta\tb\t01\\1.mp3\t12.5\tinstrument---piano\t mood---calm \t\ntrack_2\ta\tb\t2.mp3\t3\n")
