@@ -12,19 +12,27 @@ from earmark.functions.keys import basename, blank_to_null
 from earmark.functions.text import strip_music_suffix
 from earmark.operators.classification import class_metrics, confusion_counts
 from earmark.operators.evaluation import metric_matrix, unlabelled_queries
-from earmark.operators.ordering import keep_one
 from earmark.operators.search import top_k
 
 Encode = Callable[[DataFrame, str, str], DataFrame]
 
 
 def gold_by_basename(gold: DataFrame, labels: Sequence[str] = LABEL_COLUMNS, order: str = "_ord") -> DataFrame:
-    """One row per file name (last gold row wins): 0/1 label columns, tempo class and predicted tempo class."""
+    """One row per file name: 0/1 label columns of the last gold row, the last known tempo class, and the last pair of true and
+    predicted class (pair_tempo, pair_predicted) of which both are known. Rows of equal order: the larger values win.
+    """
     rows = gold.filter(blank_to_null("source_path").isNotNull() & F.col("human_multihot").isNotNull()).select(
         basename("source_path").alias("basename"),
         *[(F.coalesce(F.try_element_at("human_multihot", F.lit(c)), F.lit(0)) != 0).cast("int").alias(c) for c in labels],
-        F.col("program_tempo.tempo_bin_bpm").alias("tempo"), F.col("program_tempo.tempo_clap_zeroshot").alias("tempo_predicted"), order)
-    return keep_one(rows, ["basename"], [order], keep="last").drop(order)
+        F.col("program_tempo.tempo_bin_bpm").alias("tempo"), F.col("program_tempo.tempo_clap_zeroshot").alias("predicted"), order)
+    known = F.col("tempo").isin(*TEMPO_LABELS)
+    last = rows.groupBy("basename").agg(
+        F.max(F.struct(order, *labels)).alias("row"),
+        F.max(F.when(known, F.struct(order, "tempo"))).alias("known"),
+        F.max(F.when(known & F.col("predicted").isin(*TEMPO_LABELS), F.struct(order, "tempo", "predicted"))).alias("pair"))
+    return last.select(
+        "basename", *[F.col("row")[c].alias(c) for c in labels], F.col("known.tempo").alias("tempo"),
+        F.col("pair.tempo").alias("pair_tempo"), F.col("pair.predicted").alias("pair_predicted"))
 
 
 def gold_pool(index: DataFrame, gold_rows: DataFrame) -> DataFrame:
@@ -53,7 +61,7 @@ def gold_matrix(index: DataFrame, gold: DataFrame, queries: DataFrame, encode: E
     """Metric matrix of all label (and tempo) queries over the labelled part of an index.
 
     ``index`` should be a stored embedding table: it is scanned for vectors once and for labels once more.
-    With tempo metrics every row also carries accuracy and macro F1 of the predicted tempo over the pool.
+    With tempo metrics every row also carries accuracy and macro F1 of the predicted tempo over the pool, null without any such song.
     """
     gold_rows = gold_by_basename(gold, labels, order)
     pool = gold_pool(index, gold_rows)
@@ -62,10 +70,11 @@ def gold_matrix(index: DataFrame, gold: DataFrame, queries: DataFrame, encode: E
     matrix = metric_matrix(prompts, ranked, pool_positives(pool, labels), pool, ks)
     if not with_tempo_metrics:
         return matrix
-    songs = pool.select("basename", "tempo", "tempo_predicted").dropDuplicates(["basename"])
-    confusion = confusion_counts(songs, "tempo", "tempo_predicted", TEMPO_LABELS)
+    songs = pool.select("basename", "pair_tempo", "pair_predicted").dropDuplicates(["basename"])
+    confusion = confusion_counts(songs, "pair_tempo", "pair_predicted", TEMPO_LABELS)
     overall = class_metrics(confusion).agg(F.struct(
-        F.max("accuracy").alias("accuracy"), F.max("macro_f1").alias("macro_f1"), F.sum("support").alias("n"))).scalar()
+        F.when(F.sum("support") > 0, F.max("accuracy")).alias("accuracy"), F.when(F.sum("support") > 0, F.max("macro_f1")).alias("macro_f1"),
+        F.sum("support").alias("n"))).scalar()
     return matrix.withColumns({
         "tempo_accuracy": overall["accuracy"], "tempo_macro_f1": overall["macro_f1"], "tempo_n_songs": overall["n"]})
 

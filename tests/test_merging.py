@@ -161,3 +161,13 @@ def test_repeated_records_give_each_key_once(spark):
     known = spark.createDataFrame([("a", 0.1), ("a", 0.2), ("b", 0.1), ("b", 0.9)], "audio STRING, confidence DOUBLE")
     assert [r[0] for r in work_list(disk, known, threshold=0.35).collect()] == ["a"]
     assert [r[0] for r in needs_refetch(disk, known, 0.35).collect()] == ["a"]
+
+
+def test_last_known_tempo_outlives_a_row_without_it(spark):
+    from earmark.plans.gold_evaluation import gold_by_basename
+
+    rows = [("d/a.mp3", {"inst_piano": 0}, ("slow", "fast"), 1), ("x/a.mp3", {"inst_piano": 1}, ("fast", "odd"), 2),
+            ("a.mp3", {"inst_piano": 1}, None, 3), ("b.mp3", {}, ("odd", "slow"), 1), ("c.mp3", None, ("slow", "slow"), 1)]
+    gold = spark.createDataFrame(rows, "source_path STRING, human_multihot MAP<STRING, INT>, program_tempo STRUCT<tempo_bin_bpm: STRING, tempo_clap_zeroshot: STRING>, _ord INT")
+    found = sorted(tuple(r) for r in gold_by_basename(gold, ["inst_piano"]).collect())
+    assert found == [("a.mp3", 1, "fast", "slow", "fast"), ("b.mp3", 0, None, None, None)]
