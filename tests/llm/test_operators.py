@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from earmark.llm import components, decontaminate, exact, langid, lines, lm, mixing, packing, queries, simhash, toxicity, wrappers
+from earmark.llm import components, decontaminate, exact, langid, lines, lm, minhash, mixing, packing, queries, simhash, toxicity, wrappers
 
 FOLDER = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, fp string, size string, _c0 int, tag int, root int"
@@ -103,6 +103,50 @@ def test_components_of_chains_and_stars(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def naive_copies(rows):
+    """Smallest id of each row's group, by comparing all pairs."""
+    def grams(text):
+        parts = (text or "").encode().lower().split()
+        return {tuple(parts[i : i + 5]) for i in range(len(parts) - 4)} or ({tuple(parts)} if parts else set())
+
+    sets = [grams(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    return {d: rows[find(i)][0] for i, (d, _) in enumerate(rows)}
+
+
+def test_edited_copies_leave_the_pipeline(spark, docs, odd, empty):
+    import corpus_pipeline as c
+
+    draw = random.Random(5)
+    rows = sample(docs, 300)
+    for k in range(20):
+        text = [f"w{draw.randrange(3000)}" for _ in range(400)]
+        rows.append((20_000 + 10 * k, " ".join(text)))
+        # Each is an edit of the one before: 8 words changed far from each other leave 356 of 436 shingles equal, 10 leave 346 of 446.
+        for n, edits in enumerate((8, 8, 10), 1):
+            text = list(text)
+            for e in range(edits):
+                text[10 + 30 * e + 7 * n] = f"x{n}e{e}"
+            rows.append((20_000 + 10 * k + n, " ".join(text)))
+    rows += [(30_000, None), (30_001, ""), (30_002, "a b"), (30_003, "A  b"), (30_004, "a c")]
+    df = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], docs.schema)
+    want = naive_copies(rows)
+    assert {r.id: r.component_id for r in minhash.near_copies(df).collect()} == want
+    kept = {r.doc_id for r in c.near_copies(spark, df, FOLDER).collect()}
+    assert kept == set(want.values()) and 20_000 in kept and not {20_001, 20_002} & kept and 20_003 in kept
+    assert minhash.near_copies(odd).count() == odd.count() and minhash.near_copies(empty).count() == 0
+
+
 # Decontamination
 
 
