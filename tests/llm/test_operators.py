@@ -429,6 +429,23 @@ def test_toxicity(spark, odd, empty):
     assert {r.score for r in toxicity.toxic_spans(odd, toxicity.fit(docs, labels.limit(0))).collect()} == {0.0}
 
 
+def test_lexicon_of_many_rare_toxic_words(spark):
+    """Each word is in 4 % of the toxic documents and in no clean one: too few for a normal test, yet certain."""
+    draw = random.Random(7)
+    rows, insults = [], [f"{a}{b}zq" for a, b in itertools.product("bdfgk", ("ama", "olo", "iri", "unu", "eve"))]
+    for i in range(1200):
+        text = [f"{chr(97 + draw.randrange(26))}w{draw.randrange(400)}" for _ in range(60)]
+        if i % 2:
+            text[draw.randrange(60)] = insults[i // 2 % 25]
+        rows.append((i, " ".join(text), i % 2))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df, df)
+    assert {b"=" + w.encode() for w in insults} <= model.ids.keys()
+    found = {r.id: r for r in toxicity.toxic_spans(df, model).collect()}
+    assert np.mean([found[i].score >= 0.5 for i in range(1, 1200, 2)]) > 0.95 and np.mean([found[i].score >= 0.5 for i in range(0, 1200, 2)]) < 0.05
+    assert np.mean([len(found[i].spans) > 0 for i in range(1, 1200, 2)]) > 0.95
+
+
 # Pages
 
 CHROME = [
