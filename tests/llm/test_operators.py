@@ -478,6 +478,18 @@ def test_pages_without_an_article(spark):
     assert got == {i: f"Story {i} goes on and on." for i in range(12)}
 
 
+@pytest.mark.parametrize("body", [
+    '<body><article class="post has-comments"><p>Text</article>', '<body><main class="no-sidebar"><p>Text</main>', '<body class="has-sidebar"><p>Text',
+    '<body><div id="page" class="site has-sidebar"><article><p>Text</article></div>', '<body><div id="page" class="site has-sidebar"><p>Text</div>',
+    '<body><div class="sidebar"><article class="menu"><p>Text</article></div>', "<article><p>Text</article>", "<p>Text", "Text"])
+def test_names_and_heads_lose_no_article(body):
+    for head in ("", "<head>", "<head><meta charset=utf-8><title>T</title><script>a='<p>'</script>", "<head><title>T</title></head>"):
+        page = f"<html>{head}{body}"
+        assert wrappers.main_text(page, wrappers.Rules.of(*wrappers.infer([page]))) == "Text"
+    page = '<body><p>Text<div class="site-footer">F</div><div class="related">R</div><div id="mainMenu">M</div>'
+    assert wrappers.main_text(page, wrappers.Rules.of(*wrappers.infer([page]))) == "Text"
+
+
 def test_wrapper_has_groups_and_slots():
     made, n = wrappers.infer(["<article><h1>A</h1><p>x<p>y</article>", "<article><h1>A</h1><p>z</p><ul><li>k</ul></article>", "<article><h1>A</h1><p>x<p>y</article>"])
     article = made.inside[0]
