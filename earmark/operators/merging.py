@@ -69,6 +69,14 @@ def positional_join(left: DataFrame, right: DataFrame, left_order: Sequence[str]
     return a.join(b, "row_idx")
 
 
+def join_numbered(left: DataFrame, right: DataFrame, number: str) -> DataFrame:
+    """Rows of two tables side by side by the number that each row has. Row counts must be equal; nothing is sorted."""
+    n_left, n_right = left.count(), right.count()
+    if n_left != n_right:
+        raise ValueError(f"row count mismatch: {n_left} and {n_right}; write both again together")
+    return left.join(right, number)
+
+
 def name_warnings(joined: DataFrame, left_name: str, right_name: str, labels: Sequence[str] = LABEL_COLUMNS) -> DataFrame:
     """One row: mismatched names, repeated names, and unreadable label cells of a positional join."""
     shown = F.coalesce(blank_to_null(left_name), blank_to_null(right_name))

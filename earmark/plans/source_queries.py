@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from earmark.constants import LABEL_COLUMNS, TEMPO_LABELS
+from earmark.functions.keys import resolve_path
 from earmark.functions.values import bin_value
-from earmark.operators.merging import instrument_flags
+from earmark.operators.merging import caption_map, instrument_flags, join_numbered
+from earmark.operators.ordering import keep_one
 from earmark.plans import standins as s
 from earmark.plans.registry import query, table
 from earmark.session import scratch_path
@@ -262,3 +264,81 @@ def labelling_sheet_export(spark: SparkSession, folder: str) -> DataFrame:
     cells = tabular.read_csv(spark, sheet_path, required=("song_name", *LABEL_COLUMNS))
     keys = jsonl.read_jsonl(spark, side_path, "row_key STRING, source_path STRING", strict=True)
     return cells.join(keys, "row_key").select("song_name", "source_path", "inst_piano", "mood_epic")
+
+
+def _json_file(rows: DataFrame, group: str, order: str, element: str, brackets: str, last: str, path: str) -> None:
+    """One JSON file for each value of ``group``: elements in order, each on lines of its own, between brackets."""
+    bounds = rows.select(group).distinct()
+    lines = rows.select(group, F.lit(1).alias("_part"), order, F.concat(F.col(element), F.lit(",")).alias("value"))
+    first = bounds.select(group, F.lit(0).alias("_part"), F.lit(None).cast("long").alias(order), F.lit(brackets[0]).alias("value"))
+    end = bounds.select(group, F.lit(2).alias("_part"), F.lit(None).cast("long").alias(order), F.lit(last + brackets[1]).alias("value"))
+    whole = lines.unionByName(first).unionByName(end).repartition(group).sortWithinPartitions(group, "_part", order)
+    whole.select(group, "value").write.partitionBy(group).text(path)
+
+
+@query("S3", "A1", sql="""
+WITH placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id % 3 ORDER BY md5(CAST(doc_id AS VARCHAR))) - 1 AS place FROM documents)
+SELECT doc_id, place, md5(coalesce(text, '')) AS text_md5, n_chars / 10.0 AS seconds FROM placed""")
+def json_array_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of one large array each, written with line breaks, brackets and commas in strings, cut into chunks and read by many tasks."""
+    d = table(spark, folder, "documents").withColumn("part", F.col("doc_id") % 3)
+    order = F.row_number().over(Window.partitionBy("part").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")))).cast("long")
+    element = F.to_json(
+        F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text"), (F.col("n_chars") / 10.0).alias("seconds"), F.array(F.lit("a]"), F.lit('"[{,')).alias("tags")), {"pretty": "true"})
+    path = scratch_path(spark, "arrays")
+    _json_file(d.select("part", order.alias("o"), element.alias("element")), "part", "o", "element", "[]", '7, "x,{", [1, 2], null', path)
+    rows = jsonl.read_json_array(spark, path, "doc_id BIGINT, text STRING, seconds DOUBLE", order="place", chunk=1 << 16)
+    return rows.select("doc_id", F.col("place.place").alias("place"), F.md5(F.col("text").cast("binary")).alias("text_md5"), "seconds")
+
+
+@query("S4", sql="""
+SELECT 'id "' || (p_partkey % 1500) || '"' AS key, arg_max(p_name, p_partkey) AS audio, arg_max(p_size, p_partkey) AS size FROM part GROUP BY 1""")
+def json_map_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of one large object each; of a repeated key the last entry counts."""
+    p = table(spark, folder, "part")
+    key = F.concat(F.lit('id "'), F.col("p_partkey") % 1500, F.lit('"'))
+    payload = F.to_json(F.struct(F.col("p_name").alias("audio"), F.col("p_size").alias("size"), F.array(F.lit("}, {"), F.lit("\\")).alias("other")))
+    quoted = F.concat(F.lit('"'), F.replace(key, F.lit('"'), F.lit('\\"')), F.lit('": '), payload)
+    path = scratch_path(spark, "maps")
+    _json_file(p.select(F.lit(0).alias("part"), F.col("p_partkey").alias("o"), quoted.alias("element")), "part", "o", "element", "{}", '"none": null', path)
+    rows = jsonl.read_json_map(spark, path, "struct<audio: string, size: int>", chunk=1 << 14)
+    return rows.filter("payload is not null").select("key", "payload.audio", "payload.size")
+
+
+def _shuffled_lines(rows: DataFrame, key: str, path: str) -> None:
+    """JSON lines in the order of a digest of the key, over as many files as the sort makes."""
+    rows.orderBy(F.md5(F.col(key).cast("string").cast("binary"))).write.json(path)
+
+
+@query("A1", "A2", "J6", "J4", sql="""
+WITH placed AS (SELECT *, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR))) AS o FROM documents),
+said AS (SELECT source, arg_max(lang || doc_id, o) AS text FROM placed WHERE n_chars % 3 > 0 GROUP BY source)
+SELECT source, arg_min(doc_id, o) AS first_id, arg_max(doc_id, o) AS last_id, count(*) - 1 AS n_duplicates, any_value(said.text) AS caption
+FROM placed LEFT JOIN said USING (source) GROUP BY source""")
+def file_order_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """First and last row of each repeated key, and the last caption that isn't blank, as the rows stand in the files."""
+    d = table(spark, folder, "documents")
+    path = scratch_path(spark, "ordered")
+    caption = F.when(F.col("n_chars") % 3 > 0, F.concat("lang", "doc_id")).otherwise(" ")
+    _shuffled_lines(d.select(F.col("source").alias("source_path"), "doc_id", caption.alias("text")), "doc_id", path)
+    rows = jsonl.read_jsonl(spark, path, "source_path STRING, doc_id BIGINT, text STRING", order="_ord")
+    first = keep_one(rows.select("source_path", F.col("doc_id").alias("first_id"), "_ord"), ["source_path"], ["_ord"]).drop("_ord")
+    last = keep_one(rows.select("source_path", F.col("doc_id").alias("last_id"), "_ord"), ["source_path"], ["_ord"], "last", "n_duplicates").drop("_ord")
+    captions = caption_map(rows, root="/").select(F.col("_key").alias("_song"), F.col("_new").alias("caption"))
+    both = first.join(last, "source_path").join(captions, resolve_path("source_path", "/") == F.col("_song"), "left")
+    return both.select(F.col("source_path").alias("source"), "first_id", "last_id", "n_duplicates", "caption")
+
+
+@query("J3", "A7", sql="""
+WITH a AS (SELECT *, row_number() OVER (ORDER BY md5(CAST(p_partkey AS VARCHAR))) - 1 AS line FROM part),
+b AS (SELECT *, row_number() OVER (ORDER BY md5(p_partkey || '')) - 1 AS line FROM part)
+SELECT a.line, a.p_partkey, b.p_name AS name FROM a JOIN b USING (line)""")
+def numbered_line_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Two files side by side by line number; numbers come from counts of the blocks, no row is sorted."""
+    p = table(spark, folder, "part")
+    left, right = scratch_path(spark, "left"), scratch_path(spark, "right")
+    _shuffled_lines(p.select("p_partkey"), "p_partkey", left)
+    _shuffled_lines(p.select("p_partkey", F.col("p_name").alias("name")), "p_partkey", right)
+    a = jsonl.read_jsonl(spark, left, "p_partkey BIGINT", line="line")
+    b = jsonl.read_jsonl(spark, right, "name STRING", line="line")
+    return join_numbered(a, b, "line")

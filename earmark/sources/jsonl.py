@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from earmark.constants import DEFAULT_QUERIES
 from earmark.functions.keys import blank_to_null, resolve_path, strip
-from earmark.operators.ordering import smallest
+from earmark.operators.ordering import keep_one, smallest
 from earmark.schemas import QUERY_SET
+from earmark.sources.file_order import number_lines, with_file_order
+from earmark.sources.json_scan import CHUNK, scan_elements
 
 CORRUPT = "_corrupt_record"
 
@@ -45,8 +47,16 @@ def parse_lines(lines: DataFrame, schema: str, strict: bool = False, column: str
     return rows.select(*kept, "_row.*").drop(CORRUPT)
 
 
-def read_jsonl(spark: SparkSession, path: str | Sequence[str], schema: str, strict: bool = False) -> DataFrame:
-    return parse_lines(spark.read.text(path), schema, strict)
+def read_jsonl(
+    spark: SparkSession, path: str | Sequence[str], schema: str, strict: bool = False, order: str | None = None, line: str | None = None,
+) -> DataFrame:
+    """Rows of JSON lines files. ``order`` names a column that sorts in file order, ``line`` one with the number of the line over all files."""
+    lines = spark.read.text(path)
+    if order or line:
+        lines = with_file_order(lines, order or "_ord")
+    if line:
+        lines = number_lines(lines, order or "_ord", line)
+    return parse_lines(lines if order or not line else lines.drop("_ord"), schema, strict)
 
 
 def usable_manifest(
@@ -82,9 +92,14 @@ def parse_array(lines: DataFrame, schema: str, column: str = "value") -> DataFra
     return parse_lines(exploded, schema)
 
 
-def read_json_array(spark: SparkSession, path: str | Sequence[str], schema: str) -> DataFrame:
-    """Files that hold one JSON array each. A file is one document, so many files are read in parallel."""
-    return parse_array(spark.read.text(path, wholetext=True), schema)
+def read_json_array(spark: SparkSession, path: str | Sequence[str], schema: str, order: str | None = None, chunk: int = CHUNK) -> DataFrame:
+    """Objects of files that hold one JSON array each; large files are read by many tasks.
+
+    ``order`` names a column for the file order (file, place of the element).
+    """
+    elements = scan_elements(spark, path, chunk).filter(F.col("root") == "[")
+    rows = parse_lines(elements.select(F.col("text").alias("value"), F.struct("file", "place").alias("_place")), schema)
+    return rows.withColumnRenamed("_place", order) if order else rows.drop("_place")
 
 
 def parse_object_map(lines: DataFrame, value_type: str, key: str = "key", value: str = "payload", column: str = "value") -> DataFrame:
@@ -93,8 +108,11 @@ def parse_object_map(lines: DataFrame, value_type: str, key: str = "key", value:
     return lines.select(*kept, F.explode(F.from_json(column, f"map<string,{value_type}>")).alias(key, value))
 
 
-def read_json_map(spark: SparkSession, path: str | Sequence[str], value_type: str) -> DataFrame:
-    return parse_object_map(spark.read.text(path, wholetext=True), value_type)
+def read_json_map(spark: SparkSession, path: str | Sequence[str], value_type: str, chunk: int = CHUNK) -> DataFrame:
+    """(key, payload) of files that hold one JSON object each; large files are read by many tasks. Of a repeated key the last entry counts."""
+    entries = scan_elements(spark, path, chunk).filter(F.col("root") == "{")
+    rows = parse_object_map(entries.select("file", "place", F.concat(F.lit("{"), "text", F.lit("}")).alias("value")), value_type)
+    return keep_one(rows, ["file", "key"], ["place"], "last").select("key", "payload")
 
 
 def valid_queries(rows: DataFrame) -> DataFrame:
