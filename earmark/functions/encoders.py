@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from earmark.operators.search import vector_matrix
+from earmark.session import pin
 
 Encoder = Callable[[list[str]], np.ndarray]
 
@@ -45,6 +48,19 @@ def encode_column(df: DataFrame, text: str, vector: str, load: Callable[[], Enco
     return df.mapInArrow(run, schema)
 
 
+def encode_columns(df: DataFrame, columns: Mapping[str, str], load: Callable[[], Encoder], batch_size: int = 256) -> DataFrame:
+    """Add a vector for each text column (``{text: vector}``). Each distinct text of all columns is encoded once, in one pass over one table.
+
+    The table of distinct texts is stored, and rows are joined to it. A null text has the vector of the empty text.
+    """
+    texts = [df.select(F.coalesce(F.col(c), F.lit("")).alias("_text")) for c in columns]
+    known = pin(encode_column(reduce(DataFrame.union, texts).distinct(), "_text", "_vec", load, batch_size), "texts")
+    for text, vector in columns.items():
+        own = known.select(F.col("_text").alias(f"_text_{vector}"), F.col("_vec").alias(vector))
+        df = df.join(own, F.coalesce(F.col(text), F.lit("")) == F.col(f"_text_{vector}"), "left").drop(f"_text_{vector}")
+    return df
+
+
 def project_features(df: DataFrame, features: str, vector: str, weights: np.ndarray) -> DataFrame:
     """Add ``vector`` = unit-length projection of cached features by a weight matrix."""
     schema = T.StructType([*df.schema.fields, T.StructField(vector, T.ArrayType(T.FloatType()))])

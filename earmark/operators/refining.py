@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from earmark.functions.encoders import Encoder, encode_column
+from earmark.functions.encoders import Encoder, encode_columns
 from earmark.functions.keys import blank_to_null, resolve_path
 from earmark.functions.vectors import cosine
 from earmark.operators.filters import gate
 from earmark.operators.merging import add_hard_duplicates, remaining
 from earmark.operators.ordering import keep_one
-from earmark.operators.sampling import mine_hard
+from earmark.operators.sampling import hard_ranks, mine_hard
 from earmark.session import pin
 
 Refine = Callable[[pd.Series], pd.Series]
@@ -46,10 +46,14 @@ def no_op() -> Callable[[], Refine]:
 
 def gate_refined(
     rows: DataFrame, item_vec: str, load_encoder: Callable[[], Encoder], min_sim_gain: float = 0.0, min_text_cos: float = 0.85,
-    strict: bool = True, old: str = "text_orig", new: str = "text_new",
+    strict: bool = True, old: str = "text_orig", new: str = "text_new", old_vec: str | None = None,
 ) -> DataFrame:
-    """Add the gate diagnostics of a refined text; both texts are encoded in the same batches as the rows."""
-    encoded = encode_column(encode_column(rows, old, "_old_vec", load_encoder), new, "_new_vec", load_encoder)
+    """Add the gate diagnostics of a refined text. Each distinct text is encoded once; ``old_vec`` names a column that has the old text's vector already."""
+    rows = pin(rows, "refined")
+    if old_vec is None:
+        encoded = encode_columns(rows, {old: "_old_vec", new: "_new_vec"}, load_encoder)
+    else:
+        encoded = encode_columns(rows, {new: "_new_vec"}, load_encoder).withColumn("_old_vec", F.col(old_vec))
     sims = encoded.withColumns({
         "_sim_old": cosine(item_vec, "_old_vec"), "_sim_new": cosine(item_vec, "_new_vec"), "_text_cos": cosine("_old_vec", "_new_vec")})
     return sims.withColumn("gate", gate("_sim_old", "_sim_new", "_text_cos", min_sim_gain, min_text_cos, strict)).drop(
@@ -94,10 +98,12 @@ def self_train_round(
     fraction: float = 0.2, min_sim_gain: float = 0.0, min_text_cos: float = 0.85, hard_weight: float = 2.0,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One round on (audio_path, text, vector): mined hard rows, gated rows, and the mixed manifest."""
-    scored = encode_column(train, "text", "_text_vec", load_encoder).withColumn("sim", cosine(item_vec, "_text_vec")).drop("_text_vec")
-    hard = mine_hard(scored, "sim", "audio_path", fraction).withColumn("text_orig", F.col("text"))
-    # Written, so that the refiner answers once, whichever results are used.
-    gated = pin(gate_refined(refine_rows(hard, "text_orig", load_refiner), item_vec, load_encoder, min_sim_gain, min_text_cos), "gated")
+    scored = encode_columns(train, {"text": "_text_vec"}, load_encoder).withColumn("sim", cosine(item_vec, "_text_vec"))
+    # The hard rows keep their vectors where they lie; their ranks are joined when the vectors are gone.
+    hard = mine_hard(scored, "sim", "audio_path", fraction, ranks=False).withColumn("text_orig", F.col("text"))
+    # Written, so that the refiner answers once, whichever results are used. The old text's vector is known from the mining.
+    refined_rows = refine_rows(hard, "text_orig", load_refiner)
+    gated = pin(gate_refined(refined_rows, item_vec, load_encoder, min_sim_gain, min_text_cos, old_vec="_text_vec").drop("_text_vec"), "gated")
     refined = accepted_rows(gated, iteration).withColumn("_ord", F.lit(0))
     mixed = add_hard_duplicates(train, hard, refined, iteration, hard_weight)
-    return hard, gated, mixed
+    return hard_ranks(hard.drop(item_vec, "_text_vec"), "sim", "audio_path"), gated.drop("_n"), mixed

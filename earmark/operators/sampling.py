@@ -7,14 +7,17 @@ rows themselves are only filtered, never ranked, shuffled or gathered.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from earmark.functions.keys import seeded_hash
-from earmark.functions.values import bin_value, tag_buckets
-from earmark.operators.ordering import PLACEMENT, keep_one, place, running, with_position
+from earmark.functions.values import tag_buckets
+from earmark.operators.ordering import join_null_safe, keep_one, with_position
+from earmark.operators.selection import smallest_cut
 from earmark.session import pin
 
 PREFIX_DIGITS = 4
@@ -77,34 +80,97 @@ def cap_per_tag(df: DataFrame, key: str, conditions: Mapping[str, Column], cap:
     return df.filter(keep)
 
 
+_SEP = "\x1f"
+
+
+def _joint_cutoffs(unique: DataFrame, digest: Column, target: int) -> tuple[list[tuple[str, str]], tuple[str, str] | None] | None:
+    """Cut-off digest of each bucket in turn, and of the rows that fill up ("fill") or are cut off ("cut") in the end.
+
+    None if there are ``target`` rows or fewer. ``unique`` has ``_buckets``. One pass counts rows by (set of buckets, digest prefix). On
+    that table the turns are bounded: a prefix that may hold a cut-off leaves the rows of the bucket there taken or not, so later
+    cut-offs lie in a range of prefixes. A second pass gets the digests of those prefixes only, and the turns are taken exactly.
+    """
+    named = unique.select(F.array_join("_buckets", _SEP).alias("s"), digest.alias("h")).withColumn("p", F.substring("h", 1, PREFIX_DIGITS))
+    counts = named.groupBy("s", "p").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    n_each = counts["n"].to_numpy()
+    if n_each.sum() <= target:
+        return None
+    sets, set_of = np.unique(np.array(counts["s"].to_pylist(), object), return_inverse=True)
+    prefixes, prefix_of = np.unique(np.array(counts["p"].to_pylist(), object), return_inverse=True)
+    rows = np.zeros((len(sets), len(prefixes)), np.int64)
+    rows[set_of, prefix_of] = n_each
+    present = sorted({b for s in sets for b in s.split(_SEP)})
+    members = {b: np.array([b in s.split(_SEP) for s in sets]) for b in present}
+    quota = max(1, target // len(present))
+
+    # Bounds: rows that are certainly open, and rows that may be.
+    least, most = rows.copy(), rows.copy()
+    doubtful = np.zeros(len(prefixes), bool)
+
+    def between(fewest: np.ndarray, mosts: np.ndarray, low: int, high: int) -> tuple[int, int]:
+        return int(np.searchsorted(mosts.cumsum(), max(low, 1))), int(np.searchsorted(fewest.cumsum(), max(high, 1)))
+
+    for bucket in present:
+        own = members[bucket]
+        first, last = between(least[own].sum(axis=0), most[own].sum(axis=0), quota, quota)
+        doubtful[first : last + 1] = True
+        least[own, :first] = most[own, :first] = 0
+        least[own, first : last + 1] = 0
+    low, high = target - int((rows - least).sum()), target - int((rows - most).sum())
+    if high > 0:
+        first, last = between(least.sum(axis=0), most.sum(axis=0), low, high)
+        doubtful[first : last + 1] = True
+    if low < 0:
+        first, last = between((rows - most).sum(axis=0), (rows - least).sum(axis=0), target, target)
+        doubtful[first : last + 1] = True
+
+    asked = unique.sparkSession.createDataFrame([(p,) for p in prefixes[doubtful]], "p STRING")
+    exact = named.join(F.broadcast(asked), "p").groupBy("s", "h").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    sure = ~doubtful[prefix_of]
+    place = np.concatenate([prefixes[prefix_of[sure]], np.array(exact["h"].to_pylist(), object)])
+    of_set = np.concatenate([set_of[sure], np.searchsorted(sets, np.array(exact["s"].to_pylist(), object))]).astype(np.int64)
+    n = np.concatenate([n_each[sure], exact["n"].to_numpy()])
+    order = np.argsort(place, kind="stable")
+    place, of_set, n = place[order], of_set[order], n[order]
+    taken = np.zeros(len(n), bool)
+
+    def cutoff(open_rows: np.ndarray, wanted: int) -> str:
+        upto = (n * open_rows).cumsum()
+        at = int(np.searchsorted(upto, wanted))
+        return place[at] if at < len(upto) else _ALL
+
+    turns = []
+    for bucket in present:
+        open_rows = members[bucket][of_set] & ~taken
+        turns.append((bucket, cutoff(open_rows, quota)))
+        taken |= open_rows & (place <= turns[-1][1])
+    n_taken = int(n[taken].sum())
+    if n_taken < target:
+        return turns, ("fill", cutoff(~taken, target - n_taken))
+    return turns, ("cut", cutoff(taken, target)) if n_taken > target else None
+
+
 def stratified_sample(df: DataFrame, key: str, target: int, labels: Column, seed: int = 42) -> DataFrame:
     """``target`` rows, the tags served in turn with equal quotas, then filled up from all other rows.
 
-    One row per key is kept first and written once, for the passes below. Tags are served in name order, ``none`` standing for untagged rows; a row
-    counts for the first tag that takes it. Each step is one more condition on the digest.
+    One row per key is kept first and written once. Tags are served in name order, ``none`` standing for untagged rows; a row
+    counts for the first tag that takes it. All quotas come from one table of counts and one look at the digests around the
+    cut-offs, whatever the number of tags; the sample is a filter on the digest.
     """
-    unique = pin(keep_one(df.withColumn("_buckets", tag_buckets(labels)), [key], [F.to_json(F.struct(*df.columns))]))
     if target <= 0:
         return df.limit(0)
-    sizes = unique.select(F.explode("_buckets").alias("b"), F.col("_buckets")[0].alias("first")).groupBy("b").agg(
-        F.count_if(F.col("b") == F.col("first")).alias("n")).collect()  # a row counts for its first bucket
-    if sum(r["n"] for r in sizes) <= target:
-        return unique.drop("_buckets")
-    present = sorted(r["b"] for r in sizes)
-    quota = max(1, target // len(present))
+    unique = pin(keep_one(df.withColumn("_buckets", tag_buckets(labels)), [key], [F.to_json(F.struct(*df.columns))]))
     digest = seeded_hash(seed, key)
+    found = _joint_cutoffs(unique, digest, target)
+    if found is None:
+        return unique.drop("_buckets")
+    turns, last = found
     taken = F.lit(False)
-    for bucket in present:
-        open_rows = F.array_contains("_buckets", bucket) & ~taken
-        cutoff = hash_cutoffs(unique, key, seed, {bucket: (open_rows, quota)})[bucket]
-        taken = taken | (open_rows & (digest <= cutoff))
-    n_taken = unique.filter(taken).count()
-    if n_taken < target:
-        cutoff = hash_cutoffs(unique, key, seed, {"fill": (~taken, target - n_taken)})["fill"]
-        taken = taken | (digest <= cutoff)
-    elif n_taken > target:
-        cutoff = hash_cutoffs(unique, key, seed, {"cut": (taken, target)})["cut"]
-        taken = taken & (digest <= cutoff)
+    for bucket, cutoff in turns:
+        taken = taken | (F.array_contains("_buckets", bucket) & ~taken & (digest <= cutoff))
+    if last is not None:
+        kind, cutoff = last
+        taken = taken | (digest <= cutoff) if kind == "fill" else taken & (digest <= cutoff)
     return unique.filter(taken).drop("_buckets")
 
 
@@ -124,25 +190,28 @@ def seeded_shuffle(df: DataFrame, key: str, seed: int) -> DataFrame:
     return df.orderBy(seeded_hash(seed, key), key)
 
 
-def mine_hard(df: DataFrame, sim: str, key: str, fraction: float = 0.2) -> DataFrame:
-    """The least similar ``max(1, ceil(n * fraction))`` rows, with error score, rank share and the mean over all rows.
+def mine_hard(df: DataFrame, sim: str, key: str, fraction: float = 0.2, ranks: bool = True) -> DataFrame:
+    """The least similar ``max(1, ceil(n * fraction))`` rows, with error score, rank share, and the means over all and over these rows.
 
-    ``key`` is unique. The rows are written once in range partitions; counts and ranks come from there.
+    ``key`` is unique; equal similarities go by key, nulls come first. The rows are written once; the cut-off comes from counts, and the
+    rows are filtered where they lie. Only (key, similarity) of the kept rows are ranked. Joining the ranks moves the kept rows:
+    with vectors in them, take ``ranks=False`` and :func:`hard_ranks` once the vectors are gone.
     """
     if not 0 < fraction <= 1:
         raise ValueError("fraction must be in (0, 1]")
-    order = [F.col(sim), F.col(key)]
-    placed = place(df, [], order)
-    totals = placed.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg(sim).alias("mean"))).scalar()
-    ranked = running(placed, [], order, [("_rank", "count", F.lit(1))]).drop(PLACEMENT)
-    ranked = ranked.withColumns({"_n": totals["n"], "mean_sim_all": totals["mean"]})
-    return (
-        ranked.filter(F.col("_rank") <= F.greatest(F.lit(1), F.ceil(F.col("_n") * F.lit(fraction))))
-        .withColumn("error_score", 1.0 - F.col(sim))
-        .withColumn("rank_pct", F.col("_rank") / F.col("_n"))
-        .withColumn("is_hard", F.lit(True))
-        .drop("_rank", "_n")
-    )
+    rows = pin(df)
+    cut = smallest_cut(rows, sim, key, lambda n: max(1, math.ceil(n * fraction)))
+    kept = rows.filter(cut.condition(sim, key)) if cut else rows.limit(0)
+    kept = kept.withColumns({
+        "mean_sim_all": F.lit(cut.mean_all if cut else None).cast("double"), "mean_sim_hard": F.lit(cut.mean if cut else None).cast("double"),
+        "error_score": 1.0 - F.col(sim), "is_hard": F.lit(True), "_n": F.lit(cut.n_all if cut else 0)})
+    return hard_ranks(kept, sim, key) if ranks else kept
+
+
+def hard_ranks(hard: DataFrame, sim: str, key: str) -> DataFrame:
+    """Mined rows with ``rank_pct``, their rank among all rows as a share."""
+    ranked = with_position(hard.select(key, sim), [], [F.col(sim), F.col(key)], "_rank").select(key, "_rank")
+    return join_null_safe(hard, ranked, [key]).withColumn("rank_pct", F.col("_rank") / F.col("_n")).drop("_rank", "_n")
 
 
 def representative_rows(df: DataFrame, group: str, order: Sequence[Column | str]) -> DataFrame:
@@ -166,7 +235,3 @@ def plan_segments(df: DataFrame, duration: str, step: float = 15.0, min_tail: fl
         rows.withColumn("start_sec", F.round(start, 3)).withColumn("end_sec", F.round(end, 3))
         .withColumn("duration_sec", F.round(end - start, 3)).filter(end > start)
     )
-
-
-def add_bin(df: DataFrame, value: str, out: str = "bin") -> DataFrame:
-    return df.withColumn(out, bin_value(value))

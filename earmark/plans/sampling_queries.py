@@ -110,7 +110,7 @@ def group_train_val_split(spark: SparkSession, folder: str) -> DataFrame:
 @query("W2", "V2", "A19", sql="WITH " + s.CENTROIDS + """, sims AS (
   SELECT e.vec_id, round(list_cosine_similarity(c.query_vec, CAST(e.embedding AS DOUBLE[])), 9) AS sim FROM embeddings e JOIN centroids c USING (label)),
 n AS (SELECT *, row_number() OVER (ORDER BY sim, vec_id) AS rk, count(*) OVER () AS n, avg(sim) OVER () AS mean_all FROM sims)
-SELECT vec_id, sim, round(1 - sim, 9) AS error_score, round(rk / n, 8) AS rank_pct, round(mean_all, 8) AS mean_sim_all
+SELECT vec_id, sim, round(1 - sim, 9) AS error_score, round(rk / n, 8) AS rank_pct, round(mean_all, 8) AS mean_sim_all, round(avg(sim) OVER (), 8) AS mean_sim_hard
 FROM n WHERE rk <= greatest(1, ceil(n * 0.2))""")
 def hard_pair_mining(spark: SparkSession, folder: str) -> DataFrame:
     """Least similar fifth of all pairs of an item and its prompt vector."""
@@ -119,7 +119,7 @@ def hard_pair_mining(spark: SparkSession, folder: str) -> DataFrame:
     hard = sampling.mine_hard(sims, "sim", "vec_id", 0.2)
     return hard.select(
         "vec_id", "sim", F.round("error_score", 9).alias("error_score"), F.round("rank_pct", 8).alias("rank_pct"),
-        F.round("mean_sim_all", 8).alias("mean_sim_all"))
+        F.round("mean_sim_all", 8).alias("mean_sim_all"), F.round("mean_sim_hard", 8).alias("mean_sim_hard"))
 
 
 @query("W2", sql="""

@@ -1,9 +1,12 @@
+import math
+import random
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from earmark.functions.keys import seeded_hash
-from earmark.operators import ordering, sampling
+from earmark.operators import ordering, sampling, selection
 
 
 @pytest.fixture(autouse=True)
@@ -176,3 +179,56 @@ def test_null_keys_are_kept(spark):
     assert got == {(None, 1): (1, 2), (None, 2): (2, 2), ("a", 3): (1, 1)}
     flagged = sampling.group_split(df, "key", 0.5)
     assert flagged.filter("is_val IS NULL").count() == 0
+
+
+def order_key(v):
+    return (0, 0.0) if v is None else (2, 0.0) if math.isnan(v) else (1, v)
+
+
+@pytest.mark.parametrize("limit", [10_000, 3])
+def test_smallest_cut_of_any_values(spark, limit, monkeypatch):
+    """Nulls, infinities, NaN, many equal values, values of very different size."""
+    monkeypatch.setattr(selection, "LIMIT_IN_ONE_TASK", limit)
+    draw = random.Random(3)
+    special = [None] * 5 + [math.nan] * 6 + [math.inf] * 4 + [-math.inf] * 3 + [0.5] * 60 + [-0.0, 0.0, 1e308, -1e308, 5e-324, 1e-300]
+    values = special + [draw.choice((1, 1e-9, 1e9)) * draw.gauss(0, 1) for _ in range(120)]
+    draw.shuffle(values)
+    rows = [(v, f"k{i:03}") for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "v DOUBLE, k STRING")
+    order = sorted(rows, key=lambda r: (order_key(r[0]), r[1]))
+    for n in (1, 4, 5, 6, 8, 9, 30, 80, 120, len(rows) - 11, len(rows) - 8, len(rows) - 3, len(rows)):
+        cut = selection.smallest_cut(df, "v", "k", lambda total: n)
+        assert sorted(r.k for r in df.filter(cut.condition("v", "k")).collect()) == sorted(k for _, k in order[:n]), n
+        known = [v for v, _ in order[:n] if v is not None]
+        mean = sum(known) / len(known) if known else None
+        assert cut.n == n and cut.n_all == len(rows) and (cut.mean is None if mean is None else cut.mean == pytest.approx(mean, nan_ok=True))
+    assert selection.smallest_cut(df.limit(0), "v", "k", lambda total: 3) is None
+
+
+def test_mining_moves_no_vector(spark):
+    rows = [(f"k{i}", (i * 37 % 100) / 100, [float(i)] * 8) for i in range(100)]
+    df = spark.createDataFrame(rows, "k STRING, sim DOUBLE, vec ARRAY<DOUBLE>")
+    hard = sampling.mine_hard(df, "sim", "k", 0.2, ranks=False)
+    plan = hard._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and hard.count() == 20
+    got = {r.k: r for r in sampling.hard_ranks(hard.drop("vec"), "sim", "k").collect()}
+    assert {k: r.rank_pct for k, r in got.items()} == {f"k{i}": pytest.approx(n / 100) for n, i in enumerate(sorted(range(100), key=lambda i: i * 37 % 100)[:20], 1)}
+    assert {round(r.mean_sim_hard, 9) for r in got.values()} == {0.095} and {round(r.mean_sim_all, 9) for r in got.values()} == {0.495}
+    assert sampling.mine_hard(df.limit(0), "sim", "k").count() == 0
+
+
+@pytest.mark.parametrize("digits", [1, 2, 4])
+def test_joint_quotas_at_any_prefix(spark, digits, monkeypatch):
+    """Short prefixes: many cut-offs share one, and later turns depend on earlier cuts inside it."""
+    from earmark.functions.values import public_label_map
+
+    monkeypatch.setattr(sampling, "PREFIX_DIGITS", digits)
+    draw = random.Random(digits)
+    names = ["inst_piano", "inst_vocal", "mood_relaxing"]
+    rows = [(f"p{i}", int(draw.random() < 0.5), int(draw.random() < 0.4), int(draw.random() < 0.3)) for i in range(400)]
+    df = spark.createDataFrame(rows, "audio_path STRING, gold_pub_piano INT, gold_pub_vocal INT, gold_pub_relaxing INT")
+    pdf = pd.DataFrame(rows, columns=["audio_path", *names])
+    pdf["b"] = [[n for n in names if r[n]] or ["none"] for _, r in pdf.iterrows()]
+    for target in (2, 7, 40, 150, 399):
+        got = sampling.stratified_sample(df, "audio_path", target, public_label_map(), seed=target)
+        assert {r["audio_path"] for r in got.collect()} == brute_stratified(pdf, target, target)
