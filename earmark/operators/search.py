@@ -7,6 +7,7 @@ before ranking: the order of float additions then cannot change a rank, and ties
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -143,26 +144,38 @@ def score_pool(
     return pool.mapInArrow(run, schema)
 
 
+ROUTES = ("scan", "cells", "bounds")
+
+
 def top_k(
     queries: DataFrame, pool: DataFrame, k: int, metric: str = "cosine", query_id: str = "query_id",
-    query_vec: str = "query_vec", item_id: str = "item_id", item_vec: str = "item_vec",
+    query_vec: str = "query_vec", item_id: str = "item_id", item_vec: str = "item_vec", route: str | None = None,
 ) -> DataFrame:
     """Best ``k`` pool items per query: query_id, item_id, score, rank (from 1). Exact for any number of queries.
 
     Null vectors take no part. A vector with NaN has no defined score: it counts as negative infinity, ties by id. A result of proven small size is marked for broadcast, so that a join with payload or labels scans the large
     side where it lies.
+
+    Routes: a scan of the pool for a query set within the bounds of a broadcast; for larger sets cells around pivots where vectors are
+    narrow enough for the triangle inequality to leave cells out, else bounds from one-byte components. ``route`` forces one of the last two.
     """
     if k <= 0:
         raise ValueError("k must be positive")
+    if route is not None and route not in ROUTES[1:]:
+        raise ValueError(f"route must be one of {ROUTES[1:]}")
     queries = queries.select(query_id, query_vec).filter(F.col(query_vec).isNotNull())
     pool = pool.select(item_id, item_vec).filter(F.col(item_vec).isNotNull())
-    bounded = _bounded_rows(queries, query_id, query_vec)
+    bounded = _bounded_rows(queries, query_id, query_vec) if route is None else None
     schema = _result_schema(queries, query_id, pool, item_id)
     if bounded is not None:
         best = best_rows(pool.mapInArrow(_scanner(*bounded, k, metric, _arrow_types(schema)), schema), k)
         return F.broadcast(best) if len(bounded[0]) * k <= MAX_BROADCAST_RESULTS else best
-    partial = _partitioned_top_k(queries.toDF("query_id", "query_vec"), pool.toDF("item_id", "item_vec"), k, metric, schema)
-    return best_rows(partial, k)
+    queries, pool = queries.toDF("query_id", "query_vec"), pool.toDF("item_id", "item_vec")
+    if route is None:
+        width = pool.select(F.size("item_vec")).first()
+        route = "cells" if width is None or metric != "ip" and width[0] <= CELLS_UP_TO else "bounds"
+    search = _partitioned_top_k if route == "cells" else _bounded_top_k
+    return best_rows(search(queries, pool, k, metric, schema), k)
 
 
 def best_rows(partial: DataFrame, k: int) -> DataFrame:
@@ -199,6 +212,8 @@ def _scanner(ids: list, matrix: np.ndarray, k: int, metric: str, arrow: pa.Schem
     return run
 
 
+# Widest vectors for which the triangle inequality leaves enough cells out.
+CELLS_UP_TO = 32
 # Partitioned route: pool rows per work unit, queries per work unit, number of pivots.
 UNIT_ITEMS = 20_000
 UNIT_QUERIES = 4_000
@@ -345,3 +360,156 @@ def _search_units(visits: DataFrame, items: DataFrame, k: int | None, metric: st
     key = [*unit, "split"]
     pairs = asked.select(*key, "id", "vec").groupBy(*key).cogroup(offered.select(*key, "id", "vec").groupBy(*key))
     return pairs.applyInArrow(run, schema)
+
+
+# Bounds route: bytes of the codes, or of the query vectors, of a work unit.
+UNIT_BYTES = 16 << 20
+_LEVELS = 127
+
+
+def _norms(matrix: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
+
+
+def encode_bytes(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes (int8), scale of each row, length of what the codes miss, and length of the row. Rows that aren't finite miss infinitely much."""
+    finite = np.isfinite(matrix).all(axis=1)
+    safe = np.where(finite[:, None], matrix, 0.0)
+    scale = np.abs(safe).max(axis=1, initial=0.0) / _LEVELS
+    codes = np.round(np.divide(safe, scale[:, None], out=np.zeros_like(safe), where=scale[:, None] > 0)).astype(np.int8)
+    miss = np.where(finite, _norms(safe - codes * scale[:, None]), np.inf)
+    return codes, scale, miss, np.where(finite, _norms(safe), np.inf)
+
+
+def score_bounds(
+    queries: np.ndarray, lengths: np.ndarray, codes: np.ndarray, scale: np.ndarray, miss: np.ndarray, item_lengths: np.ndarray, metric: str,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the rounded scores of all queries with all coded items; queries are float32 rows of the given lengths.
+
+    The inner product of a query with what a code misses is at most the product of their lengths; the rest allows for single precision.
+    """
+    near = (queries @ codes.T.astype(np.float32)).astype(np.float64) * scale
+    reach = item_lengths + miss
+    off = lengths[:, None] * (miss + reach * (1.2e-7 * (queries.shape[1] + 4)))
+    if metric == "l2":
+        squares = lengths[:, None] ** 2 + item_lengths[None, :] ** 2
+        near, off = np.minimum(2.0 * near - squares, 0.0), 2.0 * off + 1e-12 * squares
+    off = off + 4 * 10.0**-SCORE_DECIMALS
+    with np.errstate(invalid="ignore"):
+        return np.where(np.isfinite(off), near - off, -np.inf), np.where(np.isfinite(off), near + off, np.inf)
+
+
+def _coded(df: DataFrame, unit_length: bool) -> DataFrame:
+    """(id, code, scale, miss, length, same, undefined): vectors as bytes; equal vectors have equal digests."""
+    id_type = df.schema[0].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            raw = vector_matrix(batch.column(1))
+            matrix = unit_rows(raw) if unit_length else raw
+            codes, scale, miss, length = encode_bytes(matrix)
+            same = [hashlib.blake2b((row + 0.0).tobytes(), digest_size=16).digest() for row in raw]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scale), pa.array(miss), pa.array(length), pa.array(same, pa.binary()), pa.array(np.isnan(raw).any(axis=1))],
+                names=["id", "code", "scale", "miss", "length", "same", "undefined"])
+
+    return df.mapInArrow(run, f"id {id_type.simpleString()}, code binary, scale double, miss double, length double, same binary, undefined boolean")
+
+
+def _narrowed(df: DataFrame, unit_length: bool) -> DataFrame:
+    """(id, vec, length): query vectors in single precision; undefined ones have an infinite length."""
+    id_type = df.schema[0].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            matrix = vector_matrix(batch.column(1))
+            matrix = unit_rows(matrix) if unit_length else matrix
+            finite = (np.abs(matrix) < 1e30).all(axis=1)
+            safe = np.where(finite[:, None], matrix, 0.0)
+            length = np.where(finite, _norms(safe), np.where(np.isnan(matrix).any(axis=1), np.nan, np.inf))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in safe.astype(np.float32)], pa.binary()), pa.array(length)], names=["id", "vec", "length"])
+
+    return df.mapInArrow(run, f"id {id_type.simpleString()}, vec binary, length double")
+
+
+def _bounded_top_k(queries: DataFrame, pool: DataFrame, k: int, metric: str, schema: T.StructType) -> DataFrame:
+    """Exact search by a vector-approximation file: bytes are scanned, and only what their bounds leave open is scored.
+
+    Pool vectors become one byte a component, with the length of what that misses. Units of codes meet splits of the queries, both of
+    bounded bytes; in each, an item stays if its upper bound reaches the k-th best lower bound, and of equal vectors the k smallest ids stay. The
+    k-th best lower bound over all units cuts again, and what is left is scored by whole vectors. Vectors move once for that, codes once for
+    each split of the queries, single-precision queries once for each unit.
+    """
+    first = pool.select("item_vec").first()
+    if first is None:
+        return pool.sparkSession.createDataFrame([], schema)
+    unit_length, width = metric == "cosine", max(1, len(first[0]))
+    items, asked = pin(_coded(pool, unit_length), "codes"), pin(_narrowed(queries, unit_length), "asked")
+    units = max(1, math.ceil(items.count() * (width + 48) / UNIT_BYTES))
+    splits = max(1, math.ceil(asked.count() * (4 * width + 16) / UNIT_BYTES))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    offered = items.withColumns({"unit": F.pmod(F.xxhash64("id"), F.lit(units)).cast("int"), "split": each(splits)})
+    wanted = asked.withColumn("split", F.pmod(F.xxhash64("id"), F.lit(splits)).cast("int")).withColumn("unit", each(units))
+    ids = _arrow_types(schema)
+    out = pa.schema([ids.field(0), ids.field(1), ("lower", pa.float64()), ("upper", pa.float64())])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if left.num_rows == 0 or right.num_rows == 0:
+            return out.empty_table()
+        column = lambda t, c: t.column(c).combine_chunks().to_numpy(zero_copy_only=False)
+        item_ids, same = column(right, "id"), column(right, "same")
+        # Of equal vectors only the k smallest ids can be among the best k.
+        order = np.lexsort((item_ids, same))
+        starts = np.flatnonzero(np.r_[True, same[order][1:] != same[order][:-1]])
+        nth = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
+        keep = np.sort(order[nth < k])
+        item_ids, undefined = item_ids[keep], column(right, "undefined")[keep]
+        scale, miss, length = (column(right, c)[keep] for c in ("scale", "miss", "length"))
+        codes = np.frombuffer(b"".join(column(right, "code")), np.int8).reshape(right.num_rows, -1)[keep]
+        asking, query_ids, lengths = np.frombuffer(b"".join(column(left, "vec")), np.float32).reshape(left.num_rows, -1), column(left, "id"), column(left, "length")
+        smallest = np.argsort(item_ids)[:k]
+        found: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        step = max(1, SCORES_IN_MEMORY // (4 * max(1, len(item_ids))))
+        for start in range(0, len(asking), step):
+            lower, upper = score_bounds(asking[start : start + step], np.nan_to_num(lengths[start : start + step], nan=np.inf), codes, scale, miss, length, metric)
+            lower[:, undefined] = upper[:, undefined] = -np.inf
+            for q, (low, high) in enumerate(zip(lower, upper), start):
+                if np.isnan(lengths[q]):  # all scores are undefined, and ids decide
+                    found.append((q, smallest, np.full(len(smallest), -np.inf), np.full(len(smallest), -np.inf)))
+                    continue
+                kth = np.partition(low, len(low) - k)[len(low) - k] if len(low) > k else -np.inf
+                stays = np.flatnonzero((high >= kth) & (high > -np.inf))
+                if kth == -np.inf and undefined.any():
+                    stays = np.r_[stays, np.flatnonzero(undefined)[np.argsort(item_ids[undefined])[:k]]]
+                found.append((q, stays, low[stays], high[stays]))
+        return pa.table(
+            [pa.array(np.repeat(query_ids, [len(f[1]) for f in found]), ids.field(0).type), pa.array(item_ids[np.concatenate([f[1] for f in found])], ids.field(1).type),
+             pa.array(np.concatenate([f[2] for f in found])), pa.array(np.concatenate([f[3] for f in found]))], schema=out)
+
+    key = ["unit", "split"]
+    types = [schema[0].dataType.simpleString(), schema[1].dataType.simpleString()]
+    near = wanted.groupBy(*key).cogroup(offered.groupBy(*key)).applyInArrow(run, f"query_id {types[0]}, item_id {types[1]}, lower double, upper double")
+    near = pin(near, "near")
+    by_lower = Window.partitionBy("query_id").orderBy(F.col("lower").desc())
+    kth = near.select("query_id", "lower", F.row_number().over(by_lower).alias("n")).filter(F.col("n") == k).select("query_id", F.col("lower").alias("kth"))
+    left = pin(near.join(kth, "query_id", "left").filter(F.col("kth").isNull() | (F.col("upper") >= F.col("kth"))).select("query_id", "item_id"), "open")
+    pairs = left.join(pool, "item_id").join(queries, "query_id").select("query_id", "item_id", "query_vec", "item_vec")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            a, b = vector_matrix(batch.column(2)), vector_matrix(batch.column(3))
+            if metric == "cosine":
+                a, b = unit_rows(a), unit_rows(b)
+            raw = np.einsum("ij,ij->i", a, b)
+            if metric == "l2":
+                raw = -np.maximum(np.einsum("ij,ij->i", a, a) + np.einsum("ij,ij->i", b, b) - 2.0 * raw, 0.0)
+            exact = np.round(np.where(np.isnan(raw), -np.inf, raw), SCORE_DECIMALS) + 0.0
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(exact)], schema=ids)
+
+    return pairs.mapInArrow(score, schema)

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from earmark.operators import evaluation, search
+from earmark.session import pin
 
 
 def frames(spark, queries, pool):
@@ -57,6 +58,65 @@ def test_both_routes_agree_on_undefined_vectors(spark, vectors, metric, small_un
     assert near == brute(queries, pool, 3, metric)
 
 
+@pytest.mark.parametrize(("metric", "k"), [("cosine", 7), ("cosine", 250), ("l2", 7), ("ip", 7), ("ip", 1)])
+@pytest.mark.parametrize("unit_bytes", [16 << 20, 3000])
+def test_bounds_route_is_exact(spark, vectors, metric, k, unit_bytes, monkeypatch):
+    monkeypatch.setattr(search, "UNIT_BYTES", unit_bytes)
+    q, p = frames(spark, *vectors)
+    got = {(r["query_id"], r["item_id"], r["rank"]) for r in search.top_k(q, p, k, metric, route="bounds").collect()}
+    assert got == brute(*vectors, k, metric)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2", "ip"])
+def test_bounds_route_on_undefined_vectors(spark, vectors, metric, monkeypatch):
+    monkeypatch.setattr(search, "UNIT_BYTES", 3000)
+    queries, pool = (v[:120].copy() for v in vectors)
+    pool[[1, 50]], pool[7], queries[[0, 30]], queries[5] = np.nan, 0, np.nan, 0
+    pool[9, 2], pool[11, 1], queries[6, 0] = np.inf, -np.inf, np.inf
+    q, p = frames(spark, queries, pool)
+    for k in (119, 3):
+        got = {(r["query_id"], r["item_id"], r["rank"]) for r in search.top_k(q, p, k, metric, route="bounds").collect()}
+        with np.errstate(invalid="ignore"):
+            assert got == brute(queries, pool, k, metric)
+    assert search.top_k(q, p.limit(0), 3, metric, route="bounds").count() == 0 and search.top_k(q.limit(0), p, 3, metric, route="bounds").count() == 0
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2", "ip"])
+def test_wide_vectors_take_the_bounds_route_and_leave_little_open(spark, metric, monkeypatch):
+    monkeypatch.setattr(search, "MAX_BROADCAST_QUERIES", 10)
+    rng = np.random.default_rng(5)
+    pool, queries = rng.normal(size=(2000, 512)), rng.normal(size=(40, 512))
+    pinned = []
+    monkeypatch.setattr(search, "pin", lambda df, label="": pinned.append((label, made := pin(df, label))) or made)
+    q, p = frames(spark, queries, pool)
+    best = search.top_k(q, p, 5, metric)
+    assert {(r["query_id"], r["item_id"], r["rank"]) for r in best.collect()} == brute(queries, pool, 5, metric)
+    left = dict(pinned)["open"].count()
+    assert 40 * 5 <= left < 40 * 60  # of 80,000 pairs
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(6)
+    for scale in (1e-6, 1.0, 1e5):
+        a, b = scale * rng.normal(size=(30, 96)), scale * rng.standard_t(2, size=(200, 96))
+        a[3], b[4], b[5, 0] = 0, 0, 50 * scale
+        for metric in ("ip", "l2", "cosine"):
+            x, y = (search.unit_rows(a), search.unit_rows(b)) if metric == "cosine" else (a, b)
+            codes, step, miss, length = search.encode_bytes(y)
+            low, high = search.score_bounds(x.astype(np.float32), np.linalg.norm(x, axis=1), codes, step, miss, length, metric)
+            exact = search.score_matrix(a, b, metric)
+            assert (low <= exact).all() and (exact <= high).all() and (high - low).mean() < 0.5 * np.abs(exact).mean() + 1e-7
+
+
+def test_no_vector_moves_for_bounds(spark, vectors):
+    """Of the pool, bytes go to the units; single-precision vectors of the queries do."""
+    q, p = frames(spark, *vectors)
+    with pytest.raises(ValueError):
+        search.top_k(q, p, 5, route="scan")
+    rows = search._coded(p.select("item_id", "item_vec"), True)
+    assert [f.dataType.simpleString() for f in rows.schema.fields][1] == "binary" and rows.selectExpr("max(length(code))").first()[0] == 8
+
+
 def test_scores_of_many_queries(spark, vectors, small_units, monkeypatch):
     monkeypatch.setattr(search, "SCORES_IN_MEMORY", 400)
     queries, pool = vectors
