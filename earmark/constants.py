@@ -74,3 +74,8 @@ WHITESPACE = (
     " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
     "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
+
+# Tags with their label column and prompt, for each public data set. OpenMIC has no labels for relaxing.
+_PIANO, _VOCAL, _RELAXING = (
+    ("inst_piano", "gold_pub_piano", "piano"), ("inst_vocal", "gold_pub_vocal", "vocal"), ("mood_relaxing", "gold_pub_relaxing", "relaxing"))
+PUBLIC_TAGS = {"jamendo": (_PIANO, _VOCAL, _RELAXING), "mtat": (_PIANO, _VOCAL, _RELAXING), "openmic": (_PIANO, _VOCAL)}

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from earmark.operators.ordering import with_position
 from earmark.operators.search import score_matrix, vector_matrix
 
 
@@ -104,5 +105,53 @@ def zero_shot(
     return items.mapInArrow(run, schema)
 
 
+#: Bytes of the label vectors, or of the item vectors, that a task scores at a time.
+BLOCK_BYTES = 16 << 20
+
+
+def zero_shot_table(
+    items: DataFrame, prompts: DataFrame, key: str, vector: str, label: str = "label", label_vec: str = "label_vec", block_bytes: int | None = None
+) -> DataFrame:
+    """(key, pred, margin): label of the most similar prompt, ties to the smaller label, and its lead over the second; any number of labels.
+
+    A label table within ``block_bytes`` goes to all tasks. A larger one is cut into blocks that meet splits of the items; each block gives an
+    item's best two labels there, and the best two of all are merged by item.
+    """
+    most = block_bytes or BLOCK_BYTES
+    prompts = prompts.select(F.col(label).cast("string").alias("label"), F.col(label_vec).cast("array<double>").alias("vec")).filter(F.col("vec").isNotNull())
+    size = prompts.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("width")).first()
+    rows = items.select(F.col(key).alias("id"), F.col(vector).alias("vec")).filter(F.col("vec").isNotNull())
+    if size["n"] * (size["width"] or 1) * 8 <= most:
+        known = prompts.orderBy("label").collect()
+        if not known:
+            return rows.select(F.col("id").alias(key), F.lit(None).cast("string").alias("pred"), F.lit(None).cast("double").alias("margin"))
+        return zero_shot(rows, [r["vec"] for r in known], [r["label"] for r in known], "vec").select(F.col("id").alias(key), "pred", "margin")
+    per_block = max(1, most // (8 * size["width"]))
+    blocks = -(-size["n"] // per_block)
+    placed = with_position(prompts, [], ["label"], "place").withColumn("block", F.floor((F.col("place") - 1) / per_block).cast("int"))
+    splits = max(1, -(-rows.count() * size["width"] * 8 // most))
+    offered = placed.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
+    asked = rows.withColumns({"split": F.pmod(F.xxhash64("id"), F.lit(splits)).cast("int"), "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
+    id_type = rows.schema["id"].dataType.simpleString()
+    out = f"id {id_type}, best array<struct<score: double, place: bigint, label: string>>"
+
+    def best_two(left: pa.Table, right: pa.Table) -> pa.Table:
+        kind = pa.list_(pa.struct([("score", pa.float64()), ("place", pa.int64()), ("label", pa.string())]))
+        if left.num_rows == 0 or right.num_rows == 0:
+            return pa.table([left["id"].slice(0, 0), pa.array([], kind)], names=["id", "best"])
+        right = right.sort_by("place")
+        names, places = right["label"].to_pylist(), right["place"].to_pylist()
+        scores = score_matrix(vector_matrix(right["vec"]), vector_matrix(left["vec"]), "cosine").T
+        first = np.argsort(-scores, axis=1, kind="stable")[:, :2]
+        best = [[{"score": -float(row[j]), "place": places[j], "label": names[j]} for j in own] for row, own in zip(scores, first)]
+        return pa.table([left["id"], pa.array(best, kind)], names=["id", "best"])
+
+    met = asked.groupBy("block", "split").cogroup(offered.groupBy("block", "split")).applyInArrow(best_two, out)
+    # At most two for each block; scores are negative, so that the smallest is best.
+    merged = met.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("best"))).alias("best"))
+    margin = F.when(F.size("best") > 1, F.col("best")[1]["score"] - F.col("best")[0]["score"]).otherwise(F.lit(0.0))
+    return merged.select(F.col("id").alias(key), F.col("best")[0]["label"].alias("pred"), margin.alias("margin"))
+
+
 def df_fields(df: DataFrame) -> list[T.StructField]:
     return list(df.schema.fields)

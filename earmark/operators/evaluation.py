@@ -134,16 +134,25 @@ def prefix_queries(tags: Sequence[tuple[str, str]]) -> list[tuple[str, int, str,
 
 
 def composite_positives(pool: DataFrame, item_id: str, labels: str, queries: DataFrame) -> DataFrame:
-    """(query_id, item_id) pairs where an item has every tag of a composite query (``tag_ids``).
+    """(query_id, item_id) pairs where an item has every tag of a composite query (``tag_ids``), for any number of queries.
 
-    Queries grow by one tag at a time, so an item needs one pass over its labels: it matches all queries up to
-    the first tag it lacks. ``queries`` is a handful of rows and is folded into an array.
+    Relational division: items are listed by tag, and each query is joined to the items of its rarest tag; what such an item
+    has is then held against the query's other tags. A query without tags matches every item.
     """
-    specs = queries.select("query_id", "tag_ids").collect()
-    matches = F.array_compact(F.array(*[
-        F.when(F.forall(F.array(*[F.lit(t) for t in row["tag_ids"]]), lambda t: F.coalesce(F.try_element_at(as_col(labels), t), F.lit(0)) != 0),
-               F.lit(row["query_id"])) for row in specs]))
-    return pool.select(F.explode(matches).alias("query_id"), F.col(item_id).alias("item_id"))
+    item = F.col(item_id).alias("item_id")
+    tags = F.map_keys(F.map_filter(as_col(labels), lambda _, v: F.coalesce(v, F.lit(0)) != 0))
+    asked = queries.select("query_id", F.array_distinct("tag_ids").alias("tag_ids"))
+    bridge = pool.select(item, tags.alias("_tags")).select("item_id", "_tags", F.explode("_tags").alias("_tag"))
+    counts = bridge.groupBy("_tag").agg(F.count(F.lit(1)).alias("_n"))
+    wanted = asked.select("query_id", "tag_ids", F.explode("tag_ids").alias("_tag")).join(counts, "_tag", "left")
+    # A tag that no item has is the rarest.
+    rarest = wanted.groupBy("query_id", "tag_ids").agg(F.min_by("_tag", F.struct(F.coalesce("_n", F.lit(0)), F.col("_tag"))).alias("_tag"))
+    found = rarest.join(bridge, "_tag").filter(F.size(F.array_except("tag_ids", "_tags")) == 0).select("query_id", "item_id")
+    whole = asked.filter(F.size("tag_ids") == 0)
+    if whole.isEmpty():
+        return found
+    every = pool.select(item, F.lit(0).alias("_all")).join(whole.select("query_id", F.lit(0).alias("_all")), "_all")
+    return found.unionByName(every.select("query_id", "item_id"))
 
 
 def judged_scores(judged: DataFrame, k: int) -> DataFrame:

@@ -11,8 +11,9 @@ from earmark.constants import LABEL_COLUMNS, TEMPO_LABELS, TEMPO_QUERY_TEXTS
 from earmark.functions.keys import basename, blank_to_null
 from earmark.functions.text import strip_music_suffix
 from earmark.operators.classification import class_metrics, confusion_counts
-from earmark.operators.evaluation import metric_matrix, unlabelled_queries
+from earmark.operators.evaluation import metric_matrix
 from earmark.operators.search import top_k
+from earmark.session import pin
 
 Encode = Callable[[DataFrame, str, str], DataFrame]
 
@@ -60,11 +61,11 @@ def gold_matrix(index: DataFrame, gold: DataFrame, queries: DataFrame, encode: E
                 with_tempo_queries: bool = True, with_tempo_metrics: bool = False, order: str = "_ord") -> DataFrame:
     """Metric matrix of all label (and tempo) queries over the labelled part of an index.
 
-    ``index`` should be a stored embedding table: it is scanned for vectors once and for labels once more.
+    The labelled part of the index is joined once and stored; scan, counts, hits and songs read the columns they need of it.
     With tempo metrics every row also carries accuracy and macro F1 of the predicted tempo over the pool, null without any such song.
     """
     gold_rows = gold_by_basename(gold, labels, order)
-    pool = gold_pool(index, gold_rows)
+    pool = pin(gold_pool(index, gold_rows), "gold_pool")
     prompts = prompt_table(queries, labels, with_tempo_queries)
     ranked = top_k(encode(prompts, "query_text", "query_vec"), pool, max(ks))
     matrix = metric_matrix(prompts, ranked, pool_positives(pool, labels), pool, ks)
@@ -77,7 +78,3 @@ def gold_matrix(index: DataFrame, gold: DataFrame, queries: DataFrame, encode: E
         F.sum("support").alias("n"))).scalar()
     return matrix.withColumns({
         "tempo_accuracy": overall["accuracy"], "tempo_macro_f1": overall["macro_f1"], "tempo_n_songs": overall["n"]})
-
-
-def skipped_queries(queries: DataFrame, labels: Sequence[str] = LABEL_COLUMNS) -> DataFrame:
-    return unlabelled_queries(queries, labels)

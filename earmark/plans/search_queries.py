@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earmark.constants import TEMPO_LABELS
+from earmark.constants import PUBLIC_TAGS, TEMPO_LABELS
 from earmark.functions.encoders import encode_column, hash_encoder
 from earmark.functions.ranking import random_hit
 from earmark.functions.values import bin_value
 from earmark.functions.vectors import cosine
 from earmark.operators import classification, evaluation, search
+from earmark.plans import public_evaluation
 from earmark.plans import standins as s
 from earmark.plans.registry import query, table
 from earmark.session import pin
@@ -100,17 +101,37 @@ own AS (
 best AS (SELECT * FROM own QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) <= 5)"""
 
 
+def _text_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """One query an item: its vector, drawn to the mean of its label."""
+    pairs = s.items(spark, folder).join(s.label_queries(spark, folder).select("label", F.col("query_vec").alias("c")), "label")
+    return pairs.select(F.col("item_id").alias("query_id"), F.zip_with("item_vec", "c", lambda x, y: 0.25 * x.cast("double") + y).alias("query_vec"))
+
+
 @query("A20", sql="WITH " + _SELF + """
 SELECT round(count(*) FILTER (WHERE query_id = item_id) / (SELECT count(*) FROM embeddings), 8) AS hit_rate FROM best""")
 def self_retrieval_hit_rate(spark: SparkSession, folder: str) -> DataFrame:
     """Share of items that their own text vector finds among its five nearest."""
-    pairs = s.items(spark, folder).join(s.label_queries(spark, folder).select("label", F.col("query_vec").alias("c")), "label")
-    queries = pairs.select(F.col("item_id").alias("query_id"), F.zip_with("item_vec", "c", lambda x, y: 0.25 * x.cast("double") + y).alias("query_vec"))
-    best = search.top_k(queries, s.items(spark, folder), 5)
+    best = search.top_k(_text_vectors(spark, folder), s.items(spark, folder), 5)
     n = s.items(spark, folder).agg(F.count(F.lit(1)).alias("n")).scalar()
     return evaluation.self_hit_rate(best, n).select(F.round("hit_rate", 8).alias("hit_rate"))
 
 
+@query("T1", "A20", "W1", sql="WITH " + _SELF + """
+SELECT query_id, item_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM best""")
+def nearest_by_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    """Five nearest of every item's text vector by the route for large sets of wide vectors: bytes scanned, what their bounds leave open scored."""
+    return search.top_k(_text_vectors(spark, folder), s.items(spark, folder), 5, route="bounds")
+
+
+@query("V12", sql="WITH " + s.RANKED + """, two AS (
+  SELECT item_id, label, arg_max(query_label, score) AS pred, max(score, 2) AS best FROM scored GROUP BY 1, 2)
+SELECT item_id, 'label_' || pred AS pred, round(best[1] - best[2], 9) AS margin FROM two""")
+def zero_shot_label_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Most similar label of every item, with the labels cut into blocks of three."""
+    out = classification.zero_shot_table(s.items(spark, folder), s.label_queries(spark, folder), "item_id", "item_vec", "query_id", "query_vec", block_bytes=3 * 64 * 8)
+    return out.select("item_id", "pred", F.round("margin", 9).alias("margin"))
+
+
 @query("A19", "V2", sql="WITH " + s.CENTROIDS + """
 SELECT round(avg(list_cosine_similarity(c.query_vec, CAST(e.embedding AS DOUBLE[]))), 8) AS mean_similarity, count(*) AS n FROM embeddings e JOIN centroids c USING (label)""")
 def mean_pair_similarity(spark: SparkSession, folder: str) -> DataFrame:
@@ -213,6 +234,27 @@ def public_label_matrix(spark: SparkSession, folder: str) -> DataFrame:
     return _matrix(_prompts(spark, [("quality", "piano"), ("toxic", "vocal")]), pool.select("item_id", "item_vec"), positives)
 
 
+@query("V10", "A14", sql="WITH " + _HASHED + f""", bridge AS (
+  SELECT * FROM (VALUES {", ".join(f"('{d}', '{q}', '{c}', {_prompt_sql(repr(t))})" for d, tags in PUBLIC_TAGS.items() for q, c, t in tags)}) b(dataset, query_id, label, vec)),
+pools AS (SELECT *, ['jamendo', 'mtat', 'openmic'][doc_id % 3 + 1] AS dataset FROM hashed),
+s AS (SELECT p.dataset, b.query_id, p.doc_id, CASE b.label WHEN 'gold_pub_piano' THEN quality = 1 WHEN 'gold_pub_vocal' THEN toxic = 1 ELSE long END AS rel,
+        round(list_cosine_similarity(CAST(b.vec AS DOUBLE[]), CAST(p.vec AS DOUBLE[])), 9) AS score FROM bridge b JOIN pools p USING (dataset)),
+r AS (SELECT *, row_number() OVER (PARTITION BY dataset, query_id ORDER BY score DESC, doc_id) AS rank FROM s),
+m AS (SELECT dataset, query_id, count(*) AS n_pool, count(*) FILTER (WHERE rel) AS n_positive, count(*) FILTER (WHERE rel AND rank <= 10) / least(10, count(*)) AS p FROM r GROUP BY 1, 2)
+SELECT dataset, query_id, n_pool, n_positive, round(p, 8) AS precision_at_k, round(p - n_positive / n_pool, 8) AS precision_delta FROM m
+UNION ALL SELECT 'macro', query_id, count(*), NULL, round(avg(p), 8), round(avg(p - n_positive / n_pool), 8) FROM m GROUP BY query_id""")
+def public_sets_matrix(spark: SparkSession, folder: str) -> DataFrame:
+    """All public sets with the tags that each has, and the mean over the sets that have the tag."""
+    pool = _hashed_documents(spark, folder).select(
+        F.get(F.array(*[F.lit(d) for d in PUBLIC_TAGS]), (F.col("item_id") % 3).cast("int")).alias("dataset"), "item_id", "item_vec",
+        F.col("quality").alias("gold_pub_piano"), F.col("toxic").alias("gold_pub_vocal"), F.col("long").alias("gold_pub_relaxing"))
+    matrix = pin(public_evaluation.public_matrix(pool, public_evaluation.tag_bridge(spark), lambda df, text, vec: encode_column(df, text, vec, hash_encoder())))
+    macro = public_evaluation.macro_rows(matrix, ["precision_at_k", "precision_delta"])
+    rows = matrix.select("dataset", "query_id", "n_pool", "n_positive", "precision_at_k", "precision_delta").unionByName(
+        macro.select(F.lit("macro").alias("dataset"), "query_id", F.col("n_datasets").alias("n_pool"), F.lit(None).cast("bigint").alias("n_positive"), "precision_at_k", "precision_delta"))
+    return rows.withColumns({c: F.round(c, 8) for c in ("precision_at_k", "precision_delta")})
+
+
 @query("V11", "P5", sql="WITH " + _HASHED + f""", q AS (
   SELECT 'quality' AS query_id, 'quality' AS rel_kind, {_prompt_sql("'piano'")} AS vec UNION ALL SELECT 'quality;toxic', 'both', {_prompt_sql("'piano vocal'")}
   UNION ALL SELECT 'quality;toxic;long', 'all', {_prompt_sql("'piano vocal relaxing'")})""" + _METRIC_SQL)
@@ -239,9 +281,7 @@ def unlabelled_query_report(spark: SparkSession, folder: str) -> DataFrame:
 SELECT item_id, 'label_' || pred AS pred, round(best[1] - best[2], 9) AS margin FROM two""")
 def zero_shot_labels(spark: SparkSession, folder: str) -> DataFrame:
     """Most similar label of every item, with the margin over the second."""
-    prompts = s.label_queries(spark, folder).orderBy("label").collect()  # one row per label
-    items = s.items(spark, folder).select("item_id", "item_vec")
-    out = classification.zero_shot(items, [r["query_vec"] for r in prompts], [r["query_id"] for r in prompts], "item_vec")
+    out = classification.zero_shot_table(s.items(spark, folder), s.label_queries(spark, folder), "item_id", "item_vec", "query_id", "query_vec")
     return out.select("item_id", "pred", F.round("margin", 9).alias("margin"))
 
 
