@@ -64,6 +64,40 @@ def evaluation_coverage(present: DataFrame, datasets: Sequence[str], arms: Seque
     return rows.withColumn("eval_state", progress_state(F.col("n_done"), F.col("n_expected")))
 
 
+def audio_readiness(manifests: DataFrame, inventory: DataFrame, datasets: Sequence[str], path: str = "audio_path") -> DataFrame:
+    """Per data set: manifest rows, rows whose file is there, and done / partial / pending.
+
+    ``manifests`` has dataset and a path; ``inventory`` has path. A data set without a manifest is pending.
+    """
+    there = inventory.select(F.col("path").alias(path)).distinct().withColumn("_there", F.lit(True))
+    counted = manifests.join(there, path, "left").groupBy("dataset").agg(F.count(F.lit(1)).alias("n_rows"), F.count("_there").alias("n_ready"))
+    expected = manifests.sparkSession.createDataFrame([(d,) for d in datasets], "dataset STRING")
+    rows = expected.join(counted, "dataset", "left").fillna(0, ["n_rows", "n_ready"])
+    return rows.withColumn("prep_state", progress_state(F.col("n_ready"), F.col("n_rows")))
+
+
+def coverage_states(readiness: DataFrame, present: DataFrame, arms: Sequence[str], n_seeds: int) -> DataFrame:
+    """Preparation and evaluation of each data set: an evaluation that hasn't begun is next once the files are ready, else pending."""
+    names = [r["dataset"] for r in readiness.select("dataset").collect()]  # one row a data set
+    done = evaluation_coverage(present, names, arms, n_seeds).drop("eval_state")
+    idle = F.when(F.col("prep_state") == "done", F.lit("next")).otherwise(F.lit("pending"))
+    return readiness.join(done, "dataset").withColumn("eval_state", progress_state(F.col("n_done"), F.col("n_expected"), idle))
+
+
+def overall_state(states: DataFrame, report_exists: bool) -> DataFrame:
+    """One row: state of the whole evaluation, and expected results of the ready data sets against those there are."""
+    ready = F.col("prep_state") == "done"
+    totals = states.agg(
+        F.coalesce(F.sum(F.when(ready, F.col("n_expected"))), F.lit(0)).alias("n_expected"), F.coalesce(F.sum("n_done"), F.lit(0)).alias("n_done"),
+        F.count_if(ready).alias("n_prepared"), F.count_if(ready & (F.col("eval_state") != "done")).alias("_open"), F.count_if(F.col("prep_state") == "partial").alias("_partial"))
+    evaluated = (F.col("n_prepared") > 0) & (F.col("_open") == 0)
+    begun = (F.col("n_done") > 0) | (F.col("n_prepared") > 0)
+    state = (
+        F.when(F.lit(report_exists) & evaluated, F.lit("done")).when(begun & evaluated, F.lit("eval pending"))
+        .when(begun | (F.col("_partial") > 0), F.lit("partial")).otherwise(F.lit("pending")))
+    return totals.withColumn("state", state).drop("_open", "_partial")
+
+
 def step_states(steps: DataFrame, group: str, step: str = "step", done: str = "done", started: str | None = None) -> DataFrame:
     """State of ordered steps per group: done; the first unfinished is next (running if started); the rest pending."""
     open_before = running(
@@ -100,7 +134,7 @@ def early_stop(log: DataFrame, run: str, epoch: str, metric: str, patience: int
 def plateau_stop(
     log: DataFrame, run: str, iteration: str, metric: str, min_delta: float, patience: int, inner_ok: Column
 ) -> DataFrame:
-    """Per run: first iteration at which the outer loop stops, or null.
+    """Per run: first iteration at which the outer loop stops, as logged, or null.
 
     An iteration is stagnant if it gains less than ``min_delta`` over the one before. After ``patience``
     stagnant iterations in a row the loop stops if ``inner_ok`` holds there; otherwise the count starts again.
@@ -116,7 +150,7 @@ def plateau_stop(
     counted = running(paired, [run], [F.col(iteration)], [("_reset", "max", F.when(~F.col("_stagnant"), F.col("_no")))])
     length = F.col("_no") - F.col("_reset")
     stop = F.col("_stagnant") & (length % patience == 0) & F.col("_ok")
-    return counted.groupBy(run).agg(F.count(F.lit(1)).alias("n_iterations"), F.min(F.when(stop, F.col("_no"))).alias("stop_iteration"))
+    return counted.groupBy(run).agg(F.count(F.lit(1)).alias("n_iterations"), F.min(F.when(stop, F.col(iteration))).alias("stop_iteration"))
 
 
 def suffix_histogram(files: DataFrame, suffix: Column) -> DataFrame:

@@ -9,6 +9,7 @@ from earmark.functions.keys import file_suffix
 from earmark.operators import runs
 from earmark.plans import standins as s
 from earmark.plans.registry import query, table
+from earmark.session import pin
 
 
 @query("A22", sql="WITH " + s.TRAINING_LOG + """, u AS (SELECT run, epoch, coalesce(checkpoint_metric, val_similarity, train_similarity) AS m FROM training_log),
@@ -71,6 +72,31 @@ def evaluation_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("dataset", "n_home", "n_mixed", "n_done", "n_expected", "eval_state")
 
 
+@query("A24", "J13", sql="WITH " + s.METRICS + """, present AS (SELECT DISTINCT dataset, arm, seed FROM metrics WHERE dataset = 'A' OR (dataset = 'N' AND arm <> 'home')),
+d AS (SELECT unnest(['A', 'N', 'R', 'X']) AS dataset), m AS (SELECT ['A', 'N', 'R', 'V'][doc_id % 4 + 1] AS dataset, labels.doc_id IS NOT NULL AS labelled FROM documents LEFT JOIN labels USING (doc_id)),
+r AS (SELECT dataset, count(*) AS n_rows, count(*) FILTER (WHERE dataset <> 'N' OR labelled) AS n_ready FROM m GROUP BY 1),
+n AS (SELECT dataset, coalesce(n_rows, 0) AS n_rows, coalesce(n_ready, 0) AS n_ready, (SELECT count(*) FROM present p WHERE p.dataset = d.dataset) AS n_done FROM d LEFT JOIN r USING (dataset)),
+st AS (SELECT *, CASE WHEN n_rows > 0 AND n_ready >= n_rows THEN 'done' WHEN n_ready > 0 THEN 'partial' ELSE 'pending' END AS prep_state, 9 AS n_expected FROM n),
+e AS (SELECT *, CASE WHEN n_done >= n_expected THEN 'done' WHEN n_done > 0 THEN 'partial' WHEN prep_state = 'done' THEN 'next' ELSE 'pending' END AS eval_state FROM st)
+SELECT dataset, n_rows, n_ready, prep_state, n_done, CAST(n_expected AS BIGINT) AS n_expected, eval_state FROM e
+UNION ALL SELECT 'all', sum(n_rows), sum(n_ready), CASE WHEN count(*) FILTER (WHERE prep_state = 'done') > 0 THEN 'partial' ELSE 'pending' END, sum(n_done),
+  sum(n_expected) FILTER (WHERE prep_state = 'done'), CASE WHEN count(*) FILTER (WHERE prep_state = 'done' AND eval_state <> 'done') > 0 THEN 'partial' ELSE 'eval pending' END FROM e""")
+def evaluation_states(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of each data set against its manifest, finished evaluations against the grid, what is next, and the state of it all."""
+    rows = s.labelled(spark, folder)
+    dataset = F.get(F.array(*[F.lit(x) for x in "ANRV"]), (F.col("doc_id") % 4).cast("int"))
+    manifests = rows.select(dataset.alias("dataset"), F.col("audio").alias("audio_path"), "quality")
+    inventory = manifests.filter((F.col("dataset") != "N") | F.col("quality").isNotNull()).select(F.col("audio_path").alias("path"))
+    present = s.metrics(spark, folder).filter((F.col("dataset") == "A") | ((F.col("dataset") == "N") & (F.col("arm") != "home")))
+    ready = runs.audio_readiness(manifests, inventory, ["A", "N", "R", "X"])
+    columns = ["dataset", "n_rows", "n_ready", "prep_state", "n_done", F.col("n_expected").cast("bigint").alias("n_expected"), "eval_state"]
+    states = pin(runs.coverage_states(ready, present, ["pretrained", "home", "mixed"], 3).select(*columns))
+    totals = states.agg(F.struct(F.sum("n_rows").alias("n_rows"), F.sum("n_ready").alias("n_ready"))).scalar()
+    overall = runs.overall_state(states, report_exists=False).select(
+        F.lit("all").alias("dataset"), totals["n_rows"].alias("n_rows"), totals["n_ready"].alias("n_ready"), F.when(F.col("n_prepared") > 0, "partial").otherwise("pending").alias("prep_state"), "n_done", "n_expected", F.col("state").alias("eval_state"))
+    return states.unionByName(overall)
+
+
 @query("A25", sql="""
 WITH s AS (SELECT o_custkey, o_orderkey, o_orderstatus <> 'O' AS done, o_totalprice > 250000 AS started FROM orders),
 w AS (SELECT *, coalesce(sum(CAST(NOT done AS INTEGER)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS open FROM s)
@@ -104,14 +130,14 @@ def early_stopping(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("W6", sql="WITH RECURSIVE " + s.TRAINING_LOG + """,
-e AS (SELECT run, val_similarity AS m, event_type <> 'signup' AS ok, row_number() OVER (PARTITION BY run ORDER BY epoch) AS no FROM training_log),
+e AS (SELECT run, epoch, val_similarity AS m, event_type <> 'signup' AS ok, row_number() OVER (PARTITION BY run ORDER BY epoch) AS no FROM training_log),
 walk AS (
-  SELECT run, no, m, 0 AS stagnant, FALSE AS stop FROM e WHERE no = 1
+  SELECT run, epoch, no, m, 0 AS stagnant, FALSE AS stop FROM e WHERE no = 1
   UNION ALL
-  SELECT e.run, e.no, e.m, CASE WHEN NOT (e.m - w.m < 5) THEN 0 WHEN w.stagnant + 1 >= 2 AND NOT e.ok THEN 0 ELSE w.stagnant + 1 END,
+  SELECT e.run, e.epoch, e.no, e.m, CASE WHEN NOT (e.m - w.m < 5) THEN 0 WHEN w.stagnant + 1 >= 2 AND NOT e.ok THEN 0 ELSE w.stagnant + 1 END,
          e.m - w.m < 5 AND w.stagnant + 1 >= 2 AND e.ok
   FROM walk w JOIN e ON e.run = w.run AND e.no = w.no + 1 WHERE NOT w.stop)
-SELECT run, (SELECT count(*) FROM e WHERE e.run = w.run) AS n_iterations, min(no) FILTER (WHERE stop) AS stop_iteration FROM walk w GROUP BY 1""")
+SELECT run, (SELECT count(*) FROM e WHERE e.run = w.run) AS n_iterations, min(epoch) FILTER (WHERE stop) AS stop_iteration FROM walk w GROUP BY 1""")
 def plateau_stopping(spark: SparkSession, folder: str) -> DataFrame:
     """Where the outer loop of each run would stop; the SQL walks the loop step by step."""
     return runs.plateau_stop(s.training_log(spark, folder), "run", "epoch", "val_similarity", 5.0, 2, F.col("event_type") != "signup")

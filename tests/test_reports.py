@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from earmark.functions.encoders import hash_encoder, project_features
-from earmark.operators import ablation, classification, refining, runs
+from earmark.operators import ablation, classification, evaluation, refining, runs
 from earmark.operators.filters import classify_log
 from earmark.streaming import incremental
 
@@ -139,7 +139,7 @@ def test_plateau(spark):
     vals = {"ok": [0.1, 0.2, 0.2, 0.2, 0.2], "gain": [0.1, 0.2, 0.2, 0.5, 0.5], "late": [0.3, 0.3, 0.3, 0.3, 0.3, 0.3]}
     log = spark.createDataFrame([(r, i, v, not (r == "late" and i < 4)) for r, vs in vals.items() for i, v in enumerate(vs)], "run STRING, it INT, v DOUBLE, inner_ok BOOLEAN")
     got = {r["run"]: r["stop_iteration"] for r in runs.plateau_stop(log, "run", "it", "v", 0.01, 2, F.col("inner_ok")).collect()}
-    assert got == {"ok": 4, "gain": None, "late": 5}
+    assert got == {"ok": 3, "gain": None, "late": 4}  # iterations as logged, from 0
 
 
 def test_step_states(spark):
@@ -233,3 +233,158 @@ def test_late_start_and_nan_metrics(spark):
     assert (row["best_epoch"], row["stop_epoch"], row["best_metric"]) == (5, 8, 0.9)
     assert tuple(runs.best_epoch(log, "run", monitor="val_similarity").first()) == ("a", 9, 0.95)
     assert tuple(runs.best_epoch(log.filter("epoch < 9"), "run", monitor="val_similarity").first()) == ("a", 5, 0.9)
+
+
+def test_key_comes_again_after_the_state_is_gone(spark, tmp_path, monkeypatch):
+    source, ledger = (str(tmp_path / n) for n in ("in", "ledger"))
+    done = []
+
+    def process(rows):
+        done.extend(r["k"] for r in rows.select("k").collect())
+        return rows.withColumn("status", F.lit("ok"))
+
+    def arrive(checkpoint, *keys):
+        spark.createDataFrame([(k, 1.0) for k in keys], "k STRING, v DOUBLE").coalesce(1).write.mode("append").json(source)
+        incremental.process_new_files(spark, source, "k STRING, v DOUBLE", process, ledger, str(tmp_path / checkpoint), "k", buckets=5)
+
+    arrive("one", "a", "b", "a", "c")
+    arrive("one", "c", "d")
+    arrive("two", "a", "e")  # a new checkpoint sees all files again, and counts its batches from 0
+    assert sorted(done) == ["a", "b", "c", "d", "e"]
+    got = incremental.read_ledger(spark, ledger, "k STRING, v DOUBLE, status STRING").collect()
+    assert sorted(r["k"] for r in got) == ["a", "b", "c", "d", "e"] and len({r["batch"].split("-")[-1] for r in got}) == 2
+    state = tmp_path / "two" / "state"
+    assert not state.exists() or not any(p.suffix in (".delta", ".zip") for p in state.rglob("*"))  # the stream keeps none
+    incremental.compact_keys(spark, f"{ledger}_keys", str(tmp_path / "compact"), "k", "string")
+    spark.createDataFrame([("a", 1.0), ("f", 1.0)], "k STRING, v DOUBLE").coalesce(1).write.mode("append").json(source)
+    incremental.process_new_files(spark, source, "k STRING, v DOUBLE", process, ledger, str(tmp_path / "two"), "k", buckets=5, keys_path=str(tmp_path / "compact"))
+    assert sorted(done) == ["a", "b", "c", "d", "e", "f"]
+
+
+def test_batch_that_broke_off_is_done_again(spark, tmp_path, monkeypatch):
+    source, ledger, state = (str(tmp_path / n) for n in ("in", "ledger", "state"))
+    spark.createDataFrame([("a", 1.0), ("b", 1.0)], "k STRING, v DOUBLE").coalesce(1).write.json(source)
+    write = incremental.write_jsonl
+
+    def once(rows, path, mode):
+        write(rows, path, mode)
+        monkeypatch.setattr(incremental, "write_jsonl", write)
+        raise OSError("lost after the ledger was written")
+
+    monkeypatch.setattr(incremental, "write_jsonl", once)
+    run = lambda: incremental.process_new_files(spark, source, "k STRING, v DOUBLE", lambda r: r.withColumn("status", F.lit("ok")), ledger, state, "k")
+    with pytest.raises(Exception, match="lost"):
+        run()
+    run()
+    assert sorted(r["k"] for r in incremental.read_ledger(spark, ledger, "k STRING, status STRING").collect()) == ["a", "b"]
+
+
+def test_composite_positives_of_many_queries(spark):
+    import random
+
+    draw = random.Random(2)
+    tags = [f"t{i}" for i in range(60)]
+    items = [(i, {t: draw.choice((0, 1, 2, None)) for t in draw.sample(tags, 12)}) for i in range(150)]
+    queries = [(f"q{i}", draw.sample(tags, draw.randrange(1, 4)) + ["t0"] * (i % 2)) for i in range(10_000)] + [("none", []), ("absent", ["t1", "nowhere"]), ("twice", ["t2", "t2"])]
+    pool = spark.createDataFrame(items, "id INT, labels MAP<STRING, INT>")
+    got = evaluation.composite_positives(pool, "id", "labels", spark.createDataFrame(queries, "query_id STRING, tag_ids ARRAY<STRING>")).collect()
+    want = {(q, i) for q, ts in queries for i, labels in items if all(labels.get(t) for t in ts)}
+    assert {(r["query_id"], r["item_id"]) for r in got} == want and len(got) == len(want) > 5000 and sum(q == "none" for q, _ in want) == 150
+
+
+@pytest.mark.parametrize("blocks", [1, 7, 20])
+def test_zero_shot_over_blocks_of_labels(spark, blocks):
+    import numpy as np
+
+    rng = np.random.default_rng(blocks)
+    labels, vectors = [f"l{i:02}" for i in range(20)], rng.normal(size=(20, 4))
+    vectors[11] = vectors[3]  # a tie goes to the smaller label
+    items = np.vstack([rng.normal(size=(60, 4)), vectors[3:4], np.zeros((1, 4))])
+    prompts = spark.createDataFrame([(x, v.tolist()) for x, v in zip(labels, vectors)], "name STRING, vec ARRAY<DOUBLE>").repartition(3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(items)] + [(99, None)], "id INT, v ARRAY<DOUBLE>")
+    most = 8 * 4 * -(-20 // blocks)
+    got = {r["id"]: (r["pred"], r["margin"]) for r in classification.zero_shot_table(df, prompts, "id", "v", "name", "vec", most).collect()}
+    scores = np.round((vectors / np.linalg.norm(vectors, axis=1, keepdims=True) @ (items / np.maximum(np.linalg.norm(items, axis=1, keepdims=True), 1e-300)).T).T, 9)
+    for i, row in enumerate(scores):
+        order = np.argsort(-row, kind="stable")
+        assert got[i][0] == labels[order[0]] and got[i][1] == pytest.approx(row[order[0]] - row[order[1]])
+    assert len(got) == len(items)
+    assert classification.zero_shot_table(df, prompts.limit(0), "id", "v", "name", "vec").count() == len(items)
+
+
+def test_each_text_is_encoded_once(spark, tmp_path):
+    import numpy as np
+
+    from earmark.functions.encoders import encode_columns
+
+    folder = str(tmp_path)
+
+    def load():
+        def encode(texts):
+            with open(f"{folder}/{abs(hash(tuple(texts)))}-{len(texts)}", "a") as f:
+                f.write("".join(t + "\n" for t in texts))
+            return np.array([[len(t), 1.0] for t in texts]).reshape(-1, 2)
+
+        return encode
+
+    rows = [(i, f"old {i % 7}", f"new {i % 5}" if i % 3 else None) for i in range(200)] + [(200, "new 1", "old 1"), (201, None, "")]
+    df = spark.createDataFrame(rows, "id INT, a STRING, b STRING").repartition(6)
+    got = {r["id"]: (r["va"], r["vb"]) for r in encode_columns(df, {"a": "va", "b": "vb"}, load).collect()}
+    assert got == {i: ([float(len(a or "")), 1.0], [float(len(b or "")), 1.0]) for i, a, b in rows}
+    told = [line for f in tmp_path.iterdir() for line in f.read_text().split("\n")[:-1]]
+    assert sorted(told) == sorted({x or "" for _, a, b in rows for x in (a, b)})
+
+
+def test_a_round_encodes_each_text_once(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def load():
+        encode = hash_encoder()()
+
+        def noted(texts):
+            with open(f"{folder}/{abs(hash(tuple(texts)))}", "a") as f:
+                f.write("".join(t + "\n" for t in texts))
+            return encode(texts)
+
+        return noted
+
+    train = spark.createDataFrame([(f"p{i}", f"text {i % 8}", [float(i % 3) - 1, 1.0, 0.5, -0.5, 0.2, 0.1, 0.0, 0.3]) for i in range(20)], "audio_path STRING, text STRING, vec ARRAY<FLOAT>")
+    hard, gated, _ = refining.self_train_round(train, "vec", load, lambda: lambda texts: texts + "!", 0, fraction=0.5, min_text_cos=-1.0)
+    assert hard.count() == gated.count() == 10 and {"rank_pct", "mean_sim_hard"} <= set(hard.columns) and "vec" not in hard.columns
+    told = [line for f in tmp_path.iterdir() for line in f.read_text().split("\n")[:-1]]
+    assert len(told) == len(set(told)) and {t for t in told if not t.endswith("!")} == {f"text {i}" for i in range(8)}
+
+
+def test_plateau_of_a_log_that_starts_late(spark):
+    rows = [("a", i, m) for i, m in zip(range(4, 9), (0.5, 0.6, 0.6, 0.6, 0.6))]
+    log = spark.createDataFrame(rows, "run STRING, it INT, v DOUBLE")
+    assert runs.plateau_stop(log, "run", "it", "v", 0.01, 2, F.lit(True)).first()["stop_iteration"] == 7
+
+
+@pytest.mark.parametrize(("there", "results", "report", "state", "overall"), [
+    ((), (), False, ("pending", "pending"), "pending"), (("a1",), (), False, ("partial", "pending"), "partial"), (("a1", "a2"), (), False, ("done", "next"), "partial"),
+    (("a1", "a2"), (1,), False, ("done", "partial"), "partial"), (("a1", "a2"), (1, 2), False, ("done", "done"), "eval pending"), (("a1", "a2"), (1, 2), True, ("done", "done"), "done"),
+    (("a1",), (1, 2), True, ("partial", "done"), "partial")])
+def test_states_of_files_and_results(spark, there, results, report, state, overall):
+    manifests = spark.createDataFrame([("one", "a1"), ("one", "a2")], "dataset STRING, audio_path STRING")
+    inventory = spark.createDataFrame([(p,) for p in (*there, *there, "other")], "path STRING")
+    present = spark.createDataFrame([("one", "x", s) for s in results], "dataset STRING, arm STRING, seed INT")
+    ready = runs.audio_readiness(manifests, inventory, ["one", "two"])
+    states = runs.coverage_states(ready, present, ["x"], 2)
+    got = {r["dataset"]: (r["prep_state"], r["eval_state"]) for r in states.collect()}
+    assert got == {"one": state, "two": ("pending", "pending")}
+    assert runs.overall_state(states, report).first()["state"] == overall
+
+
+def test_public_sets_with_different_tags(spark):
+    from earmark.functions.encoders import encode_column
+    from earmark.plans import public_evaluation as public
+
+    rows = [(d, f"{d}{i}", [1.0, float(i)] + [0.1] * 6, int(i < 2), int(i % 2), 1) for d in ("jamendo", "openmic") for i in range(6)]
+    pools = spark.createDataFrame(rows, "dataset STRING, item_id STRING, item_vec ARRAY<DOUBLE>, gold_pub_piano INT, gold_pub_vocal INT, gold_pub_relaxing INT")
+    bridge = public.tag_bridge(spark).filter("dataset <> 'mtat'")
+    matrix = public.public_matrix(pools, bridge, lambda df, t, v: encode_column(df, t, v, hash_encoder()), (3,))
+    got = {(r["dataset"], r["query_id"]): (r["n_pool"], r["n_positive"]) for r in matrix.collect()}
+    assert got == {("jamendo", "inst_piano"): (6, 2), ("jamendo", "inst_vocal"): (6, 3), ("jamendo", "mood_relaxing"): (6, 6), ("openmic", "inst_piano"): (6, 2), ("openmic", "inst_vocal"): (6, 3)}
+    macro = {r["query_id"]: r["n_datasets"] for r in public.macro_rows(matrix, ["precision_at_k"]).collect()}
+    assert macro == {"inst_piano": 2, "inst_vocal": 2, "mood_relaxing": 1}
