@@ -16,8 +16,14 @@ def clamp_unit(value: Column | str) -> Column:
     return F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), as_col(value).try_cast("double"))), F.lit(0.0))
 
 
-def quantise_confidence(value: Column | str) -> Column:
-    """Confidence as stored: limited to [0, 1] and rounded half-even to two decimals."""
+def quantise_confidence(value: Column | str, from_text: bool = True) -> Column:
+    """Confidence as stored: limited to [0, 1] and rounded half-even to two decimals.
+
+    Records hold numbers; with ``from_text`` false, text is no confidence and counts as 0 even if it reads as a number.
+    """
+    value = as_col(value)
+    if not from_text:
+        value = F.when(F.typeof(value) != "string", value.cast("string"))
     return F.bround(clamp_unit(value), 2)
 
 

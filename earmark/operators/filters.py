@@ -123,6 +123,7 @@ LOG_MARKERS = (
     ("public_download", False, ("public-dl Slurm job", "public_eval backend driver")),
     ("public_eval", True, ("public ood",)),
     ("skip_train", False, ("SKIP_TRAIN=1",)),
+    ("skip_eval", False, ("SKIP_EVAL=1",)),
     ("error", False, ("ERROR:", "Traceback (most recent call last)")),
 )
 
@@ -130,7 +131,7 @@ LOG_MARKERS = (
 def classify_log(
     df: DataFrame, text: str = "value", fine_tune_runs: Sequence[str] = (), eval_modules: Sequence[str] = (), tail: int = 8
 ) -> DataFrame:
-    """Phase and state of whole job logs, one log per row, and their last non-blank lines.
+    """Phase and state of whole job logs, one log per row, the markers they hold (has_...), and their last non-blank lines.
 
     ``fine_tune_runs`` are run names whose mention marks a fine-tuning log, ``eval_modules`` module names whose
     mention marks an evaluation log.

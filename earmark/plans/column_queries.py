@@ -123,26 +123,26 @@ def label_sheet_upgrade(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("P12", sql="""
 WITH logs AS (SELECT doc_id, text || CASE lang WHEN 'fr' THEN E'\\nERROR: out of memory\\n' WHEN 'de' THEN E'\\nSKIP_TRAIN=1\\n\\nDone.\\n'
-                WHEN 'es' THEN E'\\nrun home_arm\\n  \\nDone.  ' ELSE E'\\nPublic OOD step 1\\n' END AS body FROM documents)
+                WHEN 'es' THEN E'\\nrun home_arm SKIP_EVAL=1\\n  \\nDone.  ' ELSE E'\\nPublic OOD step 1\\n' END AS body FROM documents)
 SELECT doc_id, CASE WHEN contains(lower(body), 'domain tradeoff') OR contains(body, 'home_arm') THEN 'domain_tradeoff'
          WHEN contains(lower(body), 'public ood') THEN 'public_ood_eval'
          WHEN contains(body, 'SKIP_TRAIN=1') THEN 'skipped_train' ELSE 'unknown' END AS phase,
        CASE WHEN contains(body, 'SKIP_TRAIN=1') THEN 'skipped' WHEN contains(body, 'ERROR:') THEN 'failed'
          WHEN contains(body, 'Done.') THEN 'completed' ELSE 'running' END AS state,
        least(8, len(list_filter(string_split(body, E'\\n'), lambda x: trim(x, E' \\t') <> ''))) AS n_tail,
-       md5(list_filter(string_split(body, E'\\n'), lambda x: trim(x, E' \\t') <> '')[-1]) AS last_line_md5
+       md5(list_filter(string_split(body, E'\\n'), lambda x: trim(x, E' \\t') <> '')[-1]) AS last_line_md5, contains(body, 'SKIP_EVAL=1') AS skips_evaluation
 FROM logs""")
 def job_log_states(spark: SparkSession, folder: str) -> DataFrame:
     """Phase, state and last lines of whole logs."""
     d = table(spark, folder, "documents")
     closing = (
         F.when(F.col("lang") == "fr", "\nERROR: out of memory\n").when(F.col("lang") == "de", "\nSKIP_TRAIN=1\n\nDone.\n")
-        .when(F.col("lang") == "es", "\nrun home_arm\n  \nDone.  ").otherwise("\nPublic OOD step 1\n"))
+        .when(F.col("lang") == "es", "\nrun home_arm SKIP_EVAL=1\n  \nDone.  ").otherwise("\nPublic OOD step 1\n"))
     logs = d.select("doc_id", F.concat("text", closing).alias("value"))
     rows = filters.classify_log(logs, fine_tune_runs=["home_arm"])
     return rows.select(
         "doc_id", "phase", "state", F.size("tail").cast("bigint").alias("n_tail"),
-        F.md5(F.element_at("tail", -1).cast("binary")).alias("last_line_md5"))
+        F.md5(F.element_at("tail", -1).cast("binary")).alias("last_line_md5"), F.col("has_skip_eval").alias("skips_evaluation"))
 
 
 _MESSY = "'  ./' || replace(url, '/', '\\') || ' '"

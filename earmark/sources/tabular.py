@@ -37,8 +37,8 @@ def read_csv(
     """CSV with a header, all columns text. Byte-order marks are cut from the names; required columns are checked.
 
     Columns are matched by name, whatever the header of each file; a column that a file lacks is null there. Cells may hold line
-    breaks, so a file is read in one piece. With ``splittable`` all files have the header of the first, no cell holds a line
-    break, and large files are read by many tasks.
+    breaks, so a file is read in one piece. With ``splittable`` no cell holds a line break, and large files are read by many tasks. Either way
+    files are read in groups that have one header, so columns in another order are still matched by name.
     """
 
     def read(files: str | Sequence[str]) -> DataFrame:
@@ -46,7 +46,7 @@ def read_csv(
         df = raw.csv(files)
         return df.toDF(*[c.lstrip(BOM) for c in df.columns])
 
-    groups = [] if splittable else _files_by_header(spark, path)
+    groups = _files_by_header(spark, path)
     parts = [read(files) for files in groups] or [read(path)]
     for part in parts:
         present = {c.lower() for c in part.columns}

@@ -60,6 +60,8 @@ def test_values(spark):
     assert col_of(spark, values.quantise_confidence(F.lit("1.7"))) == 1.0
     assert col_of(spark, values.quantise_confidence(F.lit("true"))) == 0.0
     assert col_of(spark, values.quantise_confidence(F.lit(0.126))) == 0.13
+    assert col_of(spark, values.quantise_confidence(F.lit("0.7"))) == 0.7 and col_of(spark, values.quantise_confidence(F.lit("0.7"), from_text=False)) == 0.0
+    assert col_of(spark, values.quantise_confidence(F.lit(0.7), from_text=False)) == 0.7
     assert [col_of(spark, values.parse_flag(F.lit(v))) for v in ("", " 1.0 ", "x", "2")] == [0, 1, 0, 2]
     assert [col_of(spark, values.parse_relevance(F.lit(v))) for v in ("", "2.5", "-1", "x")] == [None, 2.5, None, None]
     assert [col_of(spark, values.bin_value(F.lit(v))) for v in (79.9, 80.0, 120.0, 120.1)] == ["slow", "mid-tempo", "mid-tempo", "fast"]

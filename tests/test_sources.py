@@ -185,3 +185,13 @@ def test_only_whole_objects_are_rows(spark):
     lines = ['{"a":1,"b":"x"} xyz', '{"a":2}{"a":3}', "{'a':4}", '{"a":NaN,"b":"kept"}', '{"a":5,"b":"}],"}', '{"a":6}]', '{"a":7}}', '{"a":8},null', '{"a":9},"w":2', '{"a":1,"a":10}', '{"a":11']
     rows = spark.createDataFrame([(x,) for x in lines], "value STRING")
     assert [(r["a"], r["b"]) for r in jsonl.parse_lines(rows, "a INT, b STRING").collect()] == [(None, "kept"), (5, "}],"), (10, None)]
+
+
+def test_splittable_tables_with_headers_in_another_order(spark, tmp_path):
+    write(tmp_path / "t" / "a.tsv", "clip_id\tpiano\tmp3_path\n1\t1\ta.mp3\n")
+    write(tmp_path / "t" / "b.tsv", "﻿mp3_path\tpiano\tclip_id\nb.mp3\t0\t2\n")
+    rows = tabular.read_wide_tsv(spark, str(tmp_path / "t"), ("clip_id", "piano", "mp3_path")).collect()
+    assert sorted((r["clip_id"], r["piano"], r["mp3_path"]) for r in rows) == [("1", "1", "a.mp3"), ("2", "0", "b.mp3")]
+    write(tmp_path / "t" / "c.tsv", "clip_id\tmp3_path\n3\tc.mp3\n")
+    with pytest.raises(ValueError):
+        tabular.read_wide_tsv(spark, str(tmp_path / "t"), ("clip_id", "piano", "mp3_path"))
