@@ -79,8 +79,8 @@ n AS (SELECT dataset, coalesce(n_rows, 0) AS n_rows, coalesce(n_ready, 0) AS n_r
 st AS (SELECT *, CASE WHEN n_rows > 0 AND n_ready >= n_rows THEN 'done' WHEN n_ready > 0 THEN 'partial' ELSE 'pending' END AS prep_state, 9 AS n_expected FROM n),
 e AS (SELECT *, CASE WHEN n_done >= n_expected THEN 'done' WHEN n_done > 0 THEN 'partial' WHEN prep_state = 'done' THEN 'next' ELSE 'pending' END AS eval_state FROM st)
 SELECT dataset, n_rows, n_ready, prep_state, n_done, CAST(n_expected AS BIGINT) AS n_expected, eval_state FROM e
-UNION ALL SELECT 'all', sum(n_rows), sum(n_ready), CASE WHEN count(*) FILTER (WHERE prep_state = 'done') > 0 THEN 'partial' ELSE 'pending' END, sum(n_done),
-  sum(n_expected) FILTER (WHERE prep_state = 'done'), CASE WHEN count(*) FILTER (WHERE prep_state = 'done' AND eval_state <> 'done') > 0 THEN 'partial' ELSE 'eval pending' END FROM e""")
+UNION ALL SELECT 'all', CAST(sum(n_rows) AS BIGINT), CAST(sum(n_ready) AS BIGINT), CASE WHEN count(*) FILTER (WHERE prep_state = 'done') > 0 THEN 'partial' ELSE 'pending' END, CAST(sum(n_done) AS BIGINT),
+  CAST(sum(n_expected) FILTER (WHERE prep_state = 'done') AS BIGINT), CASE WHEN count(*) FILTER (WHERE prep_state = 'done' AND eval_state <> 'done') > 0 THEN 'partial' ELSE 'eval pending' END FROM e""")
 def evaluation_states(spark: SparkSession, folder: str) -> DataFrame:
     """Files of each data set against its manifest, finished evaluations against the grid, what is next, and the state of it all."""
     rows = s.labelled(spark, folder)

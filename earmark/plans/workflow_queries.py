@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from earmark.constants import DEFAULT_QUERIES, LABEL_COLUMNS, TEMPO_LABELS, TEMPO_QUERY_TEXTS
+from earmark.constants import DEFAULT_QUERIES, LABEL_COLUMNS, TEMPO_LABELS, TEMPO_PROMPTS, TEMPO_QUERY_TEXTS
 from earmark.functions.encoders import encode_column, hash_encoder
-from earmark.plans import corpus, gold_evaluation
+from earmark.functions.values import bin_value
+from earmark.plans import corpus, gold_evaluation, public_manifests, tempo_evaluation
 from earmark.plans import standins as s
 from earmark.plans.incremental_queries import _VEC
 from earmark.plans.merging_queries import GOLD_SQL, _gold
 from earmark.plans.registry import query, table
-from earmark.session import pin
+from earmark.session import pin, scratch_path
 from earmark.sources.jsonl import read_queries
 from earmark.sources.stores import embedding_rows
 
@@ -88,3 +89,102 @@ def mixed_corpus_counts(spark: SparkSession, folder: str) -> DataFrame:
     home = table(spark, folder, "part").select(F.concat(F.lit("home/"), "p_partkey").alias("audio_path"), F.col("p_name").alias("text"))
     candidates = corpus.public_candidates(public, holdout)
     return corpus.domain_counts(corpus.mixed_manifest(home, {"public": candidates}, mix_ratio=0.05))
+
+
+_TEMPO = "CASE WHEN {0} < 80 THEN 'slow' WHEN {0} <= 120 THEN 'mid-tempo' ELSE 'fast' END"
+_TEMPO_SCORES = ", ".join(
+    f"round(list_cosine_similarity({_VEC.format(repr(p))}, {_VEC.format('path')}), 9) AS s{i}" for i, p in enumerate(TEMPO_PROMPTS))
+_TEMPO_BEST = "CASE WHEN {0}s0 >= {0}s1 AND {0}s0 >= {0}s2 THEN 'slow' WHEN {0}s1 >= {0}s2 THEN 'mid-tempo' ELSE 'fast' END"
+_TEMPO_METRICS = """classes AS (SELECT unnest(['slow', 'mid-tempo', 'fast']) AS l),
+f AS (SELECT l, count(*) FILTER (WHERE gt = l AND pred = l) AS tp, count(*) FILTER (WHERE gt = l) AS sup, count(*) FILTER (WHERE pred = l) AS pre FROM classes, pairs GROUP BY l),
+f1 AS (SELECT *, CASE WHEN tp > 0 THEN 2.0 * tp / (sup + pre) ELSE 0 END AS f1 FROM f)"""
+
+
+@query("V9", "V12", "R1", "F13", "A10", "S16", sql=f"""
+WITH m AS (SELECT event_id, CASE WHEN event_type = 'signup' THEN ' ' ELSE 'c' || event_id || '.mp3' END AS audio, '/clips/c' || event_id || '.mp3' AS path, event_type, user_id, value FROM events),
+old AS (SELECT {_TEMPO.format('value')} AS gt, {_TEMPO.format('(value * 1.5)')} AS pred FROM m WHERE user_id % 4 = 0 AND event_type <> 'signup'),
+work AS (SELECT *, {_TEMPO_SCORES} FROM m WHERE user_id % 4 <> 0 OR event_type = 'signup'),
+new AS (SELECT CASE WHEN event_type = 'signup' THEN 'missing_audio_field' WHEN event_type = 'error' THEN 'missing_file' WHEN value > 450 THEN 'bpm_error' ELSE 'ok' END AS status,
+  {_TEMPO.format('value')} AS gt, {_TEMPO_BEST.format('')} AS pred FROM work),
+pairs AS (SELECT gt, pred FROM old UNION ALL SELECT gt, pred FROM new WHERE status = 'ok'), {_TEMPO_METRICS},
+overall AS (SELECT round(sum(tp) / sum(sup), 8) AS accuracy, round(avg(f1), 8) AS macro_f1 FROM f1)
+SELECT status, CASE WHEN status = 'ok' THEN gt END AS gt_tempo, CASE WHEN status = 'ok' THEN pred END AS pred_tempo, count(*) AS n, any_value(accuracy) AS accuracy, any_value(macro_f1) AS macro_f1,
+  (SELECT count(*) FROM old) AS num_resumed_predictions, (SELECT count(*) FROM new WHERE status = 'ok') AS num_new_predictions, (SELECT count(*) FROM new WHERE status <> 'ok') AS num_skipped_this_run
+FROM new, overall GROUP BY 1, 2, 3""")
+def clip_tempo_run(spark: SparkSession, folder: str) -> DataFrame:
+    """Clips that the ledger lacks, measured, encoded and told apart by three prompts; outcomes counted, with metrics over old and new results."""
+    e = table(spark, folder, "events")
+    name = F.concat(F.lit("c"), "event_id", F.lit(".mp3"))
+    manifest = e.select(F.when(F.col("event_type") == "signup", F.lit(" ")).otherwise(name).alias("audio_path"))
+    known = e.filter((F.col("user_id") % 4 == 0) & (F.col("event_type") != "signup"))
+    ledger = known.select(name.alias("audio_path"), F.lit("ok").alias("status"), bin_value("value").alias("gt_tempo"), bin_value(F.col("value") * 1.5).alias("pred_tempo"))
+    path = F.concat(F.lit("/clips/"), name)
+    inventory = e.filter(F.col("event_type") != "error").select(path.alias("path"))
+    beats = e.select(path.alias("_p"), F.when(F.col("value") <= 450, F.col("value")).alias("bpm"))
+    new = tempo_evaluation.clip_run(
+        manifest, ledger, inventory, lambda df, p: df.join(beats, df[p] == beats["_p"]).drop("_p"), _encode, _encode, root="/clips")
+    metrics = tempo_evaluation.run_metrics(ledger, new)
+    row = metrics.select(F.struct("*")).scalar()
+    counts = new.groupBy("status", "gt_tempo", "pred_tempo").agg(F.count(F.lit(1)).alias("n"))
+    rounded = {c: F.round(row[c], 8) for c in ("accuracy", "macro_f1")}
+    return counts.withColumns(rounded | {c: row[c] for c in ("num_resumed_predictions", "num_new_predictions", "num_skipped_this_run")})
+
+
+@query("V9", "A8", "A10", "W4", sql=f"""
+WITH ranked AS (SELECT user_id, event_id, value, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+clips AS (SELECT *, '/clips/s' || user_id || '/' || event_id || '.mp3' AS path FROM ranked WHERE i <= 3),
+scored AS (SELECT *, {_TEMPO.format('value')} AS gt, {_TEMPO_SCORES} FROM clips),
+told AS (SELECT *, {_TEMPO_BEST.format('')} AS pred FROM scored),
+bad AS (SELECT user_id, arg_min(CASE WHEN event_type = 'signup' THEN 'bad_clip_path' WHEN event_type = 'error' THEN 'missing_file' ELSE 'bpm_error' END, i) AS why
+  FROM clips WHERE event_type IN ('signup', 'error') OR value > 480 GROUP BY 1),
+song AS (SELECT user_id, count(*) AS n, avg(value) AS bpm, avg(s0) AS s0, avg(s1) AS s1, avg(s2) AS s2, {", ".join(f"count(*) FILTER ({c} = '{t}') AS {c}{i}" for c in ("gt", "pred") for i, t in enumerate(TEMPO_LABELS))} FROM told GROUP BY 1),
+done AS (SELECT user_id FROM ranked WHERE user_id % 7 = 0),
+named AS (SELECT user_id, {", ".join(f"CASE WHEN {c}0 > {c}1 AND {c}0 > {c}2 THEN 'slow' WHEN {c}1 > {c}0 AND {c}1 > {c}2 THEN 'mid-tempo' WHEN {c}2 > {c}0 AND {c}2 > {c}1 THEN 'fast' ELSE {other} END AS {c}" for c, other in (("gt", _TEMPO.format("bpm")), ("pred", _TEMPO_BEST.format(""))))} FROM song)
+SELECT 's' || user_id AS source_path, coalesce(why, 'ok') AS status, CASE WHEN why IS NULL THEN gt END AS gt_tempo_song, CASE WHEN why IS NULL THEN pred END AS pred_tempo_song
+FROM named LEFT JOIN bad USING (user_id) WHERE user_id NOT IN (FROM done)""")
+def song_tempo_run(spark: SparkSession, folder: str) -> DataFrame:
+    """Tempo of songs by the votes of their first three clips; the first bad clip decides the status of a song."""
+    e = table(spark, folder, "events")
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    first = e.withColumn("i", rank).filter("i <= 3")
+    name = F.concat(F.lit("s"), "user_id", F.lit("/"), "event_id", F.lit(".mp3"))
+    clip = F.when(F.col("event_type") == "signup", F.lit("  ")).otherwise(name)
+    manifest = first.groupBy(F.concat(F.lit("s"), "user_id").alias("source_path")).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", clip.alias("clip")))), lambda c: c["clip"]).alias("eval_audio_paths"))
+    ledger = e.filter(F.col("user_id") % 7 == 0).select(F.concat(F.lit("s"), "user_id").alias("source_path"))
+    path = F.concat(F.lit("/clips/"), name)
+    inventory = e.filter(F.col("event_type") != "error").select(path.alias("path"))
+    beats = e.select(path.alias("_p"), F.when(F.col("value") <= 480, F.col("value")).alias("bpm"))
+    new = tempo_evaluation.song_run(manifest, ledger, inventory, lambda df, p: df.join(beats, df[p] == beats["_p"]).drop("_p"), _encode, _encode, root="/clips")
+    return new.select("source_path", "status", "gt_tempo_song", "pred_tempo_song")
+
+
+@query("S7", "S9", "M2", "P4", "A5", "J13", sql="""
+WITH wide AS (SELECT 'k' || p_partkey AS id, CASE WHEN p_size = 1 THEN '' ELSE 'a/' || p_partkey || '.mp3' END AS rel, CAST(p_name LIKE '%ring%' AS INT) AS a,
+    CAST(p_name LIKE '%bolt%' OR p_name LIKE '%blue%' AS INT) AS b, CAST(p_name LIKE '%small%' AS INT) AS c, p_size FROM part),
+pick AS (SELECT id FROM wide WHERE rel <> '' AND a = 1 QUALIFY row_number() OVER (ORDER BY md5('42:' || id)) <= 25
+  UNION SELECT id FROM wide WHERE rel <> '' AND b = 1 QUALIFY row_number() OVER (ORDER BY md5('42:' || id)) <= 25
+  UNION SELECT id FROM wide WHERE rel <> '' AND c = 1 QUALIFY row_number() OVER (ORDER BY md5('42:' || id)) <= 25),
+long AS (SELECT 'p' || l_partkey AS id, max(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) AS a, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS b FROM lineitem WHERE l_discount * 10 >= 0.5 GROUP BY 1),
+drawn AS (SELECT id FROM long WHERE a = 1 QUALIFY row_number() OVER (ORDER BY md5('42:' || id)) <= 25 UNION SELECT id FROM long WHERE b = 1 QUALIFY row_number() OVER (ORDER BY md5('42:' || id)) <= 25)
+SELECT 'mtat' AS dataset, id, a AS gold_pub_piano, b AS gold_pub_vocal, c AS gold_pub_relaxing,
+  CASE WHEN p_size % 3 = 0 THEN '/w/mp3s/' || rel WHEN p_size % 3 = 1 THEN '/w/' || rel END AS audio_path FROM wide WHERE id IN (FROM pick)
+UNION ALL SELECT 'openmic', id, a, b, 0, CASE WHEN substr(id, -1) < '5' THEN '/o/audio/' || substr(id, 1, 3) || '/' || id || '.wav' END FROM long WHERE id IN (FROM drawn)""")
+def public_manifests_build(spark: SparkSession, folder: str) -> DataFrame:
+    """Both kinds of annotation table from files to manifests: labels, sample with a cap per label, and the files that are there."""
+    p = table(spark, folder, "part")
+    relative = F.when(F.col("p_size") == 1, F.lit("")).otherwise(F.concat(F.lit("a/"), "p_partkey", F.lit(".mp3")))
+    flags = {"piano": "ring", "vocals": "bolt", "voice": "blue", "calm": "small"}
+    wide_path, long_path = scratch_path(spark, "wide"), scratch_path(spark, "long")
+    p.select(F.concat(F.lit("k"), "p_partkey").alias("clip_id"), *[F.col("p_name").contains(w).cast("int").cast("string").alias(c) for c, w in flags.items()], relative.alias("mp3_path")).write.option(
+        "header", True).option("sep", "\t").csv(wide_path)
+    line = table(spark, folder, "lineitem")
+    instrument = F.when(F.col("l_returnflag") == "A", "piano").when(F.col("l_returnflag") == "R", "voice").otherwise("drums")
+    line.select(F.concat(F.lit("p"), "l_partkey").alias("sample_key"), instrument.alias("instrument"), (F.col("l_discount") * 10).alias("relevance")).write.option("header", True).csv(long_path)
+    beside = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("/w/mp3s/"), relative)).when(F.col("p_size") % 3 == 1, F.concat(F.lit("/w/"), relative)).otherwise(F.concat(F.lit("/w/mp3/"), relative))
+    files = p.select(beside.alias("path"), F.when(F.col("p_size") % 3 == 2, 0).otherwise(9).alias("length"))
+    key = F.concat(F.lit("p"), "l_partkey")
+    sounds = line.filter(F.substring(key, -1, 1) < "5").select(F.concat(F.lit("/o/audio/"), F.substring(key, 1, 3), F.lit("/"), key, F.lit(".wav")).alias("path"), F.lit(1).alias("length"))
+    wide = public_manifests.read_wide_manifest(spark, wide_path, files, "/w", cap=25)
+    long = public_manifests.read_long_manifest(spark, long_path, sounds, "/o", cap=25)
+    columns = ["dataset", "id", *public_manifests.LABELS, "audio_path"]
+    return wide.withColumnRenamed("clip_id", "id").select(*columns).unionByName(long.withColumnRenamed("sample_key", "id").select(*columns))
