@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from earmark.functions.keys import source_key, clip_name
+from earmark.functions.keys import blank_to_null, clip_name, source_key
 from earmark.functions.text import tag_caption
 from earmark.functions.values import mix_target, public_label_map
 from earmark.operators.filters import above
@@ -65,5 +66,26 @@ def mixed_manifest(home: DataFrame, public: Mapping[str, DataFrame], mix_ratio:
     return seeded_shuffle(home.withColumn("domain", F.lit("home")).unionByName(sampled, allowMissingColumns=True), "audio_path", seed + 1)
 
 
+def mixed_summary(
+    home: DataFrame, candidates: Mapping[str, DataFrame], holdout: DataFrame, mixed: DataFrame, mix_ratio: float | None = 0.5, explicit: int | None = None, key: str = "audio_path",
+) -> DataFrame:
+    """Counters of a mixed manifest as rows (name, n): rows of each domain and in all, candidates of each public set, paths held out, and how many
+    public rows were asked for and, as the candidates allow, aimed at. ``candidates`` are what is left of each set without the hold-out.
+    """
+    def count(df: DataFrame, name: str) -> DataFrame:
+        return df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+
+    rows = [count(df, f"{name}_candidates") for name, df in candidates.items()]
+    rows += [count(home, "home"), count(mixed, "total"), count(holdout.select(key).filter(blank_to_null(key).isNotNull()).distinct(), "holdout_paths")]
+    known = pin(reduce(DataFrame.unionByName, rows), "counters")
+    pool = F.sum(F.when(F.endswith("name", F.lit("_candidates")), F.col("n")))
+    base = known.agg(F.max(F.when(F.col("name") == "home", F.col("n"))).alias("h"), F.coalesce(pool, F.lit(0)).alias("p"))
+    asked = mix_target(F.col("h"), F.lit(1 << 62), explicit, mix_ratio)
+    targets = base.select(F.explode(F.array(
+        F.struct(F.lit("public_target_requested").alias("name"), asked.alias("n")), F.struct(F.lit("public_target").alias("name"), F.least(asked, "p").alias("n")))).alias("t")).select("t.*")
+    domains = mixed.groupBy(F.concat(F.lit("domain_"), "domain").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    return known.unionByName(targets).unionByName(domains)
+
+
 def domain_counts(mixed: DataFrame) -> DataFrame:
     return mixed.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))

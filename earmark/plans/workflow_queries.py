@@ -75,18 +75,24 @@ def corpus_split_summary(spark: SparkSession, folder: str) -> DataFrame:
     return summary.withColumn("unmatched_segment_rows", F.col("unmatched_segment_rows").cast("int"))
 
 
-@query("J7", "M1", "U1", "F14", "A7", sql="""
-WITH cand AS (SELECT d.doc_id, quality, toxic, lang = 'fr' AS relax FROM documents d JOIN labels USING (doc_id) WHERE (quality = 1 OR toxic = 1 OR lang = 'fr') AND lang <> 'de'),
-n AS (SELECT (SELECT count(*) FROM part) AS home, (SELECT count(*) FROM cand) AS pool)
-SELECT 'home' AS domain, home AS n FROM n UNION ALL SELECT 'public', least(pool, CAST(floor(home * 0.05 / 0.95) AS BIGINT)) FROM n""")
-def mixed_corpus_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Candidates without hold-out, sampled to the mixing ratio, merged with the home rows, counted per domain."""
+def _mix_inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Public rows, what is held out of them, and the rows of the home domain."""
     rows = s.labelled(spark, folder).filter(F.col("quality").isNotNull())
     public = rows.select(
         F.concat_ws("/", "source", "doc_id").alias("audio_path"), F.col("quality").alias("gold_pub_piano"), F.col("toxic").alias("gold_pub_vocal"),
         (F.col("mood") == "fr").cast("int").alias("gold_pub_relaxing"), "mood")
     holdout = public.filter(F.col("mood") == "de").select("audio_path")
     home = table(spark, folder, "part").select(F.concat(F.lit("home/"), "p_partkey").alias("audio_path"), F.col("p_name").alias("text"))
+    return public, holdout, home
+
+
+@query("J7", "M1", "U1", "F14", "A7", sql="""
+WITH cand AS (SELECT d.doc_id, quality, toxic, lang = 'fr' AS relax FROM documents d JOIN labels USING (doc_id) WHERE (quality = 1 OR toxic = 1 OR lang = 'fr') AND lang <> 'de'),
+n AS (SELECT (SELECT count(*) FROM part) AS home, (SELECT count(*) FROM cand) AS pool)
+SELECT 'home' AS domain, home AS n FROM n UNION ALL SELECT 'public', least(pool, CAST(floor(home * 0.05 / 0.95) AS BIGINT)) FROM n""")
+def mixed_corpus_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Candidates without hold-out, sampled to the mixing ratio, merged with the home rows, counted per domain."""
+    public, holdout, home = _mix_inputs(spark, folder)
     candidates = corpus.public_candidates(public, holdout)
     return corpus.domain_counts(corpus.mixed_manifest(home, {"public": candidates}, mix_ratio=0.05))
 
@@ -188,3 +194,20 @@ def public_manifests_build(spark: SparkSession, folder: str) -> DataFrame:
     long = public_manifests.read_long_manifest(spark, long_path, sounds, "/o", cap=25)
     columns = ["dataset", "id", *public_manifests.LABELS, "audio_path"]
     return wide.withColumnRenamed("clip_id", "id").select(*columns).unionByName(long.withColumnRenamed("sample_key", "id").select(*columns))
+
+
+@query("A7", "J7", "M1", "F21", sql="""
+WITH d AS (SELECT doc_id, doc_id % 2 AS side, lang, quality = 1 OR toxic = 1 OR lang = 'fr' AS any_label FROM documents JOIN labels USING (doc_id)),
+n AS (SELECT (SELECT count(*) FROM part) AS home, count(*) FILTER (WHERE any_label AND lang <> 'de' AND side = 0) AS even, count(*) FILTER (WHERE any_label AND lang <> 'de' AND side = 1) AS odd,
+  count(*) FILTER (WHERE lang = 'de') AS held FROM d),
+t AS (SELECT *, CAST(floor(home * 0.05 / 0.95) AS BIGINT) AS asked FROM n), u AS (SELECT *, least(asked, even + odd) AS used FROM t)
+SELECT unnest(['even_candidates', 'odd_candidates', 'home', 'total', 'holdout_paths', 'public_target_requested', 'public_target', 'domain_home', 'domain_public']) AS name,
+  unnest([even, odd, home, home + used, held, asked, used, home, used]) AS n FROM u""")
+def mixed_corpus_counters(spark: SparkSession, folder: str) -> DataFrame:
+    """Counters of a mixed manifest made of two public sets: candidates of each, hold-out, target asked for and used, rows of each domain."""
+    public, holdout, home = _mix_inputs(spark, folder)
+    side = F.substring("audio_path", -1, 1).isin("0", "2", "4", "6", "8")
+    candidates = {name: pin(corpus.public_candidates(public.filter(part), holdout)) for name, part in (("even", side), ("odd", ~side))}
+    both = pin(candidates["even"].unionByName(candidates["odd"]))
+    mixed = pin(corpus.mixed_manifest(home, {"public": both}, mix_ratio=0.05))
+    return corpus.mixed_summary(home, candidates, holdout, mixed, mix_ratio=0.05)
