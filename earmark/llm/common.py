@@ -59,3 +59,11 @@ def pieces(batch: pa.RecordBatch, rows: int = ROWS) -> Iterator[pa.RecordBatch]:
     for start in range(0, batch.num_rows, rows):
         yield batch.slice(start, rows)
 
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, with underscores before it until no column has it (letter case apart)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

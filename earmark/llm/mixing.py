@@ -14,8 +14,9 @@ All of it is DataFrame functions: sums by source and block with partial aggregat
 one entry a source. The only windows over a whole source hold its at most ``BLOCKS`` blocks.
 
 Defined results: null or blank texts have size 0 and are taken like their block, in words always 0; null sources are a source
-of their own; a null id is an id like any other; rows that agree in id, source and size are one unit and taken alike; an
-empty table gives no rows.
+of their own; a null id is an id like any other; rows that agree in id, source and size are one unit and taken alike, so repeated rows
+are; very long texts count all their words; ties of hashes go by id and size; an empty table gives no rows; no column that ``docs`` has
+besides is read or overwritten, whatever its name. Sources are ranked and their quotas folded in one task: tens of thousands, not millions.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from earmark.llm.common import WORD_PATTERN, pin
+from earmark.llm.common import WORD_PATTERN, fresh, pin
 
 WEIGHTS = (5, 2, 1)
 VOLUME = 1.5
@@ -117,6 +118,12 @@ def _quotas(draws: DataFrame, shards: int, seed: int) -> DataFrame:
     return flat.withColumn("last", F.sum("n").over(running)).select("source", "shard", (F.col("last") - F.col("n")).alias("first"), "last")
 
 
+def _block(seed: int) -> Column:
+    """Block of a unit u of a source s."""
+    n_blocks = F.least(F.lit(BLOCKS), F.ceil(F.col("s.units") / BLOCK_ROWS)).cast("int")
+    return F.pmod(F.xxhash64(F.lit(seed), "u.id", "u.source", "u.size"), n_blocks)
+
+
 def plan_mix(
     docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS,
     volume: float = VOLUME, most: float = MOST, seed: int = 0,
@@ -127,10 +134,8 @@ def plan_mix(
     sizes = units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.count(F.lit(1)).alias("units"))
     sources = pin(targets(sizes, weights, volume, most), "sources")
     same = F.col("u.source").eqNullSafe(F.col("s.source"))
-    n_blocks = F.least(F.lit(BLOCKS), F.ceil(F.col("s.units") / BLOCK_ROWS)).cast("int")
-    drawn = F.xxhash64(F.lit(seed), "u.id", "u.source", "u.size")
     units = units.alias("u").join(sources.alias("s"), same).select(
-        "u.*", F.pmod(drawn, n_blocks).alias("block"), F.xxhash64(F.lit(seed + 1), "u.id", "u.source", "u.size").alias("order"))
+        "u.*", _block(seed).alias("block"), F.xxhash64(F.lit(seed + 1), "u.id", "u.source", "u.size").alias("order"))
     blocks = units.groupBy("source", "block").agg(F.sum(F.col("size") * F.col("rows")).alias("words"))
     permuted = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 2), "source", "block"), "block")
     copies = F.when(F.col("s.source_size") > 0, F.floor(F.col("s.target") / F.col("s.source_size") + 1e-12)).otherwise(F.lit(0)).cast("long")
@@ -155,15 +160,15 @@ def plan_mix(
     nearest = F.row_number().over(block.orderBy(F.col("fits"), off, "order", "id", "size")) == 1
     cut = cut.withColumn("extra", (F.col("fits") | nearest & (off < F.col("gap"))).cast("long"))
     rest = placed.filter(~F.col("cut")).withColumn("extra", F.col("whole").cast("long"))
-    columns = ["id", "source", "size", "rows", "block", "order", (F.col("passes") + F.col("extra")).alias("copies"), "passes", "extra"]
+    columns = ["id", "source", "size", "rows", "block", "order", (F.col("passes") + F.col("extra")).alias("copies"), "passes", "extra", "cut"]
     return cut.select(*columns).unionByName(rest.select(*columns)), blocks, sources
 
 
-def mix(
+def plan_shards(
     docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS,
     volume: float = VOLUME, most: float = MOST, shards: int = SHARDS, seed: int = 0,
-) -> DataFrame:
-    """One row per row of ``docs``: id, source, size, source_size, target, taken (words), and the shards its copies go to."""
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """:func:`plan_mix`, and the shard of each pass of each block (source, block, block_shards)."""
     if shards < 1 or most < 1 or volume < 0 or volume > most:
         raise ValueError("shards and most must be 1 at least, volume between 0 and most")
     units, blocks, sources = plan_mix(docs, key, text, source, weights, volume, most, seed)
@@ -176,6 +181,15 @@ def mix(
     draws = F.sequence(F.lit(0).cast("bigint"), F.col("b.passes"))
     block_shards = F.transform(draws, lambda p: F.get(F.filter("q.ends", lambda e: e["last"] > p * F.col("n.blocks") + F.col("b.place")), F.lit(0))["shard"])
     where = pin(where.select("b.source", "b.block", block_shards.alias("block_shards")), "shards")
+    return units, blocks, sources, where
+
+
+def mix(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS,
+    volume: float = VOLUME, most: float = MOST, shards: int = SHARDS, seed: int = 0,
+) -> DataFrame:
+    """One row per row of ``docs``: id, source, size, source_size, target, taken (words), and the shards its copies go to."""
+    units, blocks, sources, where = plan_shards(docs, key, text, source, weights, volume, most, shards, seed)
     same = F.col("u.source").eqNullSafe(F.col("w.source")) & (F.col("u.block") == F.col("w.block"))
     total = F.col("s.source").eqNullSafe(F.col("u.source"))
     out = units.alias("u").join(where.alias("w"), same).join(sources.alias("s"), total)
@@ -184,14 +198,31 @@ def mix(
         F.slice("w.block_shards", F.lit(1), F.col("u.copies").cast("int")).alias("shards"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("u.rows"))).alias("row")).drop("row")
 
 
-def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0, **options) -> DataFrame:
+#: Words of a piece of a shard in the output. Each piece is sorted by a task of its own and drawn by hash, so its order is random too.
+PIECE_WORDS = 4_000_000
+
+
+def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0, shards: int = SHARDS, **options) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken, dealt to its shards and shuffled there.
 
-    Columns are those of ``docs`` in their order; two underscored columns, _shard and _order, say where a row goes.
+    Columns are those of ``docs`` in their order and two more, _shard and _order, that say where a row goes (with more underscores
+    if ``docs`` has such columns). A row finds its block by hash; only ids of blocks that are cut are looked up, so texts are
+    shuffled once, to their shards.
     """
-    plan = mix(docs, key, text, source, seed=seed, **options).select("id", "source", "size", "shards").distinct()
-    left = docs.withColumn("_size", size_of(F.col(f"`{text}`")))
-    same = left[key].eqNullSafe(plan["id"]) & left[source].cast("string").eqNullSafe(plan["source"]) & (left["_size"] == plan["size"])
-    out = left.join(plan, same).select(*[left[c] for c in docs.columns], F.posexplode(plan["shards"]).alias("_copy", "_shard"))
-    out = out.withColumn("_order", F.xxhash64(F.lit(seed + 4), "_shard", "_copy", F.col(f"`{key}`"), F.col(f"`{text}`"))).drop("_copy")
-    return out.repartition("_shard").sortWithinPartitions("_shard", "_order")
+    units, blocks, sources, where = plan_shards(docs, key, text, source, seed=seed, shards=shards, **options)
+    cut = pin(units.filter("cut").select("id", "source", "size", "extra"), "cut")
+    words = sources.agg(F.sum("target")).first()[0] or 0.0
+    pieces = max(1, math.ceil(words / shards / PIECE_WORDS))
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{key}`").alias("id"), F.col(f"`{source}`").cast("string").alias("source"),
+        size_of(F.col(f"`{text}`")).alias("size"), F.xxhash64(F.lit(seed + 4), F.col(f"`{key}`"), F.col(f"`{text}`")).alias("drawn"))
+    placed = rows.alias("u").join(sources.alias("s"), F.col("u.source").eqNullSafe(F.col("s.source"))).select("u.*", _block(seed).alias("block"))
+    plan = where.alias("w").join(blocks.alias("b"), F.col("w.source").eqNullSafe(F.col("b.source")) & (F.col("w.block") == F.col("b.block")))
+    plan = pin(plan.select("w.source", "w.block", "w.block_shards", "b.passes", "b.whole"), "plan")
+    placed = placed.alias("u").join(plan.alias("b"), F.col("u.source").eqNullSafe(F.col("b.source")) & (F.col("u.block") == F.col("b.block")))
+    same = F.col("u.id").eqNullSafe(F.col("c.id")) & F.col("u.source").eqNullSafe(F.col("c.source")) & (F.col("u.size") == F.col("c.size"))
+    copies = F.col("b.passes") + F.coalesce("c.extra", F.col("b.whole").cast("long"))
+    out = placed.join(cut.alias("c"), same, "left").select("u.row", "u.drawn", F.posexplode(F.slice("b.block_shards", F.lit(1), copies.cast("int"))).alias("copy", "shard"))
+    out = out.select("row", "shard", F.xxhash64("drawn", "shard", "copy").alias("order")).withColumn("piece", F.pmod(F.shiftright("order", 8), F.lit(pieces)))
+    out = out.repartition(shards * pieces, "shard", "piece").sortWithinPartitions("shard", "order")
+    return out.select("row.*", F.col("shard").alias(fresh(docs.columns, "_shard")), F.col("order").alias(fresh(docs.columns, "_order")))
