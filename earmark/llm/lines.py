@@ -1,8 +1,8 @@
 """Removal of repeated runs of lines, found by winnowing over line hashes.
 
 Lines are trimmed of spaces, tabs and returns; blank ones don't count and always stay. A run of ``RUN`` consecutive lines is
-repeated if the same lines stand at an earlier place, in the order of id and then of position; so is a single line of at least
-``LONG`` words. Every line that is covered by such a later occurrence is removed; longer runs are covered by the runs of RUN
+repeated if the same lines stand at an earlier place, in the order of id and then of position; so is a shorter run that has
+``LONG`` words or more in all. Every line that is covered by such a later occurrence is removed; longer runs are covered by the runs of RUN
 lines inside them, so matches extend both ways as far as they go.
 
 Winnowing finds them without comparing all runs: of each window of RUN adjacent line hashes the least (the last of equals) is
@@ -14,7 +14,8 @@ All of it is DataFrame functions. Minima by fingerprint and by run are partial a
 of all documents is no hot group; the joins that follow have unique keys on one side.
 
 Defined results: null and empty texts keep their (no) lines; null ids come after all others; rows equal in id and text are one
-document and get the same result; a run that repeats inside one document loses its later occurrences.
+document and get the same result; a run that repeats inside one document loses its later occurrences; very long texts and lines are
+read whole; of equal minima in a window the last is the fingerprint; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -51,8 +52,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", run:
     lines = F.filter(F.transform(_lines(F.col(f"`{text}`")), _trim), lambda x: x != "")
     hashed = docs.select(
         F.col(f"`{key}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("tag"), F.transform(lines, lambda x: F.xxhash64(x)).alias("h"),
-        # A line of so many words has at least twice as many characters, less one; most lines needn't be counted.
-        F.transform(lines, lambda x: F.when(F.length(x) >= 2 * long - 1, F.regexp_count(x, F.lit(WORD_PATTERN)) >= long).otherwise(False)).alias("long"))
+        F.transform(lines, lambda x: F.regexp_count(x, F.lit(WORD_PATTERN))).alias("words"))
     last = F.size("h") - run
 
     def least(i: Column) -> Column:
@@ -63,10 +63,15 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", run:
     runs = F.transform(marks, lambda p: F.struct(
         F.get("h", p).alias("mark"), F.greatest(p - (run - 1), F.lit(0)).alias("at"), F.lit(run).alias("n"),
         F.transform(_range(F.greatest(p - (run - 1), F.lit(0)), F.least(p, last)), lambda s: F.xxhash64(F.slice("h", s + 1, run))).alias("runs")))
-    single = F.filter(_range(0, F.size("h") - 1), lambda i: F.get("long", i))
-    singles = F.transform(single, lambda i: F.struct(
-        F.xxhash64(F.lit("single"), F.get("h", i)).alias("mark"), i.alias("at"), F.lit(1).alias("n"), F.array(F.xxhash64(F.lit("single"), F.get("h", i))).alias("runs")))
-    return hashed.select("id", "tag", F.explode(F.concat(runs, singles)).alias("x")).select("id", "tag", "x.*")
+
+    def by_words(n: int) -> Column:
+        """Runs of n lines that are repeats for their words; such a run is its own fingerprint."""
+        own = F.filter(_range(0, F.size("h") - n), lambda i: sum((F.get("words", i + k) for k in range(1, n)), F.get("words", i)) >= long)
+        mark = lambda i: F.xxhash64(F.lit("words"), F.lit(n), F.slice("h", i + 1, n))
+        return F.transform(own, lambda i: F.struct(mark(i).alias("mark"), i.alias("at"), F.lit(n).alias("n"), F.array(mark(i)).alias("runs")))
+
+    shorter = [by_words(n) for n in range(1, run)]
+    return hashed.select("id", "tag", F.explode(F.concat(runs, *shorter)).alias("x")).select("id", "tag", "x.*")
 
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", run: int = RUN, long: int = LONG) -> DataFrame:

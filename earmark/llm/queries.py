@@ -99,11 +99,15 @@ WITH line AS (
 kept AS (
   SELECT doc_id, i, trim(string_split(coalesce(text, ''), chr(10))[i], ' ' || chr(9) || chr(13)) AS body FROM line),
 numbered AS (SELECT doc_id, i, body, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p FROM kept WHERE body <> ''),
+counted AS (SELECT *, len(regexp_extract_all(body, '[^\\x20\\x09-\\x0D]+')) AS w FROM numbered),
 runs AS (
   SELECT doc_id, p, {lines.RUN} AS n, body || chr(10) || b2 || chr(10) || b3 AS run FROM (
     SELECT *, lead(body, 1) OVER w AS b2, lead(body, 2) OVER w AS b3 FROM numbered WINDOW w AS (PARTITION BY doc_id ORDER BY p)) WHERE b3 IS NOT NULL
   UNION ALL
-  SELECT doc_id, p, 1, body FROM numbered WHERE len(regexp_extract_all(body, '[^\\x20\\x09-\\x0D]+')) >= {lines.LONG}),
+  SELECT doc_id, p, 1, body FROM counted WHERE w >= {lines.LONG}
+  UNION ALL
+  SELECT doc_id, p, 2, body || chr(10) || b2 FROM (
+    SELECT *, lead(body) OVER o AS b2, lead(w) OVER o AS w2 FROM counted WINDOW o AS (PARTITION BY doc_id ORDER BY p)) WHERE w + w2 >= {lines.LONG}),
 later AS (SELECT doc_id, p, n FROM runs QUALIFY row_number() OVER (PARTITION BY n, run ORDER BY doc_id, p) > 1),
 gone AS (SELECT DISTINCT doc_id, unnest(generate_series(p, p + n - 1)) AS p FROM later),
 marked AS (SELECT n.doc_id, n.i, g.p IS NOT NULL AS removed FROM numbered n LEFT JOIN gone g USING (doc_id, p)),
