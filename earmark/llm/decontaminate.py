@@ -14,7 +14,8 @@ Words are runs of letters and digits, A-Z lower-cased; other ASCII characters se
 
 Defined results: a null or empty text or item matches nothing; an item of fewer than five words is one shingle; a document
 with a null id is reported with null; repeated rows are reported each; several copies in one document give the best one; an
-empty table on either side gives no rows.
+empty table on either side gives no rows. Very long texts are searched whole; of items with equal scores all are reported. Other columns
+are not read, so their names can't clash.
 """
 
 from __future__ import annotations

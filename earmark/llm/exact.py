@@ -8,7 +8,8 @@ a digest that is no member is never taken for one. Digests that are no members f
 before anything is looked up, so each distinct digest is probed once whatever its number of copies.
 
 Defined results: a null text counts as empty; the largest id of a group stays; with several rows of that id one of them stays;
-null ids stay only if the group has no other; rows are never lost. Empty tables, on either side, give the groups of the other.
+null ids stay only if the group has no other; rows are never lost. Empty tables, on either side, give the groups of the other. Very long
+texts are digested whole. Other columns are not read, so their names can't clash.
 """
 
 from __future__ import annotations

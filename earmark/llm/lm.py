@@ -18,7 +18,8 @@ All counts cover all training documents. The filter is broadcast if it has at mo
 that are scored in further passes over the documents, each with as many segments as fit. The filter of single words must fit.
 
 Defined results: null and empty texts have the end token alone; a null id is not held out and not learned from; repeated rows
-are scored each; with an empty training part N = V = 0, the baseline and the score are 0.
+are scored each; with an empty training part N = V = 0, the baseline and the score are 0. Very long texts are scored whole; words of equal
+counts are frequent or not together. Other columns are not read, so their names can't clash.
 """
 
 from __future__ import annotations

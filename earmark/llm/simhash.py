@@ -9,7 +9,8 @@ that are left, so that a task never holds more than ``CELL`` of them; each step
 
 Defined results: null and empty texts have fingerprint 0 and are linked like any other; equal fingerprints are one node, so
 copies are never expanded into pairs; a component without any non-null id has a null component id; repeated ids and rows are
-kept; an empty table gives no rows.
+kept; very long texts are read whole; a bit that half of the shingles have is 0; an empty table gives no rows. Other columns are not
+read, so their names can't clash.
 """
 
 from __future__ import annotations

@@ -8,12 +8,13 @@ score is a logistic function of the largest marginal, their sum and their share
 
 Chains are stretches around words with features; words more than ``GAP`` away from any carry no evidence and are left out.
 
-Fitted on a bounded sample: at most about ``SAMPLE`` documents of each label, drawn by a hash of the id, and ``FEATURES``
-features. Every document is scored over its whole text.
+Fitted on a bounded sample: at most about ``SAMPLE`` documents of each label, drawn by a hash of the id, of ``MOST_CHARS`` characters in all, and
+``FEATURES`` features. An id of several rows teaches by one of its texts, the least by hash. Every document is scored over its whole text.
 
 Defined results: null and empty texts score like any text without evidence; repeated rows score alike; null ids are scored;
 of several labels of one id the largest counts; without any toxic or clean training document the score is the toxic share of
-the training labels (0 without labels).
+the training labels (0 without labels). Very long texts are scored whole; features of equal ratios are kept by name. Other columns are
+not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from earmark.llm.common import keyed, keyed_texts, pieces, pin, raw_texts, words
 
 SAMPLE = 4000
+#: Characters of all texts that teach; of longer ones a share is drawn, so that what reaches the driver is bounded.
+MOST_CHARS = 64_000_000
 FEATURES = 5000
 #: Least log-likelihood ratio G2 of a feature: chi-squared with one degree of freedom, p about 0.00007.
 LEAST_G2, LEAST_DOCS = 16.0, 3
@@ -214,7 +217,8 @@ def _fit_field(model: Crf, chains: list[list[tuple[int, ...]]], tags: list[list[
     _adam(gradient, parameters, rounds, 0.1)
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label_key: str = "doc_id", label: str = "toxic", sample: int = SAMPLE) -> Crf:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label_key: str = "doc_id", label: str = "toxic", sample: int = SAMPLE,
+        most_chars: int = MOST_CHARS) -> Crf:
     """Learn from the documents that ``labels`` names (1: toxic, 0: clean)."""
     spark = docs.sparkSession
     told = keyed(labels, label_key, label).filter(F.col("_c0").isNotNull() & F.col("_c1").isin(0, 1)).groupBy("_c0").agg(F.max("_c1").cast("int").alias("toxic"))
@@ -228,7 +232,12 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     drawn = told.filter(F.pmod(F.xxhash64("_c0"), F.lit(1_000_000)) < limit * 1_000_000).withColumnRenamed("_c0", "id")
     # About ``sample`` ids of each label: the size of what is broadcast is bounded by that parameter.
     # Written, as three passes follow that needn't read the corpus again.
-    rows = pin(keyed_texts(docs, key, text).join(F.broadcast(drawn), F.col("_c0") == F.col("id")).select("_c1", "toxic"), "taught")
+    # An id teaches by one text, however many rows it has.
+    found = keyed_texts(docs, key, text).join(F.broadcast(drawn), F.col("_c0") == F.col("id"))
+    rows = pin(found.groupBy("id").agg(F.min_by(F.struct("_c1", "toxic"), F.xxhash64("_c1")).alias("r")).select("r._c1", "r.toxic"), "taught")
+    chars = rows.agg(F.sum(F.length("_c1"))).first()[0] or 0
+    if chars > most_chars:
+        rows = rows.filter(F.pmod(F.xxhash64(F.lit(1), "_c1"), F.lit(1_000_000)) < int(1_000_000 * most_chars / chars))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: tuple[Counter, Counter] = (Counter(), Counter())
