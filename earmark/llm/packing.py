@@ -10,13 +10,15 @@ A packed row holds ``ids`` (row length, padded with the end id), ``cu_seqlens``
 (from 0 anew for each piece; 0 in the padding), and for each piece its document and its place in it.
 
 Defined results: a null or empty text is a piece of the end id alone; null ids are kept as null; repeated rows are packed each;
-an empty table gives no rows. Ties in length keep the order of reading.
+an empty table gives no rows. Ties in length keep the order of reading. Very long texts, words and runs of white space are tokenised whole.
+Other columns are not read, so their names can't clash.
 """
 
 from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +32,9 @@ BUFFER = 1 << 20
 VOCABULARY = os.environ.get("TOKENIZER_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: How the public vocabulary splits text before merging; fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: White space in a row from which on the pattern isn't asked to split it: its search runs out of stack there. The characters that \s means, as fixed values.
+LONG_SPACE = 100_000
+_SPACE = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 SCHEMA = "ids array<int>, cu_seqlens array<int>, positions array<int>, doc_ids array<long>, offsets array<long>, n_tokens int"
 
 
@@ -38,6 +43,19 @@ def read_ranks(spark, path: str) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (r.value.split() for r in spark.read.text(path).collect() if r.value.strip())}
 
 
+def token_ids(encoding, text: str) -> list[int]:
+    """Ids of a text. A very long run of white space is one piece, but for its last character before other text, as the pattern has it."""
+    if len(text) < LONG_SPACE:
+        return encoding.encode_ordinary(text)
+    out, at = [], 0
+    for run in re.finditer(f"{_SPACE}{{{LONG_SPACE},}}", text):
+        end = run.end() - (run.end() < len(text))
+        out += encoding.encode_ordinary(text[at : run.start()])
+        out += encoding._encode_single_piece(text[run.start() : end])
+        at = end
+    return out + encoding.encode_ordinary(text[at:])
+
+
 class Capacities:
     """Open rows by room, and a segment tree that finds the least room of at least a given size that any row has."""
 
@@ -166,7 +184,7 @@ def pack(
         for batch in batches:
             for part in pieces(batch, 128):
                 for doc, body in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    yield from packer.add(doc, np.array([*encoding.encode_ordinary(body or ""), end_id], np.int32))
+                    yield from packer.add(doc, np.array([*token_ids(encoding, body or ""), end_id], np.int32))
         if packer.n:
             yield from packer.flush()
 
