@@ -5,7 +5,8 @@ of its longest n-grams that the model knows: four characters, then three, two, o
 
 Defined results: a null text, or one without a letter, gives ``und`` with score 0. Equal scores go to the language that
 sorts first. A text whose letters the model has never seen gives all languages the same score, 1 / number of languages.
-Repeated rows are predicted alike; extra columns are ignored. An empty training table gives ``und`` for every text.
+Repeated rows are predicted alike and teach once; very long texts are read whole; extra columns are kept, and one that has the name of the
+result is an error. An empty training table gives ``und`` for every text.
 """
 
 from __future__ import annotations
@@ -22,11 +23,11 @@ from earmark.llm.common import ROWS, keyed_texts, pin
 
 UNDETERMINED = "und"
 MAX_N = 4
-#: Training texts drawn for each language, by a hash of the text (a text is in or out whatever its neighbours).
+#: Distinct training texts drawn for each language, by a hash of the text (a text is in or out whatever its neighbours).
 TEXTS_PER_LANGUAGE = 3000
 #: Most frequent words, and n-grams of each length, that are kept for a language.
-WORDS_PER_LANGUAGE = 20_000
-GRAMS_PER_LANGUAGE = 10_000
+WORDS_PER_LANGUAGE = 30_000
+GRAMS_PER_LANGUAGE = 15_000
 #: log10 frequency of what a language has never had.
 FLOOR = -7.0
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -143,9 +144,10 @@ def fit(docs: DataFrame, text: str, lang: str, texts_per_language: int = TEXTS_P
     """
     rows = keyed_texts(docs, text, lang).filter(F.col("_c0").isNotNull() & F.col("_c1").isNotNull())
     # Written first, so that Spark knows how small the table is and needn't shuffle the texts for the join.
-    sizes = pin(rows.groupBy("_c1").agg(F.count(F.lit(1)).alias("n")), "languages")
+    # Copies count once, here and in the draw, so that the bound holds and no text outweighs the others by its copies.
+    sizes = pin(rows.groupBy("_c1").agg(F.count_distinct(F.xxhash64("_c0")).alias("n")), "languages")
     draw = F.pmod(F.xxhash64("_c0"), F.lit(1_000_000)) * F.col("n") < F.lit(1_000_000 * texts_per_language)
-    drawn = rows.join(sizes, "_c1").filter(draw)
+    drawn = rows.join(sizes, "_c1").filter(draw).select("_c0", "_c1").distinct()
     found = drawn.select(F.col("_c1").alias("lang"), F.explode(F.regexp_extract_all(F.lower("_c0"), F.lit(r"(\p{L}+)"), 1)).alias("part"))
     counted = pin(found.groupBy("lang", "part").agg(F.count(F.lit(1)).alias("n")), "words")
 
@@ -189,6 +191,8 @@ def prediction(model: LanguageModel, text: Column, spark) -> Column:
     return predict(text)
 
 
-def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """``docs`` with a struct column ``_language`` (lang, score)."""
-    return docs.withColumn("_language", prediction(model, F.col(f"`{text}`"), docs.sparkSession))
+def identify(docs: DataFrame, model: LanguageModel, text: str = "text", out: str = "_language") -> DataFrame:
+    """``docs`` with a struct column ``out`` (lang, score), a name that ``docs`` lacks."""
+    if out.lower() in map(str.lower, docs.columns):
+        raise ValueError(f"there is a column {out} already")
+    return docs.withColumn(out, prediction(model, F.col(f"`{text}`"), docs.sparkSession))
