@@ -17,7 +17,7 @@ from earmark.plans.registry import load_all  # noqa: E402
 from earmark.session import build_session  # noqa: E402
 
 HEADLINE = (
-    "label_retrieval_matrix", "nearest_items", "nearest_by_distance", "self_retrieval_hit_rate", "public_label_matrix",
+    "label_retrieval_matrix", "nearest_items", "nearest_by_distance", "nearest_by_bounds", "self_retrieval_hit_rate", "public_label_matrix",
     "zero_shot_labels", "segment_metadata_join", "gold_merge", "caption_propagation", "first_clip_per_song", "layered_override",
     "tag_union", "group_train_val_split", "stratified_public_sample", "exact_seeded_sample", "hard_pair_mining",
     "representative_events", "confusion_metrics", "tempo_majority_vote", "judged_rollup", "domain_tradeoff_table",
