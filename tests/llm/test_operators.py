@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from earmark.llm import components, decontaminate, exact, langid, lines, lm, minhash, mixing, packing, queries, simhash, toxicity, wrappers
+from earmark.llm.common import pin
 
 FOLDER = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, fp string, size string, _c0 int, tag int, root int"
@@ -147,6 +148,37 @@ def test_edited_copies_leave_the_pipeline(spark, docs, odd, empty):
     assert minhash.near_copies(odd).count() == odd.count() and minhash.near_copies(empty).count() == 0
 
 
+def family(draw, n, changed, length=300):
+    """Texts that each change other words of one text."""
+    base = [f"w{draw.randrange(5000)}" for _ in range(length)]
+    out = []
+    for k in range(n):
+        text = list(base)
+        for at in draw.sample(range(length // 6), changed):
+            text[at * 6] = f"x{k}y{at}"
+        out.append(" ".join(text))
+    return out
+
+
+def test_families_above_and_below_the_similarity(spark, monkeypatch):
+    """Members with 0.6 to 0.85 in common with each other; chains over several components; one text many are compared with."""
+    monkeypatch.setattr(minhash, "LANE", 4)
+    draw = random.Random(11)
+    texts = [t for changed in (2, 3, 4, 5, 6, 8) for t in family(draw, 40, changed)] + [LONG, LONG + "end", "a b c d e", "a b c d e f", None, ""]
+    rows = list(enumerate(texts, 100))
+    got = {r.id: r.component_id for r in minhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == naive_copies(rows) and 20 < len(set(got.values())) < 200
+
+
+def test_rare_shingles_keep_a_family_apart(spark):
+    draw = random.Random(12)
+    texts = family(draw, 150, 25)
+    nodes = spark.createDataFrame([(i, len(minhash.shingles(t.encode())), i) for i, t in enumerate(texts)], "node long, size long, root long")
+    held = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    mixed = minhash._mixed(minhash._prefixes(held, nodes.select("node", "size")), nodes.select("node", "root"))
+    assert minhash._rare_pairs(mixed).count() < 150 and minhash._least_pairs(mixed).count() < 150  # of 11,175 pairs
+
+
 # Decontamination
 
 
@@ -248,6 +280,34 @@ def test_mixed_rows(docs, odd):
         assert got == Counter({k: n for k, n in want.items() if n})
 
 
+def test_mixed_rows_keep_columns_of_any_name(spark, docs):
+    names = ["_shard", "_copy", "_size", "_Order", "_language", "_tag", "row", "shard", "block", "drawn", "extra", "taken"]
+    df = docs.limit(300).withColumns({c: F.concat(F.lit(c), "doc_id") for c in names})
+    out = mixing.mixed(df)
+    assert out.columns == [*df.columns, "__shard", "__order"]
+    rows = out.drop("__shard", "__order").collect()
+    assert rows and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in names)
+    plan = {r.id: r.shards for r in mixing.mix(df).collect()}
+    assert Counter((r.doc_id, r["__shard"]) for r in out.collect()) == Counter((d, s) for d, shards in plan.items() for s in shards)
+    split = mixing.mixed(df, shards=3)
+    assert {r["__shard"] for r in split.collect()} == {0, 1, 2}
+    by = split.select(F.spark_partition_id().alias("p"), "__shard", "__order").collect()
+    for p in {r.p for r in by}:
+        own = [(r["__shard"], r["__order"]) for r in by if r.p == p]
+        assert own == sorted(own)
+
+
+def test_stages_keep_columns_of_any_name(spark, docs):
+    import corpus_pipeline as c
+
+    names = ["_shard", "_copy", "_size", "_order", "_language", "_tag", "row", "root", "tag", "id"]
+    df = docs.limit(200).unionByName(docs.limit(5)).withColumns({x: F.concat(F.lit(x), "doc_id") for x in names})
+    for name, stage in c.STAGES[:-1]:
+        out = stage(spark, df, FOLDER)
+        assert out.columns == df.columns, name
+        assert all(r[x] == f"{x}{r.doc_id}" for r in out.collect() for x in names), name
+
+
 def test_quotas_are_exact_and_hypergeometric(spark):
     draws = spark.createDataFrame([("a", 300), ("b", 100), (None, 7), ("c", 0)], "source string, n long")
     firsts = []
@@ -289,6 +349,19 @@ def test_packing_round_trip(spark, docs, odd, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_long_white_space(spark, monkeypatch):
+    import tiktoken
+
+    encoding = tiktoken.Encoding("t", pat_str=packing.PATTERN, mergeable_ranks=packing.read_ranks(spark, packing.VOCABULARY), special_tokens={})
+    draw = random.Random(9)
+    texts = ["".join(draw.choice(("a", "B1", ".", "é", " ", "\n", "\t", "\u3000", " " * 7, "\n \n" * 4, "'s")) for _ in range(60)) for _ in range(300)]
+    monkeypatch.setattr(packing, "LONG_SPACE", 5)
+    assert all(packing.token_ids(encoding, t) == encoding.encode_ordinary(t) for t in texts)
+    monkeypatch.undo()
+    for text in ("a" + " " * 2_000_000 + "b", " \n" * 600_000, "x\n" + "\t" * 1_200_000 + "y " * 200_000):
+        assert encoding.decode(packing.token_ids(encoding, text)) == text
+
+
 def test_best_fit_equals_naive():
     draw = random.Random(3)
     for _ in range(30):
@@ -320,6 +393,14 @@ def test_language(spark, docs, odd, empty):
     assert nothing.predict("one") == ("und", 0.0) and langid.identify(empty, model).count() == 0
 
 
+def test_copies_teach_once(spark):
+    rows = [(i, f"eins zwei drei w{i % 50}", "de") for i in range(200)] + [(i, "one two three", "en") for i in range(3000)] + [(9000 + i, f"four five six v{i}", "en") for i in range(20)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "text", "lang", texts_per_language=100)
+    at = model.languages.index("en")
+    assert model.predict("five")[0] == "en" and model.predict("drei")[0] == "de"
+    assert 10 ** float(model.table[model.words["one"], at]) == pytest.approx(1 / (3 + 20 * 4))
+
+
 # Exact copies
 
 
@@ -429,6 +510,19 @@ def test_toxicity(spark, odd, empty):
     assert {r.score for r in toxicity.toxic_spans(odd, toxicity.fit(docs, labels.limit(0))).collect()} == {0.0}
 
 
+def test_repeated_ids_and_long_texts_teach_within_bounds(spark, monkeypatch):
+    draw = random.Random(8)
+    rows = [(i, " ".join(["zapf"] * (i % 2) + [f"w{draw.randrange(300)}" for _ in range(40)]), i % 2) for i in range(400)]
+    rows += [(1, f"zapf w{k} w{k + 1}", 1) for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    taught = []
+    monkeypatch.setattr(toxicity, "pin", lambda frame, label: taught.append((label, made := pin(frame, label))) or made)
+    model = toxicity.fit(df, df)
+    assert dict(taught)["taught"].count() == 400 and b"=zapf" in model.ids
+    small = toxicity.fit(df, df, most_chars=20_000)
+    assert b"=zapf" in small.ids and len(small.ids) <= len(model.ids)
+
+
 def test_lexicon_of_many_rare_toxic_words(spark):
     """Each word is in 4 % of the toxic documents and in no clean one: too few for a normal test, yet certain."""
     draw = random.Random(7)
@@ -497,6 +591,26 @@ def test_wrapper_has_groups_and_slots():
     assert article.inside[0].inside[0].kind == "text" and article.inside[1].inside[0].kind == "slot"
 
 
+@pytest.mark.parametrize("deep", [50, 117, 118, 119, 300])
+def test_deep_nesting_loses_no_text(deep):
+    page = "<article><p>Before</p>" + "<div>" * deep + "deep<p>in" + "</div>" * deep + "<p>After</p></article><footer>F</footer><p>out"
+    assert wrappers.main_text(page, wrappers.Rules.of(*wrappers.infer([page]))) == "Before\ndeep\nin\nAfter"
+    page = "<article>" + "<div><section>" * deep + "x" + "</section>y</div>" * deep + "z</article>"
+    assert wrappers.main_text(page, wrappers.Rules(False, {}, set())).split("\n") == ["x", *["y"] * deep, "z"]
+
+
+def test_very_long_pages_are_aligned(monkeypatch):
+    def page(k):
+        return "<article>" + "".join(f"<h2>T{i}</h2><p>a{i}<div>b</div>" if (i + k) % 5 else f"<p>c{k}{i}" for i in range(4000)) + "</article>"
+
+    made, n = wrappers.infer([page(1), page(2)])
+    assert n == 2 and len(made.inside[0].inside) < 20_000
+    monkeypatch.setattr(wrappers, "MOST_CELLS", 0)
+    small = [f"<article><h1>A</h1><p>x{k}</p>{'<ul><li>k</ul>' * (k % 2)}</article>" for k in range(4)]
+    made, _ = wrappers.infer(small)
+    assert [(p.key, p.times) for p in made.inside[0].inside] == [("h1", "1"), ("p", "1"), ("ul", "?")]
+
+
 # Lines
 
 
@@ -508,7 +622,8 @@ def naive_lines(rows, run=3, long=50):
         own = [x.strip(" \t\r") for x in (t or "").split("\n")]
         own = [x for x in own if x]
         found = [(p, run, tuple(own[p : p + run])) for p in range(len(own) - run + 1)]
-        found += [(p, 1, (x,)) for p, x in enumerate(own) if len(x.split()) >= long]
+        for n in range(1, run):
+            found += [(p, n, tuple(own[p : p + n])) for p in range(len(own) - n + 1) if sum(len(x.split()) for x in own[p : p + n]) >= long]
         gone = set()
         for p, n, body in found:
             if runs.setdefault((n, body), (d, t, p)) != (d, t, p):
@@ -529,6 +644,15 @@ def test_lines(spark, docs, odd, empty):
     assert lines.remove_repeats(empty).count() == 0
 
 
+def test_two_lines_of_many_words_repeat(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(1, f"{a}\n{b}\nx"), (2, f"y\n {a}\n\n{b} "), (3, f"{a}\nz\n{b}"), (4, f"{a}\n{b}\n{a}\n{b}"), (5, "a0 a1\nb0 b1\nq"), (6, "a0 a1\nb0 b1")]
+    got = {r.id: r.text for r in lines.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "y\n", 3: rows[2][1], 4: "", 5: rows[4][1], 6: rows[5][1]}
+    want = naive_lines(rows)
+    assert {d: n for (d, _), (_, n) in want.items()} == {1: 0, 2: 2, 3: 0, 4: 4, 5: 0, 6: 0}
+
+
 # Queries and pipeline
 
 
@@ -564,6 +688,8 @@ def test_pipeline(spark, docs, odd, tmp_path):
             now = spark.read.parquet(path)
             if k < 4:
                 ids.append(set(r.doc_id for r in now.collect()))
-        groups = simhash.near_duplicates(source.filter(F.col("doc_id").isin([i for i in ids[1] if i is not None])))
-        assert {r.component_id for r in groups.collect()} <= ids[2]
+        own = source.filter(F.col("doc_id").isin([i for i in ids[1] if i is not None]))
+        assert {r.component_id for r in minhash.near_copies(own).collect()} == ids[2] - {None}
+        if source is docs:
+            assert set(naive_copies([(r.doc_id, r.text) for r in own.orderBy("doc_id").collect()]).values()) == ids[2]
         assert not {r.id for r in decontaminate.contaminated(source, spark.read.parquet(f"{FOLDER}/benchmark.parquet")).collect()} & ids[3]
