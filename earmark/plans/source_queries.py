@@ -267,13 +267,16 @@ def labelling_sheet_export(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _json_file(rows: DataFrame, group: str, order: str, element: str, brackets: str, last: str, path: str) -> None:
-    """One JSON file for each value of ``group``: elements in order, each on lines of its own, between brackets."""
-    bounds = rows.select(group).distinct()
-    lines = rows.select(group, F.lit(1).alias("_part"), order, F.concat(F.col(element), F.lit(",")).alias("value"))
-    first = bounds.select(group, F.lit(0).alias("_part"), F.lit(None).cast("long").alias(order), F.lit(brackets[0]).alias("value"))
-    end = bounds.select(group, F.lit(2).alias("_part"), F.lit(None).cast("long").alias(order), F.lit(last + brackets[1]).alias("value"))
-    whole = lines.unionByName(first).unionByName(end).repartition(group).sortWithinPartitions(group, "_part", order)
-    whole.select(group, "value").write.partitionBy(group).text(path)
+    """One JSON file for each value of ``group``: elements in order, each on lines of its own, between brackets. ``order`` is unique in a group.
+
+    The first and the last row carry the brackets. In a union with rows for them the repartition would be left out where both sides are
+    dealt by ``group`` already, and adaptive execution then coalesces each side by itself: a group would be in several files.
+    """
+    ends = rows.groupBy(group).agg(F.min(order).alias("_first"), F.max(order).alias("_last"))
+    lines = F.array(
+        F.when(F.col(order) == F.col("_first"), F.lit(brackets[0])), F.concat(F.col(element), F.lit(",")), F.when(F.col(order) == F.col("_last"), F.lit(last + brackets[1])))
+    whole = rows.join(ends, group).select(group, order, F.posexplode(lines).alias("_part", "value")).filter("value is not null")
+    whole.repartition(group).sortWithinPartitions(group, order, "_part").select(group, "value").write.partitionBy(group).text(path)
 
 
 @query("S3", "A1", sql="""

@@ -4,10 +4,12 @@ import json
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from earmark.operators.merging import join_numbered
 from earmark.operators.ordering import keep_one
+from earmark.plans import source_queries
 from earmark.sources import json_scan, jsonl
 
 BLOCK = "spark.sql.files.maxPartitionBytes"
@@ -112,6 +114,25 @@ def test_one_large_file_is_read_by_many_tasks(spark, tmp_path):
         spark.conf.set(BLOCK, before)
 
 
+def test_a_group_is_one_file_however_partitions_are_coalesced(spark, tmp_path):
+    """Rows that are dealt by the group already, in partitions far larger than what else a group needs."""
+    conf = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(3000).select((F.col("id") % 3).alias("part"), "id")
+        place = F.row_number().over(Window.partitionBy("part").orderBy(F.md5(F.col("id").cast("string").cast("binary"))))
+        element = F.to_json(F.struct("id", F.repeat(F.md5(F.col("id").cast("string").cast("binary")), 9).alias("text")))
+        source_queries._json_file(rows.select("part", place.alias("o"), element.alias("element")), "part", "o", "element", "[]", "null", str(tmp_path / "f"))
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    for part in range(3):
+        [file] = (tmp_path / "f" / f"part={part}").glob("*.txt")
+        assert {r["id"] for r in json.loads(file.read_text())[:-1]} == set(range(part, 3000, 3))
+
+
 def test_summaries_of_both_states():
     quotes, rise, commas = json_scan.summary('a, "b\\",[", {"c": [1, 2]}, 3')
     assert quotes == 4 and rise[0] == 0 and dict(commas[0]) == {0: 3, 2: 1}
