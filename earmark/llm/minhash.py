@@ -7,7 +7,9 @@ texts that agree in a band share a bucket: a pair with similarity s shares none
 
 Equal sets are one node. First each node is compared with the least node of the bucket that it shares most often with one; then with
 the least nodes of its other buckets, where both are still in different components. So a large group costs about one comparison a
-member. Nodes that share a bucket and stay in different components are compared by rare shingles: all their shingles are ordered by
+member. Whole sets are compared only where a bound allows it: shingles are dealt to ``CELLS`` cells by hash, and a cell in which one set has
+an odd and the other an even number of them holds at least one that only one set has. Texts of a family that stay a little below the
+similarity are told apart by that, without a text being moved. Nodes that share a bucket and stay in different components are compared by rare shingles: all their shingles are ordered by
 rising frequency, and sets of similarity 0.8 share one of the first |x| - ceil(0.8 |x|) + 1. Shingles that a whole family has are
 frequent and come last, so texts of a family that are less similar seldom meet. The place of the shared shingle bounds what the sets
 can still have in common. Here, too, each node is first compared with the least one of a shingle's list, and pairs are made only of what
@@ -40,6 +42,8 @@ LEAST = (4, 5)
 BANDS, ROWS_PER_BAND = 25, 5
 SEED = 42
 _CHUNK = 4096
+#: Cells of a set's parities, as bits of 64-bit numbers.
+CELLS = 512
 #: Nodes that are compared with one copy of another node.
 LANE = 64
 _draw = np.random.default_rng(SEED)
@@ -71,6 +75,12 @@ def buckets(found: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(band.tobytes(), k) - (1 << 63) for k, band in enumerate(least.reshape(BANDS, -1))]
 
 
+def parities(found: np.ndarray) -> list[int]:
+    """Whether each cell holds an odd number of the shingles, as bits of signed 64-bit numbers."""
+    odd = np.bincount((found % np.uint64(CELLS)).astype(np.int64), minlength=CELLS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return LEAST[1] * both >= LEAST[0] * (len(a) + len(b) - both)
@@ -79,14 +89,16 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in pieces(batch):
-            sets, sizes, bands = [], [], []
+            sets, sizes, bands, odd = [], [], [], []
             for raw in raw_texts(piece.column(2)):
                 found = shingles(raw)
                 sets.append(xxhash.xxh64_intdigest(found.tobytes(), SEED) - (1 << 63))
                 sizes.append(len(found))
                 bands.append(buckets(found))
+                odd.append(parities(found))
             yield pa.RecordBatch.from_arrays(
-                [piece.column(0), piece.column(1), pa.array(sets, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "tag", "node", "size", "bands"])
+                [piece.column(0), piece.column(1), pa.array(sets, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
+                names=["id", "tag", "node", "size", "bands", "odd"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,18 +153,27 @@ def _prefixes(texts: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def _mixed(prefixes: DataFrame, roots: DataFrame) -> DataFrame:
-    """The lists of shingles whose nodes are in several components. ``roots``: node, root."""
+    """The lists of shingles whose nodes are in several components. ``roots``: node, root and, if they are known, the parities ``odd``."""
     rooted = prefixes.join(roots, "node")
     several = rooted.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("shingle")
     return pin(rooted.join(several, "shingle", "left_semi"), "mixed")
 
 
-def _close() -> Column:
-    """Whether sets x and y, which share a shingle, may be similar enough by their sizes and by what follows it."""
-    alike = LEAST[1] * F.least("x.size", "y.size") >= LEAST[0] * F.greatest("x.size", "y.size")
+def _alike(odd: bool = True) -> Column:
+    """Whether sets x and y may be similar enough by their sizes and, with ``odd``, by their parities."""
+    sizes = LEAST[1] * F.least("x.size", "y.size") >= LEAST[0] * F.greatest("x.size", "y.size")
+    if not odd:
+        return sizes
+    # Similarity p / q of sizes with sum s leaves at most (q - p) * s / (q + p) that only one set has.
+    differ = sum((F.bit_count(F.get("x.odd", F.lit(k)).bitwiseXOR(F.get("y.odd", F.lit(k)))) for k in range(CELLS // 64)), F.lit(0))
+    return sizes & (sum(LEAST) * differ <= (LEAST[1] - LEAST[0]) * (F.col("x.size") + F.col("y.size")))
+
+
+def _close(mixed: DataFrame) -> Column:
+    """Whether sets x and y, which share a shingle, may be similar enough, also by what follows it."""
     # Sets share the shingle and at most what follows it; similarity p / q of sizes with sum s needs p * s / (p + q) in common.
     room = sum(LEAST) * (F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) + 1) >= LEAST[0] * (F.col("x.size") + F.col("y.size"))
-    return alike & room
+    return room & _alike("odd" in mixed.columns)
 
 
 def _pairs(met: DataFrame) -> DataFrame:
@@ -161,38 +182,49 @@ def _pairs(met: DataFrame) -> DataFrame:
 
 def _least_pairs(mixed: DataFrame) -> DataFrame:
     """Pairs (a, b) of each node of a list with the list's least one, if that is in another component."""
-    heads = mixed.groupBy("shingle").agg(F.min_by(F.struct("node", "size", "place", "root"), "node").alias("h")).select("shingle", "h.*")
+    held = [c for c in mixed.columns if c != "shingle"]
+    heads = mixed.groupBy("shingle").agg(F.min_by(F.struct(*held), "node").alias("h")).select("shingle", "h.*")
     x, y = mixed.alias("x"), heads.alias("y")
-    return _pairs(x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root")) & _close()))
+    return _pairs(x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root")) & _close(mixed)))
 
 
 def _rare_pairs(mixed: DataFrame) -> DataFrame:
     """Pairs (a, b) of all nodes of a list that are in different components."""
     x, y = mixed.alias("x"), mixed.alias("y")
-    return _pairs(x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") < F.col("y.root")) & _close()))
+    return _pairs(x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") < F.col("y.root")) & _close(mixed)))
+
+
+def _rooted(links: DataFrame, rooted: DataFrame | None = None) -> DataFrame:
+    """(node, root) of the components by ``links`` (a, b) and those that ``rooted`` has; only roots that new links join are looked at again."""
+    if rooted is None:
+        return pin(components(links), "roots")
+    a, b = (rooted.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab")
+    joined = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    merged = pin(components(joined), "merged")
+    to = merged.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    old = rooted.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return pin(old.unionByName(merged.join(rooted, "node", "left_anti")), "roots")
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, tag (xxhash64 of the text), component_id (smallest id linked to it directly or not, its own
     included), root (smallest node of the component)."""
     rows = keyed_texts(docs, key, text).select("_c0", F.xxhash64("_c1").alias("_c1"), F.col("_c1").alias("_c2"))
-    made = pin(rows.mapInArrow(_sketch, "id long, tag long, node long, size long, bands array<long>"), "sketches")
-    distinct = made.groupBy("node").agg(F.first("size").alias("size"), F.first("bands").alias("bands"), F.min("id").alias("least"), F.min("tag").alias("tag"))
+    made = pin(rows.mapInArrow(_sketch, "id long, tag long, node long, size long, bands array<long>, odd array<long>"), "sketches")
+    distinct = made.groupBy("node").agg(F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("odd").alias("odd"), F.min("id").alias("least"), F.min("tag").alias("tag"))
     distinct = pin(distinct, "distinct")
     members = distinct.select("node", "size", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("node").alias("b"), F.max("node").alias("last")).filter("b < last").select("bucket", "b")
     members = pin(members.join(shared, "bucket"), "buckets")
-    size = distinct.select(F.col("node").alias("b"), F.col("size").alias("b_size"))
-    # Sets whose sizes differ by more can't be similar enough.
-    alike = LEAST[1] * F.least("size", "b_size") >= LEAST[0] * F.greatest("size", "b_size")
-    tried = members.filter("b < node").groupBy(F.col("node").alias("a"), "b").agg(F.first("size").alias("size"), F.count(F.lit(1)).alias("n"))
-    tried = pin(tried.join(size, "b").filter(alike).select("a", "b", "n"), "pairs")
+    tried = members.filter("b < node").groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("n"))
+    bounds = distinct.select("node", "size", "odd")
+    met = tried.join(bounds.alias("y"), F.col("b") == F.col("y.node")).join(bounds.alias("x"), (F.col("a") == F.col("x.node")) & _alike())
+    tried = pin(met.select("a", "b", "n"), "pairs")
     best = pin(tried.groupBy("a").agg(F.min_by("b", F.struct(-F.col("n"), F.col("b"))).alias("b")), "best")
     # Small tables are written, so that Spark knows their size and needn't shuffle texts to meet them.
     sharing = pin(distinct.select("node", "tag").join(members.select("node").distinct(), "node", "left_semi"), "sharing")
     texts = pin(rows.join(sharing, rows["_c1"] == sharing["tag"]).groupBy("node").agg(F.first("_c2").alias("text")), "compared")
-    links = _links(texts, best)
-    rooted = pin(components(links), "roots")
+    rooted = _rooted(_links(texts, best))
 
     def apart(pairs: DataFrame) -> DataFrame:
         a, b = (rooted.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab")
@@ -201,21 +233,20 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     more = pin(apart(tried.join(best, ["a", "b"], "left_anti")), "more")
     if not more.isEmpty():
-        links = pin(links.unionByName(_links(texts, more)), "links")
-        rooted = pin(components(links), "roots")
+        rooted = _rooted(_links(texts, more), rooted)
     found = members.join(rooted, "node", "left").select("bucket", "node", "size", F.coalesce("root", "node").alias("root"))
     mixed = found.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket")
     alone = pin(found.join(mixed, "bucket", "left_semi").select("node", "size", "root").distinct(), "apart")
     if not alone.isEmpty():
         prefixes = _prefixes(texts.join(alone.select("node"), "node", "left_semi"), alone.select("node", "size"))
-        roots, tried = alone.select("node", "root"), tried.select("a", "b")
+        alone, tried = alone.join(bounds.select("node", "odd"), "node"), tried.select("a", "b")
+        roots = alone.select("node", "root", "odd")
         for choose in (_least_pairs, _rare_pairs):
             others = pin(choose(_mixed(prefixes, roots)).join(tried, ["a", "b"], "left_anti"), "others")
             if others.isEmpty():
                 continue
-            links, tried = pin(links.unionByName(_links(texts, others)), "links"), tried.unionByName(others)
-            rooted = pin(components(links), "roots")
-            roots = alone.select("node").join(rooted, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+            rooted, tried = _rooted(_links(texts, others), rooted), tried.unionByName(others)
+            roots = alone.select("node", "odd").join(rooted, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "odd")
     root = distinct.select("node", "least").join(rooted, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = root.groupBy("root").agg(F.min("least").alias("component_id"))
     return made.select("id", "tag", "node").join(root.join(least, "root"), "node").select("id", "tag", "component_id", "root")

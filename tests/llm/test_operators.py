@@ -179,6 +179,23 @@ def test_rare_shingles_keep_a_family_apart(spark):
     assert minhash._rare_pairs(mixed).count() < 150 and minhash._least_pairs(mixed).count() < 150  # of 11,175 pairs
 
 
+def test_parities_leave_out_only_what_is_less_similar(spark, monkeypatch):
+    """Families at 0.55 to 0.8: few pairs that aren't similar enough are compared by their texts, and none that is gets lost."""
+    draw = random.Random(13)
+    texts = [t for changed in (4, 5, 6, 8, 10) for t in family(draw, 60, changed)]
+    sets = [minhash.shingles(t.encode()) for t in texts]
+    for a, b in itertools.combinations(range(0, len(sets), 7), 2):
+        odd = (np.array(minhash.parities(sets[k]), np.int64).view(np.uint8) for k in (a, b))
+        assert np.unpackbits(np.bitwise_xor(*odd)).sum() <= len(np.setxor1d(sets[a], sets[b]))
+    compared, links = [], minhash._links
+    monkeypatch.setattr(minhash, "_links", lambda held, pairs: compared.append(pairs.count()) or links(held, pairs))
+    rows = list(enumerate(texts, 100))
+    got = {r.id: r.component_id for r in minhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == naive_copies(rows)
+    similar = sum(minhash.similar(a, b) for a, b in itertools.combinations(sets, 2))
+    assert sum(compared) < 3 * len(texts) + similar, (compared, similar)
+
+
 # Decontamination
 
 
