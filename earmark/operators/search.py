@@ -364,6 +364,8 @@ def _search_units(visits: DataFrame, items: DataFrame, k: int | None, metric: st
 
 # Bounds route: bytes of the codes, or of the query vectors, of a work unit.
 UNIT_BYTES = 16 << 20
+# Pairs of a query and an item that a work unit looks at.
+UNIT_PAIRS = 1 << 27
 _LEVELS = 127
 
 
@@ -436,11 +438,23 @@ def _narrowed(df: DataFrame, unit_length: bool) -> DataFrame:
     return df.mapInArrow(run, f"id {id_type.simpleString()}, vec binary, length double")
 
 
+def work_grid(n_items: int, n_asked: int, width: int, k: int) -> tuple[int, int]:
+    """(units of the items, splits of the queries): a pair of both is within ``UNIT_BYTES`` a side and about ``UNIT_PAIRS`` pairs.
+
+    Of the grids with enough cells it is the one that moves least: codes once a split, queries and their results once a unit.
+    """
+    item_bytes, query_bytes = width + 48, 4 * width + 16
+    cells = n_items * n_asked / UNIT_PAIRS
+    moved = cells * n_items * item_bytes / max(1, n_asked * (query_bytes + 64 * k))
+    units = max(1, math.ceil(n_items * item_bytes / UNIT_BYTES), round(math.sqrt(moved)))
+    return units, max(1, math.ceil(n_asked * query_bytes / UNIT_BYTES), math.ceil(cells / units))
+
+
 def _bounded_top_k(queries: DataFrame, pool: DataFrame, k: int, metric: str, schema: T.StructType) -> DataFrame:
     """Exact search by a vector-approximation file: bytes are scanned, and only what their bounds leave open is scored.
 
-    Pool vectors become one byte a component, with the length of what that misses. Units of codes meet splits of the queries, both of
-    bounded bytes; in each, an item stays if its upper bound reaches the k-th best lower bound, and of equal vectors the k smallest ids stay. The
+    Pool vectors become one byte a component, with the length of what that misses. Units of codes meet splits of the queries, of
+    bounded bytes and with a bounded number of pairs; in each, an item stays if its upper bound reaches the k-th best lower bound, and of equal vectors the k smallest ids stay. The
     k-th best lower bound over all units cuts again, and what is left is scored by whole vectors. Vectors move once for that, codes once for
     each split of the queries, single-precision queries once for each unit.
     """
@@ -449,8 +463,7 @@ def _bounded_top_k(queries: DataFrame, pool: DataFrame, k: int, metric: str, sch
         return pool.sparkSession.createDataFrame([], schema)
     unit_length, width = metric == "cosine", max(1, len(first[0]))
     items, asked = pin(_coded(pool, unit_length), "codes"), pin(_narrowed(queries, unit_length), "asked")
-    units = max(1, math.ceil(items.count() * (width + 48) / UNIT_BYTES))
-    splits = max(1, math.ceil(asked.count() * (4 * width + 16) / UNIT_BYTES))
+    units, splits = work_grid(items.count(), asked.count(), width, k)
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     offered = items.withColumns({"unit": F.pmod(F.xxhash64("id"), F.lit(units)).cast("int"), "split": each(splits)})
     wanted = asked.withColumn("split", F.pmod(F.xxhash64("id"), F.lit(splits)).cast("int")).withColumn("unit", each(units))
@@ -492,6 +505,8 @@ def _bounded_top_k(queries: DataFrame, pool: DataFrame, k: int, metric: str, sch
 
     key = ["unit", "split"]
     types = [schema[0].dataType.simpleString(), schema[1].dataType.simpleString()]
+    # Their bytes are few and their work is much: a given number of partitions keeps adaptive execution from putting them together.
+    wanted, offered = (side.repartition(units * splits, *key) for side in (wanted, offered))
     near = wanted.groupBy(*key).cogroup(offered.groupBy(*key)).applyInArrow(run, f"query_id {types[0]}, item_id {types[1]}, lower double, upper double")
     near = pin(near, "near")
     by_lower = Window.partitionBy("query_id").orderBy(F.col("lower").desc())

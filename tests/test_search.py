@@ -222,3 +222,21 @@ def test_undefined_scores_do_not_hide_others(spark):
     p = spark.createDataFrame([(1, [float("nan"), 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, [-1.0, 0.0])], "item_id BIGINT, item_vec ARRAY<DOUBLE>").coalesce(1)
     q = spark.createDataFrame([(0, [1.0, 0.0])], "query_id BIGINT, query_vec ARRAY<DOUBLE>")
     assert [r["item_id"] for r in search.top_k(q, p, 3).orderBy("rank").collect()] == [2, 3, 4]
+
+
+@pytest.mark.parametrize("n", [1, 3_000, 20_000, 120_000, 1_000_000])
+def test_work_units_are_bounded_in_pairs(n):
+    units, splits = search.work_grid(n, n, 64, 5)
+    assert n / units * (n / splits) <= search.UNIT_PAIRS and n / units * 112 <= search.UNIT_BYTES and n / splits * 272 <= search.UNIT_BYTES
+    assert units * splits <= 1 + 3 * (1 + n * n // search.UNIT_PAIRS)
+
+
+def test_work_units_keep_partitions_of_their_own(spark, vectors, monkeypatch):
+    """Bytes of a unit are few, so adaptive execution would put all of them into one task."""
+    monkeypatch.setattr(search, "UNIT_PAIRS", 500)
+    q, p = frames(spark, *vectors)
+    found = []
+    monkeypatch.setattr(search, "pin", lambda df, label="pinned", keep=search.pin: found.append((label, df.rdd.getNumPartitions())) or keep(df, label))
+    assert search.top_k(q, p, 3, route="bounds").count() > 0
+    units, splits = search.work_grid(p.count(), q.count(), len(p.first()["item_vec"]), 3)
+    assert units * splits > 8 and dict(found)["near"] == units * splits
