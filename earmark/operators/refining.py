@@ -83,12 +83,20 @@ def unique_songs(clips: DataFrame, root: str = "/", order: str = "_ord", min_con
     return keep_one(rows, ["song_key"], [order])
 
 
-def refine_songs(clips: DataFrame, ledger: DataFrame, prompt, load: Callable[[], Refine], root: str = "/", order: str = "_ord") -> DataFrame:
-    """New ledger rows: one refiner call per song that the ledger lacks. Songs the refiner drops are retried later."""
+def refine_songs(
+    clips: DataFrame, ledger: DataFrame, prompt, load: Callable[[], Refine], root: str = "/", order: str = "_ord", texts: DataFrame | None = None,
+) -> DataFrame:
+    """New ledger rows: one refiner call per song that the ledger lacks. Songs the refiner drops are retried later.
+
+    ``texts`` (source_path, text), one row a song, is given where the clips have no text of their own: a long text is joined to its song
+    then, not carried by each of its clips.
+    """
     songs = unique_songs(clips, root, order)
     done = ledger.select(resolve_path("source_path", root).alias("song_key"), F.lit("ok").alias("status"))
-    todo = remaining(songs, done, "song_key").withColumn("_prompt", prompt)
-    answered = refine_rows(todo, "_prompt", load)
+    todo = remaining(songs, done, "song_key")
+    if texts is not None:
+        todo = todo.join(texts.select(resolve_path("source_path", root).alias("song_key"), "text"), "song_key", "left")
+    answered = refine_rows(todo.select("source_path", "text", prompt.alias("_prompt")), "_prompt", load)
     return answered.filter(blank_to_null("text_new").isNotNull()).select(
         "source_path", F.col("text_new").alias("text"), F.col("text").alias("text_orig"), F.lit("llm_full_corpus").alias("text_source"))
 

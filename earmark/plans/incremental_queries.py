@@ -77,13 +77,14 @@ def song_caption_run(spark: SparkSession, folder: str) -> DataFrame:
     earlier = songs.filter(F.col("quality") == 1).select(
         F.col("audio").alias("source_path"), F.lit("earlier caption").alias("text"), F.lit(None).cast("string").alias("text_orig"), F.lit("llm_full_corpus").alias("text_source"))
     jsonl.append_ledger(earlier, path)
-    clips = s.clips(spark, folder).join(songs.select("doc_id", "text"), "doc_id")
+    clips = s.clips(spark, folder).select("source_path", "segment_index", "segment_path")
+    texts = songs.select(F.col("audio").alias("source_path"), "text")
 
     def caption():
         return lambda prompts: prompts.where(prompts.str.len() < 0, "new caption").where(prompts.str.len() >= 200, None)
 
-    # a clip's own text is the prompt here, so that the oracle can tell which songs the refiner drops
-    new = refining.refine_songs(clips, jsonl.read_jsonl(spark, path, schema), F.col("text"), caption, root="/lib", order="segment_index")
+    # a song's own text is the prompt here, so that the oracle can tell which songs the refiner drops
+    new = refining.refine_songs(clips, jsonl.read_jsonl(spark, path, schema), F.col("text"), caption, root="/lib", order="segment_index", texts=texts)
     jsonl.append_ledger(new, path)
     ledger = jsonl.read_jsonl(spark, path, schema).withColumn("_ord", F.lit(0))
     return propagate_captions(clips.withColumn("text", F.lit("old")), ledger, root="/lib").select("segment_path", "text", "text_source")

@@ -102,3 +102,15 @@ def test_counters_of_a_mixed_manifest(spark, options, asked):
     public = {k: v for k, v in got.items() if k in ("domain_a", "domain_b")}
     assert sum(public.values()) == used and {k: v for k, v in got.items() if k not in public} == {
         "a_candidates": 4, "b_candidates": 3, "home": 4, "total": 4 + used, "holdout_paths": 2, "public_target_requested": asked, "public_target": used, "domain_home": 4}
+
+
+def test_songs_are_chosen_before_their_texts_are_joined(spark):
+    from earmark.operators import refining
+
+    clips = spark.createDataFrame([(f"s{k}.mp3", i) for k in range(3) for i in range(5)], "source_path string, segment_index int")
+    texts = spark.createDataFrame([(f"/lib/s{k}.mp3", f"long text {k}") for k in range(3)], "source_path string, text string")
+    ledger = spark.createDataFrame([("s1.mp3", "known")], "source_path string, text string")
+    from pyspark.sql import functions as F
+
+    new = refining.refine_songs(clips, ledger, F.upper("text"), refining.no_op(), root="/lib", order="segment_index", texts=texts)
+    assert {tuple(r) for r in new.collect()} == {(f"s{k}.mp3", f"LONG TEXT {k}", f"long text {k}", "llm_full_corpus") for k in (0, 2)}
