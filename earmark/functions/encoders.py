@@ -8,7 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,13 +51,18 @@ def encode_column(df: DataFrame, text: str, vector: str, load: Callable[[], Enco
 def encode_columns(df: DataFrame, columns: Mapping[str, str], load: Callable[[], Encoder], batch_size: int = 256) -> DataFrame:
     """Add a vector for each text column (``{text: vector}``). Each distinct text of all columns is encoded once, in one pass over one table.
 
-    The table of distinct texts is stored, and rows are joined to it. A null text has the vector of the empty text.
+    The vectors are stored with the texts' SHA-256, and rows are joined to them by it: texts move once, to be told apart, and no more
+    unless the result's own texts are used. A null text has the vector of the empty text.
     """
+    def digest(text: str) -> Column:
+        return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+
     texts = [df.select(F.coalesce(F.col(c), F.lit("")).alias("_text")) for c in columns]
-    known = pin(encode_column(reduce(DataFrame.union, texts).distinct(), "_text", "_vec", load, batch_size), "texts")
-    for text, vector in columns.items():
-        own = known.select(F.col("_text").alias(f"_text_{vector}"), F.col("_vec").alias(vector))
-        df = df.join(own, F.coalesce(F.col(text), F.lit("")) == F.col(f"_text_{vector}"), "left").drop(f"_text_{vector}")
+    encoded = encode_column(reduce(DataFrame.union, texts).distinct(), "_text", "_vec", load, batch_size)
+    known = pin(encoded.select(digest("_text").alias("_digest"), "_vec"), "texts")
+    df = df.withColumns({f"_digest_{vector}": digest(text) for text, vector in columns.items()})
+    for vector in columns.values():
+        df = df.join(known.select(F.col("_digest").alias(f"_digest_{vector}"), F.col("_vec").alias(vector)), f"_digest_{vector}", "left").drop(f"_digest_{vector}")
     return df
 
 

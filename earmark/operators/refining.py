@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,19 +25,22 @@ Refine = Callable[[pd.Series], pd.Series]
 def refine_rows(rows: DataFrame, prompt: str, load: Callable[[], Refine], out: str = "text_new", batch_rows: int = 256) -> DataFrame:
     """Add ``out`` = the refiner's answer to ``prompt``; null where it drops the row. ``load`` runs once per task.
 
-    ``prompt`` is a column, so filters on the rows belong before this call.
+    ``prompt`` is a column, so filters on the rows belong before this call. Rows pass as Arrow batches; only the prompts of
+    ``batch_rows`` of them are Python objects at a time.
     """
     schema = T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    position = rows.columns.index(prompt)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         refine = load()
-        for frame in frames:
-            for start in range(0, len(frame), batch_rows):
-                part = frame.iloc[start : start + batch_rows].copy()
-                part[out] = refine(part[prompt]).to_numpy()
-                yield part
+        for whole in batches:
+            for start in range(0, whole.num_rows, batch_rows):
+                batch = whole.slice(start, batch_rows)
+                answers = refine(batch.column(position).to_pandas())
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(answers, pa.string(), from_pandas=True)], names=[*batch.schema.names, out])
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def no_op() -> Callable[[], Refine]:
@@ -49,15 +53,15 @@ def gate_refined(
     strict: bool = True, old: str = "text_orig", new: str = "text_new", old_vec: str | None = None,
 ) -> DataFrame:
     """Add the gate diagnostics of a refined text. Each distinct text is encoded once; ``old_vec`` names a column that has the old text's vector already."""
-    rows = pin(rows, "refined")
+    rows = pin(rows, "refined").withColumn("_answered", F.col(new).isNotNull())
     if old_vec is None:
         encoded = encode_columns(rows, {old: "_old_vec", new: "_new_vec"}, load_encoder)
     else:
         encoded = encode_columns(rows, {new: "_new_vec"}, load_encoder).withColumn("_old_vec", F.col(old_vec))
     sims = encoded.withColumns({
         "_sim_old": cosine(item_vec, "_old_vec"), "_sim_new": cosine(item_vec, "_new_vec"), "_text_cos": cosine("_old_vec", "_new_vec")})
-    return sims.withColumn("gate", gate("_sim_old", "_sim_new", "_text_cos", min_sim_gain, min_text_cos, strict)).drop(
-        "_old_vec", "_new_vec", "_sim_old", "_sim_new", "_text_cos")
+    tested = gate("_sim_old", "_sim_new", "_text_cos", min_sim_gain, min_text_cos, strict).withField("answered", F.col("_answered"))
+    return sims.withColumn("gate", tested).drop("_old_vec", "_new_vec", "_sim_old", "_sim_new", "_text_cos", "_answered")
 
 
 def accepted_rows(gated: DataFrame, iteration: int, text_source: str = "llm_refined", new: str = "text_new") -> DataFrame:
@@ -66,8 +70,8 @@ def accepted_rows(gated: DataFrame, iteration: int, text_source: str = "llm_refi
 
 
 def gate_counts(gated: DataFrame, new: str = "text_new") -> DataFrame:
-    """One row: rows in, accepted, rejected for similarity or for drift, dropped by the refiner."""
-    answered = F.col(new).isNotNull()
+    """One row: rows in, accepted, rejected for similarity or for drift, dropped by the refiner. The gate tells it, so that no text is read for it."""
+    answered = F.col("gate.answered") if "answered" in gated.schema["gate"].dataType.names else F.col(new).isNotNull()
     return gated.agg(
         F.count(F.lit(1)).alias("n_in"), F.count_if(answered & F.col("gate.accepted")).alias("n_accepted"),
         F.count_if(answered & (F.col("gate.reject_reason") == "sim")).alias("n_rejected_sim"),

@@ -104,6 +104,21 @@ def test_counters_of_a_mixed_manifest(spark, options, asked):
         "a_candidates": 4, "b_candidates": 3, "home": 4, "total": 4 + used, "holdout_paths": 2, "public_target_requested": asked, "public_target": used, "domain_home": 4}
 
 
+def test_refined_texts_move_once(spark):
+    """Counters and outcomes of the gate meet vectors by digests: texts are in no join, and rows pass the refiner as Arrow batches."""
+    from earmark.functions.encoders import hash_encoder
+    from earmark.operators import refining
+
+    rows = spark.createDataFrame([(i, f"text {i % 7}" if i % 5 else None, [1.0, float(i)] * 4) for i in range(40)], "id long, text_orig string, v array<double>")
+    answered = refining.refine_rows(rows, "text_orig", lambda: lambda texts: (texts + "!").where(texts.str.len() > 5, None), batch_rows=16)
+    assert "MapInArrow" in answered._jdf.queryExecution().toString() and [r.text_new for r in answered.orderBy("id").collect()] == [f"text {i % 7}!" if i % 5 else None for i in range(40)]
+    gated = refining.gate_refined(answered, "v", hash_encoder(), -9.0, -9.0)
+    counts = refining.gate_counts(gated)
+    joined = [line for line in counts._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+    assert len(joined) == 2 and not any("text" in line for line in joined) and (counts.first().n_accepted, counts.first().n_dropped) == (32, 8)
+    assert gated.filter("text_new is not null and gate.accepted and gate.answered").count() == 32
+
+
 def test_songs_are_chosen_before_their_texts_are_joined(spark):
     from earmark.operators import refining
 
