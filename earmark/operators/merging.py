@@ -19,16 +19,18 @@ from earmark.functions.values import array_mean, flag_is_bad, parse_flag
 from earmark.operators.ordering import keep_one, with_position
 
 
+def source_metadata(metadata: DataFrame, order: str = "_ord") -> DataFrame:
+    """source_key, text, mood and confidence: the last metadata row of each source."""
+    rows = metadata.filter(blank_to_null("audio").isNotNull()).select(source_key("audio").alias("source_key"), "text", "mood", "confidence", order, F.lit(True).alias("_hit"))
+    return keep_one(rows, ["source_key"], [order], keep="last").drop(order)
+
+
 def match_segments(segments: DataFrame, metadata: DataFrame, order: str = "_ord") -> DataFrame:
     """Segments with the text, mood and confidence of their source (last metadata row per source wins).
 
     ``matched`` tells whether the source has metadata; unmatched segments stay for counting.
     """
-    meta = keep_one(
-        metadata.filter(blank_to_null("audio").isNotNull()).select(
-            source_key("audio").alias("source_key"), "text", "mood", "confidence", order, F.lit(True).alias("_hit")),
-        ["source_key"], [order], keep="last",
-    ).drop(order)
+    meta = source_metadata(metadata, order)
     rows = segments.filter(F.col("source_path").isNotNull() & F.col("segment_path").isNotNull())
     joined = rows.withColumn("source_key", source_key("source_path")).join(meta, "source_key", "left")
     return joined.select(

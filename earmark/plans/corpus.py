@@ -12,7 +12,7 @@ from earmark.functions.keys import blank_to_null, clip_name, source_key
 from earmark.functions.text import tag_caption
 from earmark.functions.values import mix_target, public_label_map
 from earmark.operators.filters import above
-from earmark.operators.merging import exclude_holdout, layered_merge, match_segments, mix_domains
+from earmark.operators.merging import exclude_holdout, layered_merge, match_segments, mix_domains, source_metadata
 from earmark.operators.sampling import group_split, plan_segments, seeded_shuffle, stratified_sample
 from earmark.session import pin
 
@@ -35,9 +35,12 @@ def segment_map(files: DataFrame, metadata: DataFrame, min_confidence: float, pr
 def train_val_manifests(segments: DataFrame, metadata: DataFrame, ratio: float = 0.1, seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(train, validation, one summary row). All clips of a song are on one side; unmatched clips are only counted.
 
-    The joined clips are written once, because the split counts them before it flags them.
+    The matched clips are written once, because the split counts them before it flags them; they carry no texts, which the manifests
+    get from their sources.
     """
-    joined = pin(match_segments(segments, metadata))
+    fields = ("text", "mood", "confidence")
+    bare = metadata.select("audio", *[F.lit(None).cast(metadata.schema[c].dataType).alias(c) for c in fields], "_ord")
+    joined = pin(match_segments(segments, bare).drop(*fields))
     matched = joined.filter("matched").drop("matched")
     flagged = group_split(matched, "source_key", ratio, seed)
     counts = flagged.agg(
@@ -45,7 +48,9 @@ def train_val_manifests(segments: DataFrame, metadata: DataFrame, ratio: float =
         F.count_distinct("source_key").alias("group_count_sources"))
     unmatched = joined.filter("NOT matched").agg(F.count(F.lit(1)).alias("n")).scalar()
     summary = counts.withColumn("unmatched_segment_rows", unmatched)
-    return flagged.filter("NOT is_val").drop("is_val", "source_key"), flagged.filter("is_val").drop("is_val", "source_key"), summary
+    told = flagged.join(source_metadata(metadata), "source_key").select(
+        "audio_path", F.coalesce("text", F.lit("")).alias("text"), "mood", "confidence", "source_path", "segment_index", "start_sec", "end_sec", "duration_sec", "is_val")
+    return told.filter("NOT is_val").drop("is_val"), told.filter("is_val").drop("is_val"), summary
 
 
 def public_candidates(rows: DataFrame, holdout: DataFrame, labels: Column | None = None) -> DataFrame:

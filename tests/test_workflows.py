@@ -129,3 +129,19 @@ def test_songs_are_chosen_before_their_texts_are_joined(spark):
 
     new = refining.refine_songs(clips, ledger, F.upper("text"), refining.no_op(), root="/lib", order="segment_index", texts=texts)
     assert {tuple(r) for r in new.collect()} == {(f"s{k}.mp3", f"LONG TEXT {k}", f"long text {k}", "llm_full_corpus") for k in (0, 2)}
+
+
+def test_split_writes_clips_without_their_texts(spark, monkeypatch):
+    from earmark.plans import corpus
+
+    written = []
+    monkeypatch.setattr(corpus, "pin", lambda df, label="pinned", keep=corpus.pin: written.append(df.columns) or keep(df, label))
+    meta = spark.createDataFrame([(f"data/music_db/a{k}.mp3", f"text {k}", "m", 0.5, 0) for k in range(9)], "audio string, text string, mood string, confidence double, _ord int")
+    segments = spark.createDataFrame([(f"c{k}_{i}", f"data/music_db/a{k}.mp3", i, 0.0, 1.0, 1.0) for k in range(10) for i in range(3)],
+                                     "segment_path string, source_path string, segment_index int, start_sec double, end_sec double, duration_sec double")
+    train, val, summary = corpus.train_val_manifests(segments, meta)
+    assert written and not any({"text", "mood"} & set(c) for c in written)
+    rows = train.collect() + val.collect()
+    assert train.columns == ["audio_path", "text", "mood", "confidence", "source_path", "segment_index", "start_sec", "end_sec", "duration_sec"]
+    assert len(rows) == 27 and all(r.text == f"text {r.source_path[-5]}" and r.confidence == 0.5 for r in rows) and not {r.source_path for r in train.collect()} & {r.source_path for r in val.collect()}
+    assert summary.first().matched_segment_rows == 27 and summary.first().unmatched_segment_rows == 3
