@@ -608,6 +608,51 @@ def test_wrapper_has_groups_and_slots():
     assert article.inside[0].inside[0].kind == "text" and article.inside[1].inside[0].kind == "slot"
 
 
+def _extracted(pages):
+    rules = wrappers.Rules.load(wrappers.Rules.of(*wrappers.infer(pages)).dump())
+    return [wrappers.main_text(p, rules) for p in pages], [wrappers.main_text(p, wrappers.Rules(False, {}, set())) for p in pages]
+
+
+def _story(i, n=12):
+    return " ".join(f"w{i}x{k}" for k in range(n))
+
+
+def test_the_wrapper_decides_inside_the_article(spark):
+    """A notice under a name in no list, and teasers and comments that are article elements, leave the result; without the wrapper they would stay."""
+    def article(i):
+        note = '<div class="zq7"><h3>Dear reader</h3><p>Pay us</p></div><p class="k9">As seen elsewhere</p>'
+        quote = f'<div class="qq">Q{i}</div>' if i == 2 else ""
+        own = f"<article><h1>T{i}</h1><p>{_story(i)}</p>{note}<h2>Background</h2>{quote}<p>Same words</p><ul><li>One</li></ul><div>{_story(i + 50)}</div>"
+        replies = "".join(f'<article class="comment"><p>Nice {i} {k}</article>' for k in range(1 + i % 2))
+        cards = "".join(f'<article class="card"><h3>Card {i} {k}</h3><p>{_story(i + 90 + k, 5)}</p></article>' for k in range(2 + i % 2))
+        return f"<body>{own}{replies}</article><section>{cards}</section></body>"
+
+    def want(i):
+        return "\n".join([f"T{i}", _story(i), "Background", *([f"Q{i}"] if i == 2 else []), "Same words", "One", _story(i + 50)])
+
+    pages = [article(i) for i in range(6)]
+    got, without = _extracted(pages)
+    assert got == [want(i) for i in range(6)]
+    assert all("Pay us" in t and "As seen elsewhere" in t and "Nice" in t and "Card" in t for t in without)
+    df = spark.createDataFrame([(i, "http://h.example/", article(i)) for i in range(40)], "page_id long, url string, html string")
+    assert {r.id: r.text for r in wrappers.extract(df).collect()} == {i: want(i).replace("\nQ2", "") if i != 2 else want(2) for i in range(40)}
+
+
+def test_the_wrapper_takes_nothing_without_evidence():
+    """Edited copies of one article, two pages, a text of one page alone, and articles of which no single one stands on every page."""
+    copy = "<article><h1>T</h1><div class='a'>" + _story(1, 40) + "</div><div class='b'>" + _story(2, 40) + " {0}</div></article>"
+    for pages in ([copy.format(i) for i in range(6)], [copy.format(1), copy.replace("w1", "v").replace("w2", "u")]):
+        got, without = _extracted(pages)
+        assert got == without and all(got)
+    lists = ["<body>" + "".join(f"<article class='card'><p>{_story(10 * i + k)}</article>" for k in range(2 + i)) + "</body>" for i in range(5)]
+    got, without = _extracted(lists)
+    assert got == without and all(len(t.split("\n")) == 2 + i for i, t in enumerate(got))
+    # Without an article: what one page alone has isn't what every page has.
+    plain = [f"<body><div>Site</div><p>{_story(i)}</p>" + ("<section>Only here</section>" if i == 1 else "") for i in range(5)]
+    got, _ = _extracted(plain)
+    assert got == [_story(i) + ("\nOnly here" if i == 1 else "") for i in range(5)]
+
+
 @pytest.mark.parametrize("deep", [50, 117, 118, 119, 300])
 def test_deep_nesting_loses_no_text(deep):
     page = "<article><p>Before</p>" + "<div>" * deep + "deep<p>in" + "</div>" * deep + "<p>After</p></article><footer>F</footer><p>out"
