@@ -12,8 +12,9 @@ an odd and the other an even number of them holds at least one that only one set
 similarity are told apart by that, without a text being moved. Nodes that share a bucket and stay in different components are compared by rare shingles: all their shingles are ordered by
 rising frequency, and sets of similarity 0.8 share one of the first |x| - ceil(0.8 |x|) + 1. Shingles that a whole family has are
 frequent and come last, so texts of a family that are less similar seldom meet. The place of the shared shingle bounds what the sets
-can still have in common. Here, too, each node is first compared with the least one of a shingle's list, and pairs are made only of what
-stays apart.
+can still have in common. Here, too, each node is first compared with the least one of a shingle's list. What stays apart meets in blocks of
+``BLOCK`` nodes of a list, whose bounds are taken at once, pair by pair of blocks: each node first with the one that differs from it in the fewest
+cells, so that a large family becomes one component by about one comparison a node, then with all others that are still apart.
 
 The texts of nodes that share a bucket are written once; from there a text travels once for each comparison. The node with which
 many are compared is held once for each ``LANE`` of them, so it is no hot key; other tables hold numbers only.
@@ -46,6 +47,8 @@ _CHUNK = 4096
 CELLS = 512
 #: Nodes that are compared with one copy of another node.
 LANE = 64
+#: Nodes of a shingle's list that meet others at once.
+BLOCK = 128
 _draw = np.random.default_rng(SEED)
 _MIX = _draw.integers(0, 1 << 63, BANDS * ROWS_PER_BAND, np.uint64), _draw.integers(0, 1 << 63, BANDS * ROWS_PER_BAND, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -188,10 +191,73 @@ def _least_pairs(mixed: DataFrame) -> DataFrame:
     return _pairs(x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root")) & _close(mixed)))
 
 
-def _rare_pairs(mixed: DataFrame) -> DataFrame:
-    """Pairs (a, b) of all nodes of a list that are in different components."""
-    x, y = mixed.alias("x"), mixed.alias("y")
-    return _pairs(x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") < F.col("y.root")) & _close(mixed)))
+def _members(blocks: pa.ListArray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Bounds of the blocks, and the members of all of them as columns; parities as rows of numbers."""
+    held = blocks.flatten()
+    columns = {held.type.field(k).name: c for k, c in enumerate(held.flatten())}
+    odd = columns.pop("odd", None)
+    found = {name: c.to_numpy(zero_copy_only=False) for name, c in columns.items()}
+    if odd is not None:
+        found["odd"] = odd.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(held), -1)
+    return np.concatenate([[0], np.cumsum(blocks.value_lengths().to_numpy(zero_copy_only=False))]), found
+
+
+def _near_members(x: dict[str, np.ndarray], y: dict[str, np.ndarray], best: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes of x and y in different components that the bounds of :func:`_close` leave, and the cells in which they differ; with ``best`` the least of each."""
+    left, right = np.minimum.outer(x["size"], y["size"]), np.maximum.outer(x["size"], y["size"])
+    ahead = np.minimum.outer(x["size"] - x["place"], y["size"] - y["place"]) + 1
+    both = left + right
+    i, j = np.nonzero(np.not_equal.outer(x["root"], y["root"]) & (LEAST[1] * left >= LEAST[0] * right) & (sum(LEAST) * ahead >= LEAST[0] * both))
+    differ = np.zeros(len(i), np.int64)
+    if "odd" in x:
+        differ = np.bitwise_count(x["odd"][i] ^ y["odd"][j]).sum(axis=1, dtype=np.int64)
+        few = sum(LEAST) * differ <= (LEAST[1] - LEAST[0]) * both[i, j]
+        i, j, differ = i[few], j[few], differ[few]
+    if best:
+        firsts = []
+        for own, other in ((i, y["node"][j]), (j, x["node"][i])):
+            order = np.lexsort((other, differ))
+            firsts.append(order[np.unique(own[order], return_index=True)[1]])
+        kept = np.union1d(*firsts)
+        i, j, differ = i[kept], j[kept], differ[kept]
+    return x["node"][i], y["node"][j], differ
+
+
+def _meet(best: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, 64):
+                (x_ends, x), (y_ends, y) = _members(piece.column(0)), _members(piece.column(1))
+                found = [np.zeros((3, 0), np.int64)]
+                for k in range(piece.num_rows):
+                    cut = ({name: c[ends[k] : ends[k + 1]] for name, c in held.items()} for ends, held in ((x_ends, x), (y_ends, y)))
+                    found.append(np.stack(_near_members(*cut, best)))
+                a, b, differ = np.concatenate(found, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(differ)], names=["a", "b", "differ"])
+
+    return run
+
+
+def _rare_pairs(mixed: DataFrame, best: bool = False) -> DataFrame:
+    """Pairs (a, b) of all nodes of a list that are in different components; with ``best`` only each node with the one that differs in the fewest cells."""
+    held = F.struct(*[c for c in mixed.columns if c != "shingle"])
+    dealt = mixed.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("shingle").orderBy("root", "node")) - 1) / BLOCK))
+    blocks = dealt.groupBy("shingle", "block").agg(F.collect_list(held).alias("held"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    x, y = blocks.alias("x"), blocks.alias("y")
+    # Blocks of one component have nothing to compare; those of one list are dealt to many tasks.
+    apart = (F.least("x.lo", "y.lo") < F.greatest("x.hi", "y.hi")) & (F.col("x.block") <= F.col("y.block"))
+    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & apart).repartition("x.shingle", "x.block", "y.block")
+    found = met.select(F.col("x.held").alias("x"), F.col("y.held").alias("y")).mapInArrow(_meet(best), "a long, b long, differ long")
+    if not best:
+        return found.select("a", "b").distinct()
+    found = pin(found.distinct(), "near")
+    both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "differ"))
+    least = both.groupBy("a").agg(F.min_by("b", F.struct("differ", "b")).alias("b"))
+    return least.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _best_pairs(mixed: DataFrame) -> DataFrame:
+    return _rare_pairs(mixed, best=True)
 
 
 def _rooted(links: DataFrame, rooted: DataFrame | None = None) -> DataFrame:
@@ -241,7 +307,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         prefixes = _prefixes(texts.join(alone.select("node"), "node", "left_semi"), alone.select("node", "size"))
         alone, tried = alone.join(bounds.select("node", "odd"), "node"), tried.select("a", "b")
         roots = alone.select("node", "root", "odd")
-        for choose in (_least_pairs, _rare_pairs):
+        for choose in (_least_pairs, _best_pairs, _rare_pairs):
             others = pin(choose(_mixed(prefixes, roots)).join(tried, ["a", "b"], "left_anti"), "others")
             if others.isEmpty():
                 continue

@@ -196,6 +196,25 @@ def test_parities_leave_out_only_what_is_less_similar(spark, monkeypatch):
     assert sum(compared) < 3 * len(texts) + similar, (compared, similar)
 
 
+def test_blocks_of_a_list_meet_as_all_its_pairs(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    draw = random.Random(15)
+    rows = [(draw.randrange(4), k, draw.randrange(6), 100 + draw.randrange(30), 1 + draw.randrange(25), [draw.getrandbits(63) - (1 << 62) if draw.random() < 0.1 else -1] * 8) for k in range(60)]
+    rows += [(s + 1, k, r, n, p, o) for s, k, r, n, p, o in rows if k % 3 == 0]
+    mixed = spark.createDataFrame(rows, "shingle long, node long, root long, size long, place long, odd array<long>")
+    want = {}
+    for x, y in itertools.combinations(rows, 2):
+        differ = sum((a ^ b).bit_count() if a ^ b >= 0 else ((a ^ b) + (1 << 64)).bit_count() for a, b in zip(x[5], y[5]))
+        both = x[3] + y[3]
+        if x[0] == y[0] and x[2] != y[2] and 9 * (min(x[3] - x[4], y[3] - y[4]) + 1) >= 4 * both and 5 * min(x[3], y[3]) >= 4 * max(x[3], y[3]) and 9 * differ <= both:
+            want[max(x[1], y[1]), min(x[1], y[1])] = differ
+    assert want and {tuple(r) for r in minhash._rare_pairs(mixed).collect()} == set(want)
+    best = set()
+    for node in {k for pair in want for k in pair}:
+        best.add(min((d, sum(pair) - node, pair) for pair, d in want.items() if node in pair)[2])
+    assert {tuple(r) for r in minhash._best_pairs(mixed).collect()} == best
+
+
 # Decontamination
 
 
