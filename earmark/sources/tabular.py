@@ -21,13 +21,22 @@ MATRIX_PATH = r"/([^/]+)_public/([^/]+)_seed(\d+)\.csv"
 
 
 def _files_by_header(spark: SparkSession, path: str | Sequence[str], **options) -> list[list[str]]:
-    """Files below ``path`` in groups that have the same first line; empty files are left out. One line a file reaches the driver."""
-    lines = spark.read.options(**options).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place"))
-    first = lines.groupBy("file").agg(F.min_by("value", "place").alias("header"))
+    """Files below ``path`` in groups that have the same first line; empty files are left out. One row a file reaches the driver.
+
+    First lines are told apart by 128 bits of digests: the minimum of numbers is aggregated by hash, while that of texts would sort all
+    lines of a task. The text is read once for each group, from one of its files.
+    """
+    lines = spark.read.options(**options).text(path).filter(F.col("_metadata.file_block_start") == 0)
+    lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place"))
+    digests = F.xxhash64("value"), F.xxhash64(F.lit(1), "value")
+    first = lines.groupBy("file").agg(*[F.min_by(d, "place").alias(f"d{k}") for k, d in enumerate(digests)])
+    alike: dict[tuple[int, int], list[str]] = {}
+    for file, *digest in first.collect():
+        alike.setdefault(tuple(digest), []).append(re.sub(r"([\\\[\]{}*?])", r"\\\1", unquote(file)))
     groups: dict[str, list[str]] = {}
-    for file, header in first.collect():
-        plain = re.sub(r"([\\\[\]{}*?])", r"\\\1", unquote(file))
-        groups.setdefault(header.lstrip(BOM).rstrip("\r"), []).append(plain)
+    for files in alike.values():
+        header = spark.read.text(min(files)).filter(F.col("_metadata.file_block_start") == 0).first()["value"]
+        groups.setdefault(header.lstrip(BOM).rstrip("\r"), []).extend(files)
     return [sorted(groups[h]) for h in sorted(groups)]
 
 

@@ -195,3 +195,27 @@ def test_splittable_tables_with_headers_in_another_order(spark, tmp_path):
     write(tmp_path / "t" / "c.tsv", "clip_id\tmp3_path\n3\tc.mp3\n")
     with pytest.raises(ValueError):
         tabular.read_wide_tsv(spark, str(tmp_path / "t"), ("clip_id", "piano", "mp3_path"))
+
+
+def test_headers_are_found_without_a_sort_of_the_lines(spark, tmp_path, monkeypatch):
+    heads = ["a,b", "b,a", "﻿a,b"]
+    for k, head in enumerate(heads):
+        # Many blocks; data lines that look like a header stand in later ones.
+        write(tmp_path / f"[{k}].csv", "\n".join([head, *[f"{i},{head}" if i % 7 else heads[1] for i in range(2_000)]]))
+    write(tmp_path / "empty.csv", "")
+    plans, collect = [], type(spark.range(1)).collect
+
+    def planned(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return collect(df)
+
+    monkeypatch.setattr(type(spark.range(1)), "collect", planned)
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        groups = tabular._files_by_header(spark, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    names = [[f.rsplit("/", 1)[-1].replace("\\", "") for f in g] for g in groups]
+    assert names == [["[0].csv", "[2].csv"], ["[1].csv"]]
+    assert plans and not any("Sort" in p for p in plans)
