@@ -1,12 +1,17 @@
-"""Near copies by exact Jaccard similarity of word shingles; minima of hash functions and rare shingles name the pairs to compare.
+"""Near copies by exact Jaccard similarity of word shingles; tries of SimHash fingerprints name the first pairs to compare, minima of hash functions and rare shingles all others.
 
 A text is the set of its shingles of ``SHINGLE`` words (a shorter text is one shingle). Two texts are linked if their sets have a
-Jaccard similarity of ``LEAST`` or more. The least values of ``BANDS`` x ``ROWS_PER_BAND`` hash functions are cut into bands, and
+Jaccard similarity of ``LEAST`` or more. A set's SimHash fingerprint is the majority of each bit over its shingles. Fingerprints meet in the
+self-join of tries of :mod:`earmark.llm.simhash`, and each is compared with the nearest smaller one that differs in ``BUDGET`` bits at most.
+Sets of similarity 0.8 differ in ten of the 64 bits on average, a budget that tries can't afford for all pairs: what they leave apart is
+named by bands and rare shingles, so no link depends on the budget.
+
+The least values of ``BANDS`` x ``ROWS_PER_BAND`` hash functions are cut into bands, and
 texts that agree in a band share a bucket: a pair with similarity s shares none with probability (1 - s ** 5) ** 25, which is
 0.00005 at 0.8 and less above. Each pair that is linked was compared by its whole sets.
 
-Equal sets are one node. First each node is compared with the least node of the bucket that it shares most often with one; then with
-the least nodes of its other buckets, where both are still in different components. So a large group costs about one comparison a
+Equal sets are one node. First each node is compared with the one that the tries name, or else with the least node of the bucket that it shares
+most often with one; then with the least nodes of its other buckets, where both are still in different components. So a large group costs about one comparison a
 member. Whole sets are compared only where a bound allows it: shingles are dealt to ``CELLS`` cells by hash, and a cell in which one set has
 an odd and the other an even number of them holds at least one that only one set has. Texts of a family that stay a little below the
 similarity are told apart by that, without a text being moved. Nodes that share a bucket and stay in different components are compared by rare shingles: all their shingles are ordered by
@@ -16,7 +21,7 @@ can still have in common. Here, too, each node is first compared with the least
 ``BLOCK`` nodes of a list, whose bounds are taken at once, pair by pair of blocks: each node first with the one that differs from it in the fewest
 cells, so that a large family becomes one component by about one comparison a node, then with all others that are still apart.
 
-The texts of nodes that share a bucket are written once; from there a text travels once for each comparison. The node with which
+The texts of nodes that share a bucket or are named by the tries are written once; from there a text travels once for each comparison. The node with which
 many are compared is held once for each ``LANE`` of them, so it is no hot key; other tables hold numbers only.
 
 Defined results: null and empty texts have the empty set and are linked with each other only; a component without any non-null
@@ -36,10 +41,13 @@ from pyspark.sql import functions as F
 
 from earmark.llm.common import keyed_texts, pieces, pin, raw_texts, words
 from earmark.llm.components import components
+from earmark.llm.simhash import majority, near_pairs
 
 SHINGLE = 5
 #: Least similarity, as a fraction.
 LEAST = (4, 5)
+#: Most bits in which fingerprints differ that the tries find.
+BUDGET = 4
 BANDS, ROWS_PER_BAND = 25, 5
 SEED = 42
 _CHUNK = 4096
@@ -92,16 +100,18 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in pieces(batch):
-            sets, sizes, bands, odd = [], [], [], []
+            sets, sizes, prints, bands, odd = [], [], [], [], []
             for raw in raw_texts(piece.column(2)):
                 found = shingles(raw)
                 sets.append(xxhash.xxh64_intdigest(found.tobytes(), SEED) - (1 << 63))
                 sizes.append(len(found))
+                prints.append(majority(found))
                 bands.append(buckets(found))
                 odd.append(parities(found))
             yield pa.RecordBatch.from_arrays(
-                [piece.column(0), piece.column(1), pa.array(sets, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
-                names=["id", "tag", "node", "size", "bands", "odd"])
+                [piece.column(0), piece.column(1), pa.array(sets, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()),
+                 pa.array(bands, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
+                names=["id", "tag", "node", "size", "fp", "bands", "odd"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,6 +141,20 @@ def _links(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return pin(met.select("b", "a", "text").mapInArrow(_compare, "a long, b long"), "links")
 
 
+def _trie_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes: the least node of each fingerprint with that of the nearest smaller fingerprint within the budget, and other nodes
+    of a fingerprint with its least one. ``nodes``: node, size, fp."""
+    some = nodes.filter("size > 0")
+    least = pin(some.groupBy("fp").agg(F.min("node").alias("b")), "fingerprints")
+    met = near_pairs(least.select("fp"), BUDGET).select(F.greatest("a", "b").alias("fp"), F.least("a", "b").alias("other"))
+    # One number, so that the pairs are aggregated by hash where they are found and a large family's aren't written.
+    near = F.shiftleft(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))).cast("long"), 60) + F.shiftrightunsigned("other", 4)
+    nearest = pin(met.groupBy("fp").agg(F.min_by("other", near).alias("other")), "nearest")
+    pairs = nearest.join(least.select("fp", F.col("b").alias("x")), "fp").join(least.select(F.col("fp").alias("other"), F.col("b").alias("y")), "other")
+    same = some.join(least, "fp").filter("b < node").select(F.col("node").alias("a"), "b")
+    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).unionByName(same)
+
+
 def _list_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in pieces(batch, 64):
@@ -276,19 +300,26 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """One row per row of ``docs``: id, tag (xxhash64 of the text), component_id (smallest id linked to it directly or not, its own
     included), root (smallest node of the component)."""
     rows = keyed_texts(docs, key, text).select("_c0", F.xxhash64("_c1").alias("_c1"), F.col("_c1").alias("_c2"))
-    made = pin(rows.mapInArrow(_sketch, "id long, tag long, node long, size long, bands array<long>, odd array<long>"), "sketches")
-    distinct = made.groupBy("node").agg(F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("odd").alias("odd"), F.min("id").alias("least"), F.min("tag").alias("tag"))
+    made = pin(rows.mapInArrow(_sketch, "id long, tag long, node long, size long, fp long, bands array<long>, odd array<long>"), "sketches")
+    distinct = made.groupBy("node").agg(F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("odd").alias("odd"), F.min("id").alias("least"), F.min("tag").alias("tag"))
     distinct = pin(distinct, "distinct")
     members = distinct.select("node", "size", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("node").alias("b"), F.max("node").alias("last")).filter("b < last").select("bucket", "b")
     members = pin(members.join(shared, "bucket"), "buckets")
     tried = members.filter("b < node").groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("n"))
     bounds = distinct.select("node", "size", "odd")
-    met = tried.join(bounds.alias("y"), F.col("b") == F.col("y.node")).join(bounds.alias("x"), (F.col("a") == F.col("x.node")) & _alike())
-    tried = pin(met.select("a", "b", "n"), "pairs")
-    best = pin(tried.groupBy("a").agg(F.min_by("b", F.struct(-F.col("n"), F.col("b"))).alias("b")), "best")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        met = pairs.join(bounds.alias("y"), F.col("b") == F.col("y.node")).join(bounds.alias("x"), (F.col("a") == F.col("x.node")) & _alike())
+        return met.select(*pairs.columns)
+
+    near = pin(alike(_trie_pairs(distinct.select("node", "size", "fp"))), "tries")
+    tried = pin(alike(tried), "pairs")
+    best = tried.join(near.select("a").distinct(), "a", "left_anti").groupBy("a").agg(F.min_by("b", F.struct(-F.col("n"), F.col("b"))).alias("b"))
+    best = pin(near.unionByName(best), "best")
     # Small tables are written, so that Spark knows their size and needn't shuffle texts to meet them.
-    sharing = pin(distinct.select("node", "tag").join(members.select("node").distinct(), "node", "left_semi"), "sharing")
+    met = members.select("node").unionByName(near.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    sharing = pin(distinct.select("node", "tag").join(met, "node", "left_semi"), "sharing")
     texts = pin(rows.join(sharing, rows["_c1"] == sharing["tag"]).groupBy("node").agg(F.first("_c2").alias("text")), "compared")
     rooted = _rooted(_links(texts, best))
 
@@ -305,7 +336,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     alone = pin(found.join(mixed, "bucket", "left_semi").select("node", "size", "root").distinct(), "apart")
     if not alone.isEmpty():
         prefixes = _prefixes(texts.join(alone.select("node"), "node", "left_semi"), alone.select("node", "size"))
-        alone, tried = alone.join(bounds.select("node", "odd"), "node"), tried.select("a", "b")
+        alone, tried = alone.join(bounds.select("node", "odd"), "node"), tried.select("a", "b").unionByName(near)
         roots = alone.select("node", "root", "odd")
         for choose in (_least_pairs, _best_pairs, _rare_pairs):
             others = pin(choose(_mixed(prefixes, roots)).join(tried, ["a", "b"], "left_anti"), "others")

@@ -36,6 +36,17 @@ CELL = 4096
 _CHUNK = 1 << 15
 
 
+def ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Majority of each bit over hashes that are made already, as a signed long; 0 without any."""
+    set_bits = sum((ones(hashes[at : at + _CHUNK]) for at in range(0, len(hashes), _CHUNK)), np.zeros(BITS, np.int64))
+    return int(np.packbits(2 * set_bits > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
     """Majority of each bit over the XXH64 of all word shingles, repeats included; 0 without a word."""
     parts = words(raw)
@@ -50,7 +61,7 @@ def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
     set_bits = np.zeros(BITS, np.int64)
     for at in range(0, len(starts), _CHUNK):
         hashes = np.array([xxhash.xxh64_intdigest(joined[s:e], SEED) for s, e in zip(starts[at : at + _CHUNK], ends[at : at + _CHUNK])], "<u8")
-        set_bits += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        set_bits += ones(hashes)
     return int(np.packbits(2 * set_bits > len(starts), bitorder="little").view("<u8")[0])
 
 

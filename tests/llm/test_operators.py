@@ -170,6 +170,33 @@ def test_families_above_and_below_the_similarity(spark, monkeypatch):
     assert got == naive_copies(rows) and 20 < len(set(got.values())) < 200
 
 
+def test_near_copies_first_compare_what_tries_of_fingerprints_name(spark, monkeypatch):
+    """The first comparisons are those of each fingerprint with the nearest smaller one in reach; the groups are those of brute force all the same."""
+    draw = random.Random(16)
+    texts = [t for _ in range(4) for t in family(draw, 25, 1)] + ["a b c d e f", "f e d c b a", "", None, " "]
+    rows = list(enumerate([*texts, texts[0].upper()], 100))
+    prints = {}
+    for text in texts:
+        found = minhash.shingles((text or "").encode())
+        if len(found):
+            bits = [sum(int(h) >> k & 1 for h in found) * 2 > len(found) for k in range(64)]
+            value = sum(b << k for k, b in enumerate(bits))
+            value, node = value - (value >> 63 << 64), xxhash.xxh64_intdigest(found.tobytes(), 42) - (1 << 63)
+            prints[value] = min(node, prints.get(value, node))
+    want = set()
+    for value, node in prints.items():
+        near = [(((value ^ o) & (1 << 64) - 1).bit_count(), o & (1 << 64) - 1, o) for o in prints if o < value]
+        near = [x for x in near if x[0] <= 4]
+        if near:
+            other = prints[min(near)[2]]
+            want.add((max(node, other), min(node, other)))
+    compared, links = [], minhash._links
+    monkeypatch.setattr(minhash, "_links", lambda held, pairs: compared.append({tuple(r) for r in pairs.select("a", "b").collect()}) or links(held, pairs))
+    got = {r.id: r.component_id for r in minhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == naive_copies(rows)
+    assert len(want) > 20 and want <= compared[0]
+
+
 def test_rare_shingles_keep_a_family_apart(spark):
     draw = random.Random(12)
     texts = family(draw, 150, 25)
