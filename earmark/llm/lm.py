@@ -14,8 +14,11 @@ Exact counts for the baseline: words of the highest counts, at most ``FREQUENT``
 arrays; the other words of a document are looked up by a join with the table of counts, in which each (document, word) is one
 row. Words are identified by 64-bit hashes.
 
-All counts cover all training documents. The filter is broadcast if it has at most ``MOST_BYTES``; the pairs' segments beyond
-that are scored in further passes over the documents, each with as many segments as fit. The filter of single words must fit.
+All counts cover all training documents. The filter of pairs never passes the driver: its segments are dealt in shards of at most
+``SHARD_BYTES`` (one segment at least), each shard to tasks of its own, and the documents' pairs go where their shard is. A task takes
+the documents in blocks; of a block a shard gets each different pair once, with the levels of its words and the places of its documents,
+and gives back one sum a document. So texts are read once, whatever the number of shards. Blocks are what a task reads: rows that another
+run of the task would read in another order have to be a table first. The filter of single words is broadcast and must fit into ``MOST_BYTES``.
 
 Defined results: null and empty texts have the end token alone; a null id is not held out and not learned from; repeated rows
 are scored each; with an empty training part N = V = 0, the baseline and the score are 0. Very long texts are scored whole; words of equal
@@ -24,13 +27,14 @@ counts are frequent or not together. Other columns are not read, so their names
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from earmark.llm.common import keyed_texts, pieces, pin, raw_texts, words
@@ -39,9 +43,18 @@ GROWTH = 1.25
 BITS = 12
 FREQUENT = 1_000_000
 MOST_BYTES = 512 << 20
+#: Bytes of a shard of the filter of pairs, at most; a small filter has SHARDS shards, or fewer of LEAST_SHARD bytes.
+SHARD_BYTES = 32 << 20
+LEAST_SHARD = 4 << 20
+SHARDS = 24
 #: Keys that a task gathers before it passes on their counts.
 GATHER = 2_000_000
 TOKENS_PER_PART = 1_500_000
+#: Tokens and documents of a block; a document's place in it has two bytes.
+BLOCK_TOKENS = 1_000_000
+BLOCK_DOCS = 1 << 16
+#: Different pairs of a block that are one row.
+ROW_KEYS = 4096
 _SEGMENT_BITS = 12
 _END = b"\n"  # no word holds white space
 
@@ -175,20 +188,43 @@ def _merge(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     return (keys[start], counts, *[np.concatenate([p[i] for p in parts])[order][start] for i in range(2, len(parts[0]))])
 
 
-def _count(batches: Iterator[pa.RecordBatch], unigrams: LevelFilter | None) -> Iterator[pa.RecordBatch]:
-    """Counts of words, or of pairs with the level of their first word, added up in the task."""
+def _pack(*columns: np.ndarray) -> bytes:
+    """Sorted keys as steps, and columns of other numbers, byte plane after byte plane, so that equal bytes stand together."""
+    columns = (np.diff(columns[0], prepend=np.uint64(0)), *columns[1:])
+    raw = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.itemsize).T).tobytes() for c in columns)
+    return np.array([len(raw), *map(len, columns)], np.uint32).tobytes() + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpack(data: bytes | pa.Buffer, *kinds: type) -> tuple[np.ndarray, ...]:
+    """The columns, of uint64 and the given kinds."""
+    kinds = (np.uint64, *kinds)
+    data = memoryview(data)
+    whole, *sizes = np.frombuffer(data[: 4 * len(kinds) + 4], np.uint32).tolist()
+    raw = np.frombuffer(pa.decompress(data[4 * len(kinds) + 4 :], whole, "zstd"), np.uint8)
+    out, at = [], 0
+    for kind, size in zip(kinds, sizes):
+        width = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(raw[at : at + size * width].reshape(width, size).T).view(kind).reshape(size))
+        at += size * width
+    return (np.cumsum(out[0], dtype=np.uint64), *out[1:])
+
+
+def _count(batches: Iterator[pa.RecordBatch], unigrams: LevelFilter | None, shift: int = 0) -> Iterator[pa.RecordBatch]:
+    """Counts of words, or of pairs with the level of their first word, added up in the task. Pairs are packed by their segments without the last ``shift`` bits."""
     parts: list[tuple[np.ndarray, ...]] = []
     gathered = 0
 
     def give(part: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
-        for at in range(0, len(part[0]), 50_000):
-            keys = part[0][at : at + 50_000]
-            columns = [pa.array(keys.view(np.int64)), pa.array(part[1][at : at + 50_000])]
-            names = ["key", "n"]
-            if unigrams is not None:
-                columns += [pa.array(segment_of(keys).astype(np.int32)), pa.array(part[2][at : at + 50_000].astype(np.int16))]
-                names += ["segment", "level"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+        if unigrams is None:
+            for at in range(0, len(part[0]), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(part[0][at : at + 50_000].view(np.int64)), pa.array(part[1][at : at + 50_000])], names=["key", "n"])
+            return
+        own = segment_of(part[0]) >> shift
+        edges = [*np.flatnonzero(np.diff(own, prepend=-1)).tolist(), len(own)]
+        for at in range(0, len(edges) - 1, 64):
+            cuts = edges[at : at + 65]
+            data = [_pack(part[0][a:b], part[1][a:b], part[2][a:b].astype(np.uint8)) for a, b in zip(cuts, cuts[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(own[cuts[:-1]].astype(np.int32)), pa.array(data, pa.binary())], names=["bin", "data"])
 
     for batch in batches:
         for piece in pieces(batch):
@@ -212,13 +248,20 @@ def _count(batches: Iterator[pa.RecordBatch], unigrams: LevelFilter | None) -> I
         yield from give(_merge(parts))
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _segments([(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy(), np.zeros(b.num_rows, np.uint8)) for b in batches if b.num_rows])
+
+
+def _of_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _segments([_unpack(x.as_buffer(), np.int64, np.uint8) for b in batches for x in b.column(0)])
+
+
+def _segments(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
     """Filter segments of the partition's keys; in the row of segment -1, the number of different pairs by level of the history."""
-    parts = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches if b.num_rows]
     if not parts:
         return
     keys, counts, history = _merge(parts)
-    del parts
+    parts.clear()
     edges = np.searchsorted(segment_of(keys), np.arange((1 << _SEGMENT_BITS) + 1))
     for s in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
         own = slice(edges[s], edges[s + 1])
@@ -229,9 +272,15 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _collected(segments: DataFrame) -> LevelFilter:
-    """The filter of these segments; their size has been checked."""
-    table = segments.select("segment", "data").toArrow()
-    return LevelFilter.join(dict(zip(table["segment"].to_pylist(), (x.as_buffer() for x in table["data"]))))
+    """The filter of these segments of a table; their size has been checked. The driver has it once, and some segments more."""
+    size = np.zeros(1 << _SEGMENT_BITS, np.uint64)
+    for s, n in segments.select("segment", F.octet_length("data")).collect():
+        size[s] = n // 8
+    first = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.uint64)
+    data = np.empty(int(size.sum()), np.uint64)
+    for r in segments.select("segment", "data").coalesce(1 + data.nbytes // (16 << 20)).toLocalIterator():
+        data[int(first[r.segment]) :][: int(size[r.segment])] = np.frombuffer(bytes(r.data), np.uint64)
+    return LevelFilter(data, first, size)
 
 
 @dataclass
@@ -240,7 +289,7 @@ class Model:
     distinct: int
     once: int
     unigrams: LevelFilter
-    #: Filter segments of pairs, in groups that are broadcast one at a time.
+    #: Filter segments of pairs, and the segments of each shard.
     pairs: DataFrame
     shards: list[list[int]]
     followers: np.ndarray
@@ -248,7 +297,7 @@ class Model:
     counts: DataFrame
 
 
-def train(texts: DataFrame, text: str = "text", most_bytes: int = MOST_BYTES, frequent: int = FREQUENT) -> Model:
+def train(texts: DataFrame, text: str = "text", most_bytes: int = MOST_BYTES, frequent: int = FREQUENT, shard_bytes: int = SHARD_BYTES) -> Model:
     """Count words and pairs of all rows and build the filters."""
     rows = keyed_texts(texts, text)
     counts = pin(rows.mapInArrow(lambda b: _count(b, None), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "words")
@@ -269,22 +318,26 @@ def train(texts: DataFrame, text: str = "text", most_bytes: int = MOST_BYTES, fr
     order = np.argsort(keys)
     parts = max(1, -(-total // TOKENS_PER_PART))
     segment = F.shiftrightunsigned("key", 64 - _SEGMENT_BITS).cast("int")
-    made = counts.select("key", "n", F.lit(0).cast("short").alias("level"), segment.alias("segment")).repartition(parts, "segment").select("key", "n", "level").mapInArrow(_segments, "segment int, data binary")
+    made = counts.select("key", "n", segment.alias("segment")).repartition(parts, "segment").select("key", "n").mapInArrow(_of_words, "segment int, data binary")
     # Bits an event are fixed, so the size follows from the number of events by level: checked before it is collected.
     if sum(q * w for q, (w, _) in by_level.items()) * BITS // 8 > most_bytes:
         raise ValueError("the filter of single words exceeds most_bytes")
-    unigrams = _collected(made.filter("segment >= 0"))
+    unigrams = _collected(pin(made.filter("segment >= 0"), "words_filter"))
     shared = texts.sparkSession.sparkContext.broadcast(unigrams)
-    found = rows.mapInArrow(lambda b: _count(b, shared.value), "key long, n long, segment int, level short")
-    pairs = pin(found.repartition(parts, "segment").select("key", "n", "level").mapInArrow(_segments, "segment int, data binary"), "segments")
+    # Some bins for each part, so that parts are even.
+    shift = max(0, _SEGMENT_BITS - (8 * parts - 1).bit_length())
+    found = rows.mapInArrow(lambda b: _count(b, shared.value, shift), "bin int, data binary")
+    pairs = pin(found.repartition(parts, "bin").select("data").mapInArrow(_of_pairs, "segment int, data binary"), "segments")
     followers = np.zeros(len(EDGES) + 1)
     for r in pairs.filter("segment < 0").collect():
         followers += np.frombuffer(bytes(r["data"]), np.int64)
     histories = np.array([max(1, by_level.get(q, (0, 0))[0]) for q in range(len(EDGES) + 1)], float)
+    sizes = sorted(map(tuple, pairs.filter("segment >= 0").select("segment", F.octet_length("data")).collect()))
+    bound = min(shard_bytes, max(LEAST_SHARD, sum(n for _, n in sizes) // SHARDS))
     shards: list[list[int]] = []
     room = 0
-    for s, size in pairs.filter("segment >= 0").select("segment", F.octet_length("data")).orderBy("segment").collect():
-        if not shards or room + size > most_bytes:
+    for s, size in sizes:
+        if not shards or room + size > bound:
             shards.append([])
             room = 0
         shards[-1].append(s)
@@ -292,70 +345,166 @@ def train(texts: DataFrame, text: str = "text", most_bytes: int = MOST_BYTES, fr
     return Model(total, distinct, once, unigrams, pairs, shards or [[]], followers / histories, (keys[order], n[order]), counts)
 
 
+def _apart(spark: SparkSession, n: int) -> np.ndarray:
+    """A key for each of ``n`` partitions: dealt by them, each partition gets one."""
+    keys = np.zeros(n, np.int64)
+    for p, key in spark.range(40 * n, numPartitions=1).groupBy(F.pmod(F.hash("id"), F.lit(n))).agg(F.min("id")).collect():
+        keys[p] = key
+    return keys
+
+
+def _rows(rows: int, **columns: pa.Array) -> pa.RecordBatch:
+    """Rows of ``PLACED``; columns that aren't given are null."""
+    return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(rows, f.type) for f in PLACED], schema=PLACED)
+
+
+def _probes(model: Model, shard_of: np.ndarray, places: np.ndarray, small) -> Callable:
+    """Of a task's documents, the rows of their exact counts, and those of their pairs, by the places of the pairs' shards."""
+    total, once = model.total, model.once
+    whole = float(total + model.distinct + 1)
+
+    def turn(block: int) -> int:
+        return (block >> 32) + block  # the first blocks of all tasks differ, too
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unigrams, often, often_n = small.value
+        unknown_history = unigrams.levels(np.array([END_HASH]))
+        block, docs, gathered, parts = TaskContext.get().partitionId() << 32, 0, 0, []
+
+        def give() -> Iterator[pa.RecordBatch]:
+            pairs, word, history, doc = map(np.concatenate, zip(*parts))
+            parts.clear()
+            order = np.argsort(pairs)
+            pairs = pairs[order]
+            start = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+            doc, word, history, pairs = doc[order], word[order][start], history[order][start], pairs[start]
+            times = np.diff(start, append=len(doc))
+            place = places[shard_of[segment_of(pairs)], turn(block) % places.shape[1]]
+            edges = np.union1d(np.flatnonzero(place[1:] != place[:-1]) + 1, np.arange(0, len(pairs) + ROW_KEYS, ROW_KEYS).clip(max=len(pairs))).tolist()
+            start = np.append(start, len(doc))
+            for at in range(0, len(edges) - 1, 64):
+                cuts = edges[at : at + 65]
+                data = [_pack(pairs[a:b], times[a:b].astype(np.uint32), word[a:b], history[a:b], doc[start[a] : start[b]]) for a, b in zip(cuts, cuts[1:])]
+                yield _rows(len(data), place=pa.array(place[cuts[:-1]]), block=pa.array([block] * len(data)), row=pa.array([docs] * len(data)), data=pa.array(data, pa.binary()))
+
+        for batch in batches:
+            for piece in pieces(batch):
+                tokens, sizes = _hashes(raw_texts(piece.column(1)))
+                first = np.cumsum(sizes) - sizes
+                kinds, inverse = np.unique(tokens, return_inverse=True)
+                at = np.minimum(np.searchsorted(often, kinds), max(len(often) - 1, 0))
+                exact = np.where(often[at] == kinds, often_n[at], 0) if len(often) else np.zeros(len(kinds), np.int64)
+                seen = exact[inverse]
+                known = np.add.reduceat((seen > 0).astype(np.int64), first)
+                base = np.add.reduceat(np.where(seen > 0, np.log10((seen + 1) / whole), 0.0), first)
+                edge = np.concatenate([[0], np.cumsum(sizes - known)]) if total else np.zeros(len(sizes) + 1, np.int64)
+                rest = tokens[seen == 0].view(np.int64) if total else np.zeros(0, np.int64)
+                if docs and (docs + len(sizes) > BLOCK_DOCS or gathered + len(tokens) > BLOCK_TOKENS):
+                    yield from give()
+                    block, docs, gathered, parts = block + 1, 0, 0, []
+                yield _rows(
+                    len(sizes), place=pa.array(np.full(len(sizes), places.flat[turn(block) % places.size])), block=pa.array([block] * len(sizes)), row=pa.array(np.arange(docs, docs + len(sizes))), id=piece.column(0), n_tokens=pa.array(sizes),
+                    n_known=pa.array(known), base=pa.array(base), rest=pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(rest)))
+                if total:
+                    level = unigrams.levels(kinds).astype(np.uint8)[inverse]
+                    history = np.empty_like(level)
+                    history[1:] = level[:-1]
+                    history[first] = unknown_history
+                    parts.append((pair_keys(_before(tokens, sizes), tokens), level, history, np.repeat(np.arange(docs, docs + len(sizes)).astype(np.uint16), sizes)))
+                    docs += len(sizes)
+                    gathered += len(tokens)
+        if parts:
+            yield from give()
+
+    return run
+
+
+def _answers(model: Model, places: np.ndarray) -> Callable:
+    """For each block's pairs of a shard, whose segments come first, the sum of log10 probabilities in each document."""
+    total, followers = model.total, model.followers
+    number = {key: shard for shard, own in enumerate(places.tolist()) for key in own}
+    unknown = model.once / total if model.once else 1 / (total + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segments: dict[int, pa.Buffer] = {}
+        pairs, at, sums = None, (None, None), np.zeros(0)
+
+        def give() -> Iterator[pa.RecordBatch]:
+            if len(sums):
+                yield _rows(1, place=pa.array([at[0]], pa.int64()), block=pa.array([at[1]], pa.int64()), row=pa.array([-1 - number[at[0]]], pa.int64()), data=pa.array([sums.tobytes()], pa.binary()))
+
+        for batch in batches:
+            if (documents := batch.filter(batch.column("n_tokens").is_valid())).num_rows:
+                yield documents
+            for place, block, row, data in zip(*(batch.column(c).to_pylist() for c in ("place", "block", "row")), batch.column("data")):
+                if not data.is_valid:
+                    continue
+                if (place, block) != at:
+                    yield from give()
+                    if place != at[0]:
+                        segments, pairs = {}, None
+                    at, sums = (place, block), np.zeros(0)
+                if block < 0:
+                    segments[row] = data.as_py()
+                    continue
+                if pairs is None:
+                    pairs, segments = LevelFilter.join(segments), {}
+                if not len(sums):
+                    sums = np.zeros(row)
+                keys, times, word, history, doc = _unpack(data.as_buffer(), np.uint32, np.uint8, np.uint8, np.uint16)
+                single = np.where(word > 0, (1 - unknown) * np.minimum(MEANS[word] / total, 1.0), unknown)
+                mass = followers[history]
+                p = np.where(history > 0, np.minimum((MEANS[pairs.levels(keys)] + mass * single) / np.maximum(MEANS[history] + mass, 1e-9), 1.0), single)
+                logs = np.log10(np.maximum(p, np.minimum(single, 1e-12)))
+                sums += np.bincount(doc, np.repeat(logs, times), len(sums))
+        yield from give()
+
+    return run
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of documents with their scores: of each block the sums of all shards come first, shard after shard."""
+    at, sums = None, None
+    for batch in batches:
+        blocks, rows = batch.column("block").to_numpy(), batch.column("row").to_numpy()
+        score = np.zeros(batch.num_rows)
+        for i, (block, row, data) in enumerate(zip(blocks.tolist(), rows.tolist(), batch.column("data"))):
+            if block != at:
+                at, sums = block, None
+            if row < 0:
+                own = np.frombuffer(data.as_buffer(), np.float64)
+                sums = own if sums is None else sums + own
+            elif sums is not None:
+                score[i] = sums[row]
+        kept = pa.RecordBatch.from_arrays([*(batch.column(c) for c in DONE[:-1]), pa.array(score)], names=DONE).filter(pa.array(rows >= 0))
+        if kept.num_rows:
+            yield kept
+
+
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_tokens, n_known, base_score, score of each row."""
     spark = docs.sparkSession
-    rows = keyed_texts(docs, key, text).withColumn("tag", F.xxhash64("_c1"))
-    total, distinct, once, followers = model.total, model.distinct, model.once, model.followers
-    whole = float(total + distinct + 1)
+    whole = float(model.total + model.distinct + 1)
     small = spark.sparkContext.broadcast((model.unigrams, *model.frequent))
-    out = None
+    # Few shards are there several times, so that all cores have some: a block goes to one of each shard's places.
+    copies = -(-2 * spark.sparkContext.defaultParallelism // len(model.shards))
+    places = _apart(spark, len(model.shards) * copies).reshape(len(model.shards), copies)
+    shard_of = np.zeros(1 << _SEGMENT_BITS, np.int64)
     for number, shard in enumerate(model.shards):
-        own = model.pairs.filter(F.col("segment").isin(shard) if len(model.shards) > 1 else F.col("segment") >= 0)
-        shared = spark.sparkContext.broadcast(_collected(own))
-        here = np.zeros(1 << _SEGMENT_BITS, bool)
-        here[shard if len(model.shards) > 1 else slice(None)] = True
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, here=here, number=number) -> Iterator[pa.RecordBatch]:
-            pairs, (unigrams, often, often_n) = shared.value, small.value
-            unknown = once / total if once else 1 / (total + 1)
-            for batch in batches:
-                for piece in pieces(batch):
-                    if not total:
-                        n = [len(words(r)) + 1 for r in raw_texts(piece.column(1))]
-                        zero = [0.0] * len(n) if number == 0 else [None] * len(n)
-                        yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), pa.array(n), pa.array([0] * len(n)), pa.array(zero, pa.float64()), pa.array([0.0] * len(n)), pa.array([[]] * len(n), pa.list_(pa.int64()))], names=NAMES)
-                        continue
-                    tokens, sizes = _hashes(raw_texts(piece.column(1)))
-                    first = np.cumsum(sizes) - sizes
-                    kinds, inverse = np.unique(tokens, return_inverse=True)
-                    levels = unigrams.levels(kinds)
-                    single = np.where(levels > 0, (1 - unknown) * np.minimum(MEANS[levels] / total, 1.0), unknown)[inverse]
-                    level = levels[inverse]
-                    history = np.empty_like(level)
-                    history[1:] = level[:-1]
-                    history[first] = levels[np.searchsorted(kinds, END_HASH)]
-                    keys = pair_keys(_before(tokens, sizes), tokens)
-                    count = MEANS[pairs.levels(keys)]
-                    mass = followers[history]
-                    p = np.where(history > 0, np.minimum((count + mass * single) / np.maximum(MEANS[history] + mass, 1e-9), 1.0), single)
-                    p = np.maximum(p, np.minimum(single, 1e-12))
-                    logs = np.log10(p)
-                    if not here.all():
-                        logs = np.where(here[segment_of(keys)], logs, 0.0)
-                    at = np.minimum(np.searchsorted(often, kinds), max(len(often) - 1, 0))
-                    exact = np.where(often[at] == kinds, often_n[at], 0) if len(often) else np.zeros(len(kinds), np.int64)
-                    seen = exact[inverse]
-                    known = np.add.reduceat((seen > 0).astype(np.int64), first)
-                    base = np.add.reduceat(np.where(seen > 0, np.log10((seen + 1) / whole), 0.0), first)
-                    rest = tokens[seen == 0].view(np.int64) if number == 0 else np.zeros(0, np.int64)
-                    edge = np.concatenate([[0], np.cumsum(sizes - known)]) if number == 0 else np.zeros(len(sizes) + 1, np.int64)
-                    yield pa.RecordBatch.from_arrays([
-                        piece.column(0), piece.column(2), pa.array(sizes), pa.array(known), pa.array(base, mask=np.full(len(base), number > 0)),
-                        pa.array(np.add.reduceat(logs, first)), pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(rest))], names=NAMES)
-
-        found = rows.mapInArrow(run, "id long, tag long, n_tokens long, n_known long, base double, score double, rest array<long>")
-        if len(model.shards) > 1:
-            found = found.withColumn("shard", F.lit(number))
-        out = found if out is None else out.unionByName(found)
-    if len(model.shards) > 1:
-        # Equal rows have equal parts, so their sums are those of one row times their number.
-        first = F.col("shard") == 0
-        out = out.groupBy("id", "tag", "n_tokens").agg(
-            F.first(F.when(first, F.col("n_known")), True).alias("n_known"), F.first("base", True).alias("base"), (F.sum("score") / F.count(F.when(first, 1))).alias("score"),
-            F.first(F.when(first, F.col("rest")), True).alias("rest"), F.count(F.when(first, 1)).cast("int").alias("rows"))
-        out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows")))).drop("copy", "rows")
-    scored = pin(out.withColumn("row", F.monotonically_increasing_id()), "scores")
+        shard_of[shard] = number
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, data = batch.column(0), batch.column(1)
+            for copy in range(copies):
+                yield _rows(batch.num_rows, place=pa.array(places[shard_of[row.to_numpy()], copy]), block=pa.array([-1] * batch.num_rows, pa.int64()), row=row.cast(pa.int64()), data=data)
+
+    schema = "place long, block long, row long, data binary, id long, n_tokens long, n_known long, base double, rest array<long>"
+    probes = keyed_texts(docs, key, text).mapInArrow(_probes(model, shard_of, places, small), schema)
+    segments = model.pairs.filter("segment >= 0").select("segment", "data").mapInArrow(deal, schema)
+    answers = probes.unionByName(segments).repartition(places.size, "place").sortWithinPartitions("place", "block").mapInArrow(_answers(model, places), schema)
+    added = answers.repartition(places.size, "block").sortWithinPartitions("block", "row")
+    scored = pin(added.mapInArrow(_added, "id long, n_tokens long, n_known long, base double, rest array<long>, score double").withColumn("row", F.monotonically_increasing_id()), "scores")
     # Words that aren't frequent: exact counts from the table.
     rare = scored.select("row", F.explode("rest").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("times"))
     c = F.coalesce("n", F.lit(0))
@@ -366,4 +515,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
         (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), "score")
 
 
-NAMES = ["id", "tag", "n_tokens", "n_known", "base", "score", "rest"]
+_LONG = pa.int64()
+PLACED = pa.schema([
+    ("place", _LONG), ("block", _LONG), ("row", _LONG), ("data", pa.binary()), ("id", _LONG), ("n_tokens", _LONG), ("n_known", _LONG), ("base", pa.float64()), ("rest", pa.list_(_LONG))])
+DONE = ["id", "n_tokens", "n_known", "base", "rest", "score"]

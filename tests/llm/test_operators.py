@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, a round trip or held-out rows; odd rows; empty tables."""
 
 import itertools
+import pickle
 import random
 from collections import Counter
 
@@ -538,6 +539,53 @@ def test_scores_in_several_passes_are_the_same(spark, docs):
     assert a == b and len(a) == 65
 
 
+@pytest.fixture(scope="module")
+def few_words(spark):
+    """Many pairs of few words."""
+    draw = random.Random(3)
+    return spark.createDataFrame([(i, " ".join(f"w{int(400 * draw.random() ** 2)}" for _ in range(draw.randrange(600)))) for i in range(300)], "doc_id long, text string").repartition(3)
+
+
+def naive_score(model, pairs, text):
+    """One token after another."""
+    unknown = model.once / model.total if model.once else 1 / (model.total + 1)
+    out, before = 0.0, lm.END_HASH
+    for word in [*(text or "").encode().lower().split(), b"\n"]:
+        token = np.uint64(lm.xxhash.xxh3_64_intdigest(word))
+        h, w = model.unigrams.levels(np.array([before, token])).tolist()
+        c = lm.MEANS[pairs.levels(lm.pair_keys(np.array([before]), np.array([token])))[0]]
+        single = (1 - unknown) * min(lm.MEANS[w] / model.total, 1) if w else unknown
+        p = min((c + model.followers[h] * single) / (lm.MEANS[h] + model.followers[h]), 1) if h else single
+        out += np.log10(max(p, min(single, 1e-12)))
+        before = token
+    return out
+
+
+def test_scores_equal_brute_force_over_many_shards(few_words, odd, monkeypatch):
+    """Small shards, blocks and rows; some pairs fall into segments that are empty."""
+    for name, value in (("LEAST_SHARD", 1 << 12), ("BLOCK_TOKENS", 3000), ("BLOCK_DOCS", 7), ("ROW_KEYS", 100)):
+        monkeypatch.setattr(lm, name, value)
+    for train, least in ((few_words.filter("doc_id % 5 <> 0"), 10), (few_words.filter("doc_id in (1, 2)"), 1)):
+        model = lm.train(train, frequent=50)
+        assert len(model.shards) >= least
+        pairs = lm.LevelFilter.join({r.segment: bytes(r.data) for r in model.pairs.filter("segment >= 0").collect()})
+        test = few_words.filter("doc_id < 40").unionByName(few_words.filter("doc_id < 4")).unionByName(odd.select("doc_id", "text"))
+        want = sorted((str(r.doc_id), round(naive_score(model, pairs, r.text), 6)) for r in test.collect())
+        assert sorted((str(r.id), round(r.score, 6)) for r in lm.score(test, model).collect()) == want
+
+
+def test_the_filter_of_pairs_stays_off_the_driver(spark, few_words, monkeypatch):
+    """What the driver gets as one value or broadcasts doesn't hold the pairs' filter."""
+    sent, context = [], type(spark.sparkContext)
+    broadcast, gathered = context.broadcast, lm._collected
+    monkeypatch.setattr(context, "broadcast", lambda self, value: (sent.append(len(pickle.dumps(value))), broadcast(self, value))[1])
+    monkeypatch.setattr(lm, "_collected", lambda segments: (found := gathered(segments), sent.append(found.data.nbytes))[0])
+    model = lm.train(few_words, frequent=50)
+    assert lm.score(few_words, model).count() == 300
+    whole = model.pairs.filter("segment >= 0").agg(F.sum(F.octet_length("data"))).first()[0]
+    assert sent and max(sent) < whole
+
+
 # Toxicity
 
 
