@@ -732,6 +732,52 @@ def test_the_wrapper_decides_inside_the_article(spark):
     assert {r.id: r.text for r in wrappers.extract(df).collect()} == {i: want(i).replace("\nQ2", "") if i != 2 else want(2) for i in range(40)}
 
 
+def test_all_pages_of_a_host_teach_its_wrapper(spark, monkeypatch):
+    """What one page of 200 has otherwise counts, wherever it stands: its text in a block, and cards that repeat on it alone. Pages without an article teach their own kind."""
+    def article(i, odd):
+        cards = "".join(f'<article class="card"><h3>Card {i} {k}</h3></article>' for k in range(2 if i == odd else 1))
+        return f'<body><article><h1>T{i}</h1><p>{_story(i)}</p><div class="z1">{"Sold" if i == odd else "In stock"}</div><div class="z2">Pay us</div></article><section>{cards}</section></body>'
+
+    def bare(i):
+        return f"<body><div>Site name</div><p>{_story(i)}</p></body>"
+
+    def extracted(rows):
+        return {r.id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+    rows = [(1000 * odd + i, f"http://h{odd}.example/{i}", article(i, odd)) for odd in (3, 11, 19) for i in range(200)]
+    rows += [(9000 + i, f"http://h{3 if i else 11}.example/", bare(i)) for i in range(5)] + rows[:7]
+    want = {1000 * odd + i: f"T{i}\n{_story(i)}\n" + ("Sold" if i == odd else "In stock") for odd in (3, 11, 19) for i in range(200)}
+    want |= {9000 + i: _story(i) if i else f"Site name\n{_story(i)}" for i in range(5)}
+    assert extracted(rows) == want
+    rules = wrappers.Rules.of(*wrappers.infer([article(i, 19) for i in range(200)]))
+    for together, step in ((8, 1), (20, 2)):
+        monkeypatch.setattr(wrappers, "TOGETHER", together)
+        monkeypatch.setattr(wrappers, "STEP", step)
+        shuffled = random.Random(step).sample(rows, len(rows))
+        assert extracted(shuffled) == want
+        made = {r.host: r.wrapper for r in wrappers.infer_wrappers(spark.createDataFrame(shuffled, "page_id long, url string, html string")).collect()}
+        assert wrappers.Rules.load(made["h19.example"]) == rules
+
+
+def test_lessons_are_the_same_in_any_order():
+    """Random pages, united in whole and by parts of the trie, give the rules of all pages aligned one after another; what is kept meanwhile stays small."""
+    draw = random.Random(5)
+    blocks = ['<div class="a">Same</div>', '<div class="b">{0}</div>', "<ul><li>x<li>{0}</ul>", '<article class="c"><p>{0}</article>' * 2, '<section><div class="d">Twice</div></section>', '<div id="own{0}">{0}</div>']
+    pages = sorted({f'<body><article><h1>{i}</h1><p>{_story(i)}</p>' + "".join(b.format(i) for b in blocks if draw.random() < 0.9) + '<div class="e">Always</div></article></body>' for i in range(300)})
+
+    def lesson(page):
+        root = wrappers.parse(page)
+        return wrappers.Lesson(wrappers._part(root), 1, [wrappers._words(root)]).dump()
+
+    rows = sorted((draw.randrange(-(1 << 63), 1 << 63), lesson(p)) for p in pages)
+    whole = wrappers._united(iter(rows + rows[-1:]))
+    parts = [wrappers._united(iter(own)) for own in ([r for r in rows if r[0] >> 61 == top] for top in range(-4, 4))]
+    again = wrappers._united((top << 61, part.dump()) for top, part in zip(range(-4, 4), parts))
+    assert whole.dump() == again.dump() and whole.pages == 300
+    assert whole.rules() == wrappers.Rules.of(*wrappers.infer(pages))
+    assert any(t == "Always" for _, t in whole.rules().constant) and len(whole.dump()) < 3 * max(len(d) for _, d in rows)
+
+
 def test_the_wrapper_takes_nothing_without_evidence():
     """Edited copies of one article, two pages, a text of one page alone, and articles of which no single one stands on every page."""
     copy = "<article><h1>T</h1><div class='a'>" + _story(1, 40) + "</div><div class='b'>" + _story(2, 40) + " {0}</div></article>"
