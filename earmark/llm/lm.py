@@ -54,7 +54,7 @@ TOKENS_PER_PART = 1_500_000
 BLOCK_TOKENS = 1_000_000
 BLOCK_DOCS = 1 << 16
 #: Different pairs of a block that are one row.
-ROW_KEYS = 4096
+ROW_KEYS = 1024
 _SEGMENT_BITS = 12
 _END = b"\n"  # no word holds white space
 
@@ -223,7 +223,7 @@ def _count(batches: Iterator[pa.RecordBatch], unigrams: LevelFilter | None, shif
         edges = [*np.flatnonzero(np.diff(own, prepend=-1)).tolist(), len(own)]
         for at in range(0, len(edges) - 1, 64):
             cuts = edges[at : at + 65]
-            data = [_pack(part[0][a:b], part[1][a:b], part[2][a:b].astype(np.uint8)) for a, b in zip(cuts, cuts[1:])]
+            data = [_pack(*(c[a:b] for c in part)) for a, b in zip(cuts, cuts[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(own[cuts[:-1]].astype(np.int32)), pa.array(data, pa.binary())], names=["bin", "data"])
 
     for batch in batches:
@@ -236,7 +236,7 @@ def _count(batches: Iterator[pa.RecordBatch], unigrams: LevelFilter | None, shif
                 before = _before(tokens, sizes)
                 keys, at, n = np.unique(pair_keys(before, tokens), return_index=True, return_counts=True)
                 history, inverse = np.unique(before[at], return_inverse=True)
-                parts.append((keys, n, unigrams.levels(history)[inverse]))
+                parts.append((keys, n, unigrams.levels(history).astype(np.uint8)[inverse]))
             gathered += len(keys)
             if gathered >= GATHER:
                 parts = [_merge(parts)]
@@ -271,6 +271,20 @@ def _segments(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([types.tobytes()], pa.binary())], names=["segment", "data"])
 
 
+def _pinned(df: DataFrame, label: str) -> DataFrame:
+    """:func:`pin`; the shuffle files that led to the table go once it is written, not when the driver happens to collect its garbage."""
+    conf, setting = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(setting, None)
+    conf.set(setting, "true")
+    try:
+        return pin(df, label)
+    finally:
+        if before is None:
+            conf.unset(setting)
+        else:
+            conf.set(setting, before)
+
+
 def _collected(segments: DataFrame) -> LevelFilter:
     """The filter of these segments of a table; their size has been checked. The driver has it once, and some segments more."""
     size = np.zeros(1 << _SEGMENT_BITS, np.uint64)
@@ -300,7 +314,7 @@ class Model:
 def train(texts: DataFrame, text: str = "text", most_bytes: int = MOST_BYTES, frequent: int = FREQUENT, shard_bytes: int = SHARD_BYTES) -> Model:
     """Count words and pairs of all rows and build the filters."""
     rows = keyed_texts(texts, text)
-    counts = pin(rows.mapInArrow(lambda b: _count(b, None), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "words")
+    counts = _pinned(rows.mapInArrow(lambda b: _count(b, None), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "words")
     by_level: dict[int, tuple[int, int]] = {}
     for n, level, n_words, tokens in counts.groupBy(F.when(F.col("n") < _SMALL, F.col("n")).alias("n"), _large_level(F.col("n")).alias("level")).agg(
             F.count(F.lit(1)), F.sum("n")).collect():
@@ -322,12 +336,12 @@ def train(texts: DataFrame, text: str = "text", most_bytes: int = MOST_BYTES, fr
     # Bits an event are fixed, so the size follows from the number of events by level: checked before it is collected.
     if sum(q * w for q, (w, _) in by_level.items()) * BITS // 8 > most_bytes:
         raise ValueError("the filter of single words exceeds most_bytes")
-    unigrams = _collected(pin(made.filter("segment >= 0"), "words_filter"))
+    unigrams = _collected(_pinned(made.filter("segment >= 0"), "words_filter"))
     shared = texts.sparkSession.sparkContext.broadcast(unigrams)
     # Some bins for each part, so that parts are even.
     shift = max(0, _SEGMENT_BITS - (8 * parts - 1).bit_length())
     found = rows.mapInArrow(lambda b: _count(b, shared.value, shift), "bin int, data binary")
-    pairs = pin(found.repartition(parts, "bin").select("data").mapInArrow(_of_pairs, "segment int, data binary"), "segments")
+    pairs = _pinned(found.repartition(parts, "bin").select("data").mapInArrow(_of_pairs, "segment int, data binary"), "segments")
     followers = np.zeros(len(EDGES) + 1)
     for r in pairs.filter("segment < 0").collect():
         followers += np.frombuffer(bytes(r["data"]), np.int64)
@@ -425,13 +439,22 @@ def _answers(model: Model, places: np.ndarray) -> Callable:
     number = {key: shard for shard, own in enumerate(places.tolist()) for key in own}
     unknown = model.once / total if model.once else 1 / (total + 1)
 
+    def sums(pairs: LevelFilter, rows: list[tuple[np.ndarray, ...]], docs: int) -> bytes:
+        """All pairs of a block and shard at once, by their keys, whatever order their rows come in."""
+        keys, times, word, history, doc = map(np.concatenate, zip(*sorted(rows, key=lambda r: r[0][0])))
+        single = np.where(word > 0, (1 - unknown) * np.minimum(MEANS[word] / total, 1.0), unknown)
+        mass = followers[history]
+        p = np.where(history > 0, np.minimum((MEANS[pairs.levels(keys)] + mass * single) / np.maximum(MEANS[history] + mass, 1e-9), 1.0), single)
+        logs = np.log10(np.maximum(p, np.minimum(single, 1e-12)))
+        return np.bincount(doc, np.repeat(logs, times), docs).tobytes()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segments: dict[int, pa.Buffer] = {}
-        pairs, at, sums = None, (None, None), np.zeros(0)
+        segments: dict[int, bytes] = {}
+        pairs, at, docs, rows = None, (None, None), 0, []
 
         def give() -> Iterator[pa.RecordBatch]:
-            if len(sums):
-                yield _rows(1, place=pa.array([at[0]], pa.int64()), block=pa.array([at[1]], pa.int64()), row=pa.array([-1 - number[at[0]]], pa.int64()), data=pa.array([sums.tobytes()], pa.binary()))
+            if rows:
+                yield _rows(1, place=pa.array([at[0]]), block=pa.array([at[1]]), row=pa.array([-1 - number[at[0]]]), data=pa.array([sums(pairs, rows, docs)], pa.binary()))
 
         for batch in batches:
             if (documents := batch.filter(batch.column("n_tokens").is_valid())).num_rows:
@@ -443,20 +466,13 @@ def _answers(model: Model, places: np.ndarray) -> Callable:
                     yield from give()
                     if place != at[0]:
                         segments, pairs = {}, None
-                    at, sums = (place, block), np.zeros(0)
+                    at, docs, rows = (place, block), row, []
                 if block < 0:
                     segments[row] = data.as_py()
                     continue
                 if pairs is None:
                     pairs, segments = LevelFilter.join(segments), {}
-                if not len(sums):
-                    sums = np.zeros(row)
-                keys, times, word, history, doc = _unpack(data.as_buffer(), np.uint32, np.uint8, np.uint8, np.uint16)
-                single = np.where(word > 0, (1 - unknown) * np.minimum(MEANS[word] / total, 1.0), unknown)
-                mass = followers[history]
-                p = np.where(history > 0, np.minimum((MEANS[pairs.levels(keys)] + mass * single) / np.maximum(MEANS[history] + mass, 1e-9), 1.0), single)
-                logs = np.log10(np.maximum(p, np.minimum(single, 1e-12)))
-                sums += np.bincount(doc, np.repeat(logs, times), len(sums))
+                rows.append(_unpack(data.as_buffer(), np.uint32, np.uint8, np.uint8, np.uint16))
         yield from give()
 
     return run
@@ -504,7 +520,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     segments = model.pairs.filter("segment >= 0").select("segment", "data").mapInArrow(deal, schema)
     answers = probes.unionByName(segments).repartition(places.size, "place").sortWithinPartitions("place", "block").mapInArrow(_answers(model, places), schema)
     added = answers.repartition(places.size, "block").sortWithinPartitions("block", "row")
-    scored = pin(added.mapInArrow(_added, "id long, n_tokens long, n_known long, base double, rest array<long>, score double").withColumn("row", F.monotonically_increasing_id()), "scores")
+    scored = _pinned(added.mapInArrow(_added, "id long, n_tokens long, n_known long, base double, rest array<long>, score double").withColumn("row", F.monotonically_increasing_id()), "scores")
     # Words that aren't frequent: exact counts from the table.
     rare = scored.select("row", F.explode("rest").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("times"))
     c = F.coalesce("n", F.lit(0))
